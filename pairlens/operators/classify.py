@@ -23,9 +23,12 @@ from pairlens.operators.linear import MAX_MAP_CELLS, project
 from pairlens.operators.moments import matrix_from_cells, sum_rows
 
 
+HOLDOUT = -1  # fold number of rows that no model may train on
+
+
 @dataclass
 class FoldModel:
-    """One classifier: representation `name`, tested on `fold`, trained on the other folds."""
+    """One classifier: representation `name`, tested on `fold`, trained on the other non-holdout folds."""
 
     name: str
     fold: int
@@ -72,7 +75,7 @@ def _newton_pass(df: DataFrame, models: Sequence[FoldModel]) -> dict[int, np.nda
             y = batch.column("y").to_numpy(zero_copy_only=False).astype(np.float64)
             fold = batch.column("fold").to_numpy(zero_copy_only=False)
             for i, test_fold, w, beta, (w0, w1) in shared.value:
-                rows = fold != test_fold
+                rows = (fold != test_fold) & (fold != HOLDOUT)
                 f, t = z[rows] @ w, y[rows]
                 p = 1.0 / (1.0 + np.exp(-np.clip(f @ beta, -500, 500)))
                 weight = np.where(t == 1, w1, w0)
@@ -105,7 +108,7 @@ def fit_logistic(df: DataFrame, models: Sequence[FoldModel], penalty: float = 1.
     """L2-penalized logistic regressions (intercept free) for all models at once.
 
     `df` holds (fold, y, z) and should be persisted. Each model is trained on the rows
-    outside its fold.
+    outside its fold and outside the holdout.
     """
     for m in models:
         m.beta = np.zeros(m.w.shape[1])
@@ -166,7 +169,7 @@ def fit_score_mlp(
         net = MultilayerPerceptronClassifier(
             layers=[m.w.shape[1] - 1, *hidden, 2], maxIter=max_iter, seed=seed, featuresCol="features", labelCol="label"
         )
-        fitted = net.fit(rep.filter(F.col("fold") != m.fold).select("features", "label"))
+        fitted = net.fit(rep.filter(~F.col("fold").isin(m.fold, HOLDOUT)).select("features", "label"))
         test = fitted.transform(rep.filter(F.col("fold") == m.fold))
         score = F.element_at(vector_to_array("probability"), 2)
         return test.select(*keep, "fold", F.lit(m.name).alias("model"), score.alias("score"), (score > 0.5).cast("int").alias("yhat"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.functions.vectors import edge_ordinal, fisher_z
@@ -73,44 +73,43 @@ def roi_count_mismatch(ts: DataFrame, n_rois: int, subject: str = "subject_id")
 
 def roi_covariance(vectors: DataFrame, subject: str = "subject_id") -> DataFrame:
     """(subject, roi_i, roi_j, n_t, cov, var_i, var_j) for i <= j; variance 0 marks a constant region."""
-    # The constant goes last: row i of the moments then ends with the sum of region i.
+    # The constant goes last, at index R: cells (i, R) are the sums, (R, R) is the count.
     z = F.concat("values", F.array(F.lit(1.0)))
-    width = F.size("values")
-    mom = moments(vectors.withColumn("_r", width), [subject, "_r"], z)
-    own = Window.partitionBy(subject, "_r", "i")
-    # Both window values live in the (subject, i) partition the moments already have.
-    rows = mom.select(
-        subject,
-        "_r",
-        "i",
-        "j",
-        "s",
-        F.max(F.when(F.col("j") == F.col("_r"), F.col("s"))).over(own).alias("sum_i"),
-        F.max(F.when(F.col("j") == F.col("i"), F.col("s"))).over(own).alias("sq_i"),
-    )
-    count = mom.filter((F.col("i") == F.col("_r")) & (F.col("j") == F.col("_r"))).select(subject, F.col("s").alias("n"))
-    nodes = (
-        rows.filter((F.col("i") == F.col("j")) & (F.col("i") < F.col("_r")))
-        .join(count, subject)
-        .select(subject, F.col("i").alias("j"), (F.col("sum_i") / F.col("n")).alias("mean_j"), F.col("sq_i").alias("sq_j"), "n")
-    )
-    joined = rows.filter(F.col("j") < F.col("_r")).join(nodes, [subject, "j"])
-    mean_i = F.col("sum_i") / F.col("n")
+    mom = moments(vectors.withColumn("_r", F.size("values")), [subject, "_r"], z)
+    # One subject has (R + 1)(R + 2) / 2 cells however long its series is.
+    packed = mom.groupBy(subject, "_r").agg(F.collect_list(F.struct("i", "j", "s")).alias("_c"))
 
-    def variance(sq: str, mean: Column) -> Column:
-        mean_square = F.col(sq) / F.col("n")
-        var = mean_square - mean * mean
-        return F.when(var > CONSTANT_TOLERANCE * mean_square, var).otherwise(0.0)
+    def ordered(cells: Column) -> Column:
+        return F.transform(F.array_sort(cells), lambda c: c["s"])
 
-    return joined.select(
+    r = F.col("_r")
+    stats = packed.select(
         subject,
-        F.col("i").alias("roi_i"),
-        F.col("j").alias("roi_j"),
-        F.col("n").cast("long").alias("n_t"),
-        (F.col("s") / F.col("n") - mean_i * F.col("mean_j")).alias("cov"),
-        variance("sq_i", mean_i).alias("var_i"),
-        variance("sq_j", F.col("mean_j")).alias("var_j"),
+        "_r",
+        "_c",
+        ordered(F.filter("_c", lambda c: c["j"] == r)).alias("_sum"),
+        ordered(F.filter("_c", lambda c: c["i"] == c["j"])).alias("_sq"),
+    ).withColumn("_n", F.element_at("_sum", -1))
+    n = F.col("_n")
+
+    def variance(i: Column) -> Column:
+        mean, square = F.get("_sum", i) / n, F.get("_sq", i) / n
+        var = square - mean * mean
+        return F.when(var > CONSTANT_TOLERANCE * square, var).otherwise(0.0)
+
+    with_var = stats.withColumn("_var", F.transform(F.sequence(F.lit(0), r - 1), variance))
+    rows = F.transform(
+        F.filter("_c", lambda c: c["j"] < r),
+        lambda c: F.struct(
+            c["i"].alias("roi_i"),
+            c["j"].alias("roi_j"),
+            n.cast("long").alias("n_t"),
+            (c["s"] / n - F.get("_sum", c["i"]) / n * F.get("_sum", c["j"]) / n).alias("cov"),
+            F.get("_var", c["i"]).alias("var_i"),
+            F.get("_var", c["j"]).alias("var_j"),
+        ),
     )
+    return with_var.select(subject, F.inline(rows))
 
 
 def correlation_edges(
@@ -194,22 +193,24 @@ def _group_covariance(cells: DataFrame, subject: str, groups: DataFrame, value:
 
 def _group_edges(pairs: DataFrame, subject: str, nan: str) -> DataFrame:
     """Fisher-z edges between groups from (subject, ga, gb, total, pairs)."""
-    cov = pairs.withColumn("cov", F.col("total") / F.col("pairs"))
-    var = cov.filter("ga = gb").select(subject, F.col("ga").alias("g"), F.col("cov").alias("var"))
-    edges = (
-        cov.filter("ga < gb")
-        .join(var.select(subject, F.col("g").alias("ga"), F.col("var").alias("var_a")), [subject, "ga"])
-        .join(var.select(subject, F.col("g").alias("gb"), F.col("var").alias("var_b")), [subject, "gb"])
+    cov = F.col("total") / F.col("pairs")
+    own = F.col("ga") == F.col("gb")
+    # A subject has one cell per pair of groups, so its cells fit one row.
+    packed = pairs.groupBy(subject).agg(
+        F.map_from_entries(F.collect_list(F.when(own, F.struct(F.col("ga"), cov.alias("var"))))).alias("_var"),
+        F.collect_list(F.when(~own, F.struct(F.col("ga"), F.col("gb"), cov.alias("cov")))).alias("_cov"),
     )
     tiny = 1e-12
-    r = F.when((F.col("var_a") > tiny) & (F.col("var_b") > tiny), F.col("cov") / F.sqrt(F.col("var_a") * F.col("var_b")))
-    if nan == "zero":
-        r = F.coalesce(r, F.lit(0.0))
-    out = edges.select(subject, F.col("ga").alias("group_i"), F.col("gb").alias("group_j"), r.alias("r"))
+
+    def edge(c: Column) -> Column:
+        va, vb = F.col("_var")[c["ga"]], F.col("_var")[c["gb"]]
+        r = F.when((va > tiny) & (vb > tiny), c["cov"] / F.sqrt(va * vb))
+        return F.struct(c["ga"].alias("group_i"), c["gb"].alias("group_j"), (F.coalesce(r, F.lit(0.0)) if nan == "zero" else r).alias("r"))
+
+    edges = packed.withColumn("_e", F.transform("_cov", edge))
     if nan == "drop":
-        bad = out.filter("r is null").select(subject).distinct()
-        out = out.join(bad, subject, "left_anti")
-    return out.select(subject, "group_i", "group_j", fisher_z("r").alias("z"))
+        edges = edges.filter(~F.exists("_e", lambda e: e["r"].isNull()))
+    return edges.select(subject, F.inline("_e")).select(subject, "group_i", "group_j", fisher_z("r").alias("z"))
 
 
 def network_fc(cov: DataFrame, networks: DataFrame, subject: str = "subject_id", nan: str = "null") -> DataFrame:

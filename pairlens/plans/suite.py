@@ -10,11 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.operators import solve
-from pairlens.operators.classify import FoldModel, balanced_weights, fit_logistic, fit_score_mlp, scaled_map, score_models
+from pairlens.operators.classify import HOLDOUT, FoldModel, balanced_weights, fit_logistic, fit_score_mlp, scaled_map, score_models
 from pairlens.operators.metrics import classification_metrics, confusion_matrix, fold_summary, ranking_metrics
 from pairlens.operators.moments import Layout, collect_moments, moments
 
-HOLDOUT = -1
 REPRESENTATIONS = ("gene_only", "fmri_only", "early_fusion", "cca_joint", "scca_joint")
 
 
@@ -97,27 +96,12 @@ def build_models(
 
 
 def _fit_scores(rows: DataFrame, models: list[FoldModel], classifier: str, keep: Sequence[str], hidden, max_iter: int, seed: int) -> DataFrame:
-    """Scores of every row by the model of its own fold.
-
-    CV models train on the folds other than theirs and never on the holdout (-1); the
-    holdout models train on all folds.
-    """
-    cv, final = [m for m in models if m.fold != HOLDOUT], [m for m in models if m.fold == HOLDOUT]
-    parts = []
-    for subset, source in ((cv, rows.filter(F.col("fold") != HOLDOUT)), (final, rows)):
-        if not subset:
-            continue
-        if classifier == "logreg":
-            fit_logistic(source, subset)
-            parts.append(score_models(source, subset, keep))
-        elif classifier == "mlp":
-            parts.append(fit_score_mlp(source, subset, keep, hidden, max_iter, seed))
-        else:
-            raise ValueError(f"unknown classifier: {classifier}")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """Scores of every row by the model of its own fold."""
+    if classifier == "logreg":
+        return score_models(rows, fit_logistic(rows, models), keep)
+    if classifier == "mlp":
+        return fit_score_mlp(rows, models, keep, hidden, max_iter, seed)
+    raise ValueError(f"unknown classifier: {classifier}")
 
 
 def cross_validated_scores(

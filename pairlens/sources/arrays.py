@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlens.operators.align import global_row_index
-from pairlens.operators.ranking import keep_first
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*.npy") -> DataFrame:
@@ -69,20 +68,15 @@ def incomplete_genes(catalog: DataFrame, n_files: int) -> DataFrame:
     return catalog.groupBy("gene").agg(F.countDistinct("chunk").alias("n_files")).filter(F.col("n_files") != n_files)
 
 
-def read_embedding_chunks(
-    spark: SparkSession,
-    root: str,
-    pattern: str = CHUNK_PATTERN,
-    n_files: int | None = None,
-    skip_incomplete: bool = False,
-    glob: str = "*.npy",
+def embedding_rows(
+    files: DataFrame, pattern: str = CHUNK_PATTERN, n_files: int | None = None, skip_incomplete: bool = False
 ) -> DataFrame:
-    """(gene, chunk, row_in_chunk, row_idx, embedding) of all chunk files, chunks in numeric order.
+    """(gene, chunk, row_in_chunk, row_idx, embedding) from (path, content), chunks in numeric order.
 
     With `n_files`, a gene with another number of chunks is an error or, with
     `skip_incomplete`, left out.
     """
-    catalog = embedding_catalog(list_files(spark, root, glob), pattern)
+    catalog = embedding_catalog(files, pattern)
     if n_files is not None:
         bad = incomplete_genes(catalog.drop("content"), n_files)
         if skip_incomplete:
@@ -96,6 +90,17 @@ def read_embedding_chunks(
     return global_row_index(rows, "gene", "chunk", "row_in_chunk")
 
 
+def read_embedding_chunks(spark: SparkSession, root: str, glob: str = "*.npy", **options) -> DataFrame:
+    """`embedding_rows` of all matching files below root."""
+    return embedding_rows(list_files(spark, root, glob), **options)
+
+
+def check_row_count(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Genes whose number of rows differs from the number of ids."""
+    n = ids.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    return rows.groupBy("gene").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_ids", n).filter("n_rows <> n_ids")
+
+
 read_embedding_catalog = read_embedding_chunks
 
 
@@ -115,14 +120,16 @@ def subject_of_path(path: str | Column, rule: str = "folder_regex", regex: str =
     raise ValueError(f"unknown id rule: {rule}")
 
 
-def read_roi_timeseries(
-    spark: SparkSession, root: str, id_rule: str = "folder_regex", regex: str = r"(\d+)", glob: str = "*.npy",
-    limit: int | None = None, ids: DataFrame | None = None,
+def timeseries_rows(
+    files: DataFrame, id_rule: str = "folder_regex", regex: str = r"(\d+)", limit: int | None = None, ids: DataFrame | None = None
 ) -> DataFrame:
-    """Long (subject_id, t, roi, value) series, oriented time by region; the first path per subject wins."""
-    files = list_files(spark, root, glob).withColumn("subject_id", subject_of_path("path", id_rule, regex))
+    """Long (subject_id, t, roi, value) series from (path, content), oriented time by region.
+
+    The first path per subject wins.
+    """
+    files = files.withColumn("subject_id", subject_of_path("path", id_rule, regex))
     # Choose the files by path first, so content is carried for the chosen ones only.
-    chosen = keep_first(files.select("subject_id", "path").filter("subject_id is not null"), "subject_id", "path")
+    chosen = files.filter("subject_id is not null").groupBy("subject_id").agg(F.min("path").alias("path"))
     if ids is not None:
         chosen = chosen.join(ids.select("subject_id"), "subject_id", "left_semi")
     if limit is not None:
@@ -130,3 +137,8 @@ def read_roi_timeseries(
     picked = files.join(chosen, ["subject_id", "path"], "left_semi")
     fields = [T.StructField("t", T.IntegerType()), T.StructField("roi", T.IntegerType()), T.StructField("value", T.DoubleType())]
     return _decode(picked, ["subject_id"], _series_rows, fields)
+
+
+def read_roi_timeseries(spark: SparkSession, root: str, glob: str = "*.npy", **options) -> DataFrame:
+    """`timeseries_rows` of all matching files below root."""
+    return timeseries_rows(list_files(spark, root, glob), **options)

@@ -10,9 +10,9 @@ from pyspark.sql import types as T
 
 
 
-def read_results(spark: SparkSession, glob: str, schema: T.StructType | str | None = None, status: str | None = "FINISHED") -> DataFrame:
+def read_results(spark: SparkSession, glob: str, schema: T.StructType | str | None = None, status: str | None = "FINISHED", multi_line: bool = True) -> DataFrame:
     """Nested result files with their source name; invalid JSON and unfinished runs are skipped."""
-    reader = spark.read.option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+    reader = spark.read.option("multiLine", str(multi_line).lower()).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
     if schema is not None:
         full = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         if "_corrupt_record" not in full.names:
@@ -20,6 +20,7 @@ def read_results(spark: SparkSession, glob: str, schema: T.StructType | str | No
         reader = reader.schema(full)
     df = reader.json(glob).withColumn("source", F.element_at(F.split(F.input_file_name(), "/"), -1))
     if "_corrupt_record" in df.columns:
+        # Used together with the data columns, so the reader keeps parsing them.
         df = df.filter("_corrupt_record is null").drop("_corrupt_record")
     if status is not None and "status" in df.columns:
         df = df.filter(F.col("status") == status)

@@ -36,12 +36,19 @@ def pairs(spark, sf):
     )
 
 
-Z_FULL = z_vector(F.col("c"), F.col("x"), F.col("b"))
 L_FULL = Layout(2, 8, 6)
-Z_2X2 = z_vector(None, F.slice("e", 1, 2), F.slice("e", 3, 2))
 L_2X2 = Layout(0, 2, 2)
 
 
+def z_full():
+    return z_vector(F.col("c"), F.col("x"), F.col("b"))
+
+
+def z_2x2():
+    """Two features per view, no covariates."""
+    return z_vector(None, F.slice("e", 1, 2), F.slice("e", 3, 2))
+
+
 def psql(body: str, **extra: str) -> str:
     return sql("emb cov", body, pairs=PAIRS_SQL, **extra)
 
@@ -93,13 +100,13 @@ def _two(df):
 
 @register("residualize", psql(f"SELECT subject_id, {r6('e1')} AS e1, {r6('e9')} AS e9 FROM res", **_resid_ctes("true")))
 def residualize(spark, sf):
-    return _two(linear.prepare_views(pairs(spark, sf), Z_FULL, L_FULL, ["subject_id"], standardize=False))
+    return _two(linear.prepare_views(pairs(spark, sf), z_full(), L_FULL, ["subject_id"], standardize=False))
 
 
 @register("residualize_train", psql(f"SELECT subject_id, {r6('e1')} AS e1, {r6('e9')} AS e9 FROM res", **_resid_ctes(_TRAIN)))
 def residualize_train(spark, sf):
     train = F.col("subject_id").cast("long") % 5 != 0
-    return _two(linear.prepare_views(pairs(spark, sf), Z_FULL, L_FULL, ["subject_id"], train, standardize=False))
+    return _two(linear.prepare_views(pairs(spark, sf), z_full(), L_FULL, ["subject_id"], train, standardize=False))
 
 
 _STD = "SELECT subject_id, {a} AS e1, {b} AS e9 FROM res, (SELECT avg(e1) AS m1, stddev_pop(e1) AS s1, avg(e9) AS m9, stddev_pop(e9) AS s9 FROM res WHERE {w})"
@@ -108,7 +115,7 @@ _STD = "SELECT subject_id, {a} AS e1, {b} AS e9 FROM res, (SELECT avg(e1) AS m1,
 @register("standardize_train", psql(_STD.format(a=r6("(e1 - m1) / s1"), b=r6("(e9 - m9) / s9"), w=_TRAIN), **_resid_ctes(_TRAIN)))
 def standardize_train(spark, sf):
     train = F.col("subject_id").cast("long") % 5 != 0
-    return _two(linear.prepare_views(pairs(spark, sf), Z_FULL, L_FULL, ["subject_id"], train))
+    return _two(linear.prepare_views(pairs(spark, sf), z_full(), L_FULL, ["subject_id"], train))
 
 
 @register(
@@ -121,11 +128,11 @@ def standardize_train(spark, sf):
 def feature_prep_export(spark, sf):
     """Raw, residualized and scaled views of the aligned subjects from one moment pass and one map."""
     df = pairs(spark, sf)
-    m = linear.moment_matrix(df, Z_FULL)
+    m = linear.moment_matrix(df, z_full())
     eye = np.zeros((L_FULL.dim, 1))
     eye[L_FULL.x.start, 0] = 1.0
     maps = {"raw": eye, "resid": solve.linear_prep(m, L_FULL, standardize=False), "z": solve.linear_prep(m, L_FULL)}
-    got = linear.project(df, Z_FULL, maps, ["subject_id"])
+    got = linear.project(df, z_full(), maps, ["subject_id"])
     return round_columns(got.select("subject_id", *[F.col(c)[0].alias(c) for c in maps]), *maps)
 
 
@@ -176,7 +183,7 @@ def pca_top_eigenvalue(spark, sf):
 )
 def pca_properties(spark, sf):
     """Scores are centred, uncorrelated and have the eigenvalues as variances."""
-    got, values, _ = linear.pca_scores(pairs(spark, sf), Z_FULL, L_FULL, 6, ["subject_id"], residualize=True)
+    got, values, _ = linear.pca_scores(pairs(spark, sf), z_full(), L_FULL, 6, ["subject_id"], residualize=True)
     cells = moments(got, [], z_vector(None, F.col("pcs")))
     n = got.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     lam = F.array(F.lit(1.0), *[F.lit(float(v)) for v in values])
@@ -195,12 +202,12 @@ def pca_properties(spark, sf):
 )
 def block_pca(spark, sf):
     """Block-wise PCA of eight gene blocks against the exact PCA of the 64 concatenated features."""
-    model, scores = bp.block_pca(fx.blocks(spark, sf), k=4, oversample=20, passes=8)
+    model, scores = bp.block_pca(fx.blocks(spark, sf), k=4, oversample=60)
     e = fx.emb(spark, sf)
     z, layout = z_vector(None, F.col("embedding")), Layout(0, 64, 0)
     m = linear.moment_matrix(e, z)
     exact, _ = solve.pca(solve.covariance(m, solve.linear_prep(m, layout))[2], 4)
-    rows = [(i, bool(abs(a - b) < 1e-3 * b), bool(abs(model.total_variance - 64) < 1e-6)) for i, (a, b) in enumerate(zip(model.eigenvalues, exact))]
+    rows = [(i, bool(abs(a - b) < 1e-6 * b), bool(abs(model.total_variance - 64) < 1e-6)) for i, (a, b) in enumerate(zip(model.eigenvalues, exact))]
     n = scores.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
     return spark.createDataFrame(rows, "pc int, eigenvalue_matches boolean, total_matches boolean").withColumn("n_scores", n)
 
@@ -240,7 +247,7 @@ _ALL = {"rows": "SELECT 0 AS k, * FROM pairs"}
 
 @register("cca_2x2", psql(f"SELECT CAST(component AS INTEGER) AS component, {r6('r')} AS r FROM (SELECT 0 AS component, r1 AS r FROM w UNION ALL SELECT 1, r2 FROM w)", **_ALL, **cca22("rows", "k")))
 def cca_2x2(spark, sf):
-    _, fit = linear.canonical_fit(pairs(spark, sf), Z_2X2, L_2X2, 2)
+    _, fit = linear.canonical_fit(pairs(spark, sf), z_2x2(), L_2X2, 2)
     return round_columns(spark.createDataFrame([(i, float(r)) for i, r in enumerate(fit.r_train)], "component int, r double"), "r")
 
 
@@ -253,8 +260,8 @@ def cca_2x2(spark, sf):
 )
 def cca_variates(spark, sf):
     df = pairs(spark, sf)
-    _, fit = linear.canonical_fit(df, Z_2X2, L_2X2, 1)
-    got = linear.canonical_variates(df, Z_2X2, fit, ["subject_id"])
+    _, fit = linear.canonical_fit(df, z_2x2(), L_2X2, 1)
+    got = linear.canonical_variates(df, z_2x2(), fit, ["subject_id"])
     return round_columns(got.select("subject_id", F.abs(F.col("u")[0]).alias("u_abs"), F.abs(F.col("v")[0]).alias("v_abs")), "u_abs", "v_abs")
 
 
@@ -291,9 +298,9 @@ def component_test(spark, sf):
 def cca_properties(spark, sf):
     """8 x 6 features after covariate removal: unit variates whose row-wise correlations equal the fit."""
     df = pairs(spark, sf)
-    _, fit = linear.canonical_fit(df, Z_FULL, L_FULL, 6)
-    got = linear.variate_correlations(linear.canonical_variates(df, Z_FULL, fit, ["subject_id"]))
-    sd = linear.canonical_variates(df, Z_FULL, fit, ["subject_id"]).select(F.posexplode("u").alias("component", "a")).groupBy("component").agg(F.stddev_pop("a").alias("sd"))
+    _, fit = linear.canonical_fit(df, z_full(), L_FULL, 6)
+    got = linear.variate_correlations(linear.canonical_variates(df, z_full(), fit, ["subject_id"]))
+    sd = linear.canonical_variates(df, z_full(), fit, ["subject_id"]).select(F.posexplode("u").alias("component", "a")).groupBy("component").agg(F.stddev_pop("a").alias("sd"))
     expected = F.array(*[F.lit(float(r)) for r in fit.r_train])
     below = F.get(F.array(*[F.lit(bool(i == 0 or fit.r_train[i] <= fit.r_train[i - 1])) for i in range(6)]), F.col("component"))
     return got.join(sd, "component").select(
@@ -310,7 +317,7 @@ _LOAD = psql(
 
 @register("loadings", _LOAD)
 def loadings(spark, sf):
-    model, fit = linear.canonical_fit(pairs(spark, sf), Z_2X2, L_2X2, 1)
+    model, fit = linear.canonical_fit(pairs(spark, sf), z_2x2(), L_2X2, 1)
     plain = solve.loadings(model.cov[:2, :2], fit.a, model.n)[:, 0]
     inflated = solve.loadings(model.cov[:2, :2], fit.a, model.n, inflate=True)[:, 0]
     rows = [(i, float(abs(a)), float(abs(b))) for i, (a, b) in enumerate(zip(plain, inflated))]
@@ -333,13 +340,13 @@ _SVD22 = {
 )
 def scca_2x2(spark, sf):
     """Without a binding L1 bound the sparse solution is the leading singular pair."""
-    _, fit = linear.canonical_fit(pairs(spark, sf), Z_2X2, L_2X2, 1, method="scca", c1=1.0, c2=1.0)
+    _, fit = linear.canonical_fit(pairs(spark, sf), z_2x2(), L_2X2, 1, method="scca", c1=1.0, c2=1.0)
     row = [(float(fit.r_train[0]), float(np.abs(fit.a).max()), float(np.abs(fit.b).max()))]
     return round_columns(spark.createDataFrame(row, "r double, top_x double, top_y double"), "r", "top_x", "top_y")
 
 
 def _scca_rows(spark, sf, **options):
-    model, fit = linear.canonical_fit(pairs(spark, sf), Z_FULL, L_FULL, 2, method="scca", c1=0.3, c2=0.3, **options)
+    model, fit = linear.canonical_fit(pairs(spark, sf), z_full(), L_FULL, 2, method="scca", c1=0.3, c2=0.3, **options)
     out = []
     for c in range(2):
         for view, w, p in (("x", fit.a, 8), ("y", fit.b, 6)):
@@ -380,7 +387,7 @@ def scca_fraction(spark, sf):
     ),
 )
 def permutation_test_rows(spark, sf):
-    observed, null = permutation.permutation_null_rows(pairs(spark, sf), Z_2X2, L_2X2, n_perm=200, k=2)
+    observed, null = permutation.permutation_null_rows(pairs(spark, sf), z_2x2(), L_2X2, n_perm=200, k=2)
     obs = spark.createDataFrame([(i, float(r)) for i, r in enumerate(observed)], "component int, r_obs double")
     got = reports.perm_pvalue(null, obs, ["component"])
     ok = (F.col("p_value") >= 1 / 201) & (F.col("p_value") <= 1)
@@ -394,8 +401,8 @@ def permutation_test_rows(spark, sf):
 def permutation_test_groups(spark, sf):
     """Label permutations refit both groups; 40 of the 100 come from an earlier, resumed run."""
     df = pairs(spark, sf)
-    done = permutation.permutation_null_groups(df, Z_FULL, L_FULL, 40, "cca", 4)
-    null = permutation.permutation_null_groups(df, Z_FULL, L_FULL, 100, "cca", 4, completed=done)
+    done = permutation.permutation_null_groups(df, z_full(), L_FULL, 40, "cca", 4)
+    null = permutation.permutation_null_groups(df, z_full(), L_FULL, 100, "cca", 4, completed=done)
     obs = spark.createDataFrame([(0.1,)], "obs_diff double")
     got = reports.perm_pvalue_two_sided(null, obs, [])
     return got.select("n_perm", F.col("p_value").between(0, 1).alias("p_in_range"), (F.abs("null_mean") < 0.2).alias("null_centred"))
@@ -440,7 +447,7 @@ def coupling_grid(spark, sf):
     """Cross-validated CCA of two features per view with holdout; the SQL refits every fold in closed form."""
     grid = reports.config_grid(spark, ["cca"], [2], [])
     rows = coupling.assign_splits(pairs(spark, sf))
-    got = coupling.coupling_grid(rows, Z_2X2, L_2X2, grid, n_components=1)
+    got = coupling.coupling_grid(rows, z_2x2(), L_2X2, grid, n_components=1)
     return round_columns(got.select("config", *_GRID_COLS), *_GRID_COLS)
 
 
@@ -459,7 +466,7 @@ def coupling_grid_full(spark, sf):
     """The whole grid on 8 x 6 features with covariates, every configuration finished."""
     grid = reports.config_grid(spark, ["cca", "scca"], _WIDE_DIMS, [0.1, 0.5], 8)
     rows = coupling.assign_splits(pairs(spark, sf))
-    got = coupling.run_grid(coupling.split_moments(rows, Z_FULL), L_FULL, grid)
+    got = coupling.run_grid(coupling.split_moments(rows, z_full()), L_FULL, grid)
     hold = F.col("fold") == coupling.HOLDOUT
     return got.groupBy("config").agg(
         F.bool_and(F.col("error").isNull() & F.col("r_eval").between(-1, 1) & F.col("r_train").between(0, 1)).alias("finished"),
@@ -503,7 +510,7 @@ def stratified_coupling(spark, sf):
     from pairlens.operators.splits import split_by_label
 
     rows = coupling.assign_splits(split_by_label(pairs(spark, sf)), group="grp")
-    got = coupling.stratified_coupling(rows, Z_2X2, L_2X2, reports.config_grid(spark, ["cca"], [2], []), n_components=1)
+    got = coupling.stratified_coupling(rows, z_2x2(), L_2X2, reports.config_grid(spark, ["cca"], [2], []), n_components=1)
     cols = ["r_case", "r_control", "r_diff"]
     return round_columns(got.select("case_config", "control_config", *cols), *cols)
 
@@ -514,7 +521,7 @@ def stratified_coupling(spark, sf):
 )
 def best_config_by_holdout(spark, sf):
     rows = coupling.assign_splits(pairs(spark, sf))
-    got = coupling.coupling_grid(rows, Z_2X2, L_2X2, reports.config_grid(spark, ["cca"], [2], []), n_components=1)
+    got = coupling.coupling_grid(rows, z_2x2(), L_2X2, reports.config_grid(spark, ["cca"], [2], []), n_components=1)
     return round_columns(export.best_by_holdout(got).select("config", "r_holdout", "selected_on_holdout"), "r_holdout")
 
 
@@ -528,7 +535,7 @@ def best_config_by_holdout(spark, sf):
 def best_fit_export(spark, sf):
     """Variates of the refitted configuration, scaled on its training rows."""
     rows = coupling.assign_splits(pairs(spark, sf))
-    got = export.best_fit_export(rows, Z_2X2, L_2X2, "cca", 2)
+    got = export.best_fit_export(rows, z_2x2(), L_2X2, "cca", 2)
     return round_columns(got["variates"].select("subject_id", "fold", F.abs(F.col("u")[0]).alias("u_abs")), "u_abs")
 
 
@@ -538,7 +545,7 @@ def best_fit_export(spark, sf):
 )
 def best_fit_tables(spark, sf):
     rows = coupling.assign_splits(pairs(spark, sf))
-    got = export.best_fit_export(rows, Z_FULL, L_FULL, "scca", 6, 0.3, 0.3, k=2)
+    got = export.best_fit_export(rows, z_full(), L_FULL, "scca", 6, 0.3, 0.3, k=2)
     top = export.top_loadings(got, 3)
     genes = export.gene_level(got, F.concat(F.lit("g"), F.floor(F.col("position") / 2).cast("string")))
     parts = [
@@ -554,7 +561,7 @@ def best_fit_tables(spark, sf):
     psql("SELECT CAST(f - 1 AS INTEGER) AS fold, CAST(c AS INTEGER) AS component, true AS r_in_range, true AS sparsity_in_range FROM range(6) AS a(f), range(2) AS b(c)"),
 )
 def interpretable_scca(spark, sf):
-    got = interpretable.interpretable_scca(coupling.assign_splits(pairs(spark, sf)), Z_FULL, L_FULL, 2, projection="paper")
+    got = interpretable.interpretable_scca(coupling.assign_splits(pairs(spark, sf)), z_full(), L_FULL, 2, projection="paper")
     return got["folds"].select(
         "fold", "component", (F.col("r_train").between(-1, 1) & F.col("r_val").between(-1, 1)).alias("r_in_range"),
         (F.col("sparsity_x").between(0, 1) & F.col("sparsity_y").between(0, 1)).alias("sparsity_in_range"),

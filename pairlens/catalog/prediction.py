@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairlens.catalog.estimators import _SPLIT, L_FULL, Z_FULL, pairs, psql
+from pairlens.catalog.estimators import _SPLIT, L_FULL, pairs, psql, z_full
 from pairlens.catalog.fixtures import r6, round_columns
 from pairlens.catalog.registry import register
 from pairlens.operators.moments import Layout, z_vector
 from pairlens.plans import coupling, suite
 
 # One feature per view: the SQL runs the same Newton iterations on (intercept, scaled feature).
-_Z11 = z_vector(None, F.slice("e", 1, 1), F.slice("e", 3, 1))
 _L11 = Layout(0, 1, 1)
 
+
+def _z11():
+    return z_vector(None, F.slice("e", 1, 1), F.slice("e", 3, 1))
+
+
 _NEWTON = {
     "ms": "SELECT f, avg(e1) AS m, stddev_pop(e1) AS s, count(*) / (2.0::DOUBLE * sum(1 - y)) AS w0, count(*) / (2.0::DOUBLE * sum(y)) AS w1 FROM tr GROUP BY f",
     "d": "SELECT tr.f AS f, y, (e1 - m) / s AS z, CASE WHEN y = 1 THEN w1 ELSE w0 END AS w FROM tr JOIN ms ON tr.f = ms.f",
@@ -32,7 +36,7 @@ def _recursive(text: str) -> str:
 def logreg_cv(spark, sf):
     """Out-of-fold and holdout probabilities of a class-balanced, L2-penalized logistic regression."""
     rows = coupling.assign_splits(pairs(spark, sf))
-    got = suite.cross_validated_scores(rows, _Z11, _L11, ["gene_only"], ["logreg"])
+    got = suite.cross_validated_scores(rows, _z11(), _L11, ["gene_only"], ["logreg"])
     return round_columns(got.select("subject_id", "y", "fold", "score", "yhat"), "score")
 
 
@@ -51,7 +55,7 @@ def logreg_cv(spark, sf):
 )
 def stage_two_metrics(spark, sf):
     rows = coupling.assign_splits(pairs(spark, sf))
-    scores = suite.cross_validated_scores(rows, _Z11, _L11, ["gene_only"], ["logreg"], holdout=False)
+    scores = suite.cross_validated_scores(rows, _z11(), _L11, ["gene_only"], ["logreg"], holdout=False)
     got = suite.stage_two_metrics(scores).select("model", "accuracy_mean", "precision_mean", "recall_mean", "tp", "fp")
     return round_columns(got, "accuracy_mean", "precision_mean", "recall_mean")
 
@@ -60,14 +64,14 @@ def stage_two_metrics(spark, sf):
 def two_stage_cv(spark, sf):
     """Per fold: canonical variates fitted on the training folds, then a classifier on [u, v]."""
     rows = coupling.assign_splits(pairs(spark, sf))
-    scores = suite.cross_validated_scores(rows, Z_FULL, L_FULL, ["cca_joint", "scca_joint"], ["logreg"], k=3)
+    scores = suite.cross_validated_scores(rows, z_full(), L_FULL, ["cca_joint", "scca_joint"], ["logreg"], k=3)
     return round_columns(suite.suite_metrics(scores), "auc", "ap")
 
 
 @register("mlp_cv")
 def mlp_cv(spark, sf):
     rows = coupling.assign_splits(pairs(spark, sf), n_folds=3)
-    scores = suite.cross_validated_scores(rows, Z_FULL, L_FULL, ["early_fusion"], ["mlp"], hidden=(16, 8), mlp_iter=20)
+    scores = suite.cross_validated_scores(rows, z_full(), L_FULL, ["early_fusion"], ["mlp"], hidden=(16, 8), mlp_iter=20)
     return round_columns(suite.suite_metrics(scores), "auc", "ap")
 
 
@@ -75,7 +79,7 @@ def mlp_cv(spark, sf):
 def predictive_suite(spark, sf):
     """All five representations with logistic regression: pooled CV scores and the holdout."""
     rows = coupling.assign_splits(pairs(spark, sf))
-    return round_columns(suite.predictive_suite(rows, Z_FULL, L_FULL, pca_dim=4, k=3), "auc", "ap")
+    return round_columns(suite.predictive_suite(rows, z_full(), L_FULL, pca_dim=4, k=3), "auc", "ap")
 
 
 @register(
@@ -89,5 +93,5 @@ def predictive_suite(spark, sf):
 def predictive_suite_counts(spark, sf):
     """Every row is scored exactly once per model, whatever the preparation scope."""
     rows = coupling.assign_splits(pairs(spark, sf))
-    got = suite.predictive_suite(rows, Z_FULL, L_FULL, pca_dim=4, k=3, scope="train")
+    got = suite.predictive_suite(rows, z_full(), L_FULL, pca_dim=4, k=3, scope="train")
     return got.select("model", "split", "n", "n_pos")

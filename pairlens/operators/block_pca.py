@@ -173,7 +173,8 @@ def block_pca(
     block: str = "gene",
     embedding: str = "embedding",
     oversample: int = 10,
-    passes: int = 4,
+    passes: int = 7,
+    tol: float = 1e-6,
     seed: int = 42,
     residualize: bool = True,
     standardize: bool = True,
@@ -182,7 +183,8 @@ def block_pca(
     """Leading components of the standardized blocks and a (subject, scores) frame.
 
     One shuffle lays the blocks out by subject; each pass then only moves features x
-    directions sums. Fitted on rows where `train` holds, scores are for all rows.
+    directions sums. Passes stop early once the leading eigenvalues have settled. Fitted
+    on rows where `train` holds, scores are for all rows.
     """
     spark = blocks.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -205,6 +207,7 @@ def block_pca(
 
     start = np.random.default_rng(seed).standard_normal((dims, width))
     m = np.linalg.qr(start)[0]
+    last = np.zeros(k)
     for _ in range(passes):
         shared = spark.sparkContext.broadcast((prep, split(m)))
 
@@ -226,8 +229,11 @@ def block_pca(
         basis = m
         m = np.linalg.qr(np.vstack([got[g] for g in names]))[0]
         shared.unpersist()
-    values, vectors = np.linalg.eigh(gram)
-    order = np.argsort(values)[::-1][:k]
+        values, vectors = np.linalg.eigh(gram)
+        order = np.argsort(values)[::-1][:k]
+        top, last = last, values[order]
+        if len(top) == len(last) and np.abs(top - last).max() <= tol * last.max():
+            break
     comps = basis @ vectors[:, order]
     sign = np.sign(comps[np.abs(comps).argmax(axis=0), np.arange(comps.shape[1])])
     comps = comps * np.where(sign == 0, 1.0, sign)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pairlens.catalog import fixtures as fx
 from pairlens.catalog.fixtures import r6, round_columns, sql
-from pairlens.catalog.registry import register
+from pairlens.catalog.registry import register, scratch_path
 from pairlens.operators import block_pca as bp
 from pairlens.operators import linear, permutation, reports, solve
 from pairlens.operators.moments import Layout, build_covariates, column_stats, moments, z_vector
@@ -142,7 +142,7 @@ def feature_prep_export(spark, sf):
 @register(
     "pca_scores",
     psql(
-        f"SELECT subject_id, {r6('(z1 + sign(r) * z2) / sqrt(2)')} AS pc1, {r6('abs(z1 - sign(r) * z2) / sqrt(2)')} AS pc2_abs FROM "
+        f"SELECT subject_id, {r6('abs(z1 + sign(r) * z2) / sqrt(2)')} AS pc1_abs, {r6('abs(z1 - sign(r) * z2) / sqrt(2)')} AS pc2_abs FROM "
         "(SELECT subject_id, (e1 - m1) / s1 AS z1, (e2 - m2) / s2 AS z2, r FROM pairs, (SELECT avg(e1) AS m1, avg(e2) AS m2, stddev_pop(e1) AS s1, stddev_pop(e2) AS s2, corr(e1, e2) AS r FROM pairs))",
     ),
 )
@@ -150,9 +150,7 @@ def pca_scores(spark, sf):
     """Two standardized features have the components (1, +-1)/sqrt(2)."""
     z, layout = z_vector(None, F.slice("e", 1, 2)), Layout(0, 2, 0)
     got, _, _ = linear.pca_scores(pairs(spark, sf), z, layout, 2, ["subject_id"], residualize=True)
-    return round_columns(got.select("subject_id", F.col("pcs")[0].alias("pc1"), F.abs(F.col("pcs")[1]).alias("pc2_abs")), "pc1", "pc2_abs").withColumn(
-        "pc1", F.col("pc1")
-    )
+    return round_columns(got.select("subject_id", *[F.abs(F.col("pcs")[i]).alias(f"pc{i + 1}_abs") for i in range(2)]), "pc1_abs", "pc2_abs")
 
 
 _POWER = (
@@ -352,11 +350,11 @@ def _scca_rows(spark, sf, **options):
         for view, w, p in (("x", fit.a, 8), ("y", fit.b, 6)):
             unit = abs(np.linalg.norm(w[:, c]) - 1) < 1e-9
             within = np.abs(w[:, c]).sum() <= solve.l1_bound(0.3, p, options.get("bound", "interpolate")) + 1e-6
-            out.append((c, view, bool(unit), bool(within), bool((w[:, c] == 0).any())))
-    return spark.createDataFrame(out, "component int, view string, unit_norm boolean, within_bound boolean, is_sparse boolean")
+            out.append((c, view, bool(unit), bool(within)))
+    return spark.createDataFrame(out, "component int, view string, unit_norm boolean, within_bound boolean")
 
 
-_SCCA_SQL = "SELECT CAST(c AS INTEGER) AS component, v AS view, true AS unit_norm, true AS within_bound, true AS is_sparse FROM range(2) AS r(c), (VALUES ('x'), ('y')) AS t(v)"
+_SCCA_SQL = "SELECT CAST(c AS INTEGER) AS component, v AS view, true AS unit_norm, true AS within_bound FROM range(2) AS r(c), (VALUES ('x'), ('y')) AS t(v)"
 
 
 @register("scca", psql(_SCCA_SQL))
@@ -515,6 +513,26 @@ def stratified_coupling(spark, sf):
     return round_columns(got.select("case_config", "control_config", *cols), *cols)
 
 
+@register(
+    "stratified_coupling_cached",
+    psql(
+        f"SELECT 'cca_pca2' AS case_config, 'cca_pca2' AS control_config, {r6('max(r) FILTER (WHERE y = 1)')} AS r_case, {r6('max(r) FILTER (WHERE y = 0)')} AS r_control, {r6('max(r) FILTER (WHERE y = 1) - max(r) FILTER (WHERE y = 0)')} AS r_diff FROM rv",
+        **_GROUP_SPLIT, **cca22("tr", "y"),
+        rv="SELECT fo.y AS y, corr(a1*e1 + a2*e2, b1*e3 + b2*e4) AS r FROM fo JOIN w ON fo.y = w.y WHERE fold = -1 GROUP BY fo.y",
+    ),
+)
+def stratified_coupling_cached(spark, sf):
+    """The same from fold moments written once: the second call gets no rows at all."""
+    from pairlens.operators.splits import split_by_label
+
+    rows = coupling.assign_splits(split_by_label(pairs(spark, sf)), group="grp")
+    path, grid = scratch_path(spark, "group-moments"), reports.config_grid(spark, ["cca"], [2], [])
+    coupling.materialize_moments(coupling.split_moments(rows, z_2x2(), ["grp"]), path, ["grp"])
+    got = coupling.stratified_coupling(rows.limit(0), z_2x2(), L_2X2, grid, n_components=1, cache_path=path)
+    cols = ["r_case", "r_control", "r_diff"]
+    return round_columns(got.select("case_config", "control_config", *cols), *cols)
+
+
 @register(
     "best_config_by_holdout",
     psql(f"SELECT 'cca_pca2' AS config, {r6('max(r_eval) FILTER (WHERE f = -1)')} AS r_holdout, true AS selected_on_holdout FROM sc", **_SPLIT, **cca22("tr", "f"), **_GRID_TAIL),

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlens.operators.moments import sum_rows
+from pairlens.operators.moments import few_tasks, sum_rows
 
 MAX_DIRECTION_CELLS = 128_000_000  # features x directions that may be shipped to every task (1 GB)
 
@@ -189,7 +189,8 @@ def block_pca(
     spark = blocks.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     layout = block_layout(blocks, covariates, subject, block, embedding, parts, train).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = layout.filter("train")
+    # Coalescing appends whole partitions, so the rows of a subject stay together.
+    rows = few_tasks(layout.filter("train"))
     prep, total, n = _fit_prep(rows, residualize, standardize)
     names = sorted(prep)
     widths = {g: prep[g][1].shape[0] for g in names}

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from pairlens.operators import solve
 from pairlens.operators.linear import MAX_MAP_CELLS, project
-from pairlens.operators.moments import matrix_from_cells, sum_rows
+from pairlens.operators.moments import few_tasks, matrix_from_cells, sum_rows
 
 
 HOLDOUT = -1  # fold number of rows that no model may train on
@@ -96,7 +96,7 @@ def _newton_pass(df: DataFrame, models: Sequence[FoldModel]) -> dict[int, np.nda
                 names=["model", "i", "tail"],
             )
 
-    partial = df.select("fold", "y", "z").mapInArrow(run, "model int, i int, tail array<double>")
+    partial = few_tasks(df.select("fold", "y", "z")).mapInArrow(run, "model int, i int, tail array<double>")
     table = sum_rows(partial, ["model"]).toPandas()  # features x features per model
     return {
         int(i): matrix_from_cells(part["i"], part["j"], part["s"], int(part["j"].max()) + 1)

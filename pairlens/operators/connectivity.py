@@ -75,7 +75,7 @@ def roi_covariance(vectors: DataFrame, subject: str = "subject_id") -> DataFrame
     """(subject, roi_i, roi_j, n_t, cov, var_i, var_j) for i <= j; variance 0 marks a constant region."""
     # The constant goes last, at index R: cells (i, R) are the sums, (R, R) is the count.
     z = F.concat("values", F.array(F.lit(1.0)))
-    mom = moments(vectors.withColumn("_r", F.size("values")), [subject, "_r"], z)
+    mom = moments(vectors.withColumn("_r", F.size("values")), [subject, "_r"], z, many_keys=True)
     # One subject has (R + 1)(R + 2) / 2 cells however long its series is.
     packed = mom.groupBy(subject, "_r").agg(F.collect_list(F.struct("i", "j", "s")).alias("_c"))
 

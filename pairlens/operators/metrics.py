@@ -15,12 +15,10 @@ from pyspark.sql import functions as F
 from pairlens.operators.ranking import running_totals
 
 
-def _score_table(df: DataFrame, keys: list[str], label: str, score: str, buckets: int) -> DataFrame:
+def _score_steps(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
+    """Positives and negatives per distinct score; partial sums collapse hot scores before the shuffle."""
     y = F.col(label).cast("long")
-    steps = df.groupBy(*keys, F.col(score).cast("double").alias("_score")).agg(
-        F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")
-    )
-    return running_totals(steps, keys, "_score", ["pos", "neg"], buckets)
+    return df.groupBy(*keys, F.col(score).cast("double").alias("_score")).agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
 
 
 def ranking_metrics(
@@ -37,10 +35,9 @@ def ranking_metrics(
     two-stage prediction). Average precision is NULL without a positive.
     """
     keys = list(keys)
-    steps = _score_table(df, keys, label, score, buckets)
-    totals = df.groupBy(*keys).agg(
-        F.sum(F.col(label).cast("long")).alias("_p"), F.sum(1 - F.col(label).cast("long")).alias("_n")
-    )
+    collapsed = _score_steps(df, keys, label, score)
+    steps = running_totals(collapsed, keys, "_score", ["pos", "neg"], buckets)
+    totals = collapsed.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     joined = steps.join(totals, keys) if keys else steps.withColumns(
         {"_p": totals.select("_p").scalar(), "_n": totals.select("_n").scalar()}
     )

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_DIM = 4096
+MAX_CELLS = 40_000_000  # moment cells the driver accepts (about 1 GB)
 FLUSH_CELLS = 16_000_000  # doubles held per task before partial sums are handed on
 
 
@@ -108,18 +109,28 @@ def _partial_sums(keys: list[str]):
     return run
 
 
-def moments(df: DataFrame, keys: Sequence[str], z: str | Column, max_partials: int | None = None) -> DataFrame:
+def few_tasks(df: DataFrame) -> DataFrame:
+    """Read with a few tasks per core instead of one per input split, without a shuffle.
+
+    Each task ends in one features x features partial result, so their number, not the
+    data, decides how much is summed up afterwards.
+    """
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def moments(df: DataFrame, keys: Sequence[str], z: str | Column, many_keys: bool = False) -> DataFrame:
     """Sum of z z' per key as long rows (keys..., i, j, s) with i <= j.
 
     Every task reduces its rows with one matrix product per key and batch and sends
     only its partial sums, as compact arrays, so a hot key is split over all tasks.
-    `max_partials` bounds the number of partial matrices without a shuffle.
+    With few keys the number of tasks is bounded (`few_tasks`); `many_keys` keeps them
+    all, for keys such as subjects that live in one or few tasks each.
     """
     keys = list(keys)
     zcol = F.col(z) if isinstance(z, str) else z
     rows = df.select(*keys, zcol.cast("array<double>").alias("z"))
-    if max_partials is not None:
-        rows = rows.coalesce(max_partials)
+    if not many_keys:
+        rows = few_tasks(rows)
     schema = T.StructType(
         [df.schema[k] for k in keys]
         + [T.StructField("i", T.IntegerType()), T.StructField("tail", T.ArrayType(T.DoubleType()))]
@@ -150,16 +161,18 @@ def matrix_from_cells(i, j, s, dim: int | None = None) -> np.ndarray:
     return out
 
 
-def collect_moments(mom: DataFrame, keys: Sequence[str] = (), max_keys: int = 4096) -> dict[tuple, np.ndarray]:
-    """Bring moment matrices to the driver; their size depends on the features only, and is checked."""
+def collect_moments(mom: DataFrame, keys: Sequence[str] = (), max_cells: int = MAX_CELLS) -> dict[tuple, np.ndarray]:
+    """Bring moment matrices to the driver in one job.
+
+    Their size depends on features and keys only; more than `max_cells` cells is an error.
+    """
     keys = list(keys)
-    size = mom.agg(F.max("j").alias("d"), F.count(F.lit(1)).alias("cells")).first()
-    if size["d"] is None:
+    table = mom.limit(max_cells + 1).toPandas()
+    if len(table) > max_cells:
+        raise ValueError(f"more than {max_cells} moment cells; reduce the features with block PCA first")
+    if table.empty:
         return {}
-    dim = size["d"] + 1
-    if dim > MAX_DIM or size["cells"] > MAX_DIM * (MAX_DIM + 1) // 2 * min(max_keys, 16):
-        raise ValueError(f"moment matrices too large for the driver (dim {dim}); reduce with block PCA first")
-    table = mom.toPandas()
+    dim = int(table["j"].max()) + 1
     if not keys:
         return {(): matrix_from_cells(table["i"], table["j"], table["s"], dim)}
     return {

@@ -51,9 +51,9 @@ def assign_splits(
     return dealt.withColumn("fold", fold).drop("_part", "split")
 
 
-def split_moments(df: DataFrame, z: Column, keys: Sequence[str] = (), max_partials: int | None = None) -> DataFrame:
+def split_moments(df: DataFrame, z: Column, keys: Sequence[str] = ()) -> DataFrame:
     """Moments per (keys..., fold): the only data-sized step of a grid."""
-    return moments(df, [*keys, "fold"], z, max_partials)
+    return moments(df, [*keys, "fold"], z)
 
 
 def materialize_moments(mom: DataFrame, path: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -234,10 +234,16 @@ def stratified_coupling(
     names: tuple[str, str] = ("case", "control"),
     n_components: int = 10,
     padded: bool = False,
+    cache_path: str | None = None,
 ) -> DataFrame:
-    """Grid per group, best configuration by CV mean, and the comparison of both groups."""
+    """Grid per group, best configuration by CV mean, and the comparison of both groups.
+
+    With `cache_path` the fold moments are written there once; later calls with other
+    grids start from them and never read the rows again.
+    """
     spark = df.sparkSession
-    mom = split_moments(df, z, [group]).persist()
+    mom = split_moments(df, z, [group])
+    mom = materialize_moments(mom, cache_path, [group]) if cache_path else mom.persist()
     results = grid_results(run_grid(mom, layout, grid, [group], n_components), [group])
     best = reports.best_config(results, [group]).persist()
     fits = refit_best(mom, layout, best, [group])

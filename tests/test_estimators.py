@@ -140,7 +140,7 @@ def test_moments_survive_any_partitioning(spark, planted):
     pdf, df = planted
     mat = np.column_stack([np.ones(len(pdf)), np.vstack(pdf["c"]), np.vstack(pdf["x"]), np.vstack(pdf["b"])])
     for parts in (1, 13):
-        got = collect_moments(moments(df.repartition(parts), ["y"], z(), max_partials=4), ["y"])
+        got = collect_moments(moments(df.repartition(parts), ["y"], z()), ["y"])
         for lab in (0, 1):
             rows = mat[pdf["y"] == lab]
             assert np.allclose(got[(lab,)], rows.T @ rows)

@@ -94,8 +94,10 @@ def roi_count_mismatch(spark, sf):
 
 
 def _groups(spark, sf):
-    """Two regions to A, two to B, the last to C; taken from the data so it follows the regions present."""
-    return fx.ts(spark, sf).select("roi").distinct().withColumn(
+    """Two regions to A, two to B, the last to C, for the event types present."""
+    types = F.array(*[F.lit(t) for t in fx.EVENT_TYPES])
+    roi = (F.array_position(types, F.col("event_type")) - 1).cast("int")
+    return fx.table(spark, sf, "events").select(roi.alias("roi")).distinct().withColumn(
         "grp", F.when(F.col("roi") < 2, "A").when(F.col("roi") < 4, "B").otherwise("C")
     )
 

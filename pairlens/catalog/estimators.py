@@ -53,6 +53,15 @@ def psql(body: str, **extra: str) -> str:
     return sql("emb cov", body, pairs=PAIRS_SQL, **extra)
 
 
+_SPLIT = {
+    "sizes": "SELECT y, count(*) AS n, sum(count(*)) OVER () AS total FROM pairs GROUP BY y",
+    "shares": "SELECT y, ceil(0.2 * total) * n / total AS share, ceil(0.2 * total) AS want FROM sizes",
+    "quota": "SELECT y, floor(share) + CASE WHEN row_number() OVER (ORDER BY share - floor(share) DESC, y) <= want - sum(floor(share)) OVER () THEN 1 ELSE 0 END AS q FROM shares",
+    "fo": "SELECT p.*, CASE WHEN rn <= q THEN -1 ELSE CAST(rn - q - 1 AS BIGINT) % 5 END AS fold FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(subject_id || '|42'), subject_id) AS rn FROM pairs) AS p JOIN quota USING (y)",
+    "folds": "SELECT DISTINCT fold AS f FROM fo",
+    "tr": "SELECT f, fo.* FROM fo JOIN folds ON fo.fold <> f AND fo.fold >= 0",
+}
+
 # ---- moments, residuals, scaling --------------------------------------------------
 
 
@@ -76,7 +85,7 @@ def column_stats_query(spark, sf):
 
 
 def _resid_ctes(where: str) -> dict[str, str]:
-    """Residuals of e1 and e9 on [1, a, g] fitted on the rows that satisfy `where`, by the two-regressor closed form."""
+    """Residuals of e1 and e9 on [1, a, g] fitted on the split rows that satisfy `where`, by the two-regressor closed form."""
     st = ", ".join(
         f"covar_pop(a, {v}) AS sa_{v}, covar_pop(g, {v}) AS sg_{v}, avg({v}) AS m_{v}" for v in ("e1", "e9")
     )
@@ -84,14 +93,14 @@ def _resid_ctes(where: str) -> dict[str, str]:
         f"(sa_{v} * sgg - sg_{v} * sag) / (saa * sgg - sag * sag) AS ba_{v}, (sg_{v} * saa - sa_{v} * sag) / (saa * sgg - sag * sag) AS bg_{v}" for v in ("e1", "e9")
     )
     res = ", ".join(f"p.{v} - m_{v} - ba_{v} * (p.a - ma) - bg_{v} * (p.g - mg) AS {v}" for v in ("e1", "e9"))
-    return {
-        "st": f"SELECT covar_pop(a, a) AS saa, covar_pop(g, g) AS sgg, covar_pop(a, g) AS sag, avg(a) AS ma, avg(g) AS mg, {st} FROM pairs WHERE {where}",
+    return {k: _SPLIT[k] for k in ("sizes", "shares", "quota", "fo")} | {
+        "st": f"SELECT covar_pop(a, a) AS saa, covar_pop(g, g) AS sgg, covar_pop(a, g) AS sag, avg(a) AS ma, avg(g) AS mg, {st} FROM fo WHERE {where}",
         "co": f"SELECT *, {coef} FROM st",
-        "res": f"SELECT p.subject_id, {res} FROM pairs AS p, co",
+        "res": f"SELECT p.subject_id, p.fold, {res} FROM fo AS p, co",
     }
 
 
-_TRAIN = "CAST(subject_id AS BIGINT) % 5 <> 0"
+_TRAIN = "fold >= 0"
 
 
 def _two(df):
@@ -105,8 +114,8 @@ def residualize(spark, sf):
 
 @register("residualize_train", psql(f"SELECT subject_id, {r6('e1')} AS e1, {r6('e9')} AS e9 FROM res", **_resid_ctes(_TRAIN)))
 def residualize_train(spark, sf):
-    train = F.col("subject_id").cast("long") % 5 != 0
-    return _two(linear.prepare_views(pairs(spark, sf), z_full(), L_FULL, ["subject_id"], train, standardize=False))
+    rows = coupling.assign_splits(pairs(spark, sf))
+    return _two(linear.prepare_views(rows, z_full(), L_FULL, ["subject_id"], F.col("fold") >= 0, standardize=False))
 
 
 _STD = "SELECT subject_id, {a} AS e1, {b} AS e9 FROM res, (SELECT avg(e1) AS m1, stddev_pop(e1) AS s1, avg(e9) AS m9, stddev_pop(e9) AS s9 FROM res WHERE {w})"
@@ -114,8 +123,8 @@ _STD = "SELECT subject_id, {a} AS e1, {b} AS e9 FROM res, (SELECT avg(e1) AS m1,
 
 @register("standardize_train", psql(_STD.format(a=r6("(e1 - m1) / s1"), b=r6("(e9 - m9) / s9"), w=_TRAIN), **_resid_ctes(_TRAIN)))
 def standardize_train(spark, sf):
-    train = F.col("subject_id").cast("long") % 5 != 0
-    return _two(linear.prepare_views(pairs(spark, sf), z_full(), L_FULL, ["subject_id"], train))
+    rows = coupling.assign_splits(pairs(spark, sf))
+    return _two(linear.prepare_views(rows, z_full(), L_FULL, ["subject_id"], F.col("fold") >= 0))
 
 
 @register(
@@ -408,15 +417,6 @@ def permutation_test_groups(spark, sf):
 
 # ---- grids ---------------------------------------------------------------------------
 
-_SPLIT = {
-    "sizes": "SELECT y, count(*) AS n, sum(count(*)) OVER () AS total FROM pairs GROUP BY y",
-    "shares": "SELECT y, ceil(0.2 * total) * n / total AS share, ceil(0.2 * total) AS want FROM sizes",
-    "quota": "SELECT y, floor(share) + CASE WHEN row_number() OVER (ORDER BY share - floor(share) DESC, y) <= want - sum(floor(share)) OVER () THEN 1 ELSE 0 END AS q FROM shares",
-    "sp": "SELECT p.*, rn <= q AS hold FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(subject_id || '|42'), subject_id) AS rn FROM pairs) AS p JOIN quota USING (y)",
-    "fo": "SELECT *, CASE WHEN hold THEN -1 ELSE (row_number() OVER (PARTITION BY y, hold ORDER BY md5(subject_id || '|43'), subject_id) - 1) % 5 END AS fold FROM sp",
-    "folds": "SELECT DISTINCT fold AS f FROM fo",
-    "tr": "SELECT f, fo.* FROM fo JOIN folds ON fo.fold <> f AND fo.fold >= 0",
-}
 _GRID_TAIL = {
     "rt": "SELECT f, r1 AS r_train FROM w",
     "rv": "SELECT f, corr(a1*e1 + a2*e2, b1*e3 + b2*e4) AS r_eval FROM fo JOIN w ON fo.fold = w.f GROUP BY f",
@@ -489,8 +489,7 @@ def coupling_grid_extra(spark, sf):
 
 
 _GROUP_SPLIT = {
-    "sp": "SELECT *, rn <= ceil(0.2 * n) AS hold FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(subject_id || '|42'), subject_id) AS rn, count(*) OVER (PARTITION BY y) AS n FROM pairs)",
-    "fo": "SELECT *, CASE WHEN hold THEN -1 ELSE (row_number() OVER (PARTITION BY y, hold ORDER BY md5(subject_id || '|43'), subject_id) - 1) % 5 END AS fold FROM sp",
+    "fo": "SELECT *, CASE WHEN rn <= ceil(0.2 * n) THEN -1 ELSE CAST(rn - ceil(0.2 * n) - 1 AS BIGINT) % 5 END AS fold FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(subject_id || '|42'), subject_id) AS rn, count(*) OVER (PARTITION BY y) AS n FROM pairs)",
     "tr": "SELECT * FROM fo WHERE fold >= 0",
 }
 

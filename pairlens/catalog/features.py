@@ -326,8 +326,8 @@ def title_label(spark, sf):
 )
 def subject_key(spark, sf):
     c = fx.table(spark, sf, "customer")
-    path = F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("/roi/x/tian_s3_"), F.col("c_custkey").cast("string"), F.lit("_run2.npy")))
-    return c.select("c_custkey", fn.subject_key(path, F.col("c_custkey").cast("string")).alias("subject_key"))
+    path = F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("/roi/x/atlas_s3_"), F.col("c_custkey").cast("string"), F.lit("_run2.npy")))
+    return c.select("c_custkey", fn.subject_key(path, F.col("c_custkey").cast("string"), "atlas_s3_").alias("subject_key"))
 
 
 @register(

@@ -69,7 +69,10 @@ def title_label(name) -> Column:
     return F.initcap(F.replace(_col(name), F.lit("_"), F.lit(" ")))
 
 
-def subject_key(path, subject_id, prefix: str = "tian_s3_", default_suffix: str = "_20227_2_0") -> Column:
+DEFAULT_KEY_SUFFIX = "_20227_2_0"  # fixed value
+
+
+def subject_key(path, subject_id, prefix: str, default_suffix: str = DEFAULT_KEY_SUFFIX) -> Column:
     """Key after `prefix` in a file stem, else the default name of the subject."""
     found = F.nullif(F.regexp_extract(_col(path), prefix + r"([^/]+?)(?:\.[^./]+)?$", 1), F.lit(""))
     return F.coalesce(found, F.concat(_col(subject_id), F.lit(default_suffix)))

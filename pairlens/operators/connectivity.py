@@ -18,6 +18,7 @@ from pairlens.functions.vectors import edge_ordinal, fisher_z
 from pairlens.operators.moments import moments
 
 TIME_BLOCK = 4096
+MAX_LOOKUP = 4096  # regions in a literal region-to-group array
 CONSTANT_TOLERANCE = 1e-13  # variance below this share of the mean square counts as constant
 
 NETWORK_17_TO_7 = {  # fixed values
@@ -179,27 +180,60 @@ def zscore_over_time(ts: DataFrame, subject: str = "subject_id") -> DataFrame:
     )
 
 
-def _group_covariance(cells: DataFrame, subject: str, groups: DataFrame, value: Column) -> DataFrame:
-    """Average region-pair values into group pairs (a <= b); the group table has one row per region."""
-    gi = groups.select(F.col("roi").alias("roi_i"), F.col("grp").alias("gi"))
-    gj = groups.select(F.col("roi").alias("roi_j"), F.col("grp").alias("gj"))
-    both = cells.join(gi, "roi_i").join(gj, "roi_j").withColumn("_v", value)
+def _group_lookup(groups: DataFrame):
+    """Region -> group expression from a table with one row per region; NULL for unlisted regions.
+
+    The table is a dimension of at most MAX_LOOKUP regions and becomes a literal array
+    indexed by region. None for a larger one, which is then joined.
+    """
+    rows = groups.select(F.col("roi").cast("int"), "grp").limit(MAX_LOOKUP + 1).collect()
+    if len(rows) > MAX_LOOKUP or any(r["roi"] >= MAX_LOOKUP for r in rows):
+        return None
+    names = [None] * (max((r["roi"] for r in rows), default=0) + 1)
+    for r in rows:
+        names[r["roi"]] = r["grp"]
+    table = F.array(*[F.lit(n).cast("string") for n in names])
+    return lambda roi: F.get(table, F.col(roi))
+
+
+def _with_group(df: DataFrame, groups: DataFrame, lookup, roi: str, out: str) -> DataFrame:
+    """Add the group of a region column; rows of unlisted regions are dropped."""
+    if lookup is None:
+        return df.join(groups.select(F.col("roi").alias(roi), F.col("grp").alias(out)), roi)
+    return df.withColumn(out, lookup(roi)).filter(F.col(out).isNotNull())
+
+
+def _group_covariance(cells: DataFrame, subject: str, groups: DataFrame, lookup, value: Column, valid: Column | None = None) -> DataFrame:
+    """Average region-pair values into group pairs (a <= b), over valid regions only.
+
+    `share` is the valid part of the regions of a group, on the rows with a = b.
+    """
+    both = _with_group(_with_group(cells, groups, lookup, "roi_i", "gi"), groups, lookup, "roi_j", "gj")
+    diagonal = F.col("roi_i") == F.col("roi_j")
+    used = F.lit(True) if valid is None else valid
     # An off-diagonal region pair inside one group stands for both of its orders.
-    weight = F.when((F.col("gi") == F.col("gj")) & (F.col("roi_i") != F.col("roi_j")), 2).otherwise(1)
-    return both.groupBy(subject, F.least("gi", "gj").alias("ga"), F.greatest("gi", "gj").alias("gb")).agg(
-        F.sum(F.col("_v") * weight).alias("total"), F.sum(weight).alias("pairs")
+    weight = F.when((F.col("gi") == F.col("gj")) & ~diagonal, 2).otherwise(1)
+    rows = both.select(
+        subject, F.least("gi", "gj").alias("ga"), F.greatest("gi", "gj").alias("gb"),
+        F.when(used, value).alias("_v"), F.when(used, weight).otherwise(0).alias("_w"), F.when(diagonal, used.cast("int")).alias("_ok"),
+    )
+    return rows.groupBy(subject, "ga", "gb").agg(
+        F.sum(F.col("_v") * F.col("_w")).alias("total"), F.sum("_w").alias("pairs"), F.avg("_ok").alias("share")
     )
 
 
-def _group_edges(pairs: DataFrame, subject: str, nan: str) -> DataFrame:
-    """Fisher-z edges between groups from (subject, ga, gb, total, pairs)."""
-    cov = F.col("total") / F.col("pairs")
+def _group_edges(pairs: DataFrame, subject: str, nan: str, min_share: float | None = None) -> DataFrame:
+    """Fisher-z edges between groups from (subject, ga, gb, total, pairs, share)."""
+    cov = F.when(F.col("pairs") > 0, F.col("total") / F.col("pairs"))
     own = F.col("ga") == F.col("gb")
     # A subject has one cell per pair of groups, so its cells fit one row.
     packed = pairs.groupBy(subject).agg(
         F.map_from_entries(F.collect_list(F.when(own, F.struct(F.col("ga"), cov.alias("var"))))).alias("_var"),
         F.collect_list(F.when(~own, F.struct(F.col("ga"), F.col("gb"), cov.alias("cov")))).alias("_cov"),
+        F.min(F.when(own, F.col("share"))).alias("_worst"),
     )
+    if min_share is not None:
+        packed = packed.filter((F.col("_worst") >= min_share) & (F.col("_worst") > 0))
     tiny = 1e-12
 
     def edge(c: Column) -> Column:
@@ -222,7 +256,7 @@ def network_fc(cov: DataFrame, networks: DataFrame, subject: str = "subject_id",
     defined = (F.col("var_i") > 0) & (F.col("var_j") > 0)
     r = F.when(defined, F.col("cov") / F.sqrt(F.col("var_i") * F.col("var_j"))).otherwise(0.0)
     groups = networks.select("roi", F.col("network").alias("grp"))
-    return _group_edges(_group_covariance(cov, subject, groups, r), subject, nan)
+    return _group_edges(_group_covariance(cov, subject, groups, _group_lookup(groups), r), subject, nan)
 
 
 def group_fc_qc(
@@ -241,18 +275,9 @@ def group_fc_qc(
     dim = groups.select("roi", "grp")
     if kept_rois is not None:
         dim = dim.join(kept_rois.select("roi"), "roi", "left_semi")
-    nodes = cov.filter("roi_i = roi_j").select(subject, F.col("roi_i").alias("roi"), F.sqrt("var_i").alias("sd"))
-    health = (
-        nodes.join(dim, "roi")
-        .groupBy(subject, "grp")
-        .agg(F.avg((F.col("sd") > std_threshold).cast("int")).alias("share"))
-        .groupBy(subject)
-        .agg(F.min("share").alias("worst"))
-        .filter((F.col("worst") >= min_fraction) & (F.col("worst") > 0))
-    )
     valid = (F.sqrt("var_i") > std_threshold) & (F.sqrt("var_j") > std_threshold)
-    cells = cov.filter(valid).join(health.select(subject), subject, "left_semi")
-    return _group_edges(_group_covariance(cells, subject, dim, F.col("cov")), subject, "drop")
+    pairs = _group_covariance(cov, subject, dim, _group_lookup(dim), F.col("cov"), valid)
+    return _group_edges(pairs, subject, "drop", min_fraction)
 
 
 def map_networks(rois: DataFrame, mapping: dict[str, str] | None = None, column: str = "network17", out: str = "network7") -> DataFrame:

@@ -20,11 +20,16 @@ def gene_matrix(pooled: DataFrame, genes: Sequence[str], subject: str = "subject
     return pooled.groupBy(subject).pivot("gene", list(genes)).agg(F.first("value"))
 
 
+def _one_per_gene(df: DataFrame, genes: Sequence[str], value: str, subject: str) -> DataFrame:
+    """One column per gene. Partial aggregation leaves one row per subject and task."""
+    picks = [F.first(F.when(F.col("gene") == g, F.col(value)), ignorenulls=True).alias(f"_{i}") for i, g in enumerate(genes)]
+    return df.groupBy(subject).agg(*picks)
+
+
 def gene_array(pooled: DataFrame, genes: Sequence[str], subject: str = "subject_id") -> DataFrame:
     """Pooled values as one array in list order; NULL where a gene is absent."""
-    cells = F.map_from_entries(F.collect_list(F.struct("gene", "value")))
-    by_gene = pooled.groupBy(subject).agg(cells.alias("_m"))
-    return by_gene.select(subject, F.array(*[F.col("_m")[g] for g in genes]).alias("features"))
+    wide = _one_per_gene(pooled, genes, "value", subject)
+    return wide.select(subject, F.array(*[f"_{i}" for i in range(len(genes))]).alias("features"))
 
 
 def widen_genes(blocks: DataFrame, genes: Sequence[str], subject: str = "subject_id") -> DataFrame:
@@ -32,15 +37,11 @@ def widen_genes(blocks: DataFrame, genes: Sequence[str], subject: str = "subject
 
     Only for narrow totals: wide data stay long by gene block (see `block_pca`).
     """
-    order = F.array(*[F.lit(g) for g in genes])
-    wanted = blocks.filter(F.col("gene").isin(list(genes)))
-    cells = F.array_sort(F.collect_list(F.struct(F.array_position(order, F.col("gene")).alias("p"), "embedding")))
-    wide = wanted.groupBy(subject).agg(cells.alias("_c"))
+    wide = _one_per_gene(blocks.filter(F.col("gene").isin(list(genes))), genes, "embedding", subject)
     message = F.concat(F.lit("subject lacks a gene block: "), F.col(subject).cast("string"))
-    complete = F.when(F.size("_c") == len(genes), F.flatten(F.transform("_c", lambda c: c["embedding"])))
-    return wide.select(
-        subject, complete.otherwise(F.raise_error(message).cast(blocks.schema["embedding"].dataType)).alias("features")
-    )
+    joined = F.concat(*[f"_{i}" for i in range(len(genes))])  # NULL as soon as one block is
+    failed = F.raise_error(message).cast(blocks.schema["embedding"].dataType)
+    return wide.select(subject, F.when(joined.isNotNull(), joined).otherwise(failed).alias("features"))
 
 
 def feature_sets(variates: DataFrame, kinds: Sequence[str], keep: Sequence[str] = ("subject_id",)) -> DataFrame:

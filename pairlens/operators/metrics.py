@@ -35,12 +35,8 @@ def ranking_metrics(
     two-stage prediction). Average precision is NULL without a positive.
     """
     keys = list(keys)
-    collapsed = _score_steps(df, keys, label, score)
-    steps = running_totals(collapsed, keys, "_score", ["pos", "neg"], buckets)
-    totals = collapsed.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    joined = steps.join(totals, keys) if keys else steps.withColumns(
-        {"_p": totals.select("_p").scalar(), "_n": totals.select("_n").scalar()}
-    )
+    steps = running_totals(_score_steps(df, keys, label, score), keys, "_score", ["pos", "neg"], buckets, totals=True)
+    joined = steps.withColumnsRenamed({"pos_total": "_p", "neg_total": "_n"})
     tp = F.col("_p") - F.col("pos_before")  # positives at or above this score
     fp = F.col("_n") - F.col("neg_before")
     wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))

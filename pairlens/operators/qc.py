@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+MAX_ROIS = 100_000
+
 
 def drop_nan_rows(df: DataFrame, features: str = "features") -> DataFrame:
     """Rows whose feature array holds no NaN and no NULL."""
@@ -28,9 +30,17 @@ def roi_valid_rates(flags: DataFrame) -> DataFrame:
     return flags.groupBy("roi").agg(F.avg(F.col("valid").cast("int")).alias("valid_rate"))
 
 
+def _rate_table(flags: DataFrame) -> DataFrame:
+    """Valid rates as a driver-side table: one row per region, size checked, computed once."""
+    rows = roi_valid_rates(flags).limit(MAX_ROIS + 1).collect()
+    if len(rows) > MAX_ROIS:
+        raise ValueError(f"more than {MAX_ROIS} regions")
+    return flags.sparkSession.createDataFrame(rows, roi_valid_rates(flags).schema)
+
+
 def kept_rois(flags: DataFrame, threshold: float) -> DataFrame:
     """Regions valid often enough; none at all is an error."""
-    kept = roi_valid_rates(flags).filter(F.col("valid_rate") >= threshold)
+    kept = _rate_table(flags).filter(F.col("valid_rate") >= threshold)
     if kept.isEmpty():
         raise ValueError(f"no region passes the validity threshold {threshold}")
     return kept
@@ -52,8 +62,10 @@ def roi_qc(
     flags: DataFrame, roi_threshold: float = 0.9, subject_threshold: float = 0.1, subject: str = "subject_id"
 ) -> DataFrame:
     """One-row report: kept regions and subjects, and the spread of both rates."""
-    rates = roi_valid_rates(flags)
-    kept = kept_rois(flags, roi_threshold)
+    rates = _rate_table(flags)
+    kept = rates.filter(F.col("valid_rate") >= roi_threshold)
+    if kept.isEmpty():
+        raise ValueError(f"no region passes the validity threshold {roi_threshold}")
     roi_part = rates.agg(
         F.count(F.lit(1)).alias("n_rois_input"),
         F.count_if(F.col("valid_rate") >= roi_threshold).alias("n_rois_kept"),

@@ -8,7 +8,7 @@ before it, which gives the same exact result from bounded window partitions.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,20 +63,25 @@ def hash_rank(
     seed: int,
     rank: str = "rank",
     hex_digits: int = 3,
+    annotate: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Exact 1-based rank of every row in hash order within its key.
 
     Rows are bucketed by the leading hex digits of the hash, which are uniform, so a
     window partition holds about n / 16**hex_digits rows whatever the key sizes are.
+    `annotate` may add columns to the table of bucket sizes (keys..., _b, _n), which then
+    arrive at every row with the one join that is needed anyway.
     """
     hashed = df.withColumn("_h", hash_order(id_col, seed)).withColumn("_b", F.substring("_h", 1, hex_digits))
     group = [*keys, "_b"]
     sizes = hashed.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     # At most 16**hex_digits rows per key reach this window.
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    if annotate is not None:
+        offsets = annotate(offsets)
     inner = Window.partitionBy(*group).orderBy("_h", id_col)
-    joined = hashed.join(offsets, group) if keys else hashed.join(offsets, "_b")
+    joined = hashed.join(offsets.drop("_n"), group)
     return joined.withColumn(rank, F.row_number().over(inner) + F.col("_off")).drop("_h", "_b", "_off")
 
 
@@ -86,23 +91,31 @@ def running_totals(
     order: str,
     sums: Sequence[str],
     buckets: int = 64,
+    totals: bool = False,
 ) -> DataFrame:
     """Add `<c>_before`: per key, the sum of column c over all rows with a smaller order value.
 
-    Exact for distinct order values within a key. Bucket borders come from a mergeable
-    quantile sketch, so window partitions stay near n / buckets even for one hot key;
-    the result does not depend on where the borders fall.
+    Exact for distinct order values within a key. Bucket borders are quantiles of the
+    order value over all keys (a mergeable sketch, one small array), so no window
+    partition exceeds about n / buckets rows even if one key holds most of them; the
+    result does not depend on where the borders fall. With `totals`, `<c>_total` is the
+    sum over the whole key.
     """
     keys = list(keys)
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    borders = df.groupBy(*keys).agg(F.percentile_approx(order, probs, F.lit(10000)).alias("_borders"))
-    tagged = df.join(borders, keys) if keys else df.withColumn("_borders", borders.scalar())
+    borders = df.agg(F.percentile_approx(order, probs, F.lit(10000)).alias("b"))
+    tagged = df.withColumn("_borders", borders.scalar())
     tagged = tagged.withColumn("_b", F.size(F.filter("_borders", lambda x: x < F.col(order)))).drop("_borders")
     group = [*keys, "_b"]
-    totals = tagged.groupBy(*group).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*group, *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums])
+    per_bucket = tagged.groupBy(*group).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    whole = Window.partitionBy(*keys)  # at most `buckets` rows per key
+    before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bucket.select(
+        *group,
+        *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums],
+        *([F.sum(f"_t_{c}").over(whole).alias(f"{c}_total") for c in sums] if totals else []),
+    )
     inner = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     joined = tagged.join(offsets, group)
     out = [(F.coalesce(F.sum(c).over(inner), F.lit(0)) + F.col(f"_o_{c}")).alias(f"{c}_before") for c in sums]
-    return joined.select(*df.columns, *out)
+    return joined.select(*df.columns, *out, *([f"{c}_total" for c in sums] if totals else []))

@@ -12,30 +12,44 @@ from pyspark.sql import functions as F
 from pairlens.operators.ranking import hash_rank
 
 
-def _class_quota(df: DataFrame, label: str, fraction: float) -> DataFrame:
-    """Holdout rows per class: ceil(fraction * n) in total, shared by largest remainder."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    everything = Window.partitionBy()  # one row per class reaches this window
-    share = F.ceil(F.lit(fraction) * F.col("_total")) * F.col("_n") / F.col("_total")
-    quota = (
-        sizes.withColumn("_total", F.sum("_n").over(everything))
-        .withColumn("_base", F.floor(share))
-        .withColumn("_rest", share - F.floor(share))
-        .withColumn("_missing", F.ceil(F.lit(fraction) * F.col("_total")) - F.sum("_base").over(everything))
-    )
-    by_rest = Window.partitionBy().orderBy(F.col("_rest").desc(), F.col(label))
-    extra = (F.row_number().over(by_rest) <= F.col("_missing")).cast("long")
-    return quota.select(label, (F.col("_base") + extra).alias("_quota"))
+def _class_quota(label: str, fraction: float):
+    """Annotate bucket sizes with the holdout rows of the class: ceil(fraction * n) in total,
+    shared by largest remainder."""
+
+    def annotate(sizes: DataFrame) -> DataFrame:
+        classes = sizes.groupBy(label).agg(F.sum("_n").alias("_class"))
+        everything = Window.partitionBy()  # one row per class reaches these windows
+        want = F.ceil(F.lit(fraction) * F.col("_total"))
+        share = want * F.col("_class") / F.col("_total")
+        quota = (
+            classes.withColumn("_total", F.sum("_class").over(everything))
+            .withColumn("_base", F.floor(share))
+            .withColumn("_rest", share - F.floor(share))
+            .withColumn("_missing", want - F.sum("_base").over(everything))
+        )
+        by_rest = Window.partitionBy().orderBy(F.col("_rest").desc(), F.col(label))
+        extra = (F.row_number().over(by_rest) <= F.col("_missing")).cast("long")
+        return sizes.join(quota.select(label, (F.col("_base") + extra).alias("_quota")), label)
+
+    return annotate
+
+
+def _group_quota(keys: list[str], fraction: float):
+    """Annotate bucket sizes with ceil(fraction * n) of their key."""
+    total = F.sum("_n").over(Window.partitionBy(*keys))  # one row per bucket
+    return lambda sizes: sizes.withColumn("_quota", F.ceil(F.lit(fraction) * total))
+
+
+def _holdout(ranked: DataFrame) -> DataFrame:
+    split = F.when(F.col("_rank") <= F.col("_quota"), "holdout").otherwise("train")
+    return ranked.withColumn("split", split).drop("_rank", "_quota")
 
 
 def stratified_holdout(
     df: DataFrame, label: str = "y", id_col: str = "subject_id", fraction: float = 0.2, seed: int = 42
 ) -> DataFrame:
     """Add `split` = holdout/train with class proportions kept."""
-    ranked = hash_rank(df, [label], id_col, seed, "_rank")
-    joined = ranked.join(_class_quota(df, label, fraction), label)
-    split = F.when(F.col("_rank") <= F.col("_quota"), "holdout").otherwise("train")
-    return joined.withColumn("split", split).drop("_rank", "_quota")
+    return _holdout(hash_rank(df, [label], id_col, seed, "_rank", annotate=_class_quota(label, fraction)))
 
 
 def shuffle_holdout(
@@ -43,11 +57,34 @@ def shuffle_holdout(
 ) -> DataFrame:
     """Add `split` with ceil(fraction * n) holdout rows, per group when one is given."""
     keys = [group] if group else []
-    ranked = hash_rank(df, keys, id_col, seed, "_rank")
-    sizes = df.groupBy(*keys).agg(F.ceil(F.lit(fraction) * F.count(F.lit(1))).alias("_quota"))
-    joined = ranked.join(sizes, keys) if keys else ranked.withColumn("_quota", sizes.scalar())
-    split = F.when(F.col("_rank") <= F.col("_quota"), "holdout").otherwise("train")
-    return joined.withColumn("split", split).drop("_rank", "_quota")
+    return _holdout(hash_rank(df, keys, id_col, seed, "_rank", annotate=_group_quota(keys, fraction)))
+
+
+def holdout_and_folds(
+    df: DataFrame,
+    n_folds: int = 5,
+    fraction: float = 0.2,
+    seed: int = 42,
+    id_col: str = "subject_id",
+    label: str | None = "y",
+    group: str | None = None,
+    holdout_fold: int = -1,
+) -> DataFrame:
+    """Add `fold`: the holdout mark, or the validation fold of a training row.
+
+    Stratified by `label`; with `group` each group is split on its own instead. The first
+    rows in hash order form the holdout and the rest are dealt to the folds, so one
+    ranking serves both.
+    """
+    if group is None and label is not None:
+        keys, annotate = [label], _class_quota(label, fraction)
+    else:
+        keys = [group] if group else []
+        annotate = _group_quota(keys, fraction)
+    ranked = hash_rank(df, keys, id_col, seed, "_rank", annotate=annotate)
+    dealt = F.pmod(F.col("_rank") - F.col("_quota") - 1, F.lit(n_folds)).cast("int")
+    fold = F.when(F.col("_rank") <= F.col("_quota"), holdout_fold).otherwise(dealt)
+    return ranked.withColumn("fold", fold).drop("_rank", "_quota")
 
 
 def kfold(

@@ -19,7 +19,7 @@ from pairlens.functions.labels import config_label
 from pairlens.operators import reports, solve
 from pairlens.operators.interpret import cosine_similarity
 from pairlens.operators.moments import MAX_DIM, Layout, collect_moments, matrix_from_cells, moments
-from pairlens.operators.splits import kfold, shuffle_holdout, stratified_holdout
+from pairlens.operators.splits import holdout_and_folds
 
 HOLDOUT = -1
 
@@ -33,22 +33,8 @@ def assign_splits(
     label: str | None = "y",
     group: str | None = None,
 ) -> DataFrame:
-    """Add `fold`: -1 for the holdout, else the validation fold of a training row.
-
-    Stratified by `label`; with `group` each group is split on its own instead.
-    """
-    if group is not None:
-        split = shuffle_holdout(df, id_col, fraction, seed, group)
-        by = group
-    else:
-        split = stratified_holdout(df, label, id_col, fraction, seed) if label else shuffle_holdout(df, id_col, fraction, seed)
-        by = label
-    # Holdout rows are dealt too and then overwritten, so one ranking serves both parts.
-    keys = [by, "split"] if by else ["split"]
-    tagged = split.withColumn("_part", F.concat_ws("|", *[F.col(c).cast("string") for c in keys]))
-    dealt = kfold(tagged, n_folds, id_col, seed + 1, "_part")
-    fold = F.when(F.col("split") == "holdout", HOLDOUT).otherwise(F.col("fold"))
-    return dealt.withColumn("fold", fold).drop("_part", "split")
+    """Add `fold`: -1 for the holdout, else the validation fold of a training row."""
+    return holdout_and_folds(df, n_folds, fraction, seed, id_col, label, group, HOLDOUT)
 
 
 def split_moments(df: DataFrame, z: Column, keys: Sequence[str] = ()) -> DataFrame:

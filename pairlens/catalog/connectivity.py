@@ -58,6 +58,23 @@ def fc_edges_strict(spark, sf):
     return round_columns(connectivity.fc_edges(series, required=fx.dup(spark, sf).select("subject_id").distinct()), "z")
 
 
+@register("fc_edges_from_files", _edge_sql("r"))
+def fc_edges_from_files(spark, sf):
+    """The same edges from one array file per subject, decoded to one vector per time point."""
+    from pairlens.catalog.inputs import series_files
+    from pairlens.sources.arrays import timeseries_vector_rows
+
+    vectors = timeseries_vector_rows(series_files(spark, sf, "/roi/{sid}/atlas.npy"), id_rule="folder")
+    return round_columns(connectivity.fc_edges_of_vectors(vectors), "z")
+
+
+@register("fc_edges_complete", _edge_sql("r", "WHERE CAST(subject_id AS BIGINT) % 7 <> 0"))
+def fc_edges_complete(spark, sf):
+    """Subjects that lack a region (here those with a switched-off type 4) are left out."""
+    partial = fx.ts(spark, sf).filter(~((F.col("roi") == 4) & (F.col("subject_id").cast("long") % 7 == 0)))
+    return round_columns(connectivity.fc_edges(partial, n_rois=5), "z")
+
+
 @register(
     "pair_rois",
     sql("ts", "SELECT a.subject_id, a.roi AS roi_i, b.roi AS roi_j, CAST(a.roi * 5 - a.roi * (a.roi + 1) // 2 + (b.roi - a.roi - 1) AS BIGINT) AS edge FROM d AS a JOIN d AS b ON a.subject_id = b.subject_id AND a.roi < b.roi",
@@ -178,6 +195,11 @@ def roi_qc(spark, sf):
     return round_columns(got, *rates)
 
 
+@register("roi_valid_rates", sql("ts", f"SELECT roi, {r6('avg(CAST(valid AS INTEGER))')} AS valid_rate FROM f GROUP BY roi", f=_VALID))
+def roi_valid_rates(spark, sf):
+    return round_columns(qc.roi_valid_rates(_flags(spark, sf)).orderBy(F.col("valid_rate").desc(), "roi"), "valid_rate")
+
+
 @register(
     "roi_qc_lists",
     sql(

@@ -118,7 +118,7 @@ def check_row_count(spark, sf):
     return arrays.check_row_count(rows, fx.emb(spark, sf).select("subject_id"))
 
 
-def _series_files(spark, sf, path):
+def series_files(spark, sf, path):
     """One array file per user, regions by time for even users (to be transposed)."""
 
     def pack(pdf):
@@ -145,17 +145,17 @@ def _series_summary(rows):
 
 @register("read_roi_timeseries", _SERIES_SQL)
 def read_roi_timeseries(spark, sf):
-    return _series_summary(arrays.timeseries_rows(_series_files(spark, sf, "/roi/sub{sid}/series.npy")))
+    return _series_summary(arrays.timeseries_rows(series_files(spark, sf, "/roi/sub{sid}/series.npy")))
 
 
 @register("read_roi_timeseries_last_token", _SERIES_SQL)
 def read_roi_timeseries_last_token(spark, sf):
-    return _series_summary(arrays.timeseries_rows(_series_files(spark, sf, "/roi/all/atlas_v2_{sid}.npy"), id_rule="last_token"))
+    return _series_summary(arrays.timeseries_rows(series_files(spark, sf, "/roi/all/atlas_v2_{sid}.npy"), id_rule="last_token"))
 
 
 @register("read_roi_timeseries_folder", _SERIES_SQL)
 def read_roi_timeseries_folder(spark, sf):
-    return _series_summary(arrays.timeseries_rows(_series_files(spark, sf, "/roi/{sid}/atlas.npy"), id_rule="folder"))
+    return _series_summary(arrays.timeseries_rows(series_files(spark, sf, "/roi/{sid}/atlas.npy"), id_rule="folder"))
 
 
 @register(

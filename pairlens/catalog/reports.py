@@ -234,6 +234,11 @@ def effect_interval(spark, sf):
     return round_columns(got, "ci_low", "ci_high")
 
 
+@register("significant_count", sql("strat", "SELECT count(*) FILTER (WHERE p_value < 0.05) AS n_significant, count(*) AS n_tests FROM strat"))
+def significant_count(spark, sf):
+    return reports.significant_count(fx.strat(spark, sf))
+
+
 @register(
     "effect_grid",
     sql(

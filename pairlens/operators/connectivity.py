@@ -62,8 +62,12 @@ def timeseries_vectors(ts: DataFrame, subject: str = "subject_id") -> DataFrame:
     """
     placed = ts.withColumn("_tb", F.floor(F.col("t") / TIME_BLOCK)).repartition(subject, "_tb")
     cells = F.array_sort(F.collect_list(F.struct(F.col("roi").alias("r"), F.col("value").cast("double").alias("v"))))
+    complete = F.forall(F.transform("_c", lambda c, i: c["r"] == i), lambda ok: ok)
+    message = F.concat(F.lit("a time point lacks a region: subject "), F.col(subject).cast("string"))
+    values = F.when(complete, F.transform("_c", lambda c: c["v"])).otherwise(F.raise_error(message).cast("array<double>"))
+    packed = placed.groupBy(subject, "_tb", "t").agg(cells.alias("_c"))
     # Sorted by subject, so the partial sums of a task finish one subject after the other.
-    return placed.groupBy(subject, "_tb", "t").agg(F.transform(cells, lambda c: c["v"]).alias("values")).drop("_tb").sortWithinPartitions(subject)
+    return packed.select(subject, "t", values.alias("values")).sortWithinPartitions(subject)
 
 
 def roi_count_mismatch(ts: DataFrame, n_rois: int, subject: str = "subject_id") -> DataFrame:
@@ -78,7 +82,11 @@ def roi_covariance(vectors: DataFrame, subject: str = "subject_id") -> DataFrame
     z = F.concat("values", F.array(F.lit(1.0)))
     mom = moments(vectors.withColumn("_r", F.size("values")), [subject, "_r"], z, many_keys=True)
     # One subject has (R + 1)(R + 2) / 2 cells however long its series is.
-    packed = mom.groupBy(subject, "_r").agg(F.collect_list(F.struct("i", "j", "s")).alias("_c"))
+    uneven = F.raise_error(F.concat(F.lit("time points of unequal width: subject "), F.col(subject).cast("string")))
+    packed = mom.groupBy(subject).agg(
+        F.when(F.min("_r") == F.max("_r"), F.max("_r")).otherwise(uneven.cast("int")).alias("_r"),
+        F.collect_list(F.struct("i", "j", "s")).alias("_c"),
+    )
 
     def ordered(cells: Column) -> Column:
         return F.transform(F.array_sort(cells), lambda c: c["s"])
@@ -146,9 +154,26 @@ def fc_edges(
     denominator: str = "n",
     nan: str = "null",
     required: DataFrame | None = None,
+    n_rois: int | None = None,
+) -> DataFrame:
+    """Correlation edges of long time series.
+
+    With `n_rois`, subjects with another set of regions are left out. `required` ids must
+    all be present (strict form).
+    """
+    if n_rois is not None:
+        ts = ts.join(roi_count_mismatch(ts, n_rois, subject), subject, "left_anti")
+    return fc_edges_of_vectors(timeseries_vectors(ts, subject), subject, denominator, nan, required)
+
+
+def fc_edges_of_vectors(
+    vectors: DataFrame, subject: str = "subject_id", denominator: str = "n", nan: str = "null", required: DataFrame | None = None
 ) -> DataFrame:
-    """Correlation edges of long time series. `required` ids must all be present (strict form)."""
-    edges = correlation_edges(roi_covariance(timeseries_vectors(ts, subject), subject), subject, denominator, nan)
+    """Correlation edges of (subject, t, values[R]) rows, as decoded from array files.
+
+    The rows are summed up where they are; only R x R sums per subject are shuffled.
+    """
+    edges = correlation_edges(roi_covariance(vectors, subject), subject, denominator, nan)
     if required is None:
         return edges
     found = edges.withColumn("_hit", F.lit(True))

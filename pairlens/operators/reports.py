@@ -127,6 +127,11 @@ def effect_interval(results: DataFrame, diff: str = "r_diff", null_std: str = "n
     )
 
 
+def significant_count(results: DataFrame, p: str = "p_value", alpha: float = 0.05) -> DataFrame:
+    """How many of the tests fall below alpha."""
+    return results.agg(F.count_if(F.col(p) < alpha).alias("n_significant"), F.count(F.lit(1)).alias("n_tests"))
+
+
 def effect_grid(results: DataFrame, modalities: Sequence[str], diff: str = "r_diff") -> DataFrame:
     """Model by modality grid in fixed column order; absent cells stay NULL."""
     return results.groupBy("model").pivot("modality", list(modalities)).agg(F.first(diff))

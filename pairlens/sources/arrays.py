@@ -47,12 +47,21 @@ def _embedding_rows(arr: np.ndarray) -> pd.DataFrame:
 
 
 def _series_rows(arr: np.ndarray) -> pd.DataFrame:
+    if arr.ndim != 2:
+        raise ValueError(f"expected a 2-D series, got shape {arr.shape}")
     if arr.shape[0] < arr.shape[1]:
         arr = arr.T
     t, r = np.indices(arr.shape)
     return pd.DataFrame({"t": t.ravel().astype(np.int32), "roi": r.ravel().astype(np.int32), "value": arr.ravel().astype(np.float64)})
 
 
+def _oriented_rows(arr: np.ndarray) -> pd.DataFrame:
+    if arr.ndim != 2:
+        raise ValueError(f"expected a 2-D series, got shape {arr.shape}")
+    arr = arr.T if arr.shape[0] < arr.shape[1] else arr
+    return pd.DataFrame({"t": np.arange(len(arr), dtype=np.int32), "values": list(arr.astype(np.float64))})
+
+
 CHUNK_PATTERN = r"embeddings_(\d+)_layer_last\.npy$"
 
 
@@ -120,13 +129,8 @@ def subject_of_path(path: str | Column, rule: str = "folder_regex", regex: str =
     raise ValueError(f"unknown id rule: {rule}")
 
 
-def timeseries_rows(
-    files: DataFrame, id_rule: str = "folder_regex", regex: str = r"(\d+)", limit: int | None = None, ids: DataFrame | None = None
-) -> DataFrame:
-    """Long (subject_id, t, roi, value) series from (path, content), oriented time by region.
-
-    The first path per subject wins.
-    """
+def _series_files(files: DataFrame, id_rule: str, regex: str, limit: int | None, ids: DataFrame | None) -> DataFrame:
+    """(subject_id, content) with one file per subject; the first path wins."""
     files = files.withColumn("subject_id", subject_of_path("path", id_rule, regex))
     # Choose the files by path first, so content is carried for the chosen ones only.
     chosen = files.filter("subject_id is not null").groupBy("subject_id").agg(F.min("path").alias("path"))
@@ -134,9 +138,23 @@ def timeseries_rows(
         chosen = chosen.join(ids.select("subject_id"), "subject_id", "left_semi")
     if limit is not None:
         chosen = chosen.orderBy("subject_id").limit(limit)
-    picked = files.join(chosen, ["subject_id", "path"], "left_semi")
+    return files.join(chosen, ["subject_id", "path"], "left_semi")
+
+
+def timeseries_rows(
+    files: DataFrame, id_rule: str = "folder_regex", regex: str = r"(\d+)", limit: int | None = None, ids: DataFrame | None = None
+) -> DataFrame:
+    """Long (subject_id, t, roi, value) series from (path, content), oriented time by region."""
     fields = [T.StructField("t", T.IntegerType()), T.StructField("roi", T.IntegerType()), T.StructField("value", T.DoubleType())]
-    return _decode(picked, ["subject_id"], _series_rows, fields)
+    return _decode(_series_files(files, id_rule, regex, limit, ids), ["subject_id"], _series_rows, fields)
+
+
+def timeseries_vector_rows(
+    files: DataFrame, id_rule: str = "folder_regex", regex: str = r"(\d+)", limit: int | None = None, ids: DataFrame | None = None
+) -> DataFrame:
+    """(subject_id, t, values[R]) rows, the form `fc_edges_of_vectors` takes without another shuffle."""
+    fields = [T.StructField("t", T.IntegerType()), T.StructField("values", T.ArrayType(T.DoubleType()))]
+    return _decode(_series_files(files, id_rule, regex, limit, ids), ["subject_id"], _oriented_rows, fields)
 
 
 def read_roi_timeseries(spark: SparkSession, root: str, glob: str = "*.npy", **options) -> DataFrame:

@@ -84,3 +84,12 @@ def test_no_pair_join_in_the_plan(spark):
     _, pdf = series(2)
     plan = cn.fc_edges(spark.createDataFrame(pdf))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Cartesian" not in plan
+
+
+def test_incomplete_time_point_is_an_error_or_leaves_the_subject_out(spark):
+    _, pdf = series(2)
+    holed = spark.createDataFrame(pdf[~((pdf["subject_id"] == "1") & (pdf["t"] == 3) & (pdf["roi"] == 2))])
+    with pytest.raises(Exception, match="lacks a region"):
+        cn.fc_edges(holed).collect()
+    short = spark.createDataFrame(pdf[~((pdf["subject_id"] == "1") & (pdf["roi"] == 5))])
+    assert {r.subject_id for r in cn.fc_edges(short, n_rois=6).collect()} == {"0"}

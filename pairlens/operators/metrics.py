@@ -35,7 +35,8 @@ def ranking_metrics(
     two-stage prediction). Average precision is NULL without a positive.
     """
     keys = list(keys)
-    steps = running_totals(_score_steps(df, keys, label, score), keys, "_score", ["pos", "neg"], buckets, totals=True)
+    raw = df.select(F.col(score).cast("double").alias("_score"))
+    steps = running_totals(_score_steps(df, keys, label, score), keys, "_score", ["pos", "neg"], buckets, True, raw)
     joined = steps.withColumnsRenamed({"pos_total": "_p", "neg_total": "_n"})
     tp = F.col("_p") - F.col("pos_before")  # positives at or above this score
     fp = F.col("_n") - F.col("neg_before")

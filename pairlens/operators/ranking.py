@@ -92,20 +92,29 @@ def running_totals(
     sums: Sequence[str],
     buckets: int = 64,
     totals: bool = False,
+    borders_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add `<c>_before`: per key, the sum of column c over all rows with a smaller order value.
 
     Exact for distinct order values within a key. Bucket borders are quantiles of the
     order value over all keys (a mergeable sketch, one small array), so no window
     partition exceeds about n / buckets rows even if one key holds most of them; the
-    result does not depend on where the borders fall. With `totals`, `<c>_total` is the
-    sum over the whole key.
+    result does not depend on where the borders fall. `borders_from` may hold the same
+    order column in a form that is cheaper to scan than an aggregated `df`. With `totals`,
+    `<c>_total` is the sum over the whole key.
     """
     keys = list(keys)
+    if buckets & (buckets - 1):
+        raise ValueError("buckets must be a power of two")
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    borders = df.agg(F.percentile_approx(order, probs, F.lit(10000)).alias("b"))
-    tagged = df.withColumn("_borders", borders.scalar())
-    tagged = tagged.withColumn("_b", F.size(F.filter("_borders", lambda x: x < F.col(order)))).drop("_borders")
+    source = df if borders_from is None else borders_from
+    borders = source.agg(F.percentile_approx(order, probs, F.lit(20 * buckets)).alias("b"))
+    tagged = df.withColumn("_borders", borders.scalar()).withColumn("_b", F.lit(0))
+    step = buckets // 2
+    while step:  # binary search for the number of borders below the value
+        tagged = tagged.withColumn("_b", F.col("_b") + F.when(F.col(order) > F.get("_borders", F.col("_b") + (step - 1)), step).otherwise(0))
+        step //= 2
+    tagged = tagged.drop("_borders")
     group = [*keys, "_b"]
     per_bucket = tagged.groupBy(*group).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     whole = Window.partitionBy(*keys)  # at most `buckets` rows per key

@@ -57,6 +57,17 @@ _TWO_STAGE = cca22("tr", "f") | logistic_sql(
 )
 
 
+_STAGE_TWO = (
+    {"rows0": "SELECT 0 AS k, * FROM fo"}
+    | cca22("rows0", "k", prefix="g")
+    | {"uv": "SELECT subject_id, y, fold, (a1*e1 + a2*e2) / stddev_pop(a1*e1 + a2*e2) OVER () AS u, (b1*e3 + b2*e4) / stddev_pop(b1*e3 + b2*e4) OVER () AS v FROM fo, gw"}
+    | logistic_sql(
+        "SELECT m, f, subject_id, y, fold, CASE m WHEN 'fmri_only' THEN v WHEN 'joint_mean' THEN (u + v) / 2 ELSE u END AS x1, CASE WHEN m = 'joint' THEN v ELSE 0.0::DOUBLE END AS x2 FROM uv, folds, "
+        "(VALUES ('gene_only'), ('fmri_only'), ('joint'), ('joint_mean')) AS t(m)"
+    )
+)
+
+
 def _metrics_sql() -> str:
     auc = auc_sql("fin", "m, split", "score")
     ap = ap_sql("fin", "m, split", "score")
@@ -103,6 +114,19 @@ def two_stage_cv(spark, sf):
     return round_columns(scores.select("subject_id", "y", "fold", "score"), "score")
 
 
+@register("stage_two_feature_sets", _recursive(psql(_metrics_sql(), **_SPLIT_ONLY, **_STAGE_TWO)))
+def stage_two_feature_sets(spark, sf):
+    """Variates fitted on all rows, then classifiers on each of the four feature sets."""
+    from pairlens.operators.linear import canonical_fit, canonical_variates
+
+    rows = coupling.assign_splits(pairs(spark, sf))
+    _, fit = canonical_fit(rows, z_2x2(), L_2X2, 1)
+    variates = canonical_variates(rows, z_2x2(), fit, ["subject_id", "y", "fold"])
+    z = z_vector(None, F.col("u"), F.col("v"))
+    got = suite.predictive_suite(variates, z, _L11, representations=("gene_only", "fmri_only", "joint", "joint_mean"))
+    return round_columns(got, "auc", "ap")
+
+
 @register(
     "two_stage_cv_full",
     psql("SELECT m AS model, count(*) AS n, true AS probabilities FROM pairs, (VALUES ('cca_joint_logreg'), ('scca_joint_logreg')) AS t(m) GROUP BY 1"),

@@ -13,12 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlens.operators.moments import few_tasks, sum_rows
+from pairlens.session import held
 
 MAX_DIRECTION_CELLS = 128_000_000  # features x directions that may be shipped to every task (1 GB)
 
@@ -188,7 +188,7 @@ def block_pca(
     """
     spark = blocks.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    layout = block_layout(blocks, covariates, subject, block, embedding, parts, train).persist(StorageLevel.MEMORY_AND_DISK)
+    layout = held(block_layout(blocks, covariates, subject, block, embedding, parts, train))
     # Coalescing appends whole partitions, so the rows of a subject stay together.
     rows = few_tasks(layout.filter("train"))
     prep, total, n = _fit_prep(rows, residualize, standardize)

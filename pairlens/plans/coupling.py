@@ -20,6 +20,7 @@ from pairlens.operators import reports, solve
 from pairlens.operators.interpret import cosine_similarity
 from pairlens.operators.moments import MAX_DIM, Layout, collect_moments, matrix_from_cells, moments
 from pairlens.operators.splits import holdout_and_folds
+from pairlens.session import held
 
 HOLDOUT = -1
 
@@ -229,7 +230,7 @@ def stratified_coupling(
     """
     spark = df.sparkSession
     mom = split_moments(df, z, [group])
-    mom = materialize_moments(mom, cache_path, [group]) if cache_path else mom.persist()
+    mom = materialize_moments(mom, cache_path, [group]) if cache_path else held(mom)
     results = grid_results(run_grid(mom, layout, grid, [group], n_components), [group])
     best = reports.best_config(results, [group]).persist()
     fits = refit_best(mom, layout, best, [group])

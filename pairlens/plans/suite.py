@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,13 +12,14 @@ from pairlens.operators import solve
 from pairlens.operators.classify import HOLDOUT, FoldModel, balanced_weights, fit_logistic, fit_score_mlp, scaled_map, score_models
 from pairlens.operators.metrics import classification_metrics, confusion_matrix, fold_summary, ranking_metrics
 from pairlens.operators.moments import Layout, collect_moments, moments
+from pairlens.session import held
 
 REPRESENTATIONS = ("gene_only", "fmri_only", "early_fusion", "cca_joint", "scca_joint")
 
 
 def _rows(df: DataFrame, z: Column, keep: Sequence[str]) -> DataFrame:
     cols = list(dict.fromkeys([*keep, "fold", "y"]))
-    return df.select(*cols, z.cast("array<double>").alias("z")).persist(StorageLevel.MEMORY_AND_DISK)
+    return held(df.select(*cols, z.cast("array<double>").alias("z")))
 
 
 def fold_matrices(rows: DataFrame) -> tuple[dict[int, np.ndarray], dict[int, float]]:
@@ -35,8 +35,13 @@ def representation_map(
     """Matrix from z to one representation, fitted on the rows behind `m`.
 
     `base` fixes the preparation (train-wide scope); by default it is refitted here.
+    `joint` and `joint_mean` combine two score vectors as they are.
     """
     p = layout.p
+    if name in ("joint", "joint_mean"):
+        raw = np.eye(layout.dim)
+        x, y = raw[:, layout.x], raw[:, layout.y]
+        return np.hstack([x, y]) if name == "joint" else (x + y) / 2
     w = solve.linear_prep(m, layout) if base is None else base
     px, py = w[:, :p], w[:, p:]
     if base is None and pca_dim is not None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 
 
@@ -39,3 +40,9 @@ def checkpointed(df, eager: bool = True):
         return df
     spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager)
+
+
+def held(df):
+    """Input of repeated passes: kept on the executors, and in the shared folder where there is one,
+    so that a lost executor costs a re-read and not the steps before."""
+    return checkpointed(df).persist(StorageLevel.MEMORY_AND_DISK)

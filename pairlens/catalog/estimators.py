@@ -449,6 +449,18 @@ def coupling_grid(spark, sf):
     return round_columns(got.select("config", *_GRID_COLS), *_GRID_COLS)
 
 
+@register("coupling_grid_wide", _GRID_SQL)
+def coupling_grid_wide(spark, sf):
+    """The same grid with view x kept as feature blocks and PCA refitted per fold."""
+    rows = coupling.assign_splits(pairs(spark, sf)).select(
+        "subject_id", "fold", F.array().cast("array<double>").alias("c"), F.slice("e", 3, 2).alias("b"), "e"
+    )
+    parts = F.array(*[F.struct(F.lit(f"g{i}").alias("gene"), F.slice("e", i + 1, 1).alias("embedding")) for i in range(2)])
+    grid = reports.config_grid(spark, ["cca"], [2], [])
+    got = coupling.wide_coupling_grid(rows.select("subject_id", F.inline(parts)), rows.drop("e"), 0, 2, grid, n_components=1)
+    return round_columns(got.select("config", *_GRID_COLS), *_GRID_COLS)
+
+
 _WIDE_DIMS = [2, 4, 8]
 
 

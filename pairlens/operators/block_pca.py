@@ -147,51 +147,57 @@ def _apply(batch, prep, directions):
     return uniq, scores, kept
 
 
-def block_layout(blocks: DataFrame, covariates: DataFrame | None, subject: str, block: str, embedding: str, partitions: int, train: Column | None) -> DataFrame:
+def block_layout(
+    blocks: DataFrame,
+    covariates: DataFrame | None = None,
+    subject: str = "subject_id",
+    block: str = "gene",
+    embedding: str = "embedding",
+    tag: Column | None = None,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Blocks placed by subject: (subject, block, c, x, tag). The one shuffle of the data.
+
+    `covariates` has (subject, covariates array); `tag` is any column to select rows by later.
+    """
+    parts = partitions or int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     c = F.array(F.lit(1.0))
     rows = blocks
     if covariates is not None:
         rows = rows.join(covariates, subject)
         c = F.concat(c, F.col("covariates").cast("array<double>"))
-    flag = F.lit(True) if train is None else train
     return (
         rows.select(
             F.col(subject).cast("string").alias("subject"), F.col(block).cast("string").alias("block"), c.alias("c"),
-            F.col(embedding).cast("array<double>").alias("x"), flag.alias("train"),
+            F.col(embedding).cast("array<double>").alias("x"), (F.lit(True) if tag is None else tag).alias("tag"),
         )
-        .repartition(partitions, "subject")
+        .repartition(parts, "subject")
         .sortWithinPartitions("subject")
     )
 
 
-def block_pca(
-    blocks: DataFrame,
+def fit_blocks(
+    layout: DataFrame,
     k: int,
-    covariates: DataFrame | None = None,
-    train: Column | None = None,
-    subject: str = "subject_id",
-    block: str = "gene",
-    embedding: str = "embedding",
+    where: Column | None = None,
     oversample: int = 10,
     passes: int = 7,
     tol: float = 1e-6,
     seed: int = 42,
     residualize: bool = True,
     standardize: bool = True,
-    partitions: int | None = None,
-) -> tuple[BlockPCA, DataFrame]:
-    """Leading components of the standardized blocks and a (subject, scores) frame.
+) -> BlockPCA:
+    """Leading components of the prepared blocks, from the layout rows where `where` holds.
 
-    One shuffle lays the blocks out by subject; each pass then only moves features x
-    directions sums. Passes stop early once the leading eigenvalues have settled. Fitted
-    on rows where `train` holds, scores are for all rows.
+    Each pass moves features x directions sums only. Passes stop early once the leading
+    eigenvalues have settled.
     """
-    spark = blocks.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    layout = held(block_layout(blocks, covariates, subject, block, embedding, parts, train))
+    spark = layout.sparkSession
     # Coalescing appends whole partitions, so the rows of a subject stay together.
-    rows = few_tasks(layout.filter("train"))
+    rows = few_tasks(layout if where is None else layout.filter(where))
     prep, total, n = _fit_prep(rows, residualize, standardize)
+    if not prep:
+        raise ValueError("no training rows")
     names = sorted(prep)
     widths = {g: prep[g][1].shape[0] for g in names}
     dims = sum(widths.values())
@@ -238,8 +244,12 @@ def block_pca(
     comps = basis @ vectors[:, order]
     sign = np.sign(comps[np.abs(comps).argmax(axis=0), np.arange(comps.shape[1])])
     comps = comps * np.where(sign == 0, 1.0, sign)
-    model = BlockPCA(split(comps), np.maximum(values[order], 0), total, prep, n)
-    final = spark.sparkContext.broadcast((prep, model.components))
+    return BlockPCA(split(comps), np.maximum(values[order], 0), total, prep, n)
+
+
+def score_blocks(layout: DataFrame, model: BlockPCA, subject: str = "subject_id") -> DataFrame:
+    """(subject, pcs) of every subject in the layout under a fitted model."""
+    final = layout.sparkSession.sparkContext.broadcast((model.prep, model.components))
 
     def score(batches):
         local_prep, directions = final.value
@@ -251,7 +261,24 @@ def block_pca(
                 names=[subject, "pcs"],
             )
 
-    return model, layout.mapInArrow(score, f"`{subject}` string, pcs array<double>")
+    return layout.mapInArrow(score, f"`{subject}` string, pcs array<double>")
+
+
+def block_pca(
+    blocks: DataFrame,
+    k: int,
+    covariates: DataFrame | None = None,
+    train: Column | None = None,
+    subject: str = "subject_id",
+    block: str = "gene",
+    embedding: str = "embedding",
+    partitions: int | None = None,
+    **options,
+) -> tuple[BlockPCA, DataFrame]:
+    """Fit on the rows where `train` holds, score all: layout, fit and scores in one call."""
+    layout = held(block_layout(blocks, covariates, subject, block, embedding, train, partitions))
+    model = fit_blocks(layout, k, F.col("tag"), **options)
+    return model, score_blocks(layout, model, subject)
 
 
 def components_table(spark, model: BlockPCA) -> DataFrame:

@@ -189,12 +189,19 @@ class Fit:
 
 
 class PairModel:
-    """Train-only preparation and reduction of both views from one moment matrix."""
+    """Train-only preparation and reduction of both views from one moment matrix.
 
-    def __init__(self, m: np.ndarray, layout, max_dim: int | None = None, residualize: bool = True):
+    `reduced` says that view x already holds component scores: they are neither scaled
+    nor reduced again, so their order and their variances keep their meaning.
+    """
+
+    def __init__(self, m: np.ndarray, layout, max_dim: int | None = None, residualize: bool = True, reduced: bool = False):
         w = linear_prep(m, layout, residualize)
-        self.n, _, cov = covariance(m, w)
         p = layout.p
+        if reduced:
+            w[:, :p] = linear_prep(m, layout, residualize, standardize=False)[:, :p]
+            max_dim = None
+        self.n, _, cov = covariance(m, w)
         self.px, self.py = w[:, :p], w[:, p:]
         self.eigenvalues = self.components = None
         if max_dim is not None:

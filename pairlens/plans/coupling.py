@@ -17,8 +17,9 @@ from pyspark.sql import types as T
 
 from pairlens.functions.labels import config_label
 from pairlens.operators import reports, solve
+from pairlens.operators.block_pca import block_layout, fit_blocks, score_blocks
 from pairlens.operators.interpret import cosine_similarity
-from pairlens.operators.moments import MAX_DIM, Layout, collect_moments, matrix_from_cells, moments
+from pairlens.operators.moments import MAX_DIM, Layout, collect_moments, matrix_from_cells, moments, z_vector
 from pairlens.operators.splits import holdout_and_folds
 from pairlens.session import held
 
@@ -69,14 +70,28 @@ def run_grid(
     grid: DataFrame,
     keys: Sequence[str] = (),
     n_components: int = 10,
+    **options,
+) -> DataFrame:
+    """Grid scores from moments per (keys..., fold); see `grid_on_cells`."""
+    return grid_on_cells(total_minus_fold(mom, keys), layout, grid, keys, n_components, **options)
+
+
+def grid_on_cells(
+    train_eval: DataFrame,
+    layout: Layout,
+    grid: DataFrame,
+    keys: Sequence[str] = (),
+    n_components: int = 10,
     residualize: bool = True,
+    reduced: bool = False,
     shares: int = 4,
     **options,
 ) -> DataFrame:
     """First-component train and evaluation correlation of every (keys..., fold, configuration).
 
-    Fold -1 carries the holdout result of the final fit. A configuration that fails is
-    recorded with its error and does not stop the others.
+    `train_eval` has (keys..., fold, i, j, s_train, s_eval). Fold -1 carries the holdout
+    result of the final fit. A configuration that fails is recorded with its error and
+    does not stop the others. `reduced` as in `PairModel`.
     """
     keys = list(keys)
     if layout.dim > MAX_DIM:
@@ -85,11 +100,11 @@ def run_grid(
     max_dim = max(c["dim"] for c in configs)
     # Neighbouring configurations go to different shares, which evens out slow and fast methods.
     lots = [configs[i::shares] for i in range(min(shares, len(configs)))]
-    cells = total_minus_fold(mom, keys).withColumn("_lot", F.explode(F.array(*[F.lit(i) for i in range(len(lots))])))
+    cells = train_eval.withColumn("_lot", F.explode(F.array(*[F.lit(i) for i in range(len(lots))])))
     schema = T.StructType(
-        [mom.schema[k] for k in keys]
+        [train_eval.schema[k] for k in keys]
         + [
-            T.StructField("fold", mom.schema["fold"].dataType),
+            T.StructField("fold", train_eval.schema["fold"].dataType),
             T.StructField("position", T.IntegerType()),
             T.StructField("k", T.IntegerType()),
             T.StructField("r_train", T.DoubleType()),
@@ -106,7 +121,7 @@ def run_grid(
         held = matrix_from_cells(i, j, pdf["s_eval"], layout.dim)
         head = {c: pdf[c].iloc[0] for c in [*keys, "fold"]}
         try:
-            model, failure = solve.PairModel(train, layout, max_dim, residualize), None
+            model, failure = solve.PairModel(train, layout, max_dim, residualize, reduced), None
         except Exception as err:  # recorded per configuration below
             model, failure = None, str(err)
         out = []
@@ -171,6 +186,45 @@ def coupling_grid(
     return fresh if completed is None else completed.unionByName(fresh, allowMissingColumns=True)
 
 
+def wide_coupling_grid(
+    blocks: DataFrame,
+    rows: DataFrame,
+    n_cov: int,
+    q: int,
+    grid: DataFrame,
+    n_components: int = 10,
+    subject: str = "subject_id",
+    pca_options: dict | None = None,
+    **options,
+) -> DataFrame:
+    """Grid whose first view is too wide for moments: block PCA refitted per fold.
+
+    `blocks` is (subject, gene, embedding); `rows` is (subject, fold, c, b) with
+    covariates and second view. The blocks are shuffled once; every fold adds its PCA
+    passes, on its training rows only, and one moment pass over its scores.
+    """
+    top = grid.agg(F.max("dim")).first()[0]
+    rows = held(rows)
+    folds = [r[0] for r in rows.select("fold").distinct().orderBy("fold").collect()]
+    covariates = rows.select(subject, F.col("c").alias("covariates"), "fold")
+    layout_df = held(block_layout(blocks, covariates, subject, tag=F.col("fold")))
+    parts, width = [], None
+    for fold in folds:
+        train = ~F.col("tag").isin(fold, HOLDOUT)
+        model = fit_blocks(layout_df, top, train, **(pca_options or {}))
+        width = min(len(model.eigenvalues), width or top)
+        pcs = F.slice("pcs", 1, width)
+        scored = score_blocks(layout_df, model, subject).join(rows, subject)
+        part = F.when(F.col("fold") == fold, "eval").when(F.col("fold") != HOLDOUT, "train")
+        scored = scored.withColumn("_part", part).filter("_part is not null")
+        mom = moments(scored, ["_part"], z_vector(F.col("c"), pcs, F.col("b")))
+        cell = {p: F.sum(F.when(F.col("_part") == p, F.col("s")).otherwise(0.0)).alias(f"s_{p}") for p in ("train", "eval")}
+        parts.append(mom.groupBy("i", "j").agg(cell["train"], cell["eval"]).select(F.lit(fold).cast("int").alias("fold"), "i", "j", "s_train", "s_eval"))
+    cells = reports.union_results(*parts)
+    layout = Layout(n_cov, width, q)
+    return grid_results(grid_on_cells(cells, layout, grid, n_components=n_components, reduced=True, **options))
+
+
 def resume_grid(grid: DataFrame, completed: DataFrame | None) -> DataFrame:
     """Configurations still to run; finished ones stay part of the later choice of the best."""
     if completed is None:

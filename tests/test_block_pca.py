@@ -68,3 +68,22 @@ def test_size_check(spark, data, monkeypatch):
     monkeypatch.setattr(bp, "MAX_DIRECTION_CELLS", 10)
     with pytest.raises(ValueError, match="too large"):
         bp.block_pca(data[2], 2)
+
+
+def test_wide_grid_equals_moment_grid(spark, data):
+    """With all components kept, refitting block PCA per fold equals the grid on moments."""
+    from pairlens.operators import reports
+    from pairlens.operators.moments import Layout, z_vector
+    from pairlens.plans import coupling
+
+    x, age, blocks, _ = data
+    n = len(x)
+    pdf = pd.DataFrame({"subject_id": [f"s{i}" for i in range(n)], "c": [[a] for a in age], "x": list(x[:, :8]), "b": list(x[:, 20:23] + RNG.standard_normal((n, 3)))})
+    rows = coupling.assign_splits(spark.createDataFrame(pdf), n_folds=3, label=None).cache()
+    two = F.array(*[F.struct(F.lit(f"g{i}").alias("gene"), F.slice("x", 4 * i + 1, 4).alias("embedding")) for i in range(2)])
+    grid = reports.config_grid(spark, ["cca", "scca"], [2, 5], [0.5], 5)
+    z = z_vector(F.col("c"), F.col("x"), F.col("b"))
+    want = coupling.coupling_grid(rows, z, Layout(1, 8, 3), grid, n_components=2).toPandas().set_index("config")
+    got = coupling.wide_coupling_grid(rows.select("subject_id", F.inline(two)), rows.drop("x"), 1, 3, grid, n_components=2).toPandas().set_index("config")
+    for c in ("mean_train", "mean_val", "r_holdout"):
+        assert np.allclose(got.loc[want.index, c], want[c], atol=1e-5), c

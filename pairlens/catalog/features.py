@@ -33,6 +33,22 @@ def pool_median(spark, sf):
     return round_columns(_pooled(spark, sf, "median"), "value")
 
 
+@register(
+    "pool_vectorized",
+    sql("block_values", "SELECT subject_id, gene, method, " + r6("value") + " AS value FROM ("
+        + " UNION ALL ".join(f"SELECT subject_id, gene, '{m}' AS method, {f}(v) FILTER (WHERE v >= 0) AS value FROM block_values GROUP BY 1, 2" for m, f in (("mean", "avg"), ("max", "max"), ("median", "median"))) + ")"),
+)
+def pool_vectorized(spark, sf):
+    """All three methods on whole Arrow batches, negative elements replaced by NaN first."""
+    nan = F.lit(float("nan")).cast("float")
+    spoiled = fx.blocks(spark, sf).withColumn("embedding", F.transform("embedding", lambda x: F.when(x < 0, nan).otherwise(x)))
+    parts = [
+        features.pool_embedding(spoiled.select("subject_id", "gene", "embedding"), method=m, vectorized=True).withColumn("method", F.lit(m))
+        for m in ("mean", "max", "median")
+    ]
+    return round_columns(parts[0].unionByName(parts[1]).unionByName(parts[2]), "value")
+
+
 @register(
     "pool_nan",
     sql(

@@ -30,7 +30,7 @@ def pool_vector(c: Column | str, method: str = "mean") -> Column:
     if method == "max":
         return F.array_max(clean)
     if method == "median":
-        ordered = F.array_sort(clean)
+        ordered = F.sort_array(clean)  # natural order, without a comparator lambda
         lower = F.element_at(ordered, ((n + 1) / 2).cast("int"))
         upper = F.element_at(ordered, (n / 2).cast("int") + 1)
         return F.when(n > 0, (lower + upper) / 2)

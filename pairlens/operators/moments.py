@@ -109,13 +109,19 @@ def _partial_sums(keys: list[str]):
     return run
 
 
+MIN_TASKS = 4096
+
+
 def few_tasks(df: DataFrame) -> DataFrame:
     """Read with a few tasks per core instead of one per input split, without a shuffle.
 
     Each task ends in one features x features partial result, so their number, not the
-    data, decides how much is summed up afterwards.
+    data, decides how much is summed up afterwards. Never below MIN_TASKS, as the cores
+    known at planning time may be few under dynamic allocation.
     """
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+    spark = df.sparkSession
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, shuffle, MIN_TASKS))
 
 
 def moments(df: DataFrame, keys: Sequence[str], z: str | Column, many_keys: bool = False) -> DataFrame:

@@ -22,6 +22,13 @@ from pairlens.operators.linear import moment_matrix, project
 from pairlens.operators.moments import Layout, matrix_from_cells, sum_rows
 
 BLOCK_ROWS = 50_000
+TASK_CELLS = 16_000_000  # doubles a task may hold as block rows, and again as cross-products
+
+
+def _sizes(block_rows: int | None, perms_per_task: int | None, width: int, cells_per_perm: int, most: int) -> tuple[int, int]:
+    """Rows per block and permutations per task so that both fit a task."""
+    rows = block_rows or max(1000, min(BLOCK_ROWS, TASK_CELLS // width))
+    return rows, perms_per_task or max(1, min(most, TASK_CELLS // cells_per_perm))
 
 
 def _blocked(df: DataFrame, id_col: str, n: int, seed: int, block_rows: int, chunks: Sequence[int]) -> DataFrame:
@@ -61,10 +68,11 @@ def permutation_null_rows(
     id_col: str = "subject_id",
     seed: int = 42,
     residualize: bool = True,
-    block_rows: int = BLOCK_ROWS,
-    perms_per_task: int = 100,
+    block_rows: int | None = None,
+    perms_per_task: int | None = None,
 ) -> tuple[np.ndarray, DataFrame]:
     """Observed correlations and the null (perm_id, component, r) from shuffling view y against view x."""
+    block_rows, perms_per_task = _sizes(block_rows, perms_per_task, layout.p + layout.q, layout.p * layout.q, 100)
     m = moment_matrix(df, z)
     model = solve.PairModel(m, layout, None, residualize)
     fit = model.fit(method, layout.p, k, c1, c2)
@@ -119,8 +127,8 @@ def permutation_null_groups(
     id_col: str = "subject_id",
     fraction: float = 0.2,
     seed: int = 42,
-    block_rows: int = BLOCK_ROWS,
-    perms_per_task: int = 50,
+    block_rows: int | None = None,
+    perms_per_task: int | None = None,
     completed: DataFrame | None = None,
 ) -> DataFrame:
     """Null of the difference of holdout correlations between two label groups under shuffled labels.
@@ -128,6 +136,7 @@ def permutation_null_groups(
     Every permutation refits preparation, PCA and the canonical model of both groups on
     their training rows. `completed` (perm_id, ...) rows are kept and not computed again.
     """
+    block_rows, perms_per_task = _sizes(block_rows, perms_per_task, layout.dim, 2 * layout.dim * (layout.dim + 1), 50)
     n = df.count()
     done = {r[0] for r in completed.select("perm_id").distinct().collect()} if completed is not None else set()
     todo = [b for b in range(n_perm) if b not in done]  # at most n_perm integers

@@ -8,7 +8,6 @@ Covariates and scaling enter as per-block linear terms fitted on the training ro
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np

@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pairlens.operators import solve
 from pairlens.operators.linear import MAX_MAP_CELLS, project

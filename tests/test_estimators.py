@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pairlens.operators import classify, linear, permutation, reports, solve
+from pairlens.operators import classify, linear, permutation, reports
 from pairlens.operators.moments import Layout, collect_moments, moments, z_vector
 from pairlens.plans import coupling, suite
 

@@ -158,8 +158,9 @@ def block_layout(
     """Blocks placed by subject: (subject, block, c, x, tag). The one shuffle of the data.
 
     `covariates` has (subject, covariates array); `tag` is any column to select rows by later.
+    The number of partitions is Spark's choice unless given.
     """
-    parts = partitions or int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = [partitions] if partitions else []
     c = F.array(F.lit(1.0))
     rows = blocks
     if covariates is not None:
@@ -170,7 +171,7 @@ def block_layout(
             F.col(subject).cast("string").alias("subject"), F.col(block).cast("string").alias("block"), c.alias("c"),
             F.col(embedding).cast("array<double>").alias("x"), (F.lit(True) if tag is None else tag).alias("tag"),
         )
-        .repartition(parts, "subject")
+        .repartition(*parts, "subject")
         .sortWithinPartitions("subject")
     )
 
@@ -238,6 +239,8 @@ def fit_blocks(
         values, vectors = np.linalg.eigh(gram)
         order = np.argsort(values)[::-1][:k]
         top, last = last, values[order]
+        if width == dims:
+            break  # the directions span the whole space, so the first pass is exact
         if len(top) == len(last) and np.abs(top - last).max() <= tol * last.max():
             break
     comps = basis @ vectors[:, order]

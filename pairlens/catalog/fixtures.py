@@ -68,8 +68,8 @@ def tab(spark: SparkSession, sf: str) -> DataFrame:
         (F.count(F.lit(1)) / 10).alias("f0"),
         (F.avg("l_extendedprice") / 9973).alias("f1"),
         (F.avg("l_quantity") / 9.97).alias("f2"),
-        (F.avg("l_discount") * 9.97).alias("f3"),
-        (F.avg("l_tax") * 9.97).alias("f4"),
+        (F.avg("l_discount") / 0.1003).alias("f3"),
+        (F.avg("l_tax") / 0.1003).alias("f4"),
         (F.max("l_extendedprice") / 99991).alias("f5"),
     )
     return agg.select("subject_id", F.array(*[f"f{i}" for i in range(6)]).alias("features"))
@@ -185,7 +185,7 @@ CTES: dict[str, str] = {
     ),
     "tab": (
         "SELECT CAST(o_custkey AS VARCHAR) AS subject_id, count(*) / 10.0::DOUBLE AS f0, avg(l_extendedprice) / 9973 AS f1, "
-        "avg(l_quantity) / 9.97::DOUBLE AS f2, avg(l_discount) * 9.97::DOUBLE AS f3, avg(l_tax) * 9.97::DOUBLE AS f4, max(l_extendedprice) / 99991 AS f5 "
+        "avg(l_quantity) / 9.97::DOUBLE AS f2, avg(l_discount) / 0.1003::DOUBLE AS f3, avg(l_tax) / 0.1003::DOUBLE AS f4, max(l_extendedprice) / 99991 AS f5 "
         "FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey"
     ),
     "ts_all": (

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from pairlens.catalog import fixtures as fx
 from pairlens.catalog.fixtures import r6, round_columns, sql
-from pairlens.catalog.registry import register, scratch_path
+from pairlens.catalog.registry import register
+from pairlens.session import scratch_path
 from pairlens.operators import block_pca as bp
 from pairlens.operators import linear, permutation, reports, solve
 from pairlens.operators.moments import Layout, build_covariates, column_stats, moments, z_vector

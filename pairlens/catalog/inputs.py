@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from pairlens.catalog import fixtures as fx
 from pairlens.catalog.fixtures import r6, round_columns, sql
-from pairlens.catalog.registry import register, scratch_path
+from pairlens.catalog.registry import register
+from pairlens.session import scratch_path
 from pairlens.functions import config_label
 from pairlens.operators import align, reports
 from pairlens.plans import coupling

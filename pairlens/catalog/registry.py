@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import importlib
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,9 +37,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     _load()
     return {name: sql for name, (_, sql) in REGISTRY.items() if sql is not None}
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for written tables: in the shared checkpoint folder, else (tests) a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pairlens-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"

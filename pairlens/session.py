@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import re
+import tempfile
+import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "pairlens", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -28,21 +32,44 @@ def build_session(app: str = "pairlens", master: str | None = None, shuffle_part
     return builder.getOrCreate()
 
 
-def checkpointed(df, eager: bool = True):
-    """Cut lineage through the shared checkpoint folder of the cluster.
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="pairlens-")
 
-    Reads `spark.checkpoint.dir` from the session. Without one (as in tests) the
-    frame is returned as it is, so nothing lands in a machine-local folder.
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`; a temporary one where driver and tasks are one process.
+
+    Raises on a cluster without the setting: executors do not see each other's disks.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
-    spark.sparkContext.setCheckpointDir(folder)
+    if folder:
+        return folder
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{_local_folder()}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for a written table in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut lineage through the shared folder."""
+    spark = df.sparkSession
+    spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager)
 
 
-def held(df):
-    """Input of repeated passes: kept on the executors, and in the shared folder where there is one,
-    so that a lost executor costs a re-read and not the steps before."""
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows as a table in the shared folder and read it back: each row is computed once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def held(df: DataFrame) -> DataFrame:
+    """Input of repeated passes: kept on the executors and in the shared folder, so that a lost
+    executor costs a re-read and not the steps before."""
     return checkpointed(df).persist(StorageLevel.MEMORY_AND_DISK)

@@ -146,9 +146,9 @@ def identify(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame
     """All columns of `docs` and `lang_pred`, `lang_score` (its share among the languages, 0 to 1), `lang_bits` (bits per byte).
 
     From whole texts. A null text, one without a letter, or a model without languages gives `und`, score 0 and null bits.
+    Columns of these names in the input are replaced.
     """
-    if {"lang_pred", "lang_score", "lang_bits"} & set(docs.columns):
-        raise ValueError("the input has a column lang_pred, lang_score or lang_bits already")
+    docs = docs.drop("lang_pred", "lang_score", "lang_bits")
     shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the bytes it was grown from
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

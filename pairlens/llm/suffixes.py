@@ -14,13 +14,14 @@ have equal anchors at equal places, wherever they stand, so comparing the anchor
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of one worker step.
 STEP = 1 << 20
@@ -189,10 +190,11 @@ def repeated_windows(around: np.ndarray, doc: np.ndarray, near: np.ndarray, far:
 class SubstringDedup:
     """The stages of the deduplication for windows of `length` bytes."""
 
-    BLOB = "target int, kind int, id bigint, tag bigint, data binary"
+    FIELDS = ["target", "kind", "id", "tag", "rest", "data"]
+    BLOB = "target int, kind int, id bigint, tag bigint, rest string, data binary"
 
-    def __init__(self, length: int, token: int, tasks: int) -> None:
-        self.anchors, self.length, self.tasks = Anchors(length, token), length, tasks
+    def __init__(self, length: int, token: int, tasks: int, whole_characters: bool = False) -> None:
+        self.anchors, self.length, self.tasks, self.whole_characters = Anchors(length, token), length, tasks, whole_characters
         self.before = self.anchors.span - 1
         if self.before > 63:
             raise ValueError("length - token must be 63 at most")
@@ -240,7 +242,7 @@ class SubstringDedup:
             rows = [(int(target[s]), _planes(np.unique(hashes[s:e]))) for s, e in zip(border, np.concatenate([border[1:], [len(target)]]))]
             if rows:
                 n = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([0] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["target", "kind", "id", "tag", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([0] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=self.FIELDS)
 
     def compressed(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts on their way to the task of their document (id mod tasks; null ids with the tag)."""
@@ -251,7 +253,7 @@ class SubstringDedup:
                 ids, tags = chunk.column("id").to_pylist(), chunk.column("tag").to_pylist()
                 data = [None if (t := x.as_py()) is None else len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for x in chunk.column("text")]
                 target = [(t if i is None else i) % self.tasks for i, t in zip(ids, tags)]
-                yield pa.RecordBatch.from_arrays([pa.array(target, pa.int32()), pa.array([1] * len(ids), pa.int32()), chunk.column("id"), chunk.column("tag"), pa.array(data, pa.binary())], names=["target", "kind", "id", "tag", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(target, pa.int32()), pa.array([1] * len(ids), pa.int32()), chunk.column("id"), chunk.column("tag"), chunk.column("rest"), pa.array(data, pa.binary())], names=self.FIELDS)
 
     @staticmethod
     def _texts(batches: Iterator[pa.RecordBatch], marks: list) -> Iterator[pa.RecordBatch]:
@@ -259,13 +261,13 @@ class SubstringDedup:
         codec = pa.Codec("zstd", 3)
         for batch in batches:
             rows, size = [], 0
-            for target, kind, doc, tag, data in zip(*(batch.column(c) for c in ("target", "kind", "id", "tag", "data"))):
+            for target, kind, doc, tag, rest, data in zip(*(batch.column(c) for c in SubstringDedup.FIELDS)):
                 if kind.as_py() == 0:
                     marks.append((target.as_py(), data.as_py()))
                     continue
                 blob = data.as_py()
                 text = None if blob is None else codec.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), asbytes=True)
-                rows.append((doc.as_py(), tag.as_py(), text))
+                rows.append((doc.as_py(), tag.as_py(), text, rest.as_py()))
                 size += len(text or b"")
                 if size > 4 * STEP:
                     yield SubstringDedup._batch(rows)
@@ -275,7 +277,7 @@ class SubstringDedup:
 
     @staticmethod
     def _batch(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["id", "tag", "text"])
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.string()))], names=["id", "tag", "text", "rest"])
 
     # 2: surroundings of the anchors that several documents have, by range of the leading token.
 
@@ -355,7 +357,7 @@ class SubstringDedup:
                 if kind:
                     parts.setdefault(target, []).append(self._fields(data))
                 else:
-                    yield pa.RecordBatch.from_arrays([pa.array([target], pa.int32()), pa.array([0], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([data], pa.binary())], names=["target", "kind", "id", "tag", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array([target], pa.int32()), pa.array([0], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.array([data], pa.binary())], names=self.FIELDS)
         width = self.before + self.length
         while parts:
             own = parts.popitem()[1]
@@ -366,7 +368,7 @@ class SubstringDedup:
             if len(hit):
                 found = self._marks(doc[hit], tag[hit], position[hit], marks[hit])
                 n = found.num_rows
-                yield pa.RecordBatch.from_arrays([found.column(0), found.column(1), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), found.column(2)], names=["target", "kind", "id", "tag", "data"])
+                yield pa.RecordBatch.from_arrays([found.column(0), found.column(1), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), found.column(2)], names=self.FIELDS)
 
     # 4: the documents without their repeated bytes.
 
@@ -382,7 +384,7 @@ class SubstringDedup:
                 marks.clear()
             out = [self._kept(doc, tag, text, table) for doc, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), (x.as_py() for x in batch.column(2)))]
             spans = pa.array([o[1] for o in out], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([o[0] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.int64()), spans], names=["id", "tag", "kept", "n_bytes", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([o[0] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.int64()), spans, batch.column(3)], names=["id", "kept", "n_bytes", "spans", "rest"])
 
     def _kept(self, doc: int | None, tag: int, text: bytes | None, table: list[np.ndarray]) -> tuple[bytes, list[dict], int]:
         if text is None or doc is None:
@@ -395,34 +397,44 @@ class SubstringDedup:
         row, back = np.nonzero(bits)
         start = table[2][lo:hi][row] - back
         depth = np.bincount(start, minlength=len(text) + 1) - np.bincount(start + self.length, minlength=len(text) + 1)
-        gone = np.concatenate([[0], np.cumsum(depth[:-1]) > 0, [0]]).astype(np.int8)
+        gone = np.cumsum(depth[:-1]) > 0
+        data = np.frombuffer(text, np.uint8)
+        if self.whole_characters:  # UTF-8: a character goes if all its bytes do
+            first = np.flatnonzero((data & 0xC0) != 0x80)
+            gone = np.repeat(np.logical_and.reduceat(gone, first), np.diff(np.append(first, len(data))))
+        gone = np.concatenate([[0], gone, [0]]).astype(np.int8)
         edge = np.diff(gone)
         spans = [{"start": s, "end": e} for s, e in zip(np.flatnonzero(edge > 0).tolist(), np.flatnonzero(edge < 0).tolist())]
-        return np.frombuffer(text, np.uint8)[gone[1:-1] == 0].tobytes(), spans, len(text)
+        return data[gone[1:-1] == 0].tobytes(), spans, len(text)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, token: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, token: int = 24, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False) -> DataFrame:
     """Cut every byte covered by a `length`-byte string that also starts in a document with a smaller id.
 
-    Returns `id_col`, `kept` (binary), `n_bytes`, `spans` (removed runs as byte offsets) and `tag` (a hash of the text that tells
-    rows with equal ids apart). Texts are judged as they came in, overlaps count, and matches never cross documents. Texts
-    that are null, empty or shorter than `length` stay (null as empty bytes); rows with a null id take no part and stay; rows with
-    equal ids never remove from each other. An empty table gives an empty result.
+    Returns all columns but `text_col`, and `kept` (binary), `n_bytes` and `spans` (removed runs as byte offsets), which replace columns of
+    these names. With `whole_characters` a UTF-8 character stays unless all its bytes go, so `kept` is text again. Texts are judged as they
+    came in, overlaps count, and matches never cross documents. Texts that are null, empty or shorter than `length` stay (null as empty
+    bytes); rows with a null id take no part and stay; rows with equal ids never remove from each other. An empty table gives an
+    empty result.
     """
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    steps = SubstringDedup(length, token, tasks)
+    steps = SubstringDedup(length, token, tasks, whole_characters)
     text = F.col(text_col).cast("binary")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag"), text.alias("text"))
-    packed = rows.mapInArrow(steps.compressed, steps.BLOB)
+    others = T.StructType([f for f in docs.schema if f.name not in (id_col, text_col, "kept", "n_bytes", "spans")])
+    rest = F.to_json(F.struct(*(F.col(f"`{f.name}`") for f in others))) if len(others) else F.lit(None).cast("string")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag"), text.alias("text"), rest.alias("rest"))
+    bare = rows.withColumn("rest", F.lit(None).cast("string"))
 
-    counted = rows.mapInArrow(steps.tokens, "target int, hashes binary, docs binary").repartitionById(tasks, "target").mapInArrow(steps.shared_tokens, steps.BLOB)
-    gathered = packed.unionByName(counted).repartitionById(tasks, "target").sortWithinPartitions("kind")
+    counted = rows.select("id", "tag", "text").mapInArrow(steps.tokens, "target int, hashes binary, docs binary").repartitionById(tasks, "target").mapInArrow(steps.shared_tokens, steps.BLOB)
+    gathered = bare.mapInArrow(steps.compressed, steps.BLOB).unionByName(counted).repartitionById(tasks, "target").sortWithinPartitions("kind")
     found = gathered.mapInArrow(steps.suffixes(_splitters(rows, steps, tasks)), "target int, kind int, data binary")
     marks = found.repartitionById(tasks, "target").mapInArrow(steps.buckets, steps.BLOB)
-    final = packed.unionByName(marks).repartitionById(tasks, "target").sortWithinPartitions("kind")
-    out = final.mapInArrow(steps.cut, "id bigint, tag bigint, kept binary, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>")
-    return out.select(F.col("id").alias(id_col), "tag", "kept", "n_bytes", "spans")
+    final = rows.mapInArrow(steps.compressed, steps.BLOB).unionByName(marks).repartitionById(tasks, "target").sortWithinPartitions("kind")
+    out = final.mapInArrow(steps.cut, "id bigint, kept binary, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, rest string")
+    if len(others):
+        out = out.withColumn("rest", F.from_json("rest", others))
+    return out.select(F.col("id").alias(id_col), *(F.col(f"rest.`{f.name}`").alias(f.name) for f in others), "kept", "n_bytes", "spans")
 
 
 def _splitters(rows: DataFrame, steps: SubstringDedup, tasks: int) -> np.ndarray:

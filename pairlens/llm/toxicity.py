@@ -23,8 +23,9 @@ from pairlens.llm.samples import labelled_sample
 BUCKETS, WIDTH, PASSAGE = 1 << 16, 8, 32
 #: Labelled rows of each label that the classifier is fitted on, at most.
 PER_LABEL = 3000
-EPOCHS, BATCH, RATE, FLOOR = 8, 128, 0.1, 1e-4
-SPEED = 100
+EPOCHS, BATCH, RATE, VECTOR_RATE, FLOOR = 6, 128, 0.1, 5.0, 1e-4
+#: Small samples are gone through more often, until so many batches have been seen.
+UPDATES = 280
 #: Buckets met in fewer training texts are left at zero: they would only memorise their texts.
 MIN_TEXTS = 5
 #: Words whose score a worker remembers; when full, it starts afresh.
@@ -110,7 +111,8 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     weights, bias = rng.normal(0, 0.5, (WIDTH, 2)), np.zeros(2)
     sums = [np.full_like(x, FLOOR) for x in (vectors, weights, bias)]
     balance = np.where(target > 0, (target == 0).sum() / (target > 0).sum(), 1.0) ** 0.5
-    for epoch in range(EPOCHS):
+    batches = max(1, len(texts) // BATCH)
+    for epoch in range(max(EPOCHS, -(-UPDATES // batches))):
         if epoch < 2:  # any passage, as there is no model yet
             chosen = head + (rng.random(len(head)) * np.bincount(of_doc)).astype(int)
         else:
@@ -119,7 +121,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
             mean = np.add.reduceat(value[words] * first_use, start) / (stop - start)
             by = np.lexsort((-mean, of_doc))
             chosen = by[head]
-        for batch in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // BATCH)):
+        for batch in np.array_split(rng.permutation(len(texts)), batches):
             own = chosen[batch]
             length = stop[own] - start[own]
             member = np.repeat(np.arange(len(own)), length)
@@ -142,7 +144,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
             p *= balance[batch, None] / len(own)
             steps = (PASSAGE * (share.T @ (p @ weights.T)), hidden.T @ p, p.sum(axis=0))
             sums[0][used] += steps[0] ** 2
-            vectors[used] -= RATE * SPEED * steps[0] / np.sqrt(sums[0][used]) * known[used, None]
+            vectors[used] -= VECTOR_RATE * steps[0] / np.sqrt(sums[0][used]) * known[used, None]
             for x, total, step in ((weights, sums[1], steps[1]), (bias, sums[2], steps[2])):
                 total += step**2
                 x -= RATE * step / np.sqrt(total)
@@ -156,7 +158,11 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of `docs` and `toxicity` (0 to 1), from whole texts. A null or wordless text scores by the bias alone."""
+    """All columns of `docs` and `toxicity` (0 to 1), from whole texts. A null or wordless text scores by the bias alone.
+
+    A column `toxicity` of the input is replaced.
+    """
+    docs = docs.drop("toxicity")
     shared = docs.sparkSession.sparkContext.broadcast((model.table, model.bias))  # one value per bucket
     local: dict[str, Model] = {}
 
@@ -167,7 +173,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 chunk = batch.slice(part, 1024)
                 yield chunk.append_column("toxicity", pa.array([own.score(t.as_py()) for t in chunk.column(text_col)], pa.float64()))
 
-    if "toxicity" in docs.columns:
-        raise ValueError("the input has a column toxicity already")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{fields}, toxicity double")

@@ -19,6 +19,8 @@ from pairlens.session import written
 TOXIC = 0.5
 #: Uniform coding takes 8 bits a byte; what no language codes shorter is in none of them.
 MAX_BITS = 8.0
+#: Near-duplicates: five-word shingles, and as many of 256 fingerprint bits as differ at a similarity of 0.8.
+WORDS, LANES, DISTANCE = 5, 4, 40
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays, that with the smallest id (of equal ids, the smaller hash of the text)."""
     keyed = docs.withColumn("row_key", F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_hash")))
-    members = simhash.near_duplicates(keyed, id_col="row_key")
+    members = simhash.near_duplicates(keyed, id_col="row_key", words=WORDS, distance=DISTANCE, lanes=LANES)
     kept = members.where("row_key = component_id").select("row_key").distinct()
     return keyed.join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]).select(docs.columns)
 

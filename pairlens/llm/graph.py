@@ -26,7 +26,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable node per node of an undirected edge list.
 
-    edges: columns `a`, `b` (long), any order, repeats and self-links allowed. Returns `node`, `root` for every node
+    edges: columns `a`, `b` (of one type that can be ordered), any order, repeats and self-links allowed. Returns `node`, `root` for every node
     but the roots themselves (a node that links to nothing has no row). An empty list gives no row. Alternates large and
     small stars, whose number grows with the logarithm of the longest path; each round is cut by a checkpoint.
     A star's hot centre is a skewed join side that adaptive execution splits; no group is gathered in one task.

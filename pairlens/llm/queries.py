@@ -57,7 +57,7 @@ def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op7_simhash(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate classes of every document by fingerprints at most 3 bits apart."""
     out = simhash.near_duplicates(_table(spark, sf, "documents"))
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lpad(F.lower(F.hex(F.get("fp", F.lit(0)))), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op8_streaming_viterbi(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,14 +1,17 @@
 """SimHash near-duplicates: a byte-position inverted index with count filtering.
 
-Fingerprints of 64 bits that differ in at most d bits differ in at most d of their 8 bytes, so they share at least
-8 - d positional bytes (5 of 8 for d = 3). Postings of one byte each would grow with the square of the corpus, so a
-posting's key holds `KEY_BYTES` positions at once, taken from a set of position tuples of which every possible set of
-shared positions contains one: no pair is missed. Pairs that meet have their shared positional bytes tallied, those
-below the guaranteed count go, the rest is verified by the bits.
+Fingerprints that differ in at most d bits differ in at most d bytes. Of the 8 bytes of a 64-bit fingerprint they share at least 8 - d
+positional bytes (5 for d = 3). Postings of one byte each would grow with the square of the corpus, so a posting's key holds `KEY_BYTES`
+positions at once, taken from a set of position tuples of which every possible set of shared positions contains one: no pair is
+missed. Pairs that meet have their shared positional bytes tallied, those below the guaranteed count go, the rest is verified by the bits.
+
+Looser similarity needs longer fingerprints: `lanes` of 64 bits. Where d leaves no byte guaranteed, `SAMPLED` tuples stand in for the cover; pairs
+at 0.9 of the shingles then meet with a chance of over 0.95 (tests measure it).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -19,30 +22,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.llm.graph import connected_components
-from pairlens.session import checkpointed
+from pairlens.session import checkpointed, written
 
 KEY_BYTES = 4
+#: Position tuples where none is guaranteed.
+SAMPLED = 128
 #: Fingerprints of one posting that a task compares at once; larger postings are split into pairs of such blocks.
 BLOCK = 8192
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
 
-def position_tuples(shared: int, size: int) -> list[tuple[int, ...]]:
-    """Tuples of `size` byte positions such that every set of `shared` of the 8 positions contains one (greedy cover)."""
-    size = min(size, shared)
-    missing, chosen = set(combinations(range(8), shared)), []
-    while missing:
-        best = max(combinations(range(8), size), key=lambda t: sum(set(t) <= set(m) for m in missing))
-        chosen.append(best)
-        missing = {m for m in missing if not set(best) <= set(m)}
-    return chosen
-
+def position_tuples(positions: int, shared: int) -> list[tuple[int, ...]]:
+    """Tuples of `KEY_BYTES` byte positions such that every set of `shared` positions contains one (greedy cover of 8 positions).
 
-def text_fingerprint(text: bytes | None, words: int, seed: int) -> int:
+    Without that guarantee (fewer shared than a key holds, or more positions) a fixed sample of tuples.
+    """
+    if positions == 8 and shared >= KEY_BYTES:
+        missing, chosen = set(combinations(range(8), shared)), []
+        while missing:
+            best = max(combinations(range(8), KEY_BYTES), key=lambda t: sum(set(t) <= set(m) for m in missing))
+            chosen.append(best)
+            missing = {m for m in missing if not set(best) <= set(m)}
+        return chosen
+    rng, found = np.random.default_rng(11), set()
+    while len(found) < min(SAMPLED, math.comb(positions, KEY_BYTES)):
+        found.add(tuple(sorted(rng.choice(positions, KEY_BYTES, replace=False).tolist())))
+    return sorted(found)
+
+
+def _lanes(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """The hashes and their remixes, a column each."""
+    out = [hashes]
+    for k in range(1, lanes):
+        x = (hashes + np.uint64(0x9E3779B97F4A7C15 * k % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0x94D049BB133111EB)
+        out.append(x ^ (x >> np.uint64(32)))
+    return np.stack(out, axis=1)
+
+
+def text_fingerprint(text: bytes | None, words: int, seed: int, lanes: int = 1) -> list[int]:
     """Fingerprint of one UTF-8 text: A-Z lower-cased, ASCII white space splits, majority of the shingles' XXH64 bits."""
     parts = (text or b"").lower().split()
     if not parts:
-        return 0
+        return [0] * lanes
     n = len(parts)
     joined, digest = b" ".join(parts), xxhash.xxh64_intdigest
     if n < words:
@@ -51,96 +74,94 @@ def text_fingerprint(text: bytes | None, words: int, seed: int) -> int:
         at = np.zeros(n + 1, dtype=np.int64)
         np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=n) + 1, out=at[1:])
         hashes = [digest(joined[s:e], seed) for s, e in zip(at[: n - words + 1].tolist(), (at[words:] - 1).tolist())]
-    octets = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
-    counts = np.bincount((octets + np.arange(0, 2048, 256)).ravel(), minlength=2048).reshape(8, 256) @ _BITS
-    return int(np.packbits((2 * counts > len(hashes)).ravel(), bitorder="little").view("<i8")[0])
+    size = 8 * lanes
+    octets = np.ascontiguousarray(_lanes(np.array(hashes, dtype="<u8"), lanes)).view(np.uint8).reshape(-1, size)
+    counts = np.bincount((octets + np.arange(0, 256 * size, 256)).ravel(), minlength=256 * size).reshape(size, 256) @ _BITS
+    return np.packbits((2 * counts > len(hashes)).ravel(), bitorder="little").view("<i8").tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
-    """`id_col` and `fp` (long, the 64 bits) per row, from whole texts. A null or empty text has fingerprint zero."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, lanes: int = 1) -> DataFrame:
+    """`id_col` and `fp` (bigint array, 64 bits per lane) per row, from whole texts. A null or empty text has fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = pa.array((text_fingerprint(t.as_py(), words, seed) for t in batch.column(1)), pa.int64(), size=batch.num_rows)
+            fps = pa.array([text_fingerprint(t.as_py(), words, seed, lanes) for t in batch.column(1)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, fp bigint").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, fp array<bigint>").withColumnRenamed("id", id_col)
 
 
-def _mask(positions: tuple[int, ...]) -> int:
-    return int(np.array([255 if i in positions else 0 for i in range(8)], np.uint8).view("<i8")[0])
+def _key(positions: tuple[int, ...], lanes: int) -> Column:
+    """One number for the bytes at these positions; other bytes with the same number are told apart when pairs are verified."""
+    masks = np.array([255 if i in positions else 0 for i in range(8 * lanes)], np.uint8).view("<i8").tolist()
+    parts = [F.get("fp", F.lit(k)).bitwiseAND(F.lit(m)) for k, m in enumerate(masks) if m]
+    return parts[0] if lanes == 1 else F.xxhash64(*parts)
 
 
-def _spanning_links(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links that connect whatever is connected inside one block: each value is compared once with those not yet reached."""
-    links, rest = [], values
+def _spanning_links(values: np.ndarray, distance: int, shared: int) -> list[tuple[int, int]]:
+    """Links (as row numbers) that connect whatever is connected inside one block: each row is compared once with those not yet reached."""
+    links, rest = [], np.arange(len(values))
+    octets, numbers = values.view(np.uint8).reshape(len(values), -1), values.view(np.uint64)
     while len(rest):
-        queue, rest = [rest[0]], rest[1:]
+        queue, rest = [int(rest[0])], rest[1:]
         while queue and len(rest):
             node = queue.pop()
-            x = rest ^ node
-            near = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= 8 - distance
-            near[near] = np.bitwise_count(x[near].view(np.uint64)) <= distance
+            near = (octets[rest] == octets[node]).sum(axis=1) >= shared
+            near[near] = np.bitwise_count(numbers[rest[near]] ^ numbers[node]).sum(axis=1, dtype=np.int64) <= distance
             if near.any():
-                found = rest[near]
-                links += [(int(node), int(v)) for v in found]
-                queue += found.tolist()
+                found = rest[near].tolist()
+                links += [(node, v) for v in found]
+                queue += found
                 rest = rest[~near]
     return links
 
 
-def _cross_links(left: np.ndarray, right: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Links that connect two blocks of one posting."""
-    return _spanning_links(np.concatenate([left, right]), distance)
-
-
-def near_links(distinct: DataFrame, distance: int = 3) -> DataFrame:
-    """`a`, `b`: links between distinct fingerprints (column `fp`) that connect all that lie within `distance` bits.
+def near_links(distinct: DataFrame, distance: int = 3, lanes: int = 1) -> DataFrame:
+    """`a`, `b`: links between distinct fingerprints (column `fp`) that connect all that lie within `distance` bits and meet in a posting.
 
     Not every close pair is listed: inside a posting a spanning forest is, so a group of n near copies gives at most
-    n - 1 links per posting.
+    n - 1 links per posting. A posting of over `BLOCK` fingerprints is split into pairs of blocks.
     """
-    spark = distinct.sparkSession
-    tuples = position_tuples(8 - distance, KEY_BYTES)
-    posts = F.array(*[F.struct(F.lit(i).alias("at"), F.col("fp").bitwiseAND(F.lit(_mask(t))).alias("part")) for i, t in enumerate(tuples)])
-    rows = distinct.select("fp", F.explode(posts).alias("p")).select("fp", "p.at", "p.part")
-    sizes = rows.groupBy("at", "part").agg(F.count("*").alias("n")).where("n > 1")
-    shared = rows.join(sizes, ["at", "part"])
+    shared = max(8 * lanes - distance, KEY_BYTES)
+    # Postings hold a number for each fingerprint (one lane: itself), which is exchanged for it once few are left.
+    own_id = F.get("fp", F.lit(0)) if lanes == 1 else F.xxhash64("fp")
+    posts = F.array(*[F.xxhash64(F.lit(i), _key(t, lanes)) for i, t in enumerate(position_tuples(8 * lanes, 8 * lanes - distance))])
+    rows = distinct.select(own_id.alias("fid"), F.explode(posts).alias("part"))
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK)
-    own: Column = F.pmod(F.xxhash64("fp"), blocks)
-    shared = shared.select("at", "part", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other"))
-    groups = shared.groupBy("at", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_set("fp").alias("fps"))
+    own = F.pmod(F.xxhash64("fid"), blocks)
+    met = rows.join(sizes, "part").select("part", "fid", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other"))
+    met = met.join(distinct.select(own_id.alias("fid"), "fp"), "fid")
+    groups = met.groupBy("part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list("fp").alias("fps"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, links = batch.column(0), []
-            flat, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            sizes = np.diff(offsets)
-            two = offsets[:-1][sizes == 2]
-            x = flat[two] ^ flat[two + 1]
-            near = np.bitwise_count(x.view(np.uint64)) <= distance
-            links += zip(flat[two][near].tolist(), flat[two + 1][near].tolist())
-            for s, e in zip(offsets[:-1][sizes > 2], offsets[1:][sizes > 2]):
-                links += _spanning_links(flat[s:e], distance)
-            a, b = zip(*links) if links else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    spark.conf.get("spark.sql.shuffle.partitions")
-    return groups.select("fps").mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3, seed: int = 42) -> DataFrame:
+            lists = batch.column(0)
+            values, at = lists.flatten().flatten().to_numpy().reshape(-1, lanes), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            sizes = np.diff(at)
+            two = at[:-1][sizes == 2]
+            near = np.bitwise_count((values[two] ^ values[two + 1]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= distance
+            links = list(zip(two[near].tolist(), (two[near] + 1).tolist()))
+            for s, e in zip(at[:-1][sizes > 2].tolist(), at[1:][sizes > 2].tolist()):
+                links += [(s + x, s + y) for x, y in _spanning_links(np.ascontiguousarray(values[s:e]), distance, shared)]
+            ends = [values[[x[k] for x in links]].tolist() if links else [] for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int64())) for x in ends], names=["a", "b"])
+
+    return groups.select("fps").mapInArrow(run, "a array<bigint>, b array<bigint>").distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3, seed: int = 42, lanes: int = 1) -> DataFrame:
     """`id_col`, `fp` and `component_id` (smallest id reachable over links of at most `distance` bits) per row.
 
     Copies share a fingerprint and so a component; a null or empty text has fingerprint zero, linked like any other.
     Rows with equal ids stay separate rows. A null id keeps its row and never names a component (null only if its whole
     component has no id). An empty table gives an empty result; other columns are not read.
     """
-    rows = checkpointed(fingerprints(docs, id_col, text_col, words, seed))
+    rows = written(fingerprints(docs, id_col, text_col, words, seed, lanes), "fingerprints")
     classes = checkpointed(rows.groupBy("fp").agg(F.min(id_col).alias("least")))
-    roots = connected_components(near_links(classes.select("fp"), distance)).withColumnRenamed("node", "fp")
+    roots = connected_components(near_links(classes.select("fp"), distance, lanes)).withColumnRenamed("node", "fp")
     classes = classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = classes.join(named, "root").select("fp", "component_id")

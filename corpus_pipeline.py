@@ -19,8 +19,8 @@ from pairlens.session import written
 TOXIC = 0.5
 #: Uniform coding takes 8 bits a byte; what no language codes shorter is in none of them.
 MAX_BITS = 8.0
-#: Near-duplicates: five-word shingles, and as many of 256 fingerprint bits as differ at a similarity of 0.8.
-WORDS, LANES, DISTANCE = 5, 4, 40
+#: Near-duplicates: five-word shingles, and as many of 512 fingerprint bits as differ at a similarity of 0.8.
+WORDS, LANES, DISTANCE = 5, 8, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

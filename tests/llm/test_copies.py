@@ -73,7 +73,7 @@ def test_wide_fingerprints_find_near_copies(spark):
         for at in (20, 120):  # 10 of 196 five-word shingles
             other[at] = f"new{k}"
         rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(other))]
-    got = dict(simhash.near_duplicates(documents(spark, rows), words=5, distance=40, lanes=4).select("doc_id", "component_id").collect())
+    got = dict(simhash.near_duplicates(documents(spark, rows), words=5, distance=80, lanes=8).select("doc_id", "component_id").collect())
     pairs = [got[2 * k + 1] == 2 * k for k in range(120)]
     assert np.mean(pairs) >= 0.9
     assert all(got[d] // 2 == d // 2 for d in got)

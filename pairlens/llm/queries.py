@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import archives, language, merkle, packing, pivots, simhash, suffixes, toxicity, unigram, urls
+from pairlens.llm import archives, language, merkle, packing, pivots, simhash, sql, suffixes, toxicity, unigram, urls
 from pairlens.llm.samples import id_remainder
 
 #: Fixed values of the packing contract.
@@ -28,7 +28,8 @@ def op1_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 def op2_merkle(spark: SparkSession, sf: str) -> DataFrame:
     """Merkle fingerprints of every document, of an edit of it, and their likeness."""
-    return merkle.fingerprints_of_edits(_table(spark, sf, "documents"))
+    out = merkle.fingerprints_of_edits(_table(spark, sf, "documents"))
+    return out.withColumn("edited_paragraphs", F.array_join("edited_paragraphs", ","))
 
 
 def op3_best_fit(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,4 +91,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express."""
-    return {}
+    return {
+        "op1_url_filter": sql.url_filter(RULES, urls.ORDER, urls.HELD_OUT),
+        "op2_merkle": sql.merkle(),
+        "op4_arc_to_warc": sql.ARCHIVE,
+        "op5_pivot_top_k": sql.TOP_K,
+        "op6_suffix_dedup": sql.REPEATS,
+    }

@@ -20,24 +20,32 @@ from pairlens.plans import coupling, export, interpretable
 
 # ---- the paired table -----------------------------------------------------------
 
+_VECTOR = "CAST(embedding AS DOUBLE[])"
 PAIRS_SQL = (
-    "SELECT subject_id, y, age / 1000 AS a, sex AS g, "
-    + ", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS e{i}" for i in range(1, 15))
-    + " FROM emb JOIN cov USING (subject_id) WHERE valid"
+    f"SELECT subject_id, y, age / 1000 AS a, sex AS g, {_VECTOR} AS e, "
+    + ", ".join(f"list_avg({_VECTOR}[{16 * i + 1}:{16 * i + 16}]) AS e{i + 1}" for i in range(4))
+    + f", list_avg({_VECTOR}[1:32]) AS h1, list_avg({_VECTOR}[33:64]) AS h2 FROM emb JOIN cov USING (subject_id) WHERE valid"
 )
 
 
+def _means(column: str, width: int, parts: int):
+    """Means of equal parts of a vector of `width` values."""
+    size = width // parts
+    return F.array(*[F.aggregate(F.slice(column, i * size + 1, size), F.lit(0.0), lambda s, v: s + v) / size for i in range(parts)])
+
+
 def pairs(spark, sf):
-    """Vectors with valid covariates: x = 8 dims, b = next 6 dims."""
+    """Vectors with valid covariates: x = the first 32 values, b = the other 32; q = means of the quarters, h = means of the halves."""
     from pairlens.operators.align import attach_covariates
 
     e = fx.emb(spark, sf).select("subject_id", "y", F.col("embedding").cast("array<double>").alias("e"))
     return attach_covariates(e, fx.cov(spark, sf)).select(
-        "subject_id", "y", build_covariates(F.col("age") / 1000, "sex").alias("c"), F.slice("e", 1, 8).alias("x"), F.slice("e", 9, 6).alias("b"), F.slice("e", 1, 14).alias("e")
-    )
+        "subject_id", "y", build_covariates(F.col("age") / 1000, "sex").alias("c"), F.slice("e", 1, 32).alias("x"), F.slice("e", 33, 32).alias("b"), "e",
+        _means("e", 64, 4).alias("q"), _means("e", 64, 2).alias("h"),
+    )
 
 
-L_FULL = Layout(2, 8, 6)
+L_FULL = Layout(2, 32, 32)
 L_2X2 = Layout(0, 2, 2)
 
 
@@ -46,8 +54,8 @@ def z_full():
 
 
 def z_2x2():
-    """Two features per view, no covariates."""
-    return z_vector(None, F.slice("e", 1, 2), F.slice("e", 3, 2))
+    """Two features per view, the means of its halves, no covariates."""
+    return z_vector(None, F.slice("q", 1, 2), F.slice("q", 3, 2))
 
 
 def psql(body: str, **extra: str) -> str:
@@ -86,52 +94,47 @@ def column_stats_query(spark, sf):
 
 
 def _resid_ctes(where: str) -> dict[str, str]:
-    """Residuals of e1 and e9 on [1, a, g] fitted on the split rows that satisfy `where`, by the two-regressor closed form."""
-    st = ", ".join(
-        f"covar_pop(a, {v}) AS sa_{v}, covar_pop(g, {v}) AS sg_{v}, avg({v}) AS m_{v}" for v in ("e1", "e9")
-    )
-    coef = ", ".join(
-        f"(sa_{v} * sgg - sg_{v} * sag) / (saa * sgg - sag * sag) AS ba_{v}, (sg_{v} * saa - sa_{v} * sag) / (saa * sgg - sag * sag) AS bg_{v}" for v in ("e1", "e9")
-    )
-    res = ", ".join(f"p.{v} - m_{v} - ba_{v} * (p.a - ma) - bg_{v} * (p.g - mg) AS {v}" for v in ("e1", "e9"))
+    """Residuals of every vector value on [1, a, g] fitted on the split rows that satisfy `where`, by the two-regressor closed form."""
     return {k: _SPLIT[k] for k in ("sizes", "shares", "quota", "fo")} | {
-        "st": f"SELECT covar_pop(a, a) AS saa, covar_pop(g, g) AS sgg, covar_pop(a, g) AS sag, avg(a) AS ma, avg(g) AS mg, {st} FROM fo WHERE {where}",
-        "co": f"SELECT *, {coef} FROM st",
-        "res": f"SELECT p.subject_id, p.fold, {res} FROM fo AS p, co",
+        "v": "SELECT subject_id, fold, a, g, unnest(e) AS v, unnest(range(64)) AS feature FROM fo",
+        "st": f"SELECT feature, covar_pop(a, a) AS saa, covar_pop(g, g) AS sgg, covar_pop(a, g) AS sag, avg(a) AS ma, avg(g) AS mg, covar_pop(a, v) AS sa, covar_pop(g, v) AS sg, avg(v) AS m FROM v WHERE {where} GROUP BY feature",
+        "co": "SELECT *, (sa * sgg - sg * sag) / (saa * sgg - sag * sag) AS ba, (sg * saa - sa * sag) / (saa * sgg - sag * sag) AS bg FROM st",
+        "res": "SELECT subject_id, fold, feature, v, v - m - ba * (a - ma) - bg * (g - mg) AS r FROM v JOIN co USING (feature)",
+        "sc": f"SELECT feature, avg(r) AS mean, stddev_pop(r) AS sd FROM res WHERE {where} GROUP BY feature",
     }
 
 
 _TRAIN = "fold >= 0"
+_RESID = f"SELECT subject_id, CAST(feature AS INTEGER) AS feature, {r6('r')} AS value FROM res"
+_SCALED = f"SELECT subject_id, CAST(feature AS INTEGER) AS feature, {r6('(r - mean) / sd')} AS value FROM res JOIN sc USING (feature)"
 
 
-def _two(df):
-    return round_columns(df.select("subject_id", F.col("x")[0].alias("e1"), F.col("y")[0].alias("e9")), "e1", "e9")
+def _long(df):
+    """A row per subject and value of both prepared views."""
+    return round_columns(df.select("subject_id", F.posexplode(F.concat("x", "y")).alias("feature", "value")), "value")
 
 
-@register("residualize", psql(f"SELECT subject_id, {r6('e1')} AS e1, {r6('e9')} AS e9 FROM res", **_resid_ctes("true")))
+@register("residualize", psql(_RESID, **_resid_ctes("true")))
 def residualize(spark, sf):
-    return _two(linear.prepare_views(pairs(spark, sf), z_full(), L_FULL, ["subject_id"], standardize=False))
+    return _long(linear.prepare_views(pairs(spark, sf), z_full(), L_FULL, ["subject_id"], standardize=False))
 
 
-@register("residualize_train", psql(f"SELECT subject_id, {r6('e1')} AS e1, {r6('e9')} AS e9 FROM res", **_resid_ctes(_TRAIN)))
+@register("residualize_train", psql(_RESID, **_resid_ctes(_TRAIN)))
 def residualize_train(spark, sf):
     rows = coupling.assign_splits(pairs(spark, sf))
-    return _two(linear.prepare_views(rows, z_full(), L_FULL, ["subject_id"], F.col("fold") >= 0, standardize=False))
-
+    return _long(linear.prepare_views(rows, z_full(), L_FULL, ["subject_id"], F.col("fold") >= 0, standardize=False))
 
-_STD = "SELECT subject_id, {a} AS e1, {b} AS e9 FROM res, (SELECT avg(e1) AS m1, stddev_pop(e1) AS s1, avg(e9) AS m9, stddev_pop(e9) AS s9 FROM res WHERE {w})"
 
-
-@register("standardize_train", psql(_STD.format(a=r6("(e1 - m1) / s1"), b=r6("(e9 - m9) / s9"), w=_TRAIN), **_resid_ctes(_TRAIN)))
+@register("standardize_train", psql(_SCALED, **_resid_ctes(_TRAIN)))
 def standardize_train(spark, sf):
     rows = coupling.assign_splits(pairs(spark, sf))
-    return _two(linear.prepare_views(rows, z_full(), L_FULL, ["subject_id"], F.col("fold") >= 0))
+    return _long(linear.prepare_views(rows, z_full(), L_FULL, ["subject_id"], F.col("fold") >= 0))
 
 
 @register(
     "feature_prep_export",
     psql(
-        f"SELECT p.subject_id, {r6('p.e1')} AS raw, {r6('r.e1')} AS resid, {r6('(r.e1 - m1) / s1')} AS z FROM pairs AS p JOIN res AS r USING (subject_id), (SELECT avg(e1) AS m1, stddev_pop(e1) AS s1 FROM res)",
+        f"SELECT subject_id, CAST(feature AS INTEGER) AS feature, {r6('v')} AS raw, {r6('r')} AS resid, {r6('(r - mean) / sd')} AS z FROM res JOIN sc USING (feature)",
         **_resid_ctes("true"),
     ),
 )
@@ -139,11 +142,11 @@ def feature_prep_export(spark, sf):
     """Raw, residualized and scaled views of the aligned subjects from one moment pass and one map."""
     df = pairs(spark, sf)
     m = linear.moment_matrix(df, z_full())
-    eye = np.zeros((L_FULL.dim, 1))
-    eye[L_FULL.x.start, 0] = 1.0
+    eye = np.eye(L_FULL.dim)[:, L_FULL.x.start :]
     maps = {"raw": eye, "resid": solve.linear_prep(m, L_FULL, standardize=False), "z": solve.linear_prep(m, L_FULL)}
     got = linear.project(df, z_full(), maps, ["subject_id"])
-    return round_columns(got.select("subject_id", *[F.col(c)[0].alias(c) for c in maps]), *maps)
+    long = got.select("subject_id", F.posexplode(F.arrays_zip(*maps)).alias("feature", "v")).select("subject_id", "feature", *[F.col(f"v.{c}").alias(c) for c in maps])
+    return round_columns(long, *maps)
 
 
 # ---- PCA ----------------------------------------------------------------------------
@@ -153,34 +156,34 @@ def feature_prep_export(spark, sf):
     "pca_scores",
     psql(
         f"SELECT subject_id, {r6('abs(z1 + sign(r) * z2) / sqrt(2)')} AS pc1_abs, {r6('abs(z1 - sign(r) * z2) / sqrt(2)')} AS pc2_abs FROM "
-        "(SELECT subject_id, (e1 - m1) / s1 AS z1, (e2 - m2) / s2 AS z2, r FROM pairs, (SELECT avg(e1) AS m1, avg(e2) AS m2, stddev_pop(e1) AS s1, stddev_pop(e2) AS s2, corr(e1, e2) AS r FROM pairs))",
+        "(SELECT subject_id, (h1 - m1) / s1 AS z1, (h2 - m2) / s2 AS z2, r FROM pairs, (SELECT avg(h1) AS m1, avg(h2) AS m2, stddev_pop(h1) AS s1, stddev_pop(h2) AS s2, corr(h1, h2) AS r FROM pairs))",
     ),
 )
 def pca_scores(spark, sf):
     """Two standardized features have the components (1, +-1)/sqrt(2)."""
-    z, layout = z_vector(None, F.slice("e", 1, 2)), Layout(0, 2, 0)
+    z, layout = z_vector(None, F.col("h")), Layout(0, 2, 0)
     got, _, _ = linear.pca_scores(pairs(spark, sf), z, layout, 2, ["subject_id"], residualize=True)
     return round_columns(got.select("subject_id", *[F.abs(F.col("pcs")[i]).alias(f"pc{i + 1}_abs") for i in range(2)]), "pc1_abs", "pc2_abs")
 
 
 _POWER = (
-    "WITH RECURSIVE g AS (SELECT i, j, covar_pop(CAST(embedding[i] AS DOUBLE), CAST(embedding[j] AS DOUBLE)) / (stddev_pop(CAST(embedding[i] AS DOUBLE)) * stddev_pop(CAST(embedding[j] AS DOUBLE))) AS v FROM embeddings, range(1, 9) AS a(i), range(1, 9) AS b(j) GROUP BY 1, 2), "
+    "WITH RECURSIVE g AS (SELECT i, j, covar_pop(CAST(embedding[i] AS DOUBLE), CAST(embedding[j] AS DOUBLE)) / (stddev_pop(CAST(embedding[i] AS DOUBLE)) * stddev_pop(CAST(embedding[j] AS DOUBLE))) AS v FROM embeddings, range(1, 65) AS a(i), range(1, 65) AS b(j) GROUP BY 1, 2), "
     "m AS (SELECT list(v ORDER BY j) AS row, i FROM g GROUP BY i), mat AS (SELECT list(row ORDER BY i) AS a FROM m), "
-    "it AS (SELECT 0 AS k, [1.0::DOUBLE, 0.9, 0.8, -0.7, 0.6, 0.5, -0.4, 0.3] AS v UNION ALL SELECT k + 1, [x / sqrt(list_dot_product(w, w)) for x in w] FROM (SELECT k, [list_dot_product(r, v) for r in a] AS w FROM it, mat WHERE k < 3000)) "
+    "it AS (SELECT 0 AS k, [cos(i * i)::DOUBLE for i in range(1, 65)] AS v UNION ALL SELECT k + 1, [x / sqrt(list_dot_product(w, w)) for x in w] FROM (SELECT k, [list_dot_product(r, v) for r in a] AS w FROM it, mat WHERE k < 3000)) "
 )
 
 
 @register(
     "pca_top_eigenvalue",
-    _POWER + "SELECT CAST(8 AS INTEGER) AS n_components, " + r6("list_dot_product(v, [list_dot_product(r, v) for r in a])") + " AS top, 8.0::DOUBLE AS total FROM it, mat WHERE k = 3000",
+    _POWER + "SELECT CAST(64 AS INTEGER) AS n_components, " + r6("list_dot_product(v, [list_dot_product(r, v) for r in a])") + " AS top, 64.0::DOUBLE AS total FROM it, mat WHERE k = 3000",
 )
 def pca_top_eigenvalue(spark, sf):
-    """Largest eigenvalue of eight standardized features; the SQL finds it by power iteration."""
-    z, layout = z_vector(None, F.slice("embedding", 1, 8)), Layout(0, 8, 0)
+    """Largest eigenvalue of all standardized features; the SQL finds it by power iteration."""
+    z, layout = z_vector(None, F.col("embedding")), Layout(0, 64, 0)
     e = fx.emb(spark, sf)
     m = linear.moment_matrix(e, z)
     cov = solve.covariance(m, solve.linear_prep(m, layout))[2]
-    values, _ = solve.pca(cov, 8)
+    values, _ = solve.pca(cov, 64)
     row = [(len(values), float(values[0]), float(np.round(values.sum(), 9)))]
     return round_columns(spark.createDataFrame(row, "n_components int, top double, total double"), "top", "total")
 
@@ -222,10 +225,10 @@ def block_pca(spark, sf):
 
 @register(
     "explained_variance",
-    _POWER + "SELECT CAST(1 AS INTEGER) AS n_components, " + r6("list_dot_product(v, [list_dot_product(r, v) for r in a]) / 8") + " AS explained FROM it, mat WHERE k = 3000",
+    _POWER + "SELECT CAST(1 AS INTEGER) AS n_components, " + r6("list_dot_product(v, [list_dot_product(r, v) for r in a]) / 64") + " AS explained FROM it, mat WHERE k = 3000",
 )
 def explained_variance(spark, sf):
-    z, layout = z_vector(None, F.slice("embedding", 1, 8)), Layout(0, 8, 0)
+    z, layout = z_vector(None, F.col("embedding")), Layout(0, 64, 0)
     _, values, total = linear.pca_scores(fx.emb(spark, sf), z, layout, 1, ["subject_id"], residualize=True)
     n, share = linear.explained_variance(values, total)
     return round_columns(spark.createDataFrame([(n, share)], "n_components int, explained double"), "explained")
@@ -273,44 +276,37 @@ def cca_variates(spark, sf):
     return round_columns(got.select("subject_id", F.abs(F.col("u")[0]).alias("u_abs"), F.abs(F.col("v")[0]).alias("v_abs")), "u_abs", "v_abs")
 
 
-@register(
-    "canonical_corr",
-    sql(
-        "emb",
-        f"SELECT y, CAST(0 AS INTEGER) AS component, count(*) AS n, {r6('corr(CAST(embedding[1] AS DOUBLE), CAST(embedding[3] AS DOUBLE))')} AS r FROM emb GROUP BY y UNION ALL "
-        f"SELECT y, 1, count(*), {r6('corr(CAST(embedding[2] AS DOUBLE), CAST(embedding[4] AS DOUBLE))')} FROM emb GROUP BY y",
-    ),
-)
+_COMPONENT = "SELECT y, c, CAST(embedding[c + 1] AS DOUBLE) AS u, CAST(embedding[c + 33] AS DOUBLE) AS v FROM emb, range(32) AS x(c)"
+
+
+@register("canonical_corr", sql("emb", f"SELECT y, CAST(c AS INTEGER) AS component, count(*) AS n, {r6('corr(u, v)')} AS r FROM ({_COMPONENT}) GROUP BY y, c"))
 def canonical_corr(spark, sf):
     e = fx.emb(spark, sf).select("y", F.col("embedding").cast("array<double>").alias("e"))
-    got = linear.variate_correlations(e.select("y", F.slice("e", 1, 2).alias("u"), F.slice("e", 3, 2).alias("v")), ["y"])
+    got = linear.variate_correlations(e.select("y", F.slice("e", 1, 32).alias("u"), F.slice("e", 33, 32).alias("v")), ["y"])
     return round_columns(got, "r")
 
 
 @register(
     "component_test",
-    sql(
-        "emb",
-        f"SELECT CAST(c AS INTEGER) AS component, {r6('r')} AS r, df, {r6('r * sqrt(df / (1 - r * r))')} AS t FROM (SELECT c, corr(CAST(embedding[c + 1] AS DOUBLE), CAST(embedding[c + 3] AS DOUBLE)) AS r, count(*) - 2 AS df FROM emb, range(2) AS x(c) GROUP BY c)",
-    ),
+    sql("emb", f"SELECT CAST(c AS INTEGER) AS component, {r6('r')} AS r, df, {r6('r * sqrt(df / (1 - r * r))')} AS t FROM (SELECT c, corr(u, v) AS r, count(*) - 2 AS df FROM ({_COMPONENT}) GROUP BY c)"),
 )
 def component_test(spark, sf):
     e = fx.emb(spark, sf).select(F.col("embedding").cast("array<double>").alias("e"))
-    return round_columns(reports.component_test(e.select(F.slice("e", 1, 2).alias("u"), F.slice("e", 3, 2).alias("v"))), "r", "t")
+    return round_columns(reports.component_test(e.select(F.slice("e", 1, 32).alias("u"), F.slice("e", 33, 32).alias("v"))), "r", "t")
 
 
 @register(
     "cca_properties",
-    psql("SELECT CAST(c AS INTEGER) AS component, true AS unit_variance, true AS reproduces_r, true AS decreasing FROM range(6) AS r(c)"),
+    psql("SELECT CAST(c AS INTEGER) AS component, true AS unit_variance, true AS reproduces_r, true AS decreasing FROM range(32) AS r(c)"),
 )
 def cca_properties(spark, sf):
-    """8 x 6 features after covariate removal: unit variates whose row-wise correlations equal the fit."""
+    """32 x 32 features after covariate removal: unit variates whose row-wise correlations equal the fit."""
     df = pairs(spark, sf)
-    _, fit = linear.canonical_fit(df, z_full(), L_FULL, 6)
+    _, fit = linear.canonical_fit(df, z_full(), L_FULL, 32)
     got = linear.variate_correlations(linear.canonical_variates(df, z_full(), fit, ["subject_id"]))
     sd = linear.canonical_variates(df, z_full(), fit, ["subject_id"]).select(F.posexplode("u").alias("component", "a")).groupBy("component").agg(F.stddev_pop("a").alias("sd"))
     expected = F.array(*[F.lit(float(r)) for r in fit.r_train])
-    below = F.get(F.array(*[F.lit(bool(i == 0 or fit.r_train[i] <= fit.r_train[i - 1])) for i in range(6)]), F.col("component"))
+    below = F.get(F.array(*[F.lit(bool(i == 0 or fit.r_train[i] <= fit.r_train[i - 1])) for i in range(32)]), F.col("component"))
     return got.join(sd, "component").select(
         "component", (F.abs(F.col("sd") - 1) < 1e-9).alias("unit_variance"), (F.abs(F.col("r") - F.get(expected, F.col("component"))) < 1e-9).alias("reproduces_r"), below.alias("decreasing")
     )
@@ -357,7 +353,7 @@ def _scca_rows(spark, sf, **options):
     model, fit = linear.canonical_fit(pairs(spark, sf), z_full(), L_FULL, 2, method="scca", c1=0.3, c2=0.3, **options)
     out = []
     for c in range(2):
-        for view, w, p in (("x", fit.a, 8), ("y", fit.b, 6)):
+        for view, w, p in (("x", fit.a, 32), ("y", fit.b, 32)):
             unit = abs(np.linalg.norm(w[:, c]) - 1) < 1e-9
             within = np.abs(w[:, c]).sum() <= solve.l1_bound(0.3, p, options.get("bound", "interpolate")) + 1e-6
             out.append((c, view, bool(unit), bool(within)))
@@ -454,11 +450,11 @@ def coupling_grid(spark, sf):
 def coupling_grid_wide(spark, sf):
     """The same grid with view x kept as feature blocks and PCA refitted per fold."""
     rows = coupling.assign_splits(pairs(spark, sf)).select(
-        "subject_id", "fold", F.array().cast("array<double>").alias("c"), F.slice("e", 3, 2).alias("b"), "e"
+        "subject_id", "fold", F.array().cast("array<double>").alias("c"), F.slice("q", 3, 2).alias("b"), "q"
     )
-    parts = F.array(*[F.struct(F.lit(f"g{i}").alias("gene"), F.slice("e", i + 1, 1).alias("embedding")) for i in range(2)])
+    parts = F.array(*[F.struct(F.lit(f"g{i}").alias("gene"), F.slice("q", i + 1, 1).alias("embedding")) for i in range(2)])
     grid = reports.config_grid(spark, ["cca"], [2], [])
-    got = coupling.wide_coupling_grid(rows.select("subject_id", F.inline(parts)), rows.drop("e"), 0, 2, grid, n_components=1)
+    got = coupling.wide_coupling_grid(rows.select("subject_id", F.inline(parts)), rows.drop("q"), 0, 2, grid, n_components=1)
     return round_columns(got.select("config", *_GRID_COLS), *_GRID_COLS)
 
 
@@ -474,8 +470,8 @@ _WIDE_DIMS = [2, 4, 8]
     ),
 )
 def coupling_grid_full(spark, sf):
-    """The whole grid on 8 x 6 features with covariates, every configuration finished."""
-    grid = reports.config_grid(spark, ["cca", "scca"], _WIDE_DIMS, [0.1, 0.5], 8)
+    """The whole grid on 32 x 32 features with covariates, every configuration finished."""
+    grid = reports.config_grid(spark, ["cca", "scca"], _WIDE_DIMS, [0.1, 0.5], 32)
     rows = coupling.assign_splits(pairs(spark, sf))
     got = coupling.run_grid(coupling.split_moments(rows, z_full()), L_FULL, grid)
     hold = F.col("fold") == coupling.HOLDOUT
@@ -492,9 +488,9 @@ def coupling_grid_full(spark, sf):
 def coupling_grid_extra(spark, sf):
     """A nuisance covariate beyond age and sex: the first x feature, which then carries nothing."""
     rows = coupling.assign_splits(pairs(spark, sf).withColumn("c", F.concat("c", F.slice("x", 1, 1))))
-    layout = Layout(3, 8, 6)
+    layout = Layout(3, 32, 32)
     z = z_vector(F.col("c"), F.col("x"), F.col("b"))
-    grid = reports.config_grid(spark, ["cca"], [4], [], 8)
+    grid = reports.config_grid(spark, ["cca"], [4], [], 32)
     got = coupling.coupling_grid(rows, z, layout, grid, n_components=2)
     prepared = linear.prepare_views(rows, z, layout, ["subject_id"], standardize=False)
     gone = prepared.agg((F.max(F.abs(F.col("x")[0])) < 1e-6).alias("g")).select("g").scalar()
@@ -571,7 +567,7 @@ def best_fit_export(spark, sf):
 
 @register(
     "best_fit_tables",
-    psql("SELECT 'y_loadings' AS part, CAST(6 AS BIGINT) AS n, true AS ok UNION ALL SELECT 'genes', 4, true UNION ALL SELECT 'correlations', 2, true"),
+    psql("SELECT 'y_loadings' AS part, CAST(6 AS BIGINT) AS n, true AS ok UNION ALL SELECT 'genes', 16, true UNION ALL SELECT 'correlations', 2, true"),
 )
 def best_fit_tables(spark, sf):
     rows = coupling.assign_splits(pairs(spark, sf))

@@ -11,12 +11,12 @@ from pairlens.catalog.registry import register
 from pairlens.operators.moments import Layout, z_vector
 from pairlens.plans import coupling, suite
 
-# One feature per view: the SQL runs the same Newton iterations on (intercept, scaled feature).
+# One feature per view, the mean of its values: the SQL runs the same Newton iterations on (intercept, scaled feature).
 _L11 = Layout(0, 1, 1)
 
 
 def _z11():
-    return z_vector(None, F.slice("e", 1, 1), F.slice("e", 3, 1))
+    return z_vector(None, F.slice("h", 1, 1), F.slice("h", 2, 1))
 
 def logistic_sql(feat: str) -> dict[str, str]:
     """Newton iterations for (intercept, two scaled features) per model m and fold f of `feat`.
@@ -47,9 +47,9 @@ def logistic_sql(feat: str) -> dict[str, str]:
 
 
 _SPLIT_ONLY = {k: v for k, v in _SPLIT.items() if k != "tr"}
-_ONE = logistic_sql("SELECT 'gene_only' AS m, f, subject_id, y, fold, e1 AS x1, 0.0::DOUBLE AS x2 FROM fo, folds")
+_ONE = logistic_sql("SELECT 'gene_only' AS m, f, subject_id, y, fold, h1 AS x1, 0.0::DOUBLE AS x2 FROM fo, folds")
 _SUITE = logistic_sql(
-    "SELECT m, f, subject_id, y, fold, CASE WHEN m = 'fmri_only' THEN e3 ELSE e1 END AS x1, CASE WHEN m IN ('gene_only', 'fmri_only') THEN 0.0::DOUBLE ELSE e3 END AS x2 FROM fo, folds, "
+    "SELECT m, f, subject_id, y, fold, CASE WHEN m = 'fmri_only' THEN h2 ELSE h1 END AS x1, CASE WHEN m IN ('gene_only', 'fmri_only') THEN 0.0::DOUBLE ELSE h2 END AS x2 FROM fo, folds, "
     "(VALUES ('gene_only'), ('fmri_only'), ('early_fusion'), ('cca_joint'), ('scca_joint')) AS t(m)"
 )
 _TWO_STAGE = cca22("tr", "f") | logistic_sql(
@@ -132,7 +132,7 @@ def stage_two_feature_sets(spark, sf):
     psql("SELECT m AS model, count(*) AS n, true AS probabilities FROM pairs, (VALUES ('cca_joint_logreg'), ('scca_joint_logreg')) AS t(m) GROUP BY 1"),
 )
 def two_stage_cv_full(spark, sf):
-    """Both stage-one methods on 8 x 6 features with three component pairs."""
+    """Both stage-one methods on 32 x 32 features with three component pairs."""
     rows = coupling.assign_splits(pairs(spark, sf))
     scores = suite.cross_validated_scores(rows, z_full(), L_FULL, ["cca_joint", "scca_joint"], ["logreg"], k=3)
     return scores.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("score").between(0, 1)).alias("probabilities"))

@@ -91,13 +91,13 @@ def limit_subjects(spark, sf):
 
 @register(
     "join_tabular",
-    sql("emb tab cov", f"SELECT subject_id, CAST(14 AS INTEGER) AS width, {r6('CAST(embedding[1] AS DOUBLE) + f5')} AS ends, age, sex FROM emb JOIN tab USING (subject_id) JOIN cov USING (subject_id) WHERE valid"),
+    sql("emb tab cov", f"SELECT subject_id, CAST(70 AS INTEGER) AS width, {r6('list_sum(list_transform(list_concat(CAST(embedding AS DOUBLE[]), [f0, f1, f2, f3, f4, f5]), lambda x, i: x * i))')} AS weighted, age, sex FROM emb JOIN tab USING (subject_id) JOIN cov USING (subject_id) WHERE valid"),
 )
 def join_tabular(spark, sf):
-    a = fx.emb(spark, sf).select("subject_id", F.slice("embedding", 1, 8).cast("array<double>").alias("features"))
+    a = fx.emb(spark, sf).select("subject_id", F.col("embedding").cast("array<double>").alias("features"))
     got = align.join_tabular(a, fx.tab(spark, sf), align.apply_valid_mask(fx.cov(spark, sf)))
-    ends = F.col("features")[0] + F.element_at("features", -1)
-    return round_columns(got.select("subject_id", F.size("features").alias("width"), ends.alias("ends"), "age", "sex"), "ends")
+    weighted = F.aggregate(F.transform("features", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return round_columns(got.select("subject_id", F.size("features").alias("width"), weighted.alias("weighted"), "age", "sex"), "weighted")
 
 
 @register(

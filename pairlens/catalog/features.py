@@ -207,43 +207,48 @@ def build_covariates(spark, sf):
     return round_columns(joined.select("subject_id", c.alias("c")).select("subject_id", F.size("c").alias("width"), total.alias("total")), "total")
 
 
-_UV = "SELECT subject_id, CAST(embedding[1] AS DOUBLE) AS u1, CAST(embedding[2] AS DOUBLE) AS u2, CAST(embedding[3] AS DOUBLE) AS v1, CAST(embedding[4] AS DOUBLE) AS v2 FROM emb"
+def _weighted_sql(values: str) -> str:
+    return r6(f"list_sum(list_transform({values}, lambda x, i: x * i))")
+
+
+def _weighted(values):
+    """A sum in which every value has its own weight, its position."""
+    return F.aggregate(F.transform(values, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+
+
+_UV = "SELECT subject_id, CAST(embedding AS DOUBLE[])[1:32] AS u, CAST(embedding AS DOUBLE[])[33:64] AS v FROM emb"
+_SETS = {"gene_only": "u", "fmri_only": "v", "joint": "list_concat(u, v)", "joint_mean": "list_transform(list_zip(u, v), lambda p: (p[1] + p[2]) / 2)"}
 
 
 @register(
     "feature_sets",
     sql(
         "emb",
-        f"SELECT subject_id, feature_set, CAST(width AS INTEGER) AS width, {r6('s')} AS weighted FROM ("
-        "SELECT subject_id, 'gene_only' AS feature_set, 2 AS width, u1 + 2 * u2 AS s FROM uv UNION ALL "
-        "SELECT subject_id, 'fmri_only', 2, v1 + 2 * v2 FROM uv UNION ALL "
-        "SELECT subject_id, 'joint', 4, u1 + 2 * u2 + 3 * v1 + 4 * v2 FROM uv UNION ALL "
-        "SELECT subject_id, 'joint_mean', 2, (u1 + v1) / 2 + (u2 + v2) FROM uv)",
+        " UNION ALL ".join(f"SELECT subject_id, '{name}' AS feature_set, CAST(len({values}) AS INTEGER) AS width, {_weighted_sql(values)} AS weighted FROM uv" for name, values in _SETS.items()),
         uv=_UV,
     ),
 )
 def feature_sets(spark, sf):
     e = fx.emb(spark, sf).withColumn("e", F.col("embedding").cast("array<double>"))
-    uv = e.select("subject_id", F.slice("e", 1, 2).alias("u"), F.slice("e", 3, 2).alias("v"))
-    long = features.feature_sets(uv, ["gene_only", "fmri_only", "joint", "joint_mean"])
-    weighted = F.aggregate(F.transform("features", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
-    return round_columns(long.select("subject_id", "feature_set", F.size("features").alias("width"), weighted.alias("weighted")), "weighted")
+    uv = e.select("subject_id", F.slice("e", 1, 32).alias("u"), F.slice("e", 33, 32).alias("v"))
+    long = features.feature_sets(uv, list(_SETS))
+    return round_columns(long.select("subject_id", "feature_set", F.size("features").alias("width"), _weighted("features").alias("weighted")), "weighted")
 
 
 @register(
     "early_fusion",
-    sql("emb tab", f"SELECT subject_id, CAST(12 AS INTEGER) AS width, {r6('CAST(embedding[1] AS DOUBLE) + f5')} AS ends FROM emb JOIN tab USING (subject_id)"),
+    sql("emb tab", f"SELECT subject_id, CAST(70 AS INTEGER) AS width, {_weighted_sql('list_concat(CAST(embedding AS DOUBLE[]), [f0, f1, f2, f3, f4, f5])')} AS weighted FROM emb JOIN tab USING (subject_id)"),
 )
 def early_fusion(spark, sf):
     joined = fx.emb(spark, sf).join(fx.tab(spark, sf), "subject_id")
-    fused = features.early_fusion(F.slice("embedding", 1, 6).cast("array<double>"), F.col("features"))
-    return round_columns(joined.select("subject_id", F.size(fused).alias("width"), (fused[0] + F.element_at(fused, -1)).alias("ends")), "ends")
+    fused = features.early_fusion(F.col("embedding").cast("array<double>"), F.col("features"))
+    return round_columns(joined.select("subject_id", F.size(fused).alias("width"), _weighted(fused).alias("weighted")), "weighted")
 
 
-@register("residual_projection", sql("emb", f"SELECT subject_id, {r6('CAST(embedding[1] AS DOUBLE) + embedding[3]')} AS ends FROM emb"))
+@register("residual_projection", sql("emb", f"SELECT subject_id, {_weighted_sql('CAST(embedding AS DOUBLE[])[1:3]')} AS weighted FROM emb"))
 def residual_projection(spark, sf):
     e = fx.emb(spark, sf).select("subject_id", features.residual_projection(F.col("embedding").cast("array<double>"), 3).alias("p"))
-    return round_columns(e.select("subject_id", (F.col("p")[0] + F.element_at("p", -1)).alias("ends")), "ends")
+    return round_columns(e.select("subject_id", _weighted("p").alias("weighted")), "weighted")
 
 
 # ---- scalar functions -------------------------------------------------------------

@@ -148,9 +148,19 @@ def strat(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("r_diff", F.col("r_case") - F.col("r_control"))
 
 
+def contrast(vector: str, k: int):
+    """A score of the whole vector: its values, weighted by a pattern from -3 to 3 that depends on k."""
+    weighted = F.transform(vector, lambda x, i: x.cast("double") * ((i + 1) * k % 7 - 3))
+    return F.aggregate(weighted, F.lit(0.0), lambda s, x: s + x)
+
+
+def contrast_sql(k: int) -> str:
+    return f"list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: x * (i * {k} % 7 - 3)))"
+
+
 def scores(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    x = (F.element_at("embedding", 1) - F.element_at("embedding", 2)).cast("double")
+    x = contrast("embedding", 1)
     return e.select(
         F.col("vec_id").cast("string").alias("subject_id"),
         (F.col("vec_id") % 5).cast("int").alias("fold"),
@@ -214,7 +224,7 @@ CTES: dict[str, str] = {
     ),
     "scores": (
         "SELECT CAST(vec_id AS VARCHAR) AS subject_id, CAST(vec_id % 5 AS INTEGER) AS fold, CAST(label >= 5 AS INTEGER) AS y, "
-        "CAST(embedding[1] - embedding[2] AS DOUBLE) AS score, round(CAST(embedding[1] - embedding[2] AS DOUBLE), 1) AS tied FROM embeddings"
+        f"{contrast_sql(1)} AS score, round({contrast_sql(1)}, 1) AS tied FROM embeddings"
     ),
     "line_scores": (
         "SELECT l_linestatus AS grp, CAST(l_returnflag = 'R' AS INTEGER) AS y, l_discount AS score, CAST(l_discount > 0.05 AS INTEGER) AS yhat FROM lineitem"

@@ -103,7 +103,7 @@ _FS = {"gene_only": 1, "fmri_only": 2, "joint": 3}
 def _auc_results(spark, sf):
     e = fx.emb(spark, sf)
     entries = [
-        F.struct(F.lit(m).alias("method"), F.lit(f).alias("feature_set"), F.lit(c).alias("model"), F.element_at("embedding", d + 3 * i + 6 * j).cast("double").alias("score"))
+        F.struct(F.lit(m).alias("method"), F.lit(f).alias("feature_set"), F.lit(c).alias("model"), fx.contrast("embedding", d + 3 * i + 6 * j).alias("score"))
         for i, m in enumerate(("cca", "scca"))
         for j, c in enumerate(("logreg", "mlp"))
         for f, d in _FS.items()
@@ -113,7 +113,7 @@ def _auc_results(spark, sf):
 
 
 _AUC_LONG = " UNION ALL ".join(
-    f"SELECT '{m}' AS method, '{f}' AS feature_set, '{c}' AS model, y, CAST(embedding[{d + 3 * i + 6 * j}] AS DOUBLE) AS score FROM emb"
+    f"SELECT '{m}' AS method, '{f}' AS feature_set, '{c}' AS model, y, {fx.contrast_sql(d + 3 * i + 6 * j)} AS score FROM emb"
     for i, m in enumerate(("cca", "scca"))
     for j, c in enumerate(("logreg", "mlp"))
     for f, d in _FS.items()
@@ -164,14 +164,14 @@ _SUITE = ["gene_only_logreg", "fmri_only_logreg", "early_fusion_logreg", "early_
 
 def _suite_results(spark, sf):
     e = fx.emb(spark, sf).withColumn("split", F.when(F.substring(F.md5("subject_id"), 1, 1) < "3", "holdout").otherwise("cv"))
-    entries = [F.struct(F.lit(m).alias("model"), F.element_at("embedding", 20 + i).cast("double").alias("score")) for i, m in enumerate(_SUITE)]
+    entries = [F.struct(F.lit(m).alias("model"), fx.contrast("embedding", 2 + i).alias("score")) for i, m in enumerate(_SUITE)]
     long = e.select("split", "y", F.inline(F.array(*entries)))
     return metrics.roc_auc(long, ["split", "model"]).select("split", "model", "auc")
 
 
 _SUITE_RES = {
     "long": " UNION ALL ".join(
-        f"SELECT CASE WHEN substr(md5(subject_id), 1, 1) < '3' THEN 'holdout' ELSE 'cv' END AS split, '{m}' AS model, y, CAST(embedding[{20 + i}] AS DOUBLE) AS score FROM emb"
+        f"SELECT CASE WHEN substr(md5(subject_id), 1, 1) < '3' THEN 'holdout' ELSE 'cv' END AS split, '{m}' AS model, y, {fx.contrast_sql(2 + i)} AS score FROM emb"
         for i, m in enumerate(_SUITE)
     ),
     "res": auc_sql("long", "split, model", "score"),

@@ -20,9 +20,9 @@ def sparsity(spark, sf):
     return round_columns(interpret.sparsity(fx.weights(spark, sf), ["component"], 0.02), "sparsity")
 
 
-@register("gene_weight_rollup", sql("weights", f"SELECT gene, {r6('sqrt(sum(weight * weight))')} AS l2, {r6('avg(abs(weight))')} AS mean_abs FROM weights WHERE component = 0 GROUP BY 1"))
+@register("gene_weight_rollup", sql("weights", f"SELECT component, gene, {r6('sqrt(sum(weight * weight))')} AS l2, {r6('avg(abs(weight))')} AS mean_abs FROM weights GROUP BY 1, 2"))
 def gene_weight_rollup(spark, sf):
-    return round_columns(interpret.gene_weight_rollup(fx.weights(spark, sf).filter("component = 0")), "l2", "mean_abs")
+    return round_columns(interpret.gene_weight_rollup(fx.weights(spark, sf), keys=["component"]), "l2", "mean_abs")
 
 
 @register("topk_features", sql("weights", f"SELECT component, position, feature, {r6('weight')} AS weight, CAST(rank AS INTEGER) AS rank FROM ({_TOP.format(k=10)})"))
@@ -173,11 +173,11 @@ def l1_project(spark, sf):
     sql(
         "weights",
         f"SELECT l.feature, CAST(w.component AS INTEGER) AS component, {r6('sum(l.weight * w.weight)')} AS weight FROM weights AS l JOIN "
-        "(SELECT position AS pc, component, weight FROM weights WHERE position < 10 AND component < 3) AS w ON l.component = w.pc GROUP BY 1, 2",
+        "(SELECT position AS pc, component, weight FROM weights) AS w ON l.component = w.pc GROUP BY 1, 2",
     ),
 )
 def map_back_weights(spark, sf):
     w = fx.weights(spark, sf)
     comps = w.select("feature", F.col("component").alias("pc"), F.col("weight").alias("loading"))
-    small = w.filter("position < 10 and component < 3").select(F.col("position").alias("pc"), "component", "weight")
+    small = w.select(F.col("position").alias("pc"), "component", "weight")
     return round_columns(interpret.map_back_weights(comps, small), "weight")

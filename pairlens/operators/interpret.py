@@ -17,10 +17,10 @@ def sparsity(weights: DataFrame, keys: Sequence[str], tol: float = 1e-6, weight:
     )
 
 
-def gene_weight_rollup(weights: DataFrame, gene: str = "gene", weight: str = "weight") -> DataFrame:
-    """L2 norm and mean magnitude of the weights of each gene block."""
+def gene_weight_rollup(weights: DataFrame, gene: str = "gene", weight: str = "weight", keys: Sequence[str] = ()) -> DataFrame:
+    """L2 norm and mean magnitude of the weights of each gene block, per key."""
     w = F.col(weight)
-    return weights.groupBy(gene).agg(F.sqrt(F.sum(w * w)).alias("l2"), F.avg(F.abs(w)).alias("mean_abs"))
+    return weights.groupBy(*keys, gene).agg(F.sqrt(F.sum(w * w)).alias("l2"), F.avg(F.abs(w)).alias("mean_abs"))
 
 
 def topk_features(

@@ -12,11 +12,16 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _plain(number) -> Column:
+    """A number in plain digits, never with an exponent, at least one digit after the point."""
+    return F.regexp_replace(F.format_string("%.12f", _col(number).cast("double")), r"(\.\d+?)0+$", "$1")
+
+
 def config_label(method, dim, c1, c2) -> Column:
     """`cca_pca128` for the plain method, `scca_pca64_c0.1_0.3` for the sparse one."""
     head = F.concat(_col(method), F.lit("_pca"), _col(dim).cast("string"))
     return F.when(_col(method) == "cca", head).otherwise(
-        F.concat(head, F.lit("_c"), _col(c1).cast("string"), F.lit("_"), _col(c2).cast("string"))
+        F.concat(head, F.lit("_c"), _plain(c1), F.lit("_"), _plain(c2))
     )
 
 

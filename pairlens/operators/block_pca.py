@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairlens.operators.decode import key_groups, matrix
 from pairlens.operators.moments import few_tasks, sum_rows
 from pairlens.session import held
 
@@ -29,6 +30,7 @@ class BlockPCA:
     total_variance: float
     prep: dict[str, tuple[np.ndarray, np.ndarray]]  # block name -> (coefficients on [1, cov], scale)
     n: int
+    passes: int = 0  # data passes until the eigenvalues settled
 
     @property
     def explained_variance_ratio(self) -> float:
@@ -66,16 +68,10 @@ def _collect_blocks(partial: DataFrame) -> dict[str, np.ndarray]:
     return out
 
 
-def _matrix(column, n: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64, copy=False)
-
-
 def _block_groups(batch):
-    names = np.array(batch.column("block").to_pylist(), dtype=object)
-    for name in dict.fromkeys(names):
-        rows = np.flatnonzero(names == name)
+    for (name,), rows in key_groups([batch.column("block")], batch.num_rows):
         sub = batch.take(pa.array(rows))
-        yield name, rows, _matrix(sub.column("c"), len(rows)), _matrix(sub.column("x"), len(rows))
+        yield name, rows, matrix(sub.column("c"), f"covariates of block {name}", True), matrix(sub.column("x"), f"vectors of block {name}", True)
 
 
 def _fit_prep(rows: DataFrame, residualize: bool, standardize: bool):
@@ -93,6 +89,11 @@ def _fit_prep(rows: DataFrame, residualize: bool, standardize: bool):
             yield _emit(name, mat)
 
     stats = _collect_blocks(rows.mapInArrow(run, _rows_schema()))
+    counts = {name: int(round(mat[0, 0])) for name, mat in stats.items()}
+    if len(set(counts.values())) > 1:
+        most = max(counts.values())
+        short = sorted((c, name) for name, c in counts.items() if c < most)
+        raise ValueError(f"every subject needs every block: {len(short)} blocks have fewer than {most} subjects, such as {short[:5]}")
     prep, total, n = {}, 0.0, 0
     for name, mat in stats.items():
         c = mat.shape[0] - 1
@@ -138,11 +139,18 @@ def _apply(batch, prep, directions):
     uniq, code = np.unique(ids.astype(str), return_inverse=True)
     width = next(iter(directions.values())).shape[1]
     scores, kept = np.zeros((len(uniq), width)), []
+    met = np.zeros(len(uniq), np.int64)
     for name, rows, c, x in _block_groups(batch):
+        if name not in prep:
+            raise ValueError(f"block {name!r} was not there in training")
+        np.add.at(met, code[rows], 1)
         coef, scale = prep[name]
         z = (x - c @ coef) / scale
         np.add.at(scores, code[rows], z @ directions[name])
         kept.append((name, code[rows], z))
+    if (met != len(prep)).any():
+        odd = np.flatnonzero(met != len(prep))
+        raise ValueError(f"every subject needs every block once: {len(odd)} subjects have not, such as {uniq[odd[0]]!r} with {met[odd[0]]} of {len(prep)}")
     return uniq, scores, kept
 
 
@@ -181,7 +189,7 @@ def fit_blocks(
     k: int,
     where: Column | None = None,
     oversample: int = 10,
-    passes: int = 7,
+    passes: int = 60,
     tol: float = 1e-6,
     seed: int = 42,
     residualize: bool = True,
@@ -189,8 +197,8 @@ def fit_blocks(
 ) -> BlockPCA:
     """Leading components of the prepared blocks, from the layout rows where `where` holds.
 
-    Each pass moves features x directions sums only. Passes stop early once the leading
-    eigenvalues have settled.
+    Each pass moves features x directions sums only. Passes stop once the leading eigenvalues
+    have settled to `tol`; if `passes` do not suffice, that is an error. Absent blocks are errors too.
     """
     spark = layout.sparkSession
     # Coalescing appends whole partitions, so the rows of a subject stay together.
@@ -215,7 +223,7 @@ def fit_blocks(
     start = np.random.default_rng(seed).standard_normal((dims, width))
     m = np.linalg.qr(start)[0]
     last = np.zeros(k)
-    for _ in range(passes):
+    for done in range(1, passes + 1):
         shared = spark.sparkContext.broadcast((prep, split(m)))
 
         def run(batches):
@@ -243,10 +251,12 @@ def fit_blocks(
             break  # the directions span the whole space, so the first pass is exact
         if len(top) == len(last) and np.abs(top - last).max() <= tol * last.max():
             break
+    else:
+        raise RuntimeError(f"the eigenvalues have not settled to {tol} in {passes} passes; allow more, or a larger tol")
     comps = basis @ vectors[:, order]
     sign = np.sign(comps[np.abs(comps).argmax(axis=0), np.arange(comps.shape[1])])
     comps = comps * np.where(sign == 0, 1.0, sign)
-    return BlockPCA(split(comps), np.maximum(values[order], 0), total, prep, n)
+    return BlockPCA(split(comps), np.maximum(values[order], 0), total, prep, n, done)
 
 
 def score_blocks(layout: DataFrame, model: BlockPCA, subject: str = "subject_id") -> DataFrame:

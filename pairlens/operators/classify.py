@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.operators import solve
+from pairlens.operators.decode import matrix
 from pairlens.operators.linear import MAX_MAP_CELLS, project
 from pairlens.operators.moments import few_tasks, matrix_from_cells, sum_rows
 
@@ -70,7 +71,7 @@ def _newton_pass(df: DataFrame, models: Sequence[FoldModel]) -> dict[int, np.nda
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            z = batch.column("z").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            z = matrix(batch.column("z"), finite=True)
             y = batch.column("y").to_numpy(zero_copy_only=False).astype(np.float64)
             fold = batch.column("fold").to_numpy(zero_copy_only=False)
             for i, test_fold, w, beta, (w0, w1) in shared.value:
@@ -103,11 +104,12 @@ def _newton_pass(df: DataFrame, models: Sequence[FoldModel]) -> dict[int, np.nda
     }
 
 
-def fit_logistic(df: DataFrame, models: Sequence[FoldModel], penalty: float = 1.0, max_iter: int = 25, tol: float = 1e-7) -> list[FoldModel]:
+def fit_logistic(df: DataFrame, models: Sequence[FoldModel], penalty: float = 1.0, max_iter: int = 100, tol: float = 1e-7) -> list[FoldModel]:
     """L2-penalized logistic regressions (intercept free) for all models at once.
 
     `df` holds (fold, y, z) and should be persisted. Each model is trained on the rows
-    outside its fold and outside the holdout.
+    outside its fold and outside the holdout. Steps below `tol` end a fit; models that still move after
+    `max_iter` passes are an error.
     """
     for m in models:
         m.beta = np.zeros(m.w.shape[1])
@@ -128,6 +130,8 @@ def fit_logistic(df: DataFrame, models: Sequence[FoldModel], penalty: float = 1.
         active = still
         if not active:
             break
+    else:
+        raise RuntimeError(f"{len(active)} of {len(models)} logistic models have not converged in {max_iter} passes")
     return list(models)
 
 

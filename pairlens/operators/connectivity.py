@@ -18,7 +18,6 @@ from pairlens.functions.vectors import edge_ordinal, fisher_z
 from pairlens.operators.moments import moments
 
 TIME_BLOCK = 4096
-MAX_LOOKUP = 4096  # regions in a literal region-to-group array
 CONSTANT_TOLERANCE = 1e-13  # variance below this share of the mean square counts as constant
 
 NETWORK_17_TO_7 = {  # fixed values
@@ -207,35 +206,25 @@ def zscore_over_time(ts: DataFrame, subject: str = "subject_id") -> DataFrame:
     )
 
 
-def _group_lookup(groups: DataFrame):
-    """Region -> group expression from a table with one row per region; NULL for unlisted regions.
-
-    The table is a dimension of at most MAX_LOOKUP regions and becomes a literal array
-    indexed by region. None for a larger one, which is then joined.
-    """
-    rows = groups.select(F.col("roi").cast("int"), "grp").limit(MAX_LOOKUP + 1).collect()
-    if len(rows) > MAX_LOOKUP or any(r["roi"] >= MAX_LOOKUP for r in rows):
-        return None
-    names = [None] * (max((r["roi"] for r in rows), default=0) + 1)
-    for r in rows:
-        names[r["roi"]] = r["grp"]
-    table = F.array(*[F.lit(n).cast("string") for n in names])
-    return lambda roi: F.get(table, F.col(roi))
+def _one_group(groups: DataFrame) -> DataFrame:
+    """The groups' table with one row per region; a region in two groups is an error."""
+    several = F.raise_error(F.concat(F.lit("region in several groups: "), F.col("roi").cast("string"))).cast("string")
+    found = groups.groupBy("roi").agg(F.min("grp").alias("_least"), F.max("grp").alias("_most"))
+    return found.select("roi", F.when(F.col("_least") == F.col("_most"), F.col("_least")).when(F.col("_most").isNotNull(), several).alias("grp")).filter("grp is not null")
 
 
-def _with_group(df: DataFrame, groups: DataFrame, lookup, roi: str, out: str) -> DataFrame:
+def _with_group(df: DataFrame, groups: DataFrame, roi: str, out: str) -> DataFrame:
     """Add the group of a region column; rows of unlisted regions are dropped."""
-    if lookup is None:
-        return df.join(groups.select(F.col("roi").alias(roi), F.col("grp").alias(out)), roi)
-    return df.withColumn(out, lookup(roi)).filter(F.col(out).isNotNull())
+    return df.join(groups.select(F.col("roi").alias(roi), F.col("grp").alias(out)), roi)
 
 
-def _group_covariance(cells: DataFrame, subject: str, groups: DataFrame, lookup, value: Column, valid: Column | None = None) -> DataFrame:
+def _group_covariance(cells: DataFrame, subject: str, groups: DataFrame, value: Column, valid: Column | None = None) -> DataFrame:
     """Average region-pair values into group pairs (a <= b), over valid regions only.
 
     `share` is the valid part of the regions of a group, on the rows with a = b.
     """
-    both = _with_group(_with_group(cells, groups, lookup, "roi_i", "gi"), groups, lookup, "roi_j", "gj")
+    groups = _one_group(groups)
+    both = _with_group(_with_group(cells, groups, "roi_i", "gi"), groups, "roi_j", "gj")
     diagonal = F.col("roi_i") == F.col("roi_j")
     used = F.lit(True) if valid is None else valid
     # An off-diagonal region pair inside one group stands for both of its orders.
@@ -283,7 +272,7 @@ def network_fc(cov: DataFrame, networks: DataFrame, subject: str = "subject_id",
     defined = (F.col("var_i") > 0) & (F.col("var_j") > 0)
     r = F.when(defined, F.col("cov") / F.sqrt(F.col("var_i") * F.col("var_j"))).otherwise(0.0)
     groups = networks.select("roi", F.col("network").alias("grp"))
-    return _group_edges(_group_covariance(cov, subject, groups, _group_lookup(groups), r), subject, nan)
+    return _group_edges(_group_covariance(cov, subject, groups, r), subject, nan)
 
 
 def group_fc_qc(
@@ -303,7 +292,7 @@ def group_fc_qc(
     if kept_rois is not None:
         dim = dim.join(kept_rois.select("roi"), "roi", "left_semi")
     valid = (F.sqrt("var_i") > std_threshold) & (F.sqrt("var_j") > std_threshold)
-    pairs = _group_covariance(cov, subject, dim, _group_lookup(dim), F.col("cov"), valid)
+    pairs = _group_covariance(cov, subject, dim, F.col("cov"), valid)
     return _group_edges(pairs, subject, "drop", min_fraction)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairlens.operators.decode import matrix
 from pairlens.functions.vectors import feature_set, pool_vector
 
 
@@ -32,7 +33,7 @@ def pool_embedding(
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            mat = batch.column(embedding).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            mat = matrix(batch.column(embedding))
             empty = np.isnan(mat).all(axis=1)
             mat = np.where(empty[:, None], 0, mat)
             if method == "mean":

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlens.operators import solve
+from pairlens.operators.decode import key_groups, matrix
 from pairlens.operators.moments import MAX_DIM, Layout, collect_moments, moments
 
 MAX_MAP_CELLS = 64_000_000  # 512 MB of doubles per worker
@@ -44,20 +45,19 @@ def project(df: DataFrame, z: str | Column, maps: dict[str, np.ndarray], keep: S
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            mat = batch.column("_z").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            mat = matrix(batch.column("_z"))
             arrays = [batch.column(c) for c in keep]
             if key is None:
                 outs = [mat @ local[n] for n in names]
             else:
-                tags = np.array(batch.column("_k").to_pylist(), dtype=object)
+                groups = key_groups([batch.column("_k")], batch.num_rows)
                 outs = []
                 for n in names:
                     width = next(iter(local[n].values())).shape[1]
                     out = np.full((batch.num_rows, width), np.nan)
-                    for value, w in local[n].items():
-                        rows = tags == value
-                        if rows.any():
-                            out[rows] = mat[rows] @ w
+                    for (value,), rows in groups:
+                        if value in local[n]:
+                            out[rows] = mat[rows] @ local[n][value]
                     outs.append(out)
             arrays += [as_lists(np.ascontiguousarray(o)) for o in outs]
             yield pa.RecordBatch.from_arrays(arrays, names=keep + names)

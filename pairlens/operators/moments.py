@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairlens.operators.decode import key_groups, matrix
+
 MAX_DIM = 4096
 MAX_CELLS = 40_000_000  # moment cells the driver accepts (about 1 GB)
 FLUSH_CELLS = 16_000_000  # doubles held per task before partial sums are handed on
@@ -82,19 +84,9 @@ def _partial_sums(keys: list[str]):
             if batch.num_rows == 0:
                 continue
             schema = batch.schema
-            vectors = batch.column("z")
-            mat = vectors.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            mat = mat.astype(np.float64, copy=False)
-            if keys:
-                values = list(zip(*[batch.column(k).to_pylist() for k in keys]))
-                index: dict = {}
-                codes = np.fromiter((index.setdefault(v, len(index)) for v in values), dtype=np.int64, count=len(values))
-                order = np.argsort(codes, kind="stable")
-                cuts = np.searchsorted(codes[order], np.arange(len(index) + 1))
-                parts = [(key, mat[order[cuts[c] : cuts[c + 1]]]) for key, c in index.items()]
-            else:
-                parts = [((), mat)]
-            for key, rows in parts:
+            mat = matrix(batch.column("z"), finite=True)
+            for key, own in key_groups([batch.column(k) for k in keys], batch.num_rows):
+                rows = mat[own] if keys else mat
                 gram = rows.T @ rows
                 if key in acc:
                     acc[key] += gram

@@ -1,16 +1,13 @@
 """Distributed permutation tests.
 
-Rows are hashed into blocks of bounded size and permuted inside their block. Such
-permutations form a group, so the test is exact at any size, and with one block (all
-cases up to `block_rows` rows) they are the ordinary unrestricted permutations.
-A task holds one block and a range of permutations, and sends cross-product matrices
-only; these are summed over blocks and solved one permutation per group.
+Rows are numbered once, in hash order, and a permutation is a keyed bijection of those numbers (a Feistel network, walked
+until it falls inside the range), which every task computes on its own. So all rows are permuted freely, at every
+size and however the work is cut into blocks. Tasks send cross-product matrices only; these are summed
+and solved one permutation per group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -18,30 +15,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.operators import solve
+from pairlens.operators.decode import matrix
 from pairlens.operators.linear import moment_matrix, project
-from pairlens.operators.moments import Layout, matrix_from_cells, sum_rows
+from pairlens.operators.moments import FLUSH_CELLS, Layout, few_tasks, matrix_from_cells, sum_rows
+from pairlens.operators.ranking import hash_rank
+from pairlens.session import checkpointed
 
 BLOCK_ROWS = 50_000
 TASK_CELLS = 16_000_000  # doubles a task may hold as block rows, and again as cross-products
+_ROUNDS = 8
 
 
-def _sizes(block_rows: int | None, perms_per_task: int | None, width: int, cells_per_perm: int, most: int) -> tuple[int, int]:
-    """Rows per block and permutations per task so that both fit a task."""
-    rows = block_rows or max(1000, min(BLOCK_ROWS, TASK_CELLS // width))
-    return rows, perms_per_task or max(1, min(most, TASK_CELLS // cells_per_perm))
+def permuted(position: np.ndarray, n: int, seed: int, perm: int) -> np.ndarray:
+    """Where permutation `perm` of 0..n-1 sends each position."""
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    mask = np.uint64((1 << half) - 1)
+    keys = np.random.default_rng([seed, perm]).integers(0, 2**63, _ROUNDS, dtype=np.uint64)
 
+    def once(x: np.ndarray) -> np.ndarray:
+        left, right = x >> np.uint64(half), x & mask
+        for key in keys:
+            mixed = (right + key) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+            mixed *= np.uint64(0xBF58476D1CE4E5B9)
+            left, right = right, left ^ ((mixed ^ (mixed >> np.uint64(32))) & mask)
+        return (left << np.uint64(half)) | right
 
-def _blocked(df: DataFrame, id_col: str, n: int, seed: int, block_rows: int, chunks: Sequence[int]) -> DataFrame:
-    blocks = max(1, -(-n // block_rows))
-    bucket = F.conv(F.substring(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|b{seed}"))), 1, 12), 16, 10).cast("long")
-    return df.withColumn("_block", (bucket % blocks).cast("int")).withColumn(
-        "_chunk", F.explode(F.array(*[F.lit(c) for c in chunks]))
-    )
+    out = once(position.astype(np.uint64))
+    while (outside := out >= n).any():
+        out[outside] = once(out[outside])
+    return out.astype(np.int64)
 
 
-def _rows_of(table: pa.Table, name: str) -> np.ndarray:
-    col = table.column(name).combine_chunks()
-    return col.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+def numbered(df: DataFrame, id_col: str, seed: int) -> DataFrame:
+    """`df` with `_pos`: every row's number from 0, in the order of a hash of its id."""
+    ranked = hash_rank(df, [], id_col, seed, "_pos")
+    return checkpointed(ranked.withColumn("_pos", F.col("_pos").cast("long") - 1))
 
 
 def _batch(keys: list[tuple[str, pa.DataType, list]], mats: list[np.ndarray]) -> pa.Table:
@@ -71,30 +80,43 @@ def permutation_null_rows(
     block_rows: int | None = None,
     perms_per_task: int | None = None,
 ) -> tuple[np.ndarray, DataFrame]:
-    """Observed correlations and the null (perm_id, component, r) from shuffling view y against view x."""
-    block_rows, perms_per_task = _sizes(block_rows, perms_per_task, layout.p + layout.q, layout.p * layout.q, 100)
+    """Observed correlations and the null (perm_id, component, r) from shuffling view y against view x.
+
+    `block_rows` and `perms_per_task` bound a task's memory; the null does not depend on them. The y rows travel once per
+    permutation, to the block of x rows that they meet there.
+    """
+    p, q = layout.p, layout.q
+    block_rows = block_rows or max(1000, min(BLOCK_ROWS, TASK_CELLS // (p + q)))
+    perms_per_task = perms_per_task or max(1, min(100, TASK_CELLS // (p * q), TASK_CELLS // (block_rows * q)))
     m = moment_matrix(df, z)
     model = solve.PairModel(m, layout, None, residualize)
     fit = model.fit(method, layout.p, k, c1, c2)
     n = int(round(m[0, 0]))
-    views = project(df, z, {"x": model.px, "y": model.py}, [id_col])
-    chunks = list(range(-(-n_perm // perms_per_task)))
-
-    def shuffled(key, table):
-        block, chunk = (v.as_py() for v in key)
-        order = np.argsort(np.array(table.column(id_col).to_pylist(), dtype=object).astype(str))
-        x, y = _rows_of(table, "x")[order], _rows_of(table, "y")[order]
-        ids = list(range(chunk * perms_per_task, min((chunk + 1) * perms_per_task, n_perm)))
-        mats = []
-        for b in ids:
-            turn = np.random.default_rng([seed, b, block]).permutation(len(x))
-            mats.append(x.T @ y[turn])
-        return _batch([("perm_id", pa.int32(), ids)], mats)
-
-    schema = "perm_id int, i int, tail array<double>"
-    partial = _blocked(views, id_col, n, seed, block_rows, chunks).groupBy("_block", "_chunk").applyInArrow(shuffled, schema)
+    views = numbered(project(df, z, {"x": model.px, "y": model.py}, [id_col]), id_col, seed)
+    chunks = range(-(-n_perm // perms_per_task))
+
+    def sent(batches):
+        for batch in batches:
+            position = batch.column(0).to_numpy()
+            for b in range(n_perm):
+                target = permuted(position, n, seed, b)
+                columns = [pa.array(target // block_rows, pa.int64()), pa.array(np.full(len(target), b // perms_per_task), pa.int32()), pa.array(np.full(len(target), b), pa.int32()), pa.array(target), batch.column(1)]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "chunk", "perm_id", "target", "y"])
+
+    moved = views.select("_pos", "y").mapInArrow(sent, "block long, chunk int, perm_id int, target long, y array<double>")
+    stay = views.select(F.floor(F.col("_pos") / block_rows).alias("block"), F.explode(F.array(*[F.lit(c) for c in chunks])).alias("chunk"), "_pos", "x")
+
+    def crossed(left: pa.Table, right: pa.Table) -> pa.Table:
+        x = matrix(left.column("x"))[np.argsort(left.column("_pos").to_numpy())]
+        perm, target = right.column("perm_id").to_numpy(), right.column("target").to_numpy()
+        order = np.lexsort((target, perm))
+        ids, starts = np.unique(perm[order], return_index=True)
+        y = matrix(right.column("y"))[order]
+        mats = [x.T @ part for part in np.split(y, starts[1:])]  # every permutation fills the block's positions once
+        return _batch([("perm_id", pa.int32(), ids.tolist())], mats)
+
+    partial = stay.groupBy("block", "chunk").cogroup(moved.groupBy("block", "chunk")).applyInArrow(crossed, "perm_id int, i int, tail array<double>")
     sums = sum_rows(partial, ["perm_id"])
-    p = layout.p
     sxx, syy = model.cov[:p, :p], model.cov[p:, p:]
     whiten = (solve._inverse_root(sxx), solve._inverse_root(syy)) if method == "cca" else None
 
@@ -127,51 +149,55 @@ def permutation_null_groups(
     id_col: str = "subject_id",
     fraction: float = 0.2,
     seed: int = 42,
-    block_rows: int | None = None,
-    perms_per_task: int | None = None,
     completed: DataFrame | None = None,
 ) -> DataFrame:
     """Null of the difference of holdout correlations between two label groups under shuffled labels.
 
-    Every permutation refits preparation, PCA and the canonical model of both groups on
-    their training rows. `completed` (perm_id, ...) rows are kept and not computed again.
+    Every permutation refits preparation, PCA and the canonical model of both groups on their training rows. The groups keep their
+    sizes: the rows that a permutation sends to the first places are the cases, the others the controls, and the
+    first ceil(`fraction`) of each are held out. No row moves. `completed` (perm_id, ...) rows are kept and not computed again.
     """
-    block_rows, perms_per_task = _sizes(block_rows, perms_per_task, layout.dim, 2 * layout.dim * (layout.dim + 1), 50)
-    n = df.count()
+    rows = df.where(F.col(label).isin(0, 1))
+    counts = {int(r[0]): r[1] for r in rows.groupBy(label).count().collect()}
+    n_case, n = counts.get(1, 0), sum(counts.values())
+    held = {1: int(np.ceil(fraction * n_case)), 0: int(np.ceil(fraction * (n - n_case)))}
     done = {r[0] for r in completed.select("perm_id").distinct().collect()} if completed is not None else set()
     todo = [b for b in range(n_perm) if b not in done]  # at most n_perm integers
-    groups = [todo[i : i + perms_per_task] for i in range(0, len(todo), perms_per_task)]
     schema = "perm_id int, r_case double, r_control double, diff double"
-    if not groups:
+    if not todo:
         return completed.select("perm_id", "r_case", "r_control", "diff")
-    rows = df.select(F.col(id_col).cast("string").alias("_id"), F.col(label).cast("int").alias("_y"), z.cast("array<double>").alias("z"))
     d = layout.dim
     upper = np.triu_indices(d)
-
-    def shuffled(key, table):
-        block, chunk = (v.as_py() for v in key)
-        order = np.argsort(np.array(table.column("_id").to_pylist(), dtype=object).astype(str))
-        zs = _rows_of(table, "z")[order]
-        y = table.column("_y").to_numpy()[order]
-        cells, mats = [], []
-        for b in groups[chunk]:
-            rng = np.random.default_rng([seed, b, block])
-            perm = rng.permutation(y)
-            for g in (0, 1):
-                members = rng.permutation(np.flatnonzero(perm == g))
-                hold = int(np.ceil(fraction * len(members)))
-                for s, idx in ((1, members[:hold]), (0, members[hold:])):
-                    gram = zs[idx].T @ zs[idx]
-                    cells.append((b, g, s))
-                    mats.append(gram[upper][None, :])
-        ids = [("perm_id", pa.int32(), [c[0] for c in cells]), ("g", pa.int32(), [c[1] for c in cells]), ("hold", pa.int32(), [c[2] for c in cells])]
-        return _batch(ids, mats)
-
-    partial = (
-        _blocked(rows, "_id", n, seed, block_rows, range(len(groups)))
-        .groupBy("_block", "_chunk")
-        .applyInArrow(shuffled, "perm_id int, g int, hold int, i int, tail array<double>")
-    )
+    places = numbered(rows.select(F.col(id_col).cast("string").alias("_id"), z.cast("array<double>").alias("z")), "_id", seed)
+
+    def summed(batches):
+        sums: dict[tuple[int, int, int], np.ndarray] = {}
+
+        def emitted():
+            keys = list(sums)
+            names = [("perm_id", pa.int32()), ("g", pa.int32()), ("hold", pa.int32())]
+            table = _batch([(name, kind, [key[c] for key in keys]) for c, (name, kind) in enumerate(names)], [sums[key][None, :] for key in keys])
+            sums.clear()
+            return table.to_batches()
+
+        for batch in batches:
+            position, zs = batch.column(0).to_numpy(), matrix(batch.column(1), finite=True)
+            for b in todo:
+                target = permuted(position, n, seed, b)
+                case = target < n_case
+                hold = np.where(case, target < held[1], target - n_case < held[0])
+                for g in (0, 1):
+                    for s in (0, 1):
+                        part = zs[(case == g) & (hold == s)]
+                        if len(part):
+                            gram = (part.T @ part)[upper]
+                            sums[b, g, s] = sums[b, g, s] + gram if (b, g, s) in sums else gram
+                if len(sums) * len(upper[0]) > FLUSH_CELLS:
+                    yield from emitted()
+        if sums:
+            yield from emitted()
+
+    partial = few_tasks(places.select("_pos", "z")).mapInArrow(summed, "perm_id int, g int, hold int, i int, tail array<double>")
     sums = sum_rows(partial, ["perm_id", "g", "hold"])
 
     def solve_one(pdf):
@@ -183,13 +209,13 @@ def permutation_null_groups(
                 flat = np.zeros(len(upper[0]))
                 flat[part["j"].to_numpy()] = part["s"].to_numpy()
                 mats.append(matrix_from_cells(upper[0], upper[1], flat, d))
-            train, held = mats
-            if train[0, 0] + held[0, 0] < 10:
+            train, held_out = mats
+            if train[0, 0] + held_out[0, 0] < 10:
                 r[g] = 0.0
                 continue
             model = solve.PairModel(train, layout, pca_dim)
             fit = model.fit(method, pca_dim, k, c1, c2)
-            r[g] = float(np.nan_to_num(model.score(fit, held)[0]))
+            r[g] = float(np.nan_to_num(model.score(fit, held_out)[0]))
         b = int(pdf["perm_id"].iloc[0])
         return pd.DataFrame({"perm_id": [b], "r_case": [r[1]], "r_control": [r[0]], "diff": [r[1] - r[0]]})
 

@@ -62,16 +62,19 @@ def hash_rank(
     id_col: str,
     seed: int,
     rank: str = "rank",
-    hex_digits: int = 3,
+    hex_digits: int | None = None,
     annotate: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Exact 1-based rank of every row in hash order within its key.
 
     Rows are bucketed by the leading hex digits of the hash, which are uniform, so a
-    window partition holds about n / 16**hex_digits rows whatever the key sizes are.
+    window partition holds about n / 16**hex_digits rows whatever the key sizes are. By default there are
+    16 to 256 buckets per shuffle partition, which grow with the data as those do.
     `annotate` may add columns to the table of bucket sizes (keys..., _b, _n), which then
     arrive at every row with the one join that is needed anyway.
     """
+    if hex_digits is None:
+        hex_digits = max(3, len(f"{int(df.sparkSession.conf.get('spark.sql.shuffle.partitions')):x}") + 1)
     hashed = df.withColumn("_h", hash_order(id_col, seed)).withColumn("_b", F.substring("_h", 1, hex_digits))
     group = [*keys, "_b"]
     sizes = hashed.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
@@ -90,7 +93,7 @@ def running_totals(
     keys: Sequence[str],
     order: str,
     sums: Sequence[str],
-    buckets: int = 64,
+    buckets: int | None = None,
     totals: bool = False,
     borders_from: DataFrame | None = None,
 ) -> DataFrame:
@@ -104,6 +107,8 @@ def running_totals(
     `<c>_total` is the sum over the whole key.
     """
     keys = list(keys)
+    if buckets is None:  # as many as shuffle partitions, rounded up to a power of two
+        buckets = max(64, 1 << (int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     if buckets & (buckets - 1):
         raise ValueError("buckets must be a power of two")
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])

@@ -139,18 +139,20 @@ def scca(
     paper = projection == "paper"
     us, vs = np.zeros((p, k)), np.zeros((q, k))
     for comp in range(k):
+        if bound == "fraction":
+            # Sparse weights are not orthogonal, so what earlier components explain comes off anew before each component.
+            for a, b in zip(us.T[:comp], vs.T[:comp]):
+                s = s - (a @ s @ b) * np.outer(a, b)
         v = np.linalg.svd(s, full_matrices=False)[2][0]
         u = np.zeros(p)
         for _ in range(max_iter):
-            last = u
+            last_u, last_v = u, v
             u = l1_unit(s @ v, b1, paper)
             v = l1_unit(s.T @ u, b2, paper)
-            if np.linalg.norm(u - last) < tol:
+            if max(np.linalg.norm(u - last_u), np.linalg.norm(v - last_v)) < tol:
                 break
         us[:, comp], vs[:, comp] = u, v
-        if bound == "fraction":
-            s = s - (u @ s @ v) * np.outer(u, v)
-        else:
+        if bound != "fraction":
             s = s - np.outer(u, u @ s)
             s = s - np.outer(s @ v, v)
     return fix_signs(us, vs)

@@ -7,6 +7,7 @@ total-minus-fold and scores them on the fold, or on the holdout for the final fi
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
@@ -44,15 +45,30 @@ def split_moments(df: DataFrame, z: Column, keys: Sequence[str] = ()) -> DataFra
     return moments(df, [*keys, "fold"], z)
 
 
-def materialize_moments(mom: DataFrame, path: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Write moments once, partitioned by key and fold, or read back what is there."""
+def materialize_moments(
+    mom: DataFrame, path: str, keys: Sequence[str] = (), fingerprint: str | None = None, folds: Sequence[int] | None = None
+) -> DataFrame:
+    """Moments kept at `path`, partitioned by key and fold.
+
+    What is there and finished is read back; a half-written table is written anew. With `folds`, those that are absent are computed from
+    `mom` and added, the others are not computed again. `fingerprint` (for instance of `results.dataset_fingerprint`
+    and the settings) is kept beside the moments; a table of another fingerprint is an error, not served.
+    """
     spark = mom.sparkSession
-    try:
-        return spark.read.schema(mom.schema).parquet(path)
-    except Exception as missing:  # the path does not exist yet
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-    mom.write.partitionBy(*keys, "fold").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    mark = f"{path}-finished"  # written last: what it does not name may be incomplete
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{mark}/_SUCCESS")
+    state = {}
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        state = json.loads(spark.read.text(mark).first()[0])
+        if state["fingerprint"] != fingerprint:
+            raise ValueError(f"{path} holds moments of other data or settings: {state['fingerprint']}, wanted {fingerprint}")
+    absent = None if folds is None else [f for f in folds if f not in state.get("folds", [])]
+    if not state or absent:
+        rows = mom if absent is None else mom.filter(F.col("fold").isin(absent))
+        rows.write.partitionBy(*keys, "fold").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+        there = spark.read.schema(mom.schema).parquet(path).select("fold").distinct().collect() if absent is None else []
+        done = sorted({*state.get("folds", []), *(absent or []), *(r[0] for r in there)})
+        spark.createDataFrame([(json.dumps({"fingerprint": fingerprint, "folds": done}),)], "value string").coalesce(1).write.mode("overwrite").text(mark)
     return spark.read.schema(mom.schema).parquet(path)
 
 

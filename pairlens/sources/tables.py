@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlens.operators.ranking import keep_first
+from pairlens.operators.ranking import keep_first, keep_last
+
+
+def _place() -> Column:
+    """Where a row stands in its files, taken as they are read: file, start of the part, number within the task."""
+    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row"))
 
 
 def read_tabular_features(
@@ -23,15 +28,15 @@ def read_tabular_features(
     rows = spark.read.option("header", "true").option("enforceSchema", "true").schema(schema).csv(path)
     features = [c for c in header if c != id_col]
     clean = rows.select(
+        _place().alias("_pos"),
         F.trim(F.col(f"`{id_col}`")).alias("subject_id"),
         *[F.coalesce(F.col(f"`{c}`"), F.lit(float("nan")).cast("float")).alias(c) for c in features],
     )
     if ids is not None:
         clean = clean.join(ids.select("subject_id"), "subject_id", "left_semi")
     if not keep_order:
-        return clean.dropDuplicates(["subject_id"])
-    # monotonically_increasing_id follows file order, which decides the first row per id.
-    return keep_first(clean.withColumn("_pos", F.monotonically_increasing_id()), "subject_id", "_pos").drop("_pos")
+        return clean.drop("_pos").dropDuplicates(["subject_id"])
+    return keep_first(clean, "subject_id", "_pos").drop("_pos")
 
 
 def read_name_list(spark: SparkSession, path: str) -> DataFrame:
@@ -64,9 +69,9 @@ def read_field_dictionary(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"dictionary lacks {sorted(missing)}")
     category = F.coalesce(F.trim("Category"), F.lit("")) if "Category" in df.columns else F.lit("")
     rows = df.select(
-        F.trim("`Column Name`").alias("column"), F.coalesce(F.trim("Description"), F.lit("")).alias("description"), category.alias("category")
+        _place().alias("_pos"), F.trim("`Column Name`").alias("column"), F.coalesce(F.trim("Description"), F.lit("")).alias("description"), category.alias("category")
     )
-    return rows.filter("column is not null and column <> ''").dropDuplicates(["column"])
+    return keep_last(rows.filter("column is not null and column <> ''"), "column", "_pos").drop("_pos")
 
 
 def read_roi_labels(spark: SparkSession, path: str, expected: int = 400) -> DataFrame:
@@ -76,7 +81,7 @@ def read_roi_labels(spark: SparkSession, path: str, expected: int = 400) -> Data
         raise ValueError("label table lacks 'ROI Name'")
     from pyspark.sql import Window
 
-    rows = df.select(F.col("ROI Name").alias("roi_name"), F.monotonically_increasing_id().alias("_p"))
+    rows = df.select(F.col("ROI Name").alias("roi_name"), _place().alias("_p"))
     out = rows.select((F.row_number().over(Window.orderBy("_p")) - 1).alias("roi"), "roi_name")
     n = out.count()
     if n != expected:

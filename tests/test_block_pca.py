@@ -87,3 +87,21 @@ def test_wide_grid_equals_moment_grid(spark, data):
     got = coupling.wide_coupling_grid(rows.select("subject_id", F.inline(two)), rows.drop("x"), 1, 3, grid, n_components=2).toPandas().set_index("config")
     for c in ("mean_train", "mean_val", "r_holdout"):
         assert np.allclose(got.loc[want.index, c], want[c], atol=1e-5), c
+
+
+def test_absent_blocks_are_errors(spark, data):
+    _, _, blocks, cov = data
+    some = blocks.filter("not (gene = 'g1' and cast(substr(subject_id, 2) as int) < 40)")
+    with pytest.raises(ValueError, match="every subject needs every block"):
+        bp.block_pca(some, 2, cov)
+    train = F.expr("cast(substr(subject_id, 2) as int) >= 40")
+    model, scores = bp.block_pca(some, 2, cov, train)
+    with pytest.raises(Exception, match="every subject needs every block once"):
+        scores.collect()
+    assert model.passes >= 1
+
+
+def test_unsettled_eigenvalues_are_errors(spark, data):
+    _, _, blocks, cov = data
+    with pytest.raises(RuntimeError, match="have not settled"):
+        bp.block_pca(blocks, 2, cov, passes=1, oversample=0)

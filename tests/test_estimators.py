@@ -37,24 +37,40 @@ def test_row_permutations_separate_signal_from_noise(spark, planted):
     assert len(r) == 99 and (r < obs[0]).all()
 
 
-def test_one_block_permutations_equal_direct_refits(spark, planted):
+def test_permutations_equal_direct_refits(spark, planted):
     pdf, df = planted
     _, null = permutation.permutation_null_rows(df, z(), LAYOUT, 3, 2, seed=11)
     got = null.toPandas().pivot(index="perm_id", columns="component", values="r").to_numpy()
     c = np.column_stack([np.ones(len(pdf)), np.vstack(pdf["c"])])
     res = lambda f: f - c @ np.linalg.lstsq(c, f, rcond=None)[0]
     x, y = res(np.vstack(pdf["x"])), res(np.vstack(pdf["b"]))
+    places = permutation.numbered(df.select("subject_id"), "subject_id", 11).toPandas().set_index("subject_id")["_pos"]
+    number = places.loc[pdf["subject_id"]].to_numpy()
     for b in range(3):
-        turn = np.random.default_rng([11, b, 0]).permutation(len(x))
-        qx, qy = np.linalg.qr(x)[0], np.linalg.qr(y[turn])[0]
+        turn = np.empty(len(x), int)
+        turn[permutation.permuted(number, len(x), 11, b)] = np.arange(len(x))
+        qx, qy = np.linalg.qr(x[np.argsort(number)])[0], np.linalg.qr(y[turn])[0]
         assert np.allclose(got[b], np.linalg.svd(qx.T @ qy, compute_uv=False)[:2], atol=1e-8)
 
 
-def test_blocked_permutations_stay_centred(spark, planted):
+def test_null_does_not_depend_on_blocks(spark, planted):
     _, df = planted
-    obs, null = permutation.permutation_null_rows(df, z(), LAYOUT, 50, 1, block_rows=60)
-    r = null.toPandas()["r"]
-    assert len(r) == 50 and (r < obs[0]).mean() > 0.95
+    nulls = [permutation.permutation_null_rows(df, z(), LAYOUT, 20, 2, block_rows=rows, perms_per_task=perms)[1].toPandas().sort_values(["perm_id", "component"])["r"].to_numpy() for rows, perms in ((10**6, 20), (60, 7), (7, 1))]
+    assert len(nulls[0]) == 40 and np.allclose(nulls[0], nulls[1]) and np.allclose(nulls[0], nulls[2])
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 65, 1000])
+def test_permuted_is_a_bijection_without_bias(n):
+    turns = np.array([permutation.permuted(np.arange(n), n, 5, b) for b in range(400)])
+    assert (np.sort(turns, axis=1) == np.arange(n)).all()
+    assert abs(turns[:, 0].mean() - (n - 1) / 2) < 0.2 * n + 1e-9
+
+
+@pytest.mark.parametrize("vector,message", [(None, "are null"), ([1.0, None, 2.0], "values"), ([1.0], "different lengths"), ([1.0, float("nan"), 2.0], "NaN")])
+def test_broken_vectors_are_errors(spark, vector, message):
+    df = spark.createDataFrame([(i, [1.0, 2.0, float(i)]) for i in range(9)] + [(9, vector)], "id long, v array<double>").coalesce(1)
+    with pytest.raises(Exception, match=message):
+        linear.moment_matrix(df, F.col("v"))
 
 
 def test_group_null_resumes(spark, planted):
@@ -151,3 +167,31 @@ def test_size_guards(spark, planted, monkeypatch):
     monkeypatch.setattr(linear, "MAX_MAP_CELLS", 3)
     with pytest.raises(ValueError, match="too large"):
         linear.project(df, z(), {"u": np.zeros((11, 2))}, ["subject_id"])
+
+
+def test_cached_moments_are_checked_and_completed(spark, tmp_path):
+    def rows(shift, folds):
+        df = spark.createDataFrame([(i, f, float(i) + shift) for i in range(12) for f in folds], "id long, fold int, v double")
+        return coupling.split_moments(df, z_vector(None, F.array("v")))
+
+    def sums(df):
+        return {r["fold"]: r["s"] for r in df.where("i = 0 and j = 1").collect()}
+
+    path = f"file://{tmp_path}/moments"
+    first = sums(coupling.materialize_moments(rows(0, [0, 1]), path, fingerprint="a", folds=[0, 1]))
+    assert first == {0: 66.0, 1: 66.0}
+    more = sums(coupling.materialize_moments(rows(1, [0, 1, 2]), path, fingerprint="a", folds=[0, 1, 2]))
+    assert more == {0: 66.0, 1: 66.0, 2: 78.0}
+    with pytest.raises(ValueError, match="other data"):
+        coupling.materialize_moments(rows(1, [0]), path, fingerprint="b")
+    (tmp_path / "moments-finished" / "_SUCCESS").unlink()
+    assert sums(coupling.materialize_moments(rows(2, [0, 1, 2]), path, fingerprint="b")) == {0: 90.0, 1: 90.0, 2: 90.0}
+
+
+def test_unfinished_fits_are_errors(spark, planted):
+    _, df = planted
+    rows = coupling.assign_splits(df)
+    with pytest.raises(RuntimeError, match="not converged"):
+        frame = rows.select("fold", "y", z().alias("z"))
+        model = classify.FoldModel("m", 0, np.eye(LAYOUT.dim)[:, : 1 + LAYOUT.n_cov + LAYOUT.p], (1.0, 1.0))
+        classify.fit_logistic(frame, [model], max_iter=1)

@@ -5,7 +5,8 @@ round the band's pieces and the slots of all gaps are range-sorted by size, and
 its closest smaller piece: +1 for a piece and -1 for a slot, summed up over the sorted rows, give every row a level, and a
 slot takes the last piece before it on the same level. That is the best-fit matching: conflicts (several pieces whose
 closest gap is the same) are settled by the ranks that the levels encode, every slot gets one piece at most, every piece one slot.
-Gaps shrink and the round repeats until nothing fits; what is left opens as many sequences as its tokens need.
+A gap of several times the band's longest piece offers as many slots. Gaps shrink and the round repeats: first on the sequences that are there, then
+with as many new ones as the tokens left need, then with enough for all that is left.
 """
 
 from __future__ import annotations
@@ -23,8 +24,12 @@ from pyspark.sql import functions as F
 from pairlens.llm.tokens import word_encoder
 from pairlens.session import checkpointed, written
 
-#: Each band reaches down to this part of its longest piece.
-BAND = 8
+#: Lengths of a band differ by this factor at most, down to the last band, of lengths up to `LAST`.
+BAND, LAST = 4, 128
+#: A round that places no more than this part of the band's pieces is the last before new sequences open.
+WORTH = 0.2
+#: Rows of a sweep that one task takes.
+SWEEP_ROWS = 100_000
 _PIECES = "doc_id {id}, piece int, start bigint, length bigint, ids_crc32 bigint{ids}"
 
 
@@ -60,14 +65,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 1
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def _match(pieces: DataFrame, slots: DataFrame) -> DataFrame:
+def _match(pieces: DataFrame, slots: DataFrame, n: int) -> DataFrame:
     """Pieces (`uid`, `length`) with the `seq` and `slot` that each gets, null where it gets none.
 
-    slots: `seq`, `slot`, `size`.
+    slots: `seq`, `slot`, `size`. n: about how many rows there are.
     """
     rows = pieces.select("uid", "length", F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("bigint").alias("slot"), F.col("length").alias("size"), F.lit(1).alias("step"))
     gaps = slots.select(F.lit(None).cast("bigint").alias("uid"), F.lit(None).cast("bigint").alias("length"), "seq", "slot", "size", F.lit(-1).alias("step"))
-    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = -(-n // SWEEP_ROWS)
     tie = F.xxhash64("uid", "seq", "slot")
     # Pieces come before slots of the same size; the tie spreads one frequent size over many tasks.
     ordered = rows.unionByName(gaps).withColumns({"kind": -F.col("step"), "tie": tie}).repartitionByRange(tasks, "size", "kind", "tie").sortWithinPartitions("size", "kind", "tie")
@@ -104,33 +109,37 @@ def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
     placed = [opened.select("uid", "length", F.col("uid").alias("seq"), F.lit(0).cast("bigint").alias("turn"))]
     gaps = opened.select(F.col("uid").alias("seq"), (capacity - F.col("length")).alias("gap")).where("gap > 0")
     turn, longest = 0, half
-    while longest >= 1:
-        least = longest // BAND if longest > BAND**2 else 0
-        left = pieces.where((F.col("length") > least) & (F.col("length") <= longest))
+    while longest:
+        least = longest // BAND if longest > LAST else 0
+        left, phase, before = pieces.where((F.col("length") > least) & (F.col("length") <= longest)), 0, None
         while True:
             turn += 1
-            n, tokens, first = left.agg(F.count("*"), F.sum("length"), F.min(F.xxhash64("uid", F.lit(turn)))).first()
+            pick = F.xxhash64("uid", F.lit(turn))
+            n, tokens = left.agg(F.count("*"), F.sum("length")).first()
             if not n:
                 break
+            if before is not None and before - n <= WORTH * before:
+                phase += 1
+                # First as many pieces open as the tokens left fill, then one of every `whole`: it leaves room for the others, as
+                # none is longer than `longest`. Which ones, a hash says (a few more where the quantile is not exact).
+                whole = capacity // longest
+                wanted = -(-tokens // capacity) if phase == 1 else -(-n // whole)
+                last = left.agg(F.percentile_approx(pick, min(1.0, wanted / n), 100_000)).first()[0]
+                chosen = pick <= last
+                new = left.where(chosen)
+                placed.append(new.select("uid", "length", F.col("uid").alias("seq"), F.lit(turn * capacity).cast("bigint").alias("turn")))
+                gaps = gaps.unionByName(new.select(F.col("uid").alias("seq"), (capacity - F.col("length")).alias("gap")))
+                left, turn = left.where(~chosen), turn + 1
+            before = n
             parts = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("gap") / longest))
             slots = gaps.where(F.col("gap") > least).select("seq", "gap", parts.alias("parts"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("slot"))
             slots = slots.select("seq", "slot", F.when(F.col("slot") < F.col("parts") - 1, F.lit(longest)).otherwise(F.col("gap") - (F.col("parts") - 1) * longest).cast("bigint").alias("size"))
-            met = checkpointed(_match(left, slots))
+            met = checkpointed(_match(left, slots, n + slots.count()))
             found = met.where("seq is not null")
-            fills = found.groupBy("seq").agg(F.sum("length").alias("filled"), F.count("*").alias("n"))
-            if fills.isEmpty():
-                # Nothing fits any gap: as many of the pieces as their tokens need open sequences, chosen by hash.
-                share = int(2**63 * min(1.0, -(-tokens // capacity) / n)) - 1
-                pick = F.xxhash64("uid", F.lit(turn))
-                chosen = (pick == first) | (F.shiftrightunsigned(pick, 1) <= F.lit(share))
-                new = left.where(chosen)
-                placed.append(new.select("uid", "length", F.col("uid").alias("seq"), F.lit(turn * capacity).cast("bigint").alias("turn")))
-                gaps = checkpointed(gaps.unionByName(new.select(F.col("uid").alias("seq"), (capacity - F.col("length")).alias("gap"))))
-                left = checkpointed(left.where(~chosen))
-            else:
-                placed.append(found.select("uid", "length", "seq", (F.lit(turn * capacity) + F.col("slot")).alias("turn")))
-                gaps = checkpointed(gaps.join(fills, "seq", "left").select("seq", (F.col("gap") - F.coalesce("filled", F.lit(0))).alias("gap")).where("gap > 0"))
-                left = met.where("seq is null").select("uid", "length")
+            placed.append(found.select("uid", "length", "seq", (F.lit(turn * capacity) + F.col("slot")).alias("turn")))
+            fills = found.groupBy("seq").agg(F.sum("length").alias("filled"))
+            gaps = checkpointed(gaps.join(fills, "seq", "left").select("seq", (F.col("gap") - F.coalesce("filled", F.lit(0))).alias("gap")).where("gap > 0"))
+            left = met.where("seq is null").select("uid", "length")
         longest = least
     every = placed[0]
     for more in placed[1:]:

@@ -25,9 +25,7 @@ WORDS, LANES, DISTANCE = 5, 8, 80
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose most toxic passage is at most likely clean go; trained on the labelled documents."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("labelled_id"), F.col("toxic").alias("toxic_label"))
-    sample = docs.select("doc_id", "text").join(labels, F.col("doc_id") == F.col("labelled_id"))
-    model = toxicity.fit(sample, label_col="toxic_label")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model).where(F.col("toxicity") < TOXIC).select(docs.columns)
 
 

@@ -134,7 +134,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     texts: dict[str, list[bytes]] = {}
     used: dict[str, int] = {}
-    for lang, text in labelled_sample(docs, lang_col, id_col, text_col, per_language):
+    for lang, text in labelled_sample(docs, docs.select(id_col, F.col(lang_col).alias("label")), id_col, text_col, per_language):
         data = text.encode()
         if used.get(lang, 0) + len(data) <= max_bytes:
             used[lang] = used.get(lang, 0) + len(data)

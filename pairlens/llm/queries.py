@@ -80,7 +80,7 @@ def op9_ppm_language(spark: SparkSession, sf: str) -> DataFrame:
 def op10_subword_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """Toxicity of every document by subword-bag embeddings."""
     docs = _table(spark, sf, "documents").select("doc_id", "text")
-    model = toxicity.fit(docs.where(id_remainder("doc_id", 5) != 0).join(_table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id"))
+    model = toxicity.fit(docs.where(id_remainder("doc_id", 5) != 0), _table(spark, sf, "labels"))
     out = toxicity.score(docs, model)
     return out.select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 

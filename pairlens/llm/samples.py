@@ -11,11 +11,16 @@ def id_remainder(id_col: str, divisor: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(divisor))
 
 
-def labelled_sample(rows: DataFrame, label: str, id_col: str, text: str, per_label: int) -> list:
-    """At most `per_label` rows of each label with a text, in the order of a hash of id and text.
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, per_label: int) -> list:
+    """(label, text) of at most `per_label` documents of each label, in the order of a hash of the id.
 
-    The rank's limit is applied before the shuffle, so a label that holds most rows is not gathered.
+    labels: `id_col` and `label`. Rows without id, label or text are left out. Ids alone are joined and ranked, with the limit
+    applied before the shuffle, so neither texts nor a label that holds most rows are gathered; only the chosen ids' texts are fetched.
     """
-    order = Window.partitionBy(label).orderBy(F.xxhash64(id_col, text), id_col)
-    ranked = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull()).withColumn("rank_in_label", F.row_number().over(order))
-    return ranked.where(F.col("rank_in_label") <= per_label).select(label, text).orderBy(label, "rank_in_label").collect()
+    order = Window.partitionBy("label").orderBy(F.xxhash64(id_col), id_col)
+    there = docs.where(F.col(text).isNotNull()).select(id_col)
+    ranked = labels.where("label is not null").select(id_col, "label").distinct().join(there, id_col).withColumn("place", F.row_number().over(order))
+    chosen = ranked.where(F.col("place") <= per_label).select(id_col, "label").collect()  # per_label times the labels
+    few = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], ranked.select(id_col, "label").schema)
+    rows = docs.select(id_col, text).join(F.broadcast(few), id_col).where(F.col(text).isNotNull())
+    return [(r[0], r[1]) for r in rows.select("label", text, id_col).orderBy("label", F.xxhash64(id_col), id_col, text).collect()]

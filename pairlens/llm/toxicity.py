@@ -151,9 +151,10 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     return Model((vectors @ (weights[:, 1] - weights[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = PER_LABEL) -> Model:
-    """Train on at most `per_label` rows of each label (0 or 1); rows without label or text are left out."""
-    rows = labelled_sample(labelled.where(F.col(label_col).isin(0, 1)), label_col, id_col, text_col, per_label)
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = PER_LABEL) -> Model:
+    """Train on at most `per_label` documents of each label (0 or 1, in `labels` by id); those without label or text are left out."""
+    known = labels.where(F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).alias("label"))
+    rows = labelled_sample(docs, known, id_col, text_col, per_label)
     return train([r[1] for r in rows], [int(r[0]) for r in rows])
 
 

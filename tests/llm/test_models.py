@@ -69,9 +69,9 @@ def test_language_of_awkward_rows(spark, extra):
 
 def test_sample_is_bounded_and_repeatable(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, 1).when(F.col("id") % 7 > 0, 0).alias("label"), F.concat(F.lit("t"), "id").alias("text"))
-    first = labelled_sample(rows, "label", "doc_id", "text", 40)
+    first = labelled_sample(rows, rows, "doc_id", "text", 40)
     assert Counter(r[0] for r in first) == {0: 40, 1: 30}
-    assert first == labelled_sample(rows.repartition(5), "label", "doc_id", "text", 40)
+    assert first == labelled_sample(rows.repartition(5), rows, "doc_id", "text", 40)
 
 
 def _speech(rng, toxic, misspelt=False):
@@ -102,8 +102,8 @@ def test_one_class_gives_a_constant():
 def test_toxicity_of_awkward_rows(spark, extra):
     docs = documents(spark, extra=extra)
     labelled = docs.withColumn("label", (F.col("doc_id") % 2).cast("int"))
-    out = toxicity.score(docs, toxicity.fit(labelled, label_col="label", per_label=5))
+    out = toxicity.score(docs, toxicity.fit(docs, labelled, label_col="label", per_label=5))
     assert out.count() == docs.count()
     assert out.where("toxicity between 0 and 1").count() == docs.count()
-    empty = toxicity.score(documents(spark, []), toxicity.fit(labelled.where("false"), label_col="label"))
+    empty = toxicity.score(documents(spark, []), toxicity.fit(docs, labelled.where("false"), label_col="label"))
     assert empty.count() == 0

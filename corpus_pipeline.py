@@ -23,31 +23,42 @@ MAX_BITS = 8.0
 WORDS, LANES, DISTANCE = 5, 8, 80
 
 
+def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The table with its own columns of these names put aside, and what puts them back in the table's order."""
+    moved = {n: f"{n}_{'x' * max(map(len, docs.columns))}" for n in names if n in docs.columns}
+    back = {v: k for k, v in moved.items()}
+    return docs.withColumnsRenamed(moved), lambda out: out.drop(*moved).withColumnsRenamed(back).select(docs.columns)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose most toxic passage is at most likely clean go; trained on the labelled documents."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where(F.col("toxicity") < TOXIC).select(docs.columns)
+    rows, restored = _aside(docs, "toxicity")
+    return restored(toxicity.score(rows, model).where(F.col("toxicity") < TOXIC))
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or that every language's model codes no shorter than no model would, go."""
-    out = language.identify(docs, language.fit(docs))
-    return out.where((F.col("lang_pred") != "und") & (F.col("lang_bits") < MAX_BITS)).select(docs.columns)
+    rows, restored = _aside(docs, "lang_pred", "lang_score", "lang_bits")
+    out = language.identify(rows, language.fit(docs))
+    return restored(out.where((F.col("lang_pred") != "und") & (F.col("lang_bits") < MAX_BITS)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays, that with the smallest id (of equal ids, the smaller hash of the text)."""
-    keyed = docs.withColumn("row_key", F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_hash")))
+    rows, restored = _aside(docs, "row_key")
+    keyed = rows.withColumn("row_key", F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_hash")))
     members = simhash.near_duplicates(keyed, id_col="row_key", words=WORDS, distance=DISTANCE, lanes=LANES)
     kept = members.where("row_key = component_id").select("row_key").distinct()
-    return keyed.join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]).select(docs.columns)
+    return restored(keyed.join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes or more that a document with a smaller id has too are cut; the documents stay, with what is left."""
-    out = suffixes.remove_repeats(docs, 50, whole_characters=True)
+    rows, restored = _aside(docs, "kept", "n_bytes", "spans")
+    out = suffixes.remove_repeats(rows, 50, whole_characters=True)
     out = out.withColumn("text", F.col("kept").cast("string"))
-    return out.withColumn("n_chars", F.char_length("text").cast("bigint")).select(docs.columns)
+    return restored(out.withColumn("n_chars", F.char_length("text").cast("bigint")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

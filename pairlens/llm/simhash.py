@@ -118,21 +118,43 @@ def _spanning_links(values: np.ndarray, distance: int, shared: int) -> list[tupl
     return links
 
 
+def _shared_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted postings, those of several entries, with their number. Holds a batch and the posting that it breaks off in."""
+    rest_id, rest_part = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def several(part: np.ndarray, fid: np.ndarray) -> pa.RecordBatch:
+        new = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+        size = np.diff(np.append(new, len(part)))
+        n = np.repeat(size, size)
+        return pa.RecordBatch.from_arrays([pa.array(x[n > 1]) for x in (part, fid, n)], names=["part", "fid", "n"])
+
+    for batch in batches:
+        fid, part = np.concatenate([rest_id, batch.column("fid").to_numpy()]), np.concatenate([rest_part, batch.column("part").to_numpy()])
+        if not len(part):
+            continue
+        cut = np.searchsorted(part, part[-1])
+        yield several(part[:cut], fid[:cut])
+        rest_id, rest_part = fid[cut:], part[cut:]
+    yield several(rest_part, rest_id)
+
+
 def near_links(distinct: DataFrame, distance: int = 3, lanes: int = 1) -> DataFrame:
     """`a`, `b`: links between distinct fingerprints (column `fp`) that connect all that lie within `distance` bits and meet in a posting.
 
     Not every close pair is listed: inside a posting a spanning forest is, so a group of n near copies gives at most
     n - 1 links per posting. A posting of over `BLOCK` fingerprints is split into pairs of blocks.
     """
+    spark = distinct.sparkSession
     shared = max(8 * lanes - distance, KEY_BYTES)
     # Postings hold a number for each fingerprint (one lane: itself), which is exchanged for it once few are left.
     own_id = F.get("fp", F.lit(0)) if lanes == 1 else F.xxhash64("fp")
     posts = F.array(*[F.xxhash64(F.lit(i), _key(t, lanes)) for i, t in enumerate(position_tuples(8 * lanes, 8 * lanes - distance))])
     rows = distinct.select(own_id.alias("fid"), F.explode(posts).alias("part"))
-    sizes = rows.groupBy("part").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK)
     own = F.pmod(F.xxhash64("fid"), blocks)
-    met = rows.join(sizes, "part").select("part", "fid", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = rows.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_shared_postings, "part bigint, fid bigint, n bigint")
+    met = met.select("part", "fid", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other"))
     met = met.join(distinct.select(own_id.alias("fid"), "fp"), "fid")
     groups = met.groupBy("part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list("fp").alias("fps"))
 

@@ -320,10 +320,10 @@ class SubstringDedup:
         lead = np.ascontiguousarray(around[rest][:, self.before : self.before + self.anchors.token])
         target = np.searchsorted(splitters, lead.view(f"S{self.anchors.token}").ravel(), side="right") if len(splitters) else np.zeros(len(rest), np.int64)
         border = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]])) if len(rest) else _NONE
-        rows = []
+        rows, codec = [], pa.Codec("zstd", 9)
         for s, e in zip(border, np.concatenate([border[1:], [len(rest)]])):
             own = rest[s:e]
-            packed = b"".join(len(x).to_bytes(8, "little") + x for x in (zlib.compress(whole[own].tobytes(), 1), _planes(doc[own]), _planes(tag[own]), _planes(position[own])))
+            packed = b"".join(len(x).to_bytes(8, "little") + x for x in (_planes(doc[own]), _planes(tag[own]), _planes(position[own]), codec.compress(whole[own].tobytes(), asbytes=True)))
             rows.append((int(target[s]), packed))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([1] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["target", "kind", "data"])
@@ -361,8 +361,11 @@ class SubstringDedup:
         width = self.before + self.length
         while parts:
             own = parts.popitem()[1]
-            whole = np.concatenate([np.frombuffer(zlib.decompress(x[0]), np.uint8).reshape(-1, width + 2) for x in own])
-            doc, tag, position = (np.concatenate([_unplanes(x[k], "<i8") for x in own]) for k in (1, 2, 3))
+            parts_of = [[_unplanes(x[k], "<i8") for x in own] for k in range(3)]
+            codec = pa.Codec("zstd", 9)
+            blocks = [codec.decompress(x[3], decompressed_size=len(d) * (width + 2), asbytes=True) for x, d in zip(own, parts_of[0])]
+            whole = np.concatenate([np.frombuffer(b, np.uint8).reshape(-1, width + 2) for b in blocks])
+            doc, tag, position = map(np.concatenate, parts_of)
             marks = repeated_windows(whole[:, :width], doc, whole[:, width].astype(np.int64), whole[:, width + 1].astype(np.int64), self.before, self.length)
             hit = np.flatnonzero(marks)
             if len(hit):

@@ -19,8 +19,8 @@ from pairlens.session import written
 TOXIC = 0.5
 #: Uniform coding takes 8 bits a byte; what no language codes shorter is in none of them.
 MAX_BITS = 8.0
-#: Near-duplicates: five-word shingles, and as many of 512 fingerprint bits as differ at a similarity of 0.8.
-WORDS, LANES, DISTANCE = 5, 8, 80
+#: Near-duplicates: five-word shingles with a Jaccard likeness of 0.8 or more. Of 512 fingerprint bits about 78 differ at 0.8, with a deviation of 8.
+WORDS, SIMILARITY, LANES, DISTANCE = 5, 0.8, 8, 105
 
 
 def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
@@ -48,7 +48,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each near-duplicate component stays, that with the smallest id (of equal ids, the smaller hash of the text)."""
     rows, restored = _aside(docs, "row_key")
     keyed = rows.withColumn("row_key", F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_hash")))
-    members = simhash.near_duplicates(keyed, id_col="row_key", words=WORDS, distance=DISTANCE, lanes=LANES)
+    members = simhash.near_duplicates(keyed, id_col="row_key", words=WORDS, distance=DISTANCE, lanes=LANES, similarity=SIMILARITY)
     kept = members.where("row_key = component_id").select("row_key").distinct()
     return restored(keyed.join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]))
 

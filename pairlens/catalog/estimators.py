@@ -541,6 +541,82 @@ def stratified_coupling_cached(spark, sf):
     return round_columns(got.select("case_config", "control_config", *cols), *cols)
 
 
+# ---- whole views: all 32 x 32 values with covariates ----------------------------------
+# The queries above keep two features per view, which SQL can refit; these fit everything and their values are held against NumPy in the tests.
+
+WHOLE_DIMS = [2, 8, 32]
+
+
+def whole_grid(spark, sf):
+    """Cross-validated CCA and SCCA of all 32 x 32 values, age and sex removed per fold, with holdout; one row per configuration."""
+    grid = reports.config_grid(spark, ["cca", "scca"], WHOLE_DIMS, [0.3], 32)
+    return coupling.coupling_grid(coupling.assign_splits(pairs(spark, sf)), z_full(), L_FULL, grid)
+
+
+def whole_grid_wide(spark, sf):
+    """The CCA grid with the first 32 values as four gene blocks of 8, the other 32 as the second view."""
+    rows = coupling.assign_splits(pairs(spark, sf))
+    parts = F.array(*[F.struct(F.lit(f"g{i}").alias("gene"), F.slice("x", 8 * i + 1, 8).alias("embedding")) for i in range(4)])
+    grid = reports.config_grid(spark, ["cca"], [2, 8], [])
+    return coupling.wide_coupling_grid(rows.select("subject_id", F.inline(parts)), rows.select("subject_id", "fold", "c", "b"), 2, 32, grid, pca_options={"oversample": 24})
+
+
+def whole_stratified(spark, sf, cached: bool = False):
+    """Each label group's best CCA of all 32 x 32 values, covariates removed; `cached` from fold moments written once."""
+    from pairlens.operators.splits import split_by_label
+
+    rows = coupling.assign_splits(split_by_label(pairs(spark, sf)), group="grp")
+    grid, path = reports.config_grid(spark, ["cca"], [2, 8], []), None
+    if cached:
+        path = scratch_path(spark, "group-moments")
+        coupling.materialize_moments(coupling.split_moments(rows, z_full(), ["grp"]), path, ["grp"])
+        rows = rows.limit(0)
+    return coupling.stratified_coupling(rows, z_full(), L_FULL, grid, cache_path=path)
+
+
+def whole_permutations(spark, sf, n_perm: int = 200):
+    """Observed and permuted canonical correlations of all 32 x 32 values, covariates removed."""
+    return permutation.permutation_null_rows(pairs(spark, sf), z_full(), L_FULL, n_perm=n_perm, k=32)
+
+
+def _in_range(*columns: str):
+    ok = F.lit(True)
+    for c in columns:
+        ok = ok & F.coalesce(F.col(c).between(-1, 1), F.lit(False))
+    return ok.alias("finished")
+
+
+@register(
+    "coupling_grid_whole",
+    psql("SELECT m || '_pca' || d || c AS config, true AS finished FROM (VALUES ('cca', ''), ('scca', '_c0.3_0.3')) AS t(m, c), (VALUES (2), (8), (32)) AS v(d)"),
+)
+def coupling_grid_whole(spark, sf):
+    return whole_grid(spark, sf).select("config", _in_range("mean_train", "mean_val", "r_train_final", "r_holdout"))
+
+
+@register("coupling_grid_wide_whole", psql("SELECT 'cca_pca' || d AS config, true AS finished FROM (VALUES (2), (8)) AS v(d)"))
+def coupling_grid_wide_whole(spark, sf):
+    return whole_grid_wide(spark, sf).select("config", _in_range("mean_train", "mean_val", "r_train_final", "r_holdout"))
+
+
+@register("stratified_coupling_whole", psql("SELECT true AS finished"))
+def stratified_coupling_whole(spark, sf):
+    return whole_stratified(spark, sf).select(_in_range("r_case", "r_control"))
+
+
+@register("stratified_coupling_cached_whole", psql("SELECT true AS finished"))
+def stratified_coupling_cached_whole(spark, sf):
+    return whole_stratified(spark, sf, cached=True).select(_in_range("r_case", "r_control"))
+
+
+@register("permutation_test_rows_whole", psql("SELECT CAST(c AS INTEGER) AS component, CAST(200 AS BIGINT) AS n_perm, true AS p_in_range FROM range(32) AS r(c)"))
+def permutation_test_rows_whole(spark, sf):
+    observed, null = whole_permutations(spark, sf)
+    obs = spark.createDataFrame([(i, float(r)) for i, r in enumerate(observed)], "component int, r_obs double")
+    got = reports.perm_pvalue(null, obs, ["component"])
+    return got.select("component", "n_perm", F.col("p_value").between(1 / 201, 1).alias("p_in_range"))
+
+
 @register(
     "best_config_by_holdout",
     psql(f"SELECT 'cca_pca2' AS config, {r6('max(r_eval) FILTER (WHERE f = -1)')} AS r_holdout, true AS selected_on_holdout FROM sc", **_SPLIT, **cca22("tr", "f"), **_GRID_TAIL),

@@ -3,7 +3,8 @@
 A text's segmentation is the one whose pieces' scores have the largest sum (of equals, the one whose last pieces are longest); what no piece
 covers goes by the bytes' own pieces. The encoder keeps the best sums and backpointers of the last `longest` characters only: a
 piece is no longer than that. Once the backpointer paths of all of them meet in one boundary, nothing can change before it, and the ids up to it are committed.
-A mark of white space (U+2581) after another character is such a boundary by the vocabulary itself, so words between are encoded once and remembered.
+Before a mark of white space (U+2581) after another character all paths meet by the vocabulary itself: the stream commits there, its window is empty, and
+what it gives for a word from there is remembered.
 """
 
 from __future__ import annotations
@@ -58,6 +59,7 @@ class StreamingViterbi:
         self.chars: list[str] = []  # the window's characters
         self.best: list[float] = [0.0]  # best sum up to each boundary in the window
         self.back: list[tuple[int, int | None]] = [(0, None)]  # boundary before the last piece, and its id (None: bytes)
+        self.open: list[tuple[int, str]] = []  # starts whose characters up to now begin a piece, latest first
 
     def feed(self, chars: Iterable[str]) -> Iterator[list[int]]:
         window = 4 * self.vocabulary.longest
@@ -74,12 +76,16 @@ class StreamingViterbi:
         self.chars.append(char)
         n, match = len(self.chars), self.vocabulary.match
         top, pointer = self.best[n - 1] + self.vocabulary.byte_score * len(char.encode()), (n - 1, None)
-        piece = ""
-        for length in range(1, min(self.vocabulary.longest, n) + 1):
-            piece = self.chars[n - length] + piece
-            found = match.get(piece)
-            if found and self.best[n - length] + found[0] >= top:
-                top, pointer = self.best[n - length] + found[0], (n - length, found[1])
+        live = []
+        for start, piece in [(n - 1, ""), *self.open]:
+            piece += char
+            found = match.get(piece, 0)
+            if found == 0:
+                continue
+            live.append((start, piece))
+            if found and self.best[start] + found[0] >= top:
+                top, pointer = self.best[start] + found[0], (start, found[1])
+        self.open = live
         self.best.append(top)
         self.back.append(pointer)
 
@@ -101,13 +107,14 @@ class StreamingViterbi:
             ids += reversed(self.vocabulary.byte_ids(self.chars[before])) if piece is None else [piece]
             at = before
         base = self.best[upto]
+        self.open = [(start - upto, piece) for start, piece in self.open if start >= upto]
         self.chars, self.best = self.chars[upto:], [b - base for b in self.best[upto:]]
         self.back = [(0, None), *((max(b - upto, 0), p) for b, p in self.back[upto + 1 :])]
         return ids[::-1]
 
 
 def encode_whole(vocabulary: Vocabulary, text: str) -> list[int]:
-    """The same by a table over the whole text, walking the prefixes forward; for words."""
+    """The same by a table over the whole text, walking the prefixes forward; what the stream is tested against."""
     n, match = len(text), vocabulary.match
     best, back = [-np.inf] * (n + 1), [(0, None)] * (n + 1)
     best[0] = 0.0
@@ -139,14 +146,14 @@ class Encoder(dict):
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
+        self.stream = StreamingViterbi(vocabulary)
         self.mark = b"".join(np.array(k, "<u4").tobytes() for k in vocabulary.byte_ids(SPACE))
 
     def __missing__(self, word: str) -> bytes:
-        if len(word) > 64:
-            stream = StreamingViterbi(self.vocabulary)
-            return b"".join(np.array(x, "<u4").tobytes() for x in (*stream.feed(word), stream.finish()))
-        ids = np.array(encode_whole(self.vocabulary, word), "<u4").tobytes()
-        self[word] = ids
+        """A word that the stream has not met behind a commit; the end of it is a commit again."""
+        ids = b"".join(np.array(x, "<u4").tobytes() for x in (*self.stream.feed(word), self.stream.finish()))
+        if len(word) <= 64:
+            self[word] = ids
         return ids
 
     def _plain(self, text: str) -> bytes:

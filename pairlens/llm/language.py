@@ -130,15 +130,12 @@ class Trees:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, max_bytes: int = MAX_BYTES) -> Trees:
     """Grow the trees from at most `per_language` rows and `max_bytes` bytes of each language.
 
-    Rows without text or language are left out; a text that would exceed the bytes is skipped.
+    Rows without text or language are left out; a text that would exceed the bytes is skipped, and a language whose texts are all longer
+    learns from the beginning of one.
     """
     texts: dict[str, list[bytes]] = {}
-    used: dict[str, int] = {}
-    for lang, text in labelled_sample(docs, docs.select(id_col, F.col(lang_col).alias("label")), id_col, text_col, per_language):
-        data = text.encode()
-        if used.get(lang, 0) + len(data) <= max_bytes:
-            used[lang] = used.get(lang, 0) + len(data)
-            texts.setdefault(lang, []).append(data)
+    for lang, text in labelled_sample(docs, docs.select(id_col, F.col(lang_col).alias("label")), id_col, text_col, per_language, max_bytes):
+        texts.setdefault(lang, []).append(text.encode())
     return Trees(texts)
 
 

@@ -11,16 +11,27 @@ def id_remainder(id_col: str, divisor: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(divisor))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, per_label: int) -> list:
-    """(label, text) of at most `per_label` documents of each label, in the order of a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, per_label: int, max_bytes: int = 1 << 24) -> list:
+    """(label, text) of at most `per_label` documents and `max_bytes` bytes of each label, in the order of a hash of the id.
 
-    labels: `id_col` and `label`. Rows without id, label or text are left out. Ids alone are joined and ranked, with the limit
+    labels: `id_col` and `label`. Rows without id, label or text are left out. Ids and lengths alone are joined and ranked, with the limit
     applied before the shuffle, so neither texts nor a label that holds most rows are gathered; only the chosen ids' texts are fetched.
+    A text that would exceed the bytes is skipped; a label whose texts are all longer has the beginning of the first.
     """
-    order = Window.partitionBy("label").orderBy(F.xxhash64(id_col), id_col)
-    there = docs.where(F.col(text).isNotNull()).select(id_col)
+    order = Window.partitionBy("label").orderBy(F.xxhash64(id_col), id_col, "text_hash")
+    keys = [F.xxhash64(text).alias("text_hash"), F.octet_length(text).cast("bigint").alias("text_bytes")]
+    there = docs.where(F.col(text).isNotNull()).select(id_col, *keys)
     ranked = labels.where("label is not null").select(id_col, "label").distinct().join(there, id_col).withColumn("place", F.row_number().over(order))
-    chosen = ranked.where(F.col("place") <= per_label).select(id_col, "label").collect()  # per_label times the labels
-    few = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], ranked.select(id_col, "label").schema)
-    rows = docs.select(id_col, text).join(F.broadcast(few), id_col).where(F.col(text).isNotNull())
-    return [(r[0], r[1]) for r in rows.select("label", text, id_col).orderBy("label", F.xxhash64(id_col), id_col, text).collect()]
+    names = [id_col, "label", "text_hash", "text_bytes"]
+    top = ranked.where(F.col("place") <= per_label).select(*names, "place").collect()  # per_label times the labels
+    chosen, used, first = {}, {}, {}
+    for row in sorted(top, key=lambda r: r["place"]):
+        first.setdefault(row["label"], row)
+        if used.get(row["label"], 0) + row["text_bytes"] <= max_bytes:
+            used[row["label"]] = used.get(row["label"], 0) + row["text_bytes"]
+            chosen[tuple(row)[:4]] = None
+    chosen |= {tuple(row)[:4]: None for label, row in first.items() if label not in used}
+    few = docs.sparkSession.createDataFrame(list(chosen), ranked.select(names).schema)
+    found = docs.where(F.col(text).isNotNull()).select(id_col, F.substring(F.col(text).cast("binary"), 1, max_bytes).alias("text_part"), *keys)
+    rows = found.join(F.broadcast(few), [id_col, "text_hash", "text_bytes"]).dropDuplicates([*names])
+    return [(r[0], r[1].decode("utf-8", "ignore")) for r in rows.select("label", "text_part", id_col).orderBy("label", F.xxhash64(id_col), id_col, "text_part").collect()]

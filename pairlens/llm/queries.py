@@ -8,11 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import archives, language, merkle, packing, pivots, simhash, sql, suffixes, toxicity, unigram, urls
+from pairlens.llm import archives, language, lines, merkle, negatives, packing, pivots, simhash, sql, suffixes, toxicity, unigram, urls, whitening
+from pairlens.llm.arrays import floors
 from pairlens.llm.samples import id_remainder
 
 #: Fixed values of the packing contract.
 CAPACITY, END_ID = 4096, 1
+#: Fixed value of the whitening contract.
+WHITE_SHIFT = 1000000
 #: Fixed values of the url contract: verdict, host, path prefix.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -85,7 +88,28 @@ def op10_subword_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
-_ALL = (op1_url_filter, op2_merkle, op3_best_fit, op4_arc_to_warc, op5_pivot_top_k, op6_suffix_dedup, op7_simhash, op8_streaming_viterbi, op9_ppm_language, op10_subword_toxicity)
+def op11_secondary_sort(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives of every hundredth vector's positives; the labels of every seventh row are moved by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf, "embeddings").select("vec_id", floors(F.col("embedding"), 256).alias("vec"), label.alias("label"))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_line_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without the lines that an earlier one has."""
+    out = lines.dedup_lines(_table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 32 whitened components of every vector."""
+    rows = _table(spark, sf, "embeddings").select("vec_id", floors(F.col("embedding"), 64, WHITE_SHIFT).alias("vec"))
+    out = whitening.whiten(rows, 32, padding=WHITE_SHIFT)
+    each = out.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
+_ALL = (op1_url_filter, op2_merkle, op3_best_fit, op4_arc_to_warc, op5_pivot_top_k, op6_suffix_dedup, op7_simhash, op8_streaming_viterbi, op9_ppm_language, op10_subword_toxicity, op11_secondary_sort, op12_line_runs, op13_whitening)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 
@@ -97,4 +121,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_arc_to_warc": sql.ARCHIVE,
         "op5_pivot_top_k": sql.TOP_K,
         "op6_suffix_dedup": sql.REPEATS,
+        "op11_secondary_sort": sql.NEGATIVES,
+        "op12_line_runs": sql.LINES,
     }

@@ -23,7 +23,7 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_entry_lists_every_operator():
     listed = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(listed)
     assert set(SQL) <= set(__spark_entry__.oracle_sql())
 

@@ -288,11 +288,15 @@ def canonical_corr(spark, sf):
 
 @register(
     "component_test",
-    sql("emb", f"SELECT CAST(c AS INTEGER) AS component, {r6('r')} AS r, df, {r6('r * sqrt(df / (1 - r * r))')} AS t FROM (SELECT c, corr(u, v) AS r, count(*) - 2 AS df FROM ({_COMPONENT}) GROUP BY c)"),
+    sql(
+        "emb",
+        f"SELECT CAST(c AS INTEGER) AS component, {r6('r')} AS r, df, {r6('t')} AS t, {r6('p')} AS p_value FROM ({fx.t_p_value_sql('tests', 'c, r, df, t')})",
+        tests=f"SELECT c, r, df, r * sqrt(df / (1 - r * r)) AS t FROM (SELECT c, corr(u, v) AS r, count(*) - 2 AS df FROM ({_COMPONENT}) GROUP BY c)",
+    ),
 )
 def component_test(spark, sf):
     e = fx.emb(spark, sf).select(F.col("embedding").cast("array<double>").alias("e"))
-    return round_columns(reports.component_test(e.select(F.slice("e", 1, 32).alias("u"), F.slice("e", 33, 32).alias("v"))), "r", "t")
+    return round_columns(reports.component_test(e.select(F.slice("e", 1, 32).alias("u"), F.slice("e", 33, 32).alias("v"))), "r", "t", "p_value")
 
 
 @register(

@@ -27,6 +27,17 @@ def r6(expr: str) -> str:
     return f"(round({expr}, 6) + 0.0)"
 
 
+def t_p_value_sql(rows: str, keep: str) -> str:
+    """`keep` columns and the two-sided `p` of columns t and df of `rows`, by Simpson's rule on the density in the angle atan(t / sqrt(df)), up to 40 of t or of its angle."""
+    steps = 20000
+    angle = "atan(least(abs(t), CASE WHEN df > 1000 THEN 40 ELSE 1e9 END) / sqrt(df))"
+    f = "pow(cos(i * w), df - 1)"
+    return (
+        f"SELECT {keep}, CASE WHEN count(i) > 0 THEN greatest(1 - 2 * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(pi()) * sum({f} * CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * w / 3, 0) END AS p "
+        f"FROM (SELECT *, {angle} / {steps} AS w FROM {rows}) LEFT JOIN range({steps + 1}) AS s(i) ON t IS NOT NULL AND df > 0 GROUP BY {keep}, t, df, w"
+    )
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

@@ -269,20 +269,21 @@ def config_gap_rows(spark, sf):
     return round_columns(reports.config_gap_rows(nested), "cv_mean", "cv_std", "overfitting_gap", "holdout_r", "generalization_gap")
 
 
+_PAIRED = "SELECT brain_feature, avg(d) AS mean_diff, count(d) - 1 AS df, avg(d) / (stddev_samp(d) / sqrt(count(d))) AS t FROM (SELECT brain_feature, r_train - r_val AS d FROM cells) GROUP BY 1"
+_PEARSON = "SELECT l_returnflag, r, df, r * sqrt(df / (1 - r * r)) AS t FROM (SELECT l_returnflag, corr(l_quantity, l_extendedprice) AS r, count(*) - 2 AS df FROM lineitem GROUP BY 1)"
+
+
 @register(
     "paired_t",
-    sql(
-        "cells",
-        f"SELECT brain_feature, {r6('avg(d)')} AS mean_diff, count(d) - 1 AS df, {r6('avg(d) / (stddev_samp(d) / sqrt(count(d)))')} AS t FROM (SELECT brain_feature, r_train - r_val AS d FROM cells) GROUP BY 1",
-    ),
+    sql("cells", f"SELECT brain_feature, {r6('mean_diff')} AS mean_diff, df, {r6('t')} AS t, {r6('p')} AS p_value FROM ({fx.t_p_value_sql('paired', 'brain_feature, mean_diff, df, t')})", paired=_PAIRED),
 )
 def paired_t(spark, sf):
-    return round_columns(reports.paired_t(fx.cells(spark, sf), ["brain_feature"], "r_train", "r_val"), "mean_diff", "t")
+    return round_columns(reports.paired_t(fx.cells(spark, sf), ["brain_feature"], "r_train", "r_val"), "mean_diff", "t", "p_value")
 
 
 @register(
     "pearson_test",
-    f"SELECT l_returnflag, {r6('r')} AS r, df, {r6('r * sqrt(df / (1 - r * r))')} AS t FROM (SELECT l_returnflag, corr(l_quantity, l_extendedprice) AS r, count(*) - 2 AS df FROM lineitem GROUP BY 1)",
+    f"WITH tests AS ({_PEARSON}) SELECT l_returnflag, {r6('r')} AS r, df, {r6('t')} AS t, {r6('p')} AS p_value FROM ({fx.t_p_value_sql('tests', 'l_returnflag, r, df, t')})",
 )
 def pearson_test(spark, sf):
-    return round_columns(reports.pearson_test(fx.table(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice"), "r", "t")
+    return round_columns(reports.pearson_test(fx.table(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice"), "r", "t", "p_value")

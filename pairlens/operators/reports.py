@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairlens.functions.stats import r_two_sided, t_two_sided
 from pairlens.operators.ranking import argmax_rows
 
 
@@ -220,20 +221,22 @@ def cv_vs_holdout(results: DataFrame) -> DataFrame:
 
 
 def paired_t(folds: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
-    """Paired t statistic of two metrics over folds: t, degrees of freedom, mean difference."""
+    """Paired t statistic of two metrics over folds: t, degrees of freedom, mean difference and two-sided p-value."""
     d = F.col(a) - F.col(b)
     sd, n = F.stddev_samp(d), F.count(d)
-    return folds.groupBy(*keys).agg(
+    stats = folds.groupBy(*keys).agg(
         F.avg(d).alias("mean_diff"), (n - 1).alias("df"), F.when(sd > 0, F.avg(d) / (sd / F.sqrt(n))).alias("t")
     )
+    return stats.withColumn("p_value", t_two_sided(F.col("t"), F.col("df")))
 
 
 def pearson_test(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
-    """Pearson r with its t statistic and degrees of freedom."""
+    """Pearson r with its t statistic, degrees of freedom and two-sided p-value."""
     ok = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
     r = F.when(ok, F.covar_pop(a, b) / (F.stddev_pop(a) * F.stddev_pop(b)))
     stats = df.groupBy(*keys).agg(r.alias("r"), (F.count(F.lit(1)) - 2).alias("df"))
-    return stats.withColumn("t", F.when(F.abs("r") < 1, F.col("r") * F.sqrt(F.col("df") / (1 - F.col("r") * F.col("r")))))
+    t = F.when(F.abs("r") < 1, F.col("r") * F.sqrt(F.col("df") / (1 - F.col("r") * F.col("r"))))
+    return stats.withColumns({"t": t, "p_value": r_two_sided(F.col("r"), F.col("df"))})
 
 
 def component_test(variates: DataFrame) -> DataFrame:

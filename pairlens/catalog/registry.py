@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
-_MODULES = ("inputs", "features", "alignment", "connectivity", "metrics", "weights", "reports", "estimators", "prediction")
+_MODULES = ("inputs", "features", "alignment", "connectivity", "metrics", "weights", "reports", "estimators", "wide", "prediction")
 
 
 def register(name: str, sql: str | None = None):

@@ -8,8 +8,9 @@ from pairlens.catalog.estimators import _SPLIT, L_2X2, L_FULL, cca22, pairs, psq
 from pairlens.catalog.fixtures import r6, round_columns
 from pairlens.catalog.metrics import ap_sql, auc_sql
 from pairlens.catalog.registry import register
+from pairlens.catalog.wide import _FOLD_PARTS, gene_blocks, whole_cca
 from pairlens.operators.moments import Layout, z_vector
-from pairlens.plans import coupling, suite
+from pairlens.plans import coupling, suite, wide
 
 # One feature per view, the mean of its values: the SQL runs the same Newton iterations on (intercept, scaled feature).
 _L11 = Layout(0, 1, 1)
@@ -138,11 +139,19 @@ def two_stage_cv_full(spark, sf):
     return scores.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("score").between(0, 1)).alias("probabilities"))
 
 
-@register("mlp_cv")
+@register(
+    "mlp_cv",
+    psql(
+        "SELECT 'early_fusion_mlp' AS model, CASE WHEN fold = -1 THEN 'holdout' ELSE 'cv' END AS split, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_pos, true AS auc_in_range, true AS ap_in_range FROM fo GROUP BY 1, 2",
+        **({k: v for k, v in _SPLIT.items() if k not in ("folds", "tr")} | {"fo": _SPLIT["fo"].replace("% 5", "% 3")}),
+    ),
+)
 def mlp_cv(spark, sf):
+    """Perceptrons of two hidden layers on all 64 values, every fold's and the holdout's trained together; tests/test_mlp.py holds steps and scores against NumPy."""
     rows = coupling.assign_splits(pairs(spark, sf), n_folds=3)
-    scores = suite.cross_validated_scores(rows, z_full(), L_FULL, ["early_fusion"], ["mlp"], hidden=(16, 8), mlp_iter=20)
-    return round_columns(suite.suite_metrics(scores), "auc", "ap")
+    scores = suite.cross_validated_scores(rows, z_full(), L_FULL, ["early_fusion"], ["mlp"], hidden=(16, 8), mlp_iter=25)
+    got = suite.suite_metrics(scores)
+    return got.select("model", "split", "n", "n_pos", F.col("auc").between(0, 1).alias("auc_in_range"), F.col("ap").between(0, 1).alias("ap_in_range"))
 
 
 @register("predictive_suite", _recursive(psql(_metrics_sql(), **_SPLIT_ONLY, **_SUITE)))
@@ -169,3 +178,28 @@ def predictive_suite_counts(spark, sf):
     rows = coupling.assign_splits(pairs(spark, sf))
     got = suite.predictive_suite(rows, z_full(), L_FULL, pca_dim=4, k=3, scope="train")
     return got.select("model", "split", "n", "n_pos")
+
+
+_DUAL_SUITE = whole_cca(_FOLD_PARTS) | logistic_sql("SELECT 'gene_only' AS m, f, subject_id, y, fold, t AS x1, 0.0::DOUBLE AS x2 FROM tu JOIN fo USING (subject_id)")
+
+
+@register("dual_suite", _recursive(psql(f"SELECT subject_id, y, CAST(fold AS INTEGER) AS fold, split, 'gene_only_logreg' AS model, {r6('score')} AS score FROM fin", **_SPLIT_ONLY, **_DUAL_SUITE)))
+def dual_suite(spark, sf):
+    """Out-of-fold and holdout scores of a classifier on the leading component of the feature blocks, fitted anew for every fold from one pass."""
+    rows = coupling.assign_splits(pairs(spark, sf))
+    got = wide.wide_scores(gene_blocks(rows), rows.select("subject_id", "fold", "y", "c", "b"), 1, ["gene_only"])
+    return round_columns(got.select("subject_id", "y", "fold", "split", "model", "score"), "score")
+
+
+@register(
+    "dual_suite_metrics",
+    psql(
+        "SELECT m AS model, CASE WHEN fold = -1 THEN 'holdout' ELSE 'cv' END AS split, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_pos FROM fo, "
+        "(VALUES ('gene_only_logreg'), ('fmri_only_logreg'), ('early_fusion_logreg'), ('cca_joint_logreg'), ('scca_joint_logreg')) AS t(m) GROUP BY 1, 2",
+        **{k: v for k, v in _SPLIT.items() if k not in ("folds", "tr")},
+    ),
+)
+def dual_suite_metrics(spark, sf):
+    """All five representations of the blocks with the second view, each row scored once per model."""
+    rows = coupling.assign_splits(pairs(spark, sf))
+    return wide.wide_suite(gene_blocks(rows), rows.select("subject_id", "fold", "y", "c", "b"), 4, k=3).select("model", "split", "n", "n_pos")

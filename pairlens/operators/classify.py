@@ -59,6 +59,18 @@ def balanced_weights(n: float, n_pos: float) -> tuple[float, float]:
     return (n / (2 * neg) if neg > 0 else 0.0, n / (2 * n_pos) if n_pos > 0 else 0.0)
 
 
+def training_rows(batch: pa.RecordBatch, test_fold: int) -> np.ndarray:
+    """Which rows a model tested on `test_fold` trains on: those of other folds, but the holdout.
+
+    Where z itself differs by model, as with components fitted per fold, a column `subset` says whose z a row has: the model's test fold.
+    """
+    fold = batch.column("fold").to_numpy(zero_copy_only=False)
+    rows = (fold != test_fold) & (fold != HOLDOUT)
+    if "subset" in batch.schema.names:
+        rows &= batch.column("subset").to_numpy(zero_copy_only=False) == test_fold
+    return rows
+
+
 def _newton_pass(df: DataFrame, models: Sequence[FoldModel]) -> dict[int, np.ndarray]:
     """[Hessian | gradient] of every model from one pass over (fold, y, z) rows."""
     specs = [(i, m.fold, m.w, m.beta, m.class_weight) for i, m in enumerate(models)]
@@ -73,9 +85,10 @@ def _newton_pass(df: DataFrame, models: Sequence[FoldModel]) -> dict[int, np.nda
                 continue
             z = matrix(batch.column("z"), finite=True)
             y = batch.column("y").to_numpy(zero_copy_only=False).astype(np.float64)
-            fold = batch.column("fold").to_numpy(zero_copy_only=False)
             for i, test_fold, w, beta, (w0, w1) in shared.value:
-                rows = (fold != test_fold) & (fold != HOLDOUT)
+                rows = training_rows(batch, test_fold)
+                if not rows.any():
+                    continue
                 f, t = z[rows] @ w, y[rows]
                 p = 1.0 / (1.0 + np.exp(-np.clip(f @ beta, -500, 500)))
                 weight = np.where(t == 1, w1, w0)
@@ -96,7 +109,8 @@ def _newton_pass(df: DataFrame, models: Sequence[FoldModel]) -> dict[int, np.nda
                 names=["model", "i", "tail"],
             )
 
-    partial = few_tasks(df.select("fold", "y", "z")).mapInArrow(run, "model int, i int, tail array<double>")
+    keep = [c for c in ("subset", "fold", "y", "z") if c in df.columns]
+    partial = few_tasks(df.select(*keep)).mapInArrow(run, "model int, i int, tail array<double>")
     table = sum_rows(partial, ["model"]).toPandas()  # features x features per model
     return {
         int(i): matrix_from_cells(part["i"], part["j"], part["s"], int(part["j"].max()) + 1)
@@ -107,7 +121,7 @@ def _newton_pass(df: DataFrame, models: Sequence[FoldModel]) -> dict[int, np.nda
 def fit_logistic(df: DataFrame, models: Sequence[FoldModel], penalty: float = 1.0, max_iter: int = 100, tol: float = 1e-7) -> list[FoldModel]:
     """L2-penalized logistic regressions (intercept free) for all models at once.
 
-    `df` holds (fold, y, z) and should be persisted. Each model is trained on the rows
+    `df` holds (fold, y, z), and `subset` where z differs by model, and should be persisted. Each model is trained on the rows
     outside its fold and outside the holdout. Steps below `tol` end a fit; models that still move after
     `max_iter` passes are an error.
     """
@@ -160,8 +174,7 @@ def fit_score_mlp(
 ) -> DataFrame:
     """Two-hidden-layer perceptrons (Spark ML) on the same representations.
 
-    Fits run as concurrent Spark jobs; sigmoid units and L-BFGS replace the usual
-    ReLU/Adam with early stopping, so scores agree in meaning, not in digits.
+    Fits run as concurrent Spark jobs, with sigmoid units and L-BFGS; `mlp.fit_mlps` has ReLU units and Adam.
     """
     from pyspark.ml.classification import MultilayerPerceptronClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array

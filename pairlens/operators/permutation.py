@@ -1,9 +1,10 @@
 """Distributed permutation tests.
 
 Rows are numbered once, in hash order, and a permutation is a keyed bijection of those numbers (a Feistel network, walked
-until it falls inside the range), which every task computes on its own. So all rows are permuted freely, at every
-size and however the work is cut into blocks. Tasks send cross-product matrices only; these are summed
-and solved one permutation per group.
+until it falls inside the range), which every task computes on its own, in both directions. So all rows are permuted freely, at every
+size and however the work is cut into blocks. A task holds a block of x rows, knows which y rows each of its permutations brings there, and
+picks them up as y streams by in the order of the numbers: y travels once per wave, not once per permutation.
+Tasks send cross-product matrices only; these are summed and solved one permutation per group.
 """
 
 from __future__ import annotations
@@ -22,31 +23,60 @@ from pairlens.operators.ranking import hash_rank
 from pairlens.session import checkpointed
 
 BLOCK_ROWS = 50_000
-TASK_CELLS = 16_000_000  # doubles a task may hold as block rows, and again as cross-products
+TASK_CELLS = 16_000_000  # doubles a task may hold as block rows, again as cross-products, and integers as places of y rows
 _ROUNDS = 8
 
 
-def permuted(position: np.ndarray, n: int, seed: int, perm: int) -> np.ndarray:
-    """Where permutation `perm` of 0..n-1 sends each position."""
+def _network(n: int, seed: int, perm: int) -> tuple[np.uint64, np.uint64, list]:
+    """Half width, mask and round functions of a permutation of 0..n-1."""
     half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
     mask = np.uint64((1 << half) - 1)
-    keys = np.random.default_rng([seed, perm]).integers(0, 2**63, _ROUNDS, dtype=np.uint64)
 
-    def once(x: np.ndarray) -> np.ndarray:
-        left, right = x >> np.uint64(half), x & mask
-        for key in keys:
+    def mixing(key: np.uint64):
+        def mix(right: np.ndarray) -> np.ndarray:
             mixed = (right + key) * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(29)
             mixed *= np.uint64(0xBF58476D1CE4E5B9)
-            left, right = right, left ^ ((mixed ^ (mixed >> np.uint64(32))) & mask)
-        return (left << np.uint64(half)) | right
+            return (mixed ^ (mixed >> np.uint64(32))) & mask
+
+        return mix
+
+    return np.uint64(half), mask, [mixing(key) for key in np.random.default_rng([seed, perm]).integers(0, 2**63, _ROUNDS, dtype=np.uint64)]
+
 
+def _walked(once, position: np.ndarray, n: int) -> np.ndarray:
     out = once(position.astype(np.uint64))
     while (outside := out >= n).any():
         out[outside] = once(out[outside])
     return out.astype(np.int64)
 
 
+def permuted(position: np.ndarray, n: int, seed: int, perm: int) -> np.ndarray:
+    """Where permutation `perm` of 0..n-1 sends each position."""
+    half, mask, rounds = _network(n, seed, perm)
+
+    def once(x: np.ndarray) -> np.ndarray:
+        left, right = x >> half, x & mask
+        for mix in rounds:
+            left, right = right, left ^ mix(right)
+        return (left << half) | right
+
+    return _walked(once, position, n)
+
+
+def origin(position: np.ndarray, n: int, seed: int, perm: int) -> np.ndarray:
+    """The position that permutation `perm` of 0..n-1 sends to each one: `permuted` backwards."""
+    half, mask, rounds = _network(n, seed, perm)
+
+    def once(x: np.ndarray) -> np.ndarray:
+        left, right = x >> half, x & mask
+        for mix in reversed(rounds):
+            left, right = right ^ mix(left), left
+        return (left << half) | right
+
+    return _walked(once, position, n)
+
+
 def numbered(df: DataFrame, id_col: str, seed: int) -> DataFrame:
     """`df` with `_pos`: every row's number from 0, in the order of a hash of its id."""
     ranked = hash_rank(df, [], id_col, seed, "_pos")
@@ -65,6 +95,15 @@ def _batch(keys: list[tuple[str, pa.DataType, list]], mats: list[np.ndarray]) ->
     )
 
 
+def waves(n: int, n_perm: int, p: int, q: int, parallelism: int, block_rows: int | None = None, perms_per_task: int | None = None) -> tuple[int, int]:
+    """Rows and permutations of a wave: as few waves as memory allows, but enough to keep the cores busy."""
+    block_rows = block_rows or max(1000, min(n, TASK_CELLS // max(p, 1)))
+    blocks = max(1, -(-n // block_rows))
+    room = max(1, min(TASK_CELLS // max(p * q, 1), TASK_CELLS // min(block_rows, max(n, 1))))
+    share = -(-n_perm // max(1, -(-parallelism // blocks)))
+    return block_rows, perms_per_task or max(1, min(room, share))
+
+
 def permutation_null_rows(
     df: DataFrame,
     z: Column,
@@ -82,40 +121,61 @@ def permutation_null_rows(
 ) -> tuple[np.ndarray, DataFrame]:
     """Observed correlations and the null (perm_id, component, r) from shuffling view y against view x.
 
-    `block_rows` and `perms_per_task` bound a task's memory; the null does not depend on them. The y rows travel once per
-    permutation, to the block of x rows that they meet there.
+    `block_rows` and `perms_per_task` bound a task's memory; the null does not depend on them. A wave is a block of x rows and a lot of permutations, and
+    the y rows travel once per wave (`waves`).
     """
     p, q = layout.p, layout.q
-    block_rows = block_rows or max(1000, min(BLOCK_ROWS, TASK_CELLS // (p + q)))
-    perms_per_task = perms_per_task or max(1, min(100, TASK_CELLS // (p * q), TASK_CELLS // (block_rows * q)))
+    spark = df.sparkSession
     m = moment_matrix(df, z)
     model = solve.PairModel(m, layout, None, residualize)
     fit = model.fit(method, layout.p, k, c1, c2)
     n = int(round(m[0, 0]))
+    block_rows, perms_per_task = waves(n, n_perm, p, q, spark.sparkContext.defaultParallelism, block_rows, perms_per_task)
     views = numbered(project(df, z, {"x": model.px, "y": model.py}, [id_col]), id_col, seed)
-    chunks = range(-(-n_perm // perms_per_task))
+    blocks, lots = -(-n // block_rows), -(-n_perm // perms_per_task)
+    tasks = blocks * lots
+    block = F.floor(F.col("_pos") / block_rows).cast("int")
+    stay = views.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(lots - 1)), lambda c: block * lots + c)).alias("task"), F.lit(0).alias("kind"), "_pos", F.col("x").alias("row"))
+    passing = views.select(F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"), F.lit(1).alias("kind"), "_pos", F.col("y").alias("row"))
+    dealt = stay.unionByName(passing).repartitionById(tasks, "task").sortWithinPartitions("task", "kind", "_pos")
+
+    def crossed(batches):
+        current, x, place, wanted, sums = None, [], [], {}, {}
+
+        def finished():
+            if sums:
+                ids = sorted(sums)
+                yield from _batch([("perm_id", pa.int32(), ids)], [sums[b] for b in ids]).to_batches()
 
-    def sent(batches):
         for batch in batches:
-            position = batch.column(0).to_numpy()
-            for b in range(n_perm):
-                target = permuted(position, n, seed, b)
-                columns = [pa.array(target // block_rows, pa.int64()), pa.array(np.full(len(target), b // perms_per_task), pa.int32()), pa.array(np.full(len(target), b), pa.int32()), pa.array(target), batch.column(1)]
-                yield pa.RecordBatch.from_arrays(columns, names=["block", "chunk", "perm_id", "target", "y"])
-
-    moved = views.select("_pos", "y").mapInArrow(sent, "block long, chunk int, perm_id int, target long, y array<double>")
-    stay = views.select(F.floor(F.col("_pos") / block_rows).alias("block"), F.explode(F.array(*[F.lit(c) for c in chunks])).alias("chunk"), "_pos", "x")
-
-    def crossed(left: pa.Table, right: pa.Table) -> pa.Table:
-        x = matrix(left.column("x"))[np.argsort(left.column("_pos").to_numpy())]
-        perm, target = right.column("perm_id").to_numpy(), right.column("target").to_numpy()
-        order = np.lexsort((target, perm))
-        ids, starts = np.unique(perm[order], return_index=True)
-        y = matrix(right.column("y"))[order]
-        mats = [x.T @ part for part in np.split(y, starts[1:])]  # every permutation fills the block's positions once
-        return _batch([("perm_id", pa.int32(), ids.tolist())], mats)
-
-    partial = stay.groupBy("block", "chunk").cogroup(moved.groupBy("block", "chunk")).applyInArrow(crossed, "perm_id int, i int, tail array<double>")
+            task, kind = (batch.column(c).to_numpy() for c in ("task", "kind"))
+            borders = [0, *(np.flatnonzero(np.diff(2 * task + kind)) + 1), batch.num_rows]
+            for start, stop in zip(borders, borders[1:]):
+                if start == stop:
+                    continue
+                if task[start] != current:
+                    yield from finished()
+                    current, x, place, wanted, sums = int(task[start]), [], [], {}, {}
+                rows, position = matrix(batch.column("row").slice(start, stop - start)), batch.column("_pos").to_numpy()[start:stop]
+                if kind[start] == 0:
+                    x.append(rows)
+                    place.append(position)
+                    continue
+                if not wanted:
+                    x, place = np.vstack(x), np.concatenate(place)
+                    for b in range(current % lots * perms_per_task, min((current % lots + 1) * perms_per_task, n_perm)):
+                        source = origin(place, n, seed, b)
+                        order = np.argsort(source, kind="stable")
+                        wanted[b] = (order, source[order])
+                        sums[b] = np.zeros((p, q))
+                for b, (order, source) in wanted.items():
+                    # y comes in the order of its numbers, without gaps.
+                    lo, hi = np.searchsorted(source, [position[0], position[-1] + 1])
+                    if lo < hi:
+                        sums[b] += x[order[lo:hi]].T @ rows[source[lo:hi] - position[0]]
+        yield from finished()
+
+    partial = dealt.mapInArrow(crossed, "perm_id int, i int, tail array<double>")
     sums = sum_rows(partial, ["perm_id"])
     sxx, syy = model.cov[:p, :p], model.cov[p:, p:]
     whiten = (solve._inverse_root(sxx), solve._inverse_root(syy)) if method == "cca" else None

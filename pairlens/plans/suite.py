@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pairlens.operators import solve
 from pairlens.operators.classify import HOLDOUT, FoldModel, balanced_weights, fit_logistic, fit_score_mlp, scaled_map, score_models
 from pairlens.operators.metrics import classification_metrics, confusion_matrix, fold_summary, ranking_metrics
+from pairlens.operators.mlp import fit_mlps, score_mlps
 from pairlens.operators.moments import Layout, collect_moments, moments
 from pairlens.session import held
 
@@ -100,11 +101,15 @@ def build_models(
     return models
 
 
-def _fit_scores(rows: DataFrame, models: list[FoldModel], classifier: str, keep: Sequence[str], hidden, max_iter: int, seed: int) -> DataFrame:
-    """Scores of every row by the model of its own fold."""
+def fitted_scores(rows: DataFrame, test: DataFrame, models: list[FoldModel], classifier: str, keep: Sequence[str], hidden, max_iter: int, seed: int) -> DataFrame:
+    """Scores of every row of `test` by the model of its own fold, trained on `rows`."""
     if classifier == "logreg":
-        return score_models(rows, fit_logistic(rows, models), keep)
+        return score_models(test, fit_logistic(rows, models), keep)
     if classifier == "mlp":
+        return score_mlps(test, fit_mlps(rows, models, hidden, max_epochs=max_iter, seed=seed), keep)
+    if classifier == "mlp_lbfgs":
+        if "subset" in rows.columns:
+            raise ValueError("mlp_lbfgs takes one representation for all folds")
         return fit_score_mlp(rows, models, keep, hidden, max_iter, seed)
     raise ValueError(f"unknown classifier: {classifier}")
 
@@ -123,16 +128,19 @@ def cross_validated_scores(
     scope: str = "fold",
     holdout: bool = True,
     hidden: Sequence[int] = (64, 32),
-    mlp_iter: int = 50,
+    mlp_iter: int = 200,
     seed: int = 42,
 ) -> DataFrame:
-    """Out-of-fold and holdout scores (keep..., fold, split, model, score, yhat)."""
+    """Out-of-fold and holdout scores (keep..., fold, split, model, score, yhat).
+
+    Classifiers: "logreg", "mlp" (ReLU, Adam, early stopping) and "mlp_lbfgs" (Spark ML).
+    """
     rows = _rows(df, z, keep)
     mats, positives = fold_matrices(rows)
     parts = []
     for classifier in classifiers:
         models = build_models(mats, positives, layout, representations, pca_dim, k, c1, c2, scope, holdout)
-        got = _fit_scores(rows, models, classifier, keep, hidden, mlp_iter, seed)
+        got = fitted_scores(rows, rows, models, classifier, keep, hidden, mlp_iter, seed)
         parts.append(got.withColumn("model", F.concat(F.col("model"), F.lit(f"_{classifier}"))))
     out = parts[0]
     for part in parts[1:]:

@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.operators import reports, solve
+from pairlens.operators.classify import FoldModel, balanced_weights, scaled_map
 from pairlens.operators.dual import DualPCA, Subjects, Subset, block_maps, dual_layout, md5_order, read_subjects, solve_subsets
 from pairlens.operators.interpret import cosine_similarity, gene_weight_rollup, topk_features
-from pairlens.operators.moments import MAX_DIM, Layout
+from pairlens.operators.moments import MAX_DIM, Layout, collect_moments, moments
+from pairlens.plans import suite
 from pairlens.plans.coupling import HOLDOUT, grid_on_cells, grid_results
+from pairlens.session import held
 
 
 def _moments(subjects: Subjects, subset: Subset, pca: DualPCA, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -240,3 +243,85 @@ def wide_stratified(
         of(case, "config").alias("case_config"), of(control, "config").alias("control_config"), of(case, "r_holdout").alias("r_case"),
         of(control, "r_holdout").alias("r_control"), (of(case, "r_holdout") - of(control, "r_holdout")).alias("r_diff"),
     ).withColumns({"x_weight_cosine": cosine("x_weights", ["feature", "component"]).scalar(), "y_weight_cosine": cosine("y_weights", ["position", "component"]).scalar()})
+
+
+def fold_rows(blocks: DataFrame, rows: DataFrame, dim: int, scope: str = "fold", subject: str = "subject_id") -> tuple[DataFrame, Layout]:
+    """(subset, subject_id, fold, y, z) with z = [1, covariates, components, second view]: the components of the fold `subset`, for its training and tested rows.
+
+    scope "fold" fits every fold's own components, all in one pass; "train" fits those of the whole training part, and `subset` is -1 throughout.
+    """
+    subjects = read_subjects(rows, columns=["fold", "y"], subject=subject)
+    subsets, labels = fold_subsets(subjects)
+    if scope == "train":
+        subsets = [s for s, label in zip(subsets, labels) if label[0] == HOLDOUT]
+        if not subsets:
+            raise ValueError("the components of the training part come with the holdout's; there is none")
+    elif scope != "fold":
+        raise ValueError(f"scope must be fold or train, got {scope!r}")
+    width = _width(subjects, subsets, dim)
+    fold, y = subjects.columns["fold"], subjects.columns["y"]
+
+    def emitted(s: Subset, pca: DualPCA) -> pa.Table:
+        scores = np.zeros((len(pca.scores), width))
+        scores[:, : pca.scores.shape[1]] = pca.scores
+        z = np.hstack([subjects.c[s.rows], scores, subjects.y[s.rows]])
+        offsets = pa.array(np.arange(len(z) + 1, dtype=np.int32) * z.shape[1])
+        return pa.table(
+            {
+                "subset": pa.array(np.full(len(z), labels[s.key][0]), pa.int32()), "subject_id": pa.array(subjects.ids[s.rows].tolist(), pa.string()), "fold": pa.array(fold[s.rows], pa.int32()),
+                "y": pa.array(y[s.rows], pa.int32()), "z": pa.ListArray.from_arrays(offsets, pa.array(z.ravel())),
+            }
+        )
+
+    layout = dual_layout(blocks, subjects, subject)
+    got = solve_subsets(layout, subjects, subsets, emitted, "subset int, subject_id string, fold int, y int, z array<double>", width)
+    return held(got), Layout(subjects.c.shape[1] - 1, width, subjects.y.shape[1])
+
+
+def wide_scores(
+    blocks: DataFrame,
+    rows: DataFrame,
+    dim: int,
+    representations: Sequence[str] = suite.REPRESENTATIONS,
+    classifiers: Sequence[str] = ("logreg",),
+    k: int = 10,
+    c1: float = 0.3,
+    c2: float = 0.3,
+    scope: str = "fold",
+    hidden: Sequence[int] = (64, 32),
+    mlp_iter: int = 200,
+    seed: int = 42,
+    subject: str = "subject_id",
+) -> DataFrame:
+    """`suite.cross_validated_scores` with a wide first view: (subject_id, y, fold, split, model, score, yhat).
+
+    rows: (subject, fold, y, c, b). With scope "fold" every fold is scored through `dim` components of its own training rows, the holdout through those of the whole
+    training part; all come from one pass over the blocks and all logistic models from joint Newton passes.
+    """
+    data, layout = fold_rows(blocks, rows, dim, scope, subject)
+    mats: dict = {}
+    for (subset, fold), m in collect_moments(moments(data, ["subset", "fold"], F.concat("z", F.array(F.col("y").cast("double")))), ["subset", "fold"]).items():
+        mats.setdefault(subset, {})[fold] = m
+    tested = sorted(mats) if scope == "fold" else sorted(mats[HOLDOUT])
+    models, base = [], None
+    if scope == "train":  # preparation as well is that of the whole training part
+        base = solve.linear_prep(sum(part for fold, part in mats[HOLDOUT].items() if fold != HOLDOUT)[:-1, :-1], layout)
+    for f in tested:
+        own = mats[f] if scope == "fold" else mats[HOLDOUT]
+        m = sum(part for fold, part in own.items() if fold not in (f, HOLDOUT))
+        pos, m = float(m[0, -1]), m[:-1, :-1]
+        for name in representations:
+            w = suite.representation_map(name, m, layout, None, k, c1, c2, base)
+            models.append(FoldModel(name, f, scaled_map(m, w), balanced_weights(m[0, 0], pos)))
+    train = data if scope == "fold" else data.drop("subset")
+    test = data.where("subset = fold") if scope == "fold" else data
+    parts = []
+    for classifier in classifiers:
+        got = suite.fitted_scores(train, test, models, classifier, ["subject_id", "y"], hidden, mlp_iter, seed)
+        parts.append(got.withColumn("model", F.concat(F.col("model"), F.lit(f"_{classifier}"))))
+    return reports.union_results(*parts).withColumn("split", F.when(F.col("fold") == HOLDOUT, "holdout").otherwise("cv"))
+
+
+def wide_suite(blocks: DataFrame, rows: DataFrame, dim: int, **options) -> DataFrame:
+    """AUC and average precision of every representation and classifier: `suite.predictive_suite` with a wide first view."""
+    return suite.suite_metrics(wide_scores(blocks, rows, dim, **options))

@@ -64,6 +64,16 @@ def test_permuted_is_a_bijection_without_bias(n):
     turns = np.array([permutation.permuted(np.arange(n), n, 5, b) for b in range(400)])
     assert (np.sort(turns, axis=1) == np.arange(n)).all()
     assert abs(turns[:, 0].mean() - (n - 1) / 2) < 0.2 * n + 1e-9
+    for b in range(5):
+        assert (permutation.origin(turns[b], n, 5, b) == np.arange(n)).all()
+
+
+def test_y_travels_once_per_wave():
+    """4,218 rows and 1,000 permutations on 8 cores: 8 waves; at 5 million rows fewer than a third of the permutations."""
+    for n, p, q, most in ((4218, 512, 136, 8 * 4), (5_000_000, 100, 100, 320)):
+        rows, perms = permutation.waves(n, 1000, p, q, 8)
+        assert -(-n // rows) * -(-1000 // perms) <= most
+        assert rows * p <= permutation.TASK_CELLS and perms * p * q <= permutation.TASK_CELLS and perms * min(rows, n) <= permutation.TASK_CELLS
 
 
 @pytest.mark.parametrize("vector,message", [(None, "are null"), ([1.0, None, 2.0], "values"), ([1.0], "different lengths"), ([1.0, float("nan"), 2.0], "NaN")])

@@ -212,3 +212,54 @@ def stratified_coupling_values(spark, sf):
 
     rows = coupling.assign_splits(split_by_label(pairs(spark, sf)), group="grp")
     return _stratified_values(coupling.stratified_coupling(rows, z_full(), L_FULL, reports.config_grid(spark, ["cca"], [1], []), n_components=1))
+
+
+# ---- sparse weights on single features ------------------------------------------------
+
+_PAIR = {k: v for k, v in whole_cca("SELECT -1 AS f, CASE WHEN fold = -1 THEN 'eval' ELSE 'train' END AS role, subject_id, a, g, e FROM fo").items() if k not in ("sq", "ve", "ga", "be", "tu", "rr")} | {
+    "xy": "SELECT [r[33:64] for r in m[1:32]] AS s FROM ma2",
+    "yx": "SELECT s, [[r[j] for r in s] for j in range(1, 33)] AS st FROM xy",
+    "sq": "SELECT 0 AS k, [[list_dot_product(a, b) for b in st] for a in st] AS p FROM yx UNION ALL SELECT k + 1, [[list_dot_product(r, c) / (t * t) for c in p] for r in p] "
+    "FROM (SELECT k, p, list_sum([p[i][i] for i in range(1, 33)]) AS t FROM sq WHERE k < 16)",
+    "sv": "SELECT [x / sqrt(list_dot_product(w, w)) for x in w] AS v FROM (SELECT p[list_position(d, list_max(d))] AS w FROM (SELECT p, [p[i][i] for i in range(1, 33)] AS d FROM sq WHERE k = 16))",
+    "su": "SELECT v, [x / sqrt(list_dot_product(w, w)) for x in w] AS u FROM (SELECT v, [list_dot_product(r, v) for r in s] AS w FROM xy, sv)",
+    "sc2": "SELECT role, corr(list_dot_product(z[1:32], u), list_dot_product(z[33:64], v)) AS r FROM zz, su GROUP BY role",
+}
+_SINGULAR = {k: _SPLIT[k] for k in ("sizes", "shares", "quota", "fo")} | _PAIR
+
+
+@register(
+    "block_scca",
+    recursive(
+        psql(
+            f"SELECT 'x' AS view, CAST(i - 1 AS INTEGER) AS feature, {r6('abs(u[i])')} AS weight_abs, {r6('r1')} AS r_train, {r6('r2')} AS r_holdout FROM su, range(1, 33) AS r(i), o "
+            f"UNION ALL SELECT 'y', CAST(i - 1 AS INTEGER), {r6('abs(v[i])')}, {r6('r1')}, {r6('r2')} FROM su, range(1, 33) AS r(i), o",
+            **_SINGULAR, o="SELECT max(r) FILTER (WHERE role = 'train') AS r1, max(r) FILTER (WHERE role = 'eval') AS r2 FROM sc2",
+        )
+    ),
+)
+def block_scca(spark, sf):
+    """Weights of the single features from steps over the blocks; bounds that do not bind, where the solution is the leading singular pair."""
+    rows = coupling.assign_splits(pairs(spark, sf))
+    got = wide.wide_sparse(gene_blocks(rows), _side(rows, "fold"), 1, 1.0, 1.0, cv=False)
+    x = got["x_weights"].select(F.lit("x").alias("view"), (F.substring("gene", 2, 9).cast("int") * 8 + F.col("dim")).alias("feature"), "weight")
+    y = got["y_weights"].select(F.lit("y").alias("view"), F.col("position").alias("feature"), "weight")
+    r = got["folds"].select("r_train", F.col("r_val").alias("r_holdout"))
+    out = x.unionByName(y).crossJoin(r)  # one row of correlations
+    return round_columns(out.select("view", "feature", F.abs("weight").alias("weight_abs"), "r_train", "r_holdout"), "weight_abs", "r_train", "r_holdout")
+
+
+@register(
+    "block_scca_sparse",
+    psql("SELECT CAST(0 AS INTEGER) AS component, CAST(32 AS BIGINT) AS n_features, true AS unit_norm, true AS within_bound, true AS some_zero FROM pairs LIMIT 1"),
+)
+def block_scca_sparse(spark, sf):
+    """Binding bounds on the unit vectors; the values equal the dense solver's in tests/test_block_scca.py."""
+    from pairlens.operators.solve import l1_bound
+
+    rows = coupling.assign_splits(pairs(spark, sf))
+    x = wide.wide_sparse(gene_blocks(rows), _side(rows, "fold"), 1, 0.3, 0.3, cv=False, projection="paper", max_iter=20, tol=1e-4)["x_weights"]
+    return x.groupBy("component").agg(
+        F.count(F.lit(1)).alias("n_features"), (F.abs(F.sum(F.col("weight") * F.col("weight")) - 1) < 1e-6).alias("unit_norm"),
+        (F.sum(F.abs("weight")) <= l1_bound(0.3, 32) + 1e-6).alias("within_bound"), (F.count_if(F.col("weight") == 0) > 0).alias("some_zero"),
+    )

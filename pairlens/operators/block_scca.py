@@ -16,9 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.operators.dual import Subjects, Subset, _regression, _residuals, _scales, _whole_blocks
+from pairlens.operators.dual import Subjects, Subset, _residuals, _scales, _whole_blocks
 from pairlens.operators.solve import l1_bound, l1_unit
-from pairlens.session import held
 
 CANDIDATES, ROUNDS = 255, 8  # thresholds tried in a job; each job narrows the range by their number
 
@@ -130,6 +129,16 @@ def _above(held_weights: DataFrame, deflate: np.ndarray, candidates: np.ndarray)
     return np.vstack([out.reshape(-1, 3), [float(cells["top"].max()), 0, 0]])
 
 
+def _closed(sums: np.ndarray, bound: float, paper: bool) -> float:
+    """The threshold at which `sums` (count, sum and sum of squares of the weights above it) meet the bound."""
+    count, total, squares = sums
+    if not paper:
+        return float((total - bound) / count)
+    # (total - count x)^2 = bound^2 (squares - 2 x total + x^2 count): the smaller root leaves all of these weights.
+    a, b, c = count * (count - bound**2), -2 * total * (count - bound**2), total**2 - bound**2 * squares
+    return float((-b - np.sqrt(max(b * b - 4 * a * c, 0.0))) / (2 * a)) if a > 0 else float(total / count)
+
+
 def _threshold(held_weights: DataFrame, deflate: np.ndarray, bound: float, paper: bool) -> tuple[float, float]:
     """Soft threshold that meets the L1 bound (see `solve.l1_unit`), and the L2 length of what is left."""
 
@@ -152,13 +161,11 @@ def _threshold(held_weights: DataFrame, deflate: np.ndarray, bound: float, paper
         size = np.array([length(row, lam) for row, lam in zip(rows, lams)])
         too_much = (np.where(size > 0, left / np.where(size > 0, size, 1.0), 0.0) if paper else left) > bound
         at = int(too_much.sum())  # the norm falls with the threshold
-        if not paper:
-            # Between two candidates without a weight between them the norm is a straight line.
-            count, total, _ = rows[min(at, len(rows) - 1)]
-            below = rows[at - 1] if at else None
-            if below is not None and at < len(rows) and below[0] == count and count > 0:
-                low = high = (total - bound) / count
-                break
+        # Between two candidates without a weight between them the same weights stay: the bound is met in closed form.
+        below, above = rows[at - 1] if at else first[0], rows[at] if at < len(rows) else np.zeros(3)
+        if below[0] == above[0] > 0:
+            lam = _closed(below, bound, paper)
+            return lam, length(below, lam) or 1.0
         low, high = (lams[at - 1] if at else low), (lams[at] if at < len(lams) else high)
         if high - low <= 1e-15 * top:
             break
@@ -226,7 +233,7 @@ def block_scca(layout: DataFrame, subjects: Subjects, subset: Subset, k: int, c1
                 before = _weights(z, own)
                 yield pa.RecordBatch.from_arrays([pa.array([(z.T @ t / len(z)).tolist()], pa.list_(pa.float64())), pa.array([before.ravel().tolist()], pa.list_(pa.float64()))], names=["w", "before"])
 
-            weights = held(source.run(raw, None, "w array<double>, before array<double>"))
+            weights = source.run(raw, None, "w array<double>, before array<double>").persist()
             dots = np.zeros(comp)
             if comp:
                 dots = _dots(weights, comp)

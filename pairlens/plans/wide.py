@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pairlens.operators import reports, solve
 from pairlens.operators.classify import FoldModel, balanced_weights, scaled_map
+from pairlens.operators.block_scca import block_scca
 from pairlens.operators.dual import DualPCA, Subjects, Subset, block_maps, dual_layout, md5_order, read_subjects, solve_subsets
 from pairlens.operators.interpret import cosine_similarity, gene_weight_rollup, topk_features
 from pairlens.operators.moments import MAX_DIM, Layout, collect_moments, moments
@@ -325,3 +326,51 @@ def wide_scores(
 def wide_suite(blocks: DataFrame, rows: DataFrame, dim: int, **options) -> DataFrame:
     """AUC and average precision of every representation and classifier: `suite.predictive_suite` with a wide first view."""
     return suite.suite_metrics(wide_scores(blocks, rows, dim, **options))
+
+
+def wide_sparse(
+    blocks: DataFrame,
+    rows: DataFrame,
+    k: int,
+    c1: float = 0.3,
+    c2: float = 0.3,
+    cv: bool = True,
+    top: int = 10,
+    subject: str = "subject_id",
+    **options,
+) -> dict[str, DataFrame]:
+    """`interpretable.interpretable_scca` of feature blocks without PCA: sparse weights on the single features.
+
+    `folds` (fold, component, r_train, r_val, sparsity_x, sparsity_y), fold -1 being the final fit on the training part scored on the holdout, with `cv` also every
+    fold; `x_weights` (gene, dim, feature, component, weight, loading), distributed; `y_weights` (position, component, weight); `top_x_weights`, `top_x_loadings`.
+    `options` go to `block_scca.block_scca`.
+    """
+    spark = rows.sparkSession
+    subjects = read_subjects(rows, columns=["fold"], subject=subject)
+    layout = dual_layout(blocks, subjects, subject)
+    subsets, labels = fold_subsets(subjects)
+    if HOLDOUT not in (label[0] for label in labels):
+        subsets.append(Subset(len(subsets), np.arange(subjects.n), np.zeros(0, np.int64)))
+        labels.append((HOLDOUT,))
+    table, final, own = [], None, None
+    for subset, (fold,) in zip(subsets, labels):
+        if fold != HOLDOUT and not cv:
+            continue
+        fit = block_scca(layout, subjects, subset, k, c1, c2, **options)
+        dense = (np.abs(fit.v) < 1e-12).mean(axis=0)
+        table += [(int(fold), c, float(fit.r_train[c]), float(np.nan_to_num(fit.r_score[c])), float(fit.sparsity[c]), float(dense[c])) for c in range(k)]
+        if fold == HOLDOUT:
+            final, own = fit, subset
+    n = len(own.train)
+    loads = block_maps(layout, subjects, own.train, np.zeros((n, k)), final.variates_x[:n], options.get("standardize", True)).select("block", "dim", "component", "loading")
+    x = final.table().join(loads, ["block", "dim", "component"])
+    x = x.select(F.col("block").alias("gene"), "dim", F.concat_ws("_", "block", "dim").alias("feature"), "component", "weight", "loading")
+    placed = x.withColumn("position", F.xxhash64("feature"))
+    v = [(f, c, float(final.v[f, c])) for f in range(final.v.shape[0]) for c in range(k)]
+    return {
+        "folds": spark.createDataFrame(table, "fold int, component int, r_train double, r_val double, sparsity_x double, sparsity_y double"),
+        "x_weights": x,
+        "y_weights": spark.createDataFrame(v, "position int, component int, weight double"),
+        "top_x_weights": topk_features(placed, ["component"], top).drop("position"),
+        "top_x_loadings": topk_features(placed, ["component"], top, weight="loading").drop("position"),
+    }

@@ -54,3 +54,23 @@ def test_more_features_than_moments_take(spark):
     top = got.table().orderBy(F.abs("weight").desc()).limit(5).collect()
     assert {r["block"] for r in top} == {"g0"} and {r["dim"] for r in top} <= set(range(9))
     assert got.sparsity[0] > 0.9 and got.r_train[0] > 0.6 and got.r_score[0] > 0.3
+
+
+def test_folds_weights_and_loadings(spark):
+    """The plan: every fold and the final fit, loadings as correlations with the variate."""
+    from pairlens.plans import wide
+
+    c, x, y, subset, subjects, layout = problem(spark, 60, 24, 4, 3, 8)
+    rows = spark.createDataFrame([(str(s), int(f), c[k].tolist(), x[k].tolist(), y[k].tolist()) for k, (s, f) in enumerate(zip(subjects.ids, subjects.columns["fold"]))], "subject_id string, fold int, c array<double>, x array<double>, b array<double>")
+    got = wide.wide_sparse(blocks_of(rows, 8), rows.select("subject_id", "fold", "c", "b"), 1, 0.3, 0.5, max_iter=15, tol=1e-4, top=3)
+    folds = got["folds"].toPandas().set_index("fold")
+    assert sorted(folds.index) == [-1, 1, 2, 3, 4] and (folds.r_train > 0.3).all()
+    zx, zy = prepared(x, c, subset), prepared(y, c, subset)
+    t = subset.train
+    a, b = solve.scca(zx[t].T @ zy[t] / len(t), 1, 0.3, 0.5, max_iter=15, tol=1e-4)
+    table = got["x_weights"].withColumn("at", F.substring("gene", 2, 9).cast("int") * 8 + F.col("dim")).orderBy("at").toPandas()
+    assert np.allclose(table.weight, a[:, 0], atol=1e-3)
+    variate = zx[t] @ table.weight.to_numpy()
+    assert np.allclose(table.loading, [np.corrcoef(zx[t][:, j], variate)[0, 1] for j in range(24)], atol=1e-8)
+    assert np.isclose(folds.loc[-1].r_val, np.corrcoef(zx[subset.score] @ a[:, 0], zy[subset.score] @ b[:, 0])[0, 1], atol=1e-2)
+    assert got["top_x_weights"].count() == 3 == got["top_x_loadings"].count()

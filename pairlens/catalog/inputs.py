@@ -7,9 +7,12 @@ as files on disk; text formats are written to a scratch path and read back.
 from __future__ import annotations
 
 import io
+import os
+import uuid
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pairlens.catalog import fixtures as fx
@@ -19,7 +22,7 @@ from pairlens.session import scratch_path
 from pairlens.functions import config_label
 from pairlens.operators import align, reports
 from pairlens.plans import coupling
-from pairlens.sources import arrays, results, tables
+from pairlens.sources import arrays, chunk_files, results, tables
 
 
 def _npy(mat: np.ndarray) -> bytes:
@@ -58,6 +61,60 @@ def read_embedding_chunks(spark, sf):
     return _chunk_summary(arrays.embedding_rows(_embedding_files(spark, sf)))
 
 
+def _embedding_folder(spark, sf) -> str:
+    """The array files on disk, written by tasks into the shared folder; a name without the number's pattern is skipped by readers."""
+    path = scratch_path(spark, "array-files")
+
+    def write(batches):
+        root = path.removeprefix("file://")
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"]):
+                target = root + name.removeprefix("/data")
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                with open(f"{target}.{uuid.uuid4().hex}", "wb") as file:
+                    file.write(content)
+                os.replace(file.name, target)  # a task that runs again leaves the same file
+            yield pdf[["path"]]
+
+    _embedding_files(spark, sf).mapInPandas(write, "path string").count()
+    return path
+
+
+_TAKEN = "SELECT subject_id, row_number() OVER (ORDER BY subject_id DESC) - 1 AS pos FROM (SELECT DISTINCT subject_id FROM emb JOIN cov USING (subject_id) WHERE valid AND y = 1)"
+
+
+@register(
+    "take_rows_from_files",
+    sql(
+        "block_values emb cov",
+        f"SELECT w.subject_id AS subject_id, w.pos AS pos, gene, {r6('sum(v)')} AS total, {r6('max(v)')} AS top FROM wanted w JOIN block_values b ON w.subject_id = b.subject_id GROUP BY 1, 2, 3",
+        wanted=_TAKEN,
+    ),
+)
+def take_rows_from_files(spark, sf):
+    """Rows of a cohort in its order, read from the chunks of the array files that hold them."""
+    ids = fx.emb(spark, sf).select("subject_id", F.col("subject_id").cast("bigint").alias("row_idx"))
+    cohort = align.attach_covariates(fx.emb(spark, sf).where("y = 1"), fx.cov(spark, sf)).select("subject_id").distinct()
+    wanted = cohort.withColumn("pos", F.row_number().over(Window.orderBy(F.col("subject_id").desc())).cast("bigint") - 1)  # a cohort, at most MAX_WANTED
+    got = chunk_files.take_rows(spark, _embedding_folder(spark, sf), ids, wanted)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return round_columns(got.select("subject_id", "pos", "gene", total.alias("total"), F.array_max("embedding").cast("double").alias("top")), "total", "top")
+
+
+@register(
+    "array_files_report",
+    sql(
+        "blocks",
+        "SELECT gene, chunk, CAST(min(CAST(subject_id AS BIGINT)) AS BIGINT) AS first_row, count(*) AS n_rows, count(*) FILTER (WHERE CAST(subject_id AS BIGINT) % 7 = 0 AND chunk < 3) AS rows_read, "
+        "32 * count(*) FILTER (WHERE CAST(subject_id AS BIGINT) % 7 = 0 AND chunk < 3) AS bytes_read FROM blocks WHERE gene IN ('g1', 'g4') GROUP BY 1, 2",
+    ),
+)
+def array_files_report(spark, sf):
+    """What the source reads of each chunk: every seventh row of the first three chunks of two genes, 8 values of 4 bytes each."""
+    rows = [r[0] for r in fx.blocks(spark, sf).where("chunk < 3 and gene = 'g1'").select(F.col("subject_id").cast("bigint").alias("r")).where("r % 7 = 0").collect()]
+    return chunk_files.read_array_files(spark, _embedding_folder(spark, sf), rows, ["g1", "g4"], chunks=2, report=True)
+
+
 @register(
     "read_embedding_catalog",
     sql("blocks", "SELECT gene, count(DISTINCT chunk) AS n_files, min(chunk) AS first_chunk, max(chunk) AS last_chunk FROM blocks GROUP BY gene"),

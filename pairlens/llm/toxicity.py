@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.llm.samples import labelled_sample
+from pairlens.llm.samples import sample_rows
 
 BUCKETS, WIDTH, PASSAGE = 1 << 16, 8, 32
 #: Labelled rows of each label that the classifier is fitted on, at most.
@@ -28,6 +29,8 @@ EPOCHS, BATCH, RATE, VECTOR_RATE, FLOOR = 6, 128, 0.1, 5.0, 1e-4
 UPDATES = 280
 #: Buckets met in fewer training texts are left at zero: they would only memorise their texts.
 MIN_TEXTS = 5
+#: Words whose scores are summed at once in training.
+CHUNK = 1 << 16
 #: Words whose score a worker remembers; when full, it starts afresh.
 MAX_WORDS = 600_000
 _WORD = re.compile(r"[^\W_]+")
@@ -83,20 +86,31 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         return Model(np.zeros(BUCKETS, np.float32), math.log(prior / (1 - prior)))
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
-    ids, ends = [], []
+    # Growing machine arrays, no lists of lists: a sample of many different words stays small.
+    ids, ends, grams, sizes = [], [], array("i"), array("i")
     for text in texts:
-        own = [vocabulary.setdefault(w, len(vocabulary)) for w in _WORD.findall(text.lower())] or [vocabulary.setdefault("", len(vocabulary))]
-        ids.append(np.array(own, np.int32))
+        own = array("i")
+        for w in _WORD.findall(text.lower()) or [""]:
+            k = vocabulary.get(w)
+            if k is None:
+                k = vocabulary[w] = len(vocabulary)
+                parts = subwords(w)
+                grams.extend(parts)
+                sizes.append(len(parts))
+            own.append(k)
+        ids.append(np.frombuffer(own, np.int32))
         ends.append(len(own))
-    grams = [subwords(w) for w in vocabulary]
-    size = np.array([len(g) for g in grams])
-    flat, first = np.concatenate([np.array(g, np.int32) for g in grams]), np.concatenate([[0], np.cumsum(size)[:-1]])
-    del grams
+    n_words = len(vocabulary)
+    vocabulary.clear()
+    flat, size = np.frombuffer(grams, np.int32), np.frombuffer(sizes, np.int32).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(size)[:-1]])
     words, bounds = np.concatenate(ids), np.concatenate([[0], np.cumsum(ends)])
     starts = [passages(n) for n in ends]
     in_passage = np.repeat(np.arange(sum(map(len, starts))), np.concatenate([np.diff(np.append(s, n)) for s, n in zip(starts, ends)]))
-    first_use = np.zeros(len(words))
-    first_use[np.unique(in_passage * np.int64(len(vocabulary)) + words, return_index=True)[1]] = 1
+    first_use = np.zeros(len(words), np.float32)
+    for k in range(len(texts)):
+        own = slice(bounds[k], bounds[k + 1])
+        first_use[bounds[k] + np.unique((in_passage[own] - in_passage[bounds[k]]) * np.int64(n_words) + words[own], return_index=True)[1]] = 1
     of_doc = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
     start = np.concatenate([s + b for s, b in zip(starts, bounds)])
     stop = np.append(start[1:], len(words))
@@ -116,9 +130,12 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         if epoch < 2:  # any passage, as there is no model yet
             chosen = head + (rng.random(len(head)) * np.bincount(of_doc)).astype(int)
         else:
-            table = vectors @ (weights[:, 1] - weights[:, 0])
-            value = np.add.reduceat(table[flat], first) / size
-            mean = np.add.reduceat(value[words] * first_use, start) / (stop - start)
+            table = (vectors @ (weights[:, 1] - weights[:, 0])).astype(np.float32)
+            value = np.empty(n_words, np.float32)
+            for a in range(0, n_words, CHUNK):
+                b = min(a + CHUNK, n_words)
+                value[a:b] = np.add.reduceat(table[flat[first[a] : first[b] if b < n_words else None]], first[a:b] - first[a], dtype=np.float64) / size[a:b]
+            mean = np.add.reduceat(value[words] * first_use, start, dtype=np.float64) / (stop - start)
             by = np.lexsort((-mean, of_doc))
             chosen = by[head]
         for batch in np.array_split(rng.permutation(len(texts)), batches):
@@ -152,10 +169,26 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = PER_LABEL) -> Model:
-    """Train on at most `per_label` documents of each label (0 or 1, in `labels` by id); those without label or text are left out."""
+    """Train on at most `per_label` documents of each label (0 or 1, in `labels` by id); those without label or text are left out.
+
+    The sample is bounded and is learnt from in one task; the driver gets the model alone, a number per bucket.
+    """
     known = labels.where(F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).alias("label"))
-    rows = labelled_sample(docs, known, id_col, text_col, per_label)
-    return train([r[1] for r in rows], [int(r[0]) for r in rows])
+    rows = sample_rows(docs, known, id_col, text_col, per_label).repartition(1).sortWithinPartitions("at").select(F.col("label").cast("int"), "text_part")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, marks = [], []
+        for batch in batches:
+            marks += batch.column(0).to_pylist()
+            texts += [t.as_py().decode("utf-8", "ignore") for t in batch.column(1)]
+        model = train(texts, marks)
+        yield pa.RecordBatch.from_arrays([pa.array([model.table.tobytes()]), pa.array([model.bias])], names=["table", "bias"])
+
+    got = rows.mapInArrow(learn, "table binary, bias double").first()
+    if got is None:  # no labelled row
+        return train([], [])
+    table, bias = got
+    return Model(np.frombuffer(bytes(table), np.float32), bias)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,16 +2,19 @@
 
 A text's segmentation is the one whose pieces' scores have the largest sum (of equals, the one whose last pieces are longest); what no piece
 covers goes by the bytes' own pieces. The encoder keeps the best sums and backpointers of the last `longest` characters only: a
-piece is no longer than that. Once the backpointer paths of all of them meet in one boundary, nothing can change before it, and the ids up to it are committed.
-Before a mark of white space (U+2581) after another character all paths meet by the vocabulary itself: the stream commits there, its window is empty, and
-what it gives for a word from there is remembered.
+piece is no longer than that. Once the backpointer paths of all survivors meet in one boundary, nothing can change before it, and the ids up to it are committed.
+In prose that happens every few characters, and at the latest, as a rule, before the mark of white space (U+2581) that a word ends with; what the stream committed for
+such a word is remembered.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+import sys
+from array import array
+from collections.abc import Iterator
+from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Words whose ids a worker remembers; when full, it starts afresh.
-MAX_WORDS = 500_000
+#: Words whose ids a worker remembers in a generation. Characters pushed at once.
+MAX_WORDS, PUSH = 300_000, 4096
+_LEAST = float("-inf")
 
 
 class Vocabulary:
@@ -46,71 +50,151 @@ class Vocabulary:
         self.byte_score = min((m[0] for m in self.match.values() if m), default=0.0) - 10.0
         #: Whether a mark of white space can only begin a piece (after others of its kind).
         self.splits = not any(m and SPACE in p.lstrip(SPACE) for p, m in self.match.items())
+        #: The same as steps from character to character: (next steps, score, id); a mere prefix has the least score.
+        self.roots: dict[str, tuple[dict, float, int]] = {}
+        steps: dict[str, dict] = {"": self.roots}
+        for piece in sorted(self.match, key=len):
+            found = self.match[piece]
+            steps[piece] = kids = {}
+            steps[piece[:-1]][piece[-1]] = (kids, *(found or (_LEAST, -1)))
+
+        #: Characters that are never better off by their bytes.
+        self.covered = {c for c, (_, score, _) in self.roots.items() if score > _LEAST and self.byte_score <= 0}
 
     def byte_ids(self, char: str) -> list[int]:
         return [self.bytes_of[b] for b in char.encode()]
 
 
 class StreamingViterbi:
-    """Feed characters, get ids as soon as they are certain. Holds a window, never the text."""
+    """Feed characters, get ids as soon as they are certain. Holds a window, never the text.
+
+    Every boundary starts a walk over the characters that follow, for as long as they begin a piece. Survivors at a boundary are itself and the earlier ones
+    whose walks lead beyond it; every later path comes from one of them. Where no walk does, all paths meet there, and the stream commits at once; otherwise
+    the survivors' paths are followed back when the window is full.
+    """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
-        self.chars: list[str] = []  # the window's characters
-        self.best: list[float] = [0.0]  # best sum up to each boundary in the window
-        self.back: list[tuple[int, int | None]] = [(0, None)]  # boundary before the last piece, and its id (None: bytes)
-        self.open: list[tuple[int, str]] = []  # starts whose characters up to now begin a piece, latest first
+        self.commits = 0  # how often surviving paths met
+        self.reset()
 
-    def feed(self, chars: Iterable[str]) -> Iterator[list[int]]:
-        window = 4 * self.vocabulary.longest
-        for char in chars:
-            self._push(char)
-            if len(self.chars) >= window:
-                yield self._commit(self._meeting())
+    def reset(self) -> None:
+        self.chars = ""  # the window's characters
+        self.best: list[float] = [0.0]  # best sum up to each boundary in the window
+        self.back: list[int] = [0]  # boundary before the last piece
+        self.piece: list[int] = [-1]  # its id, -1 for bytes
+        self.ends: list[int] = []  # where each boundary's walk stopped
+        self.open: list[tuple[int, dict]] = []  # walks that the next character may go on: start and steps
+
+    def feed(self, chars: str) -> Iterator[list[int]]:
+        """Ids that become certain with these characters, piece by piece."""
+        for at in range(0, len(chars), PUSH):
+            yield self.push(chars[at : at + PUSH])
+
+    def push(self, chars: str) -> list[int]:
+        """Ids that become certain with these characters."""
+        vocabulary = self.vocabulary
+        roots, covered, byte_score, longest = vocabulary.roots, vocabulary.covered, vocabulary.byte_score, vocabulary.longest
+        window = 4 * longest
+        text = self.chars + chars
+        first, n = len(self.chars), len(text)
+        best, back, piece, ends = self.best, self.back, self.piece, self.ends
+        best += [_LEAST] * len(chars)
+        back += [0] * len(chars)
+        piece += [-1] * len(chars)
+        out: list[int] = []
+        going: list[tuple[int, dict]] = []
+        done, far = 0, first  # committed up to `done`; no walk leads beyond `far`
+        for i, steps in self.open:
+            far = max(far, self._walk(i, first, steps, text, going))
+        for i in range(first, n):
+            if i > done and (far <= i or i - done >= window):
+                upto = i if far <= i else self._meeting(i)
+                if upto > done:
+                    self.commits += 1
+                    self._path(text, done, upto, out)
+                    done = upto
+            base, steps, j = best[i], roots, i
+            for char in text[i : i + longest]:
+                node = steps.get(char)
+                if node is None:
+                    break
+                j += 1
+                steps, score, k = node
+                # Starts come in ascending order: of equal sums the first, longest piece stays.
+                if base + score > best[j]:
+                    best[j], back[j], piece[j] = base + score, i, k
+            else:
+                if steps and j == n:
+                    going.append((i, steps))
+                    j = n + 1
+            if j > far:
+                far = j
+            ends.append(j)
+            if text[i] not in covered:
+                value = base + byte_score * len(text[i].encode())
+                if value > best[i + 1]:
+                    best[i + 1], back[i + 1], piece[i + 1] = value, i, -1
+        if far <= n and n > done:
+            self.commits += 1
+            self._path(text, done, n, out)
+            done = n
+        if done:
+            shift = best[done]
+            self.best = [v - shift for v in best[done:]]
+            self.back = [0, *[v - done for v in back[done + 1 :]]]
+            self.piece = [-1, *piece[done + 1 :]]
+            self.ends = [v - done for v in ends[done:]]
+            going = [(i - done, steps) for i, steps in going]
+        self.chars, self.open = text[done:], going
+        return out
+
+    def _walk(self, i: int, j: int, steps: dict, text: str, going: list[tuple[int, dict]]) -> int:
+        """Goes on with the walk from boundary `i` at character `j`; returns where it stops."""
+        best, n = self.best, len(text)
+        while j < n:
+            node = steps.get(text[j])
+            if node is None:
+                break
+            j += 1
+            steps, score, k = node
+            if best[i] + score > best[j]:
+                best[j], self.back[j], self.piece[j] = best[i] + score, i, k
+        else:
+            if steps:
+                going.append((i, steps))
+                j = n + 1
+        self.ends[i] = j
+        return j
 
     def finish(self) -> list[int]:
-        return self._commit(len(self.chars))
-
-    def _push(self, char: str) -> None:
-        """Best last piece for the boundary after one more character."""
-        self.chars.append(char)
-        n, match = len(self.chars), self.vocabulary.match
-        top, pointer = self.best[n - 1] + self.vocabulary.byte_score * len(char.encode()), (n - 1, None)
-        live = []
-        for start, piece in [(n - 1, ""), *self.open]:
-            piece += char
-            found = match.get(piece, 0)
-            if found == 0:
-                continue
-            live.append((start, piece))
-            if found and self.best[start] + found[0] >= top:
-                top, pointer = self.best[start] + found[0], (start, found[1])
-        self.open = live
-        self.best.append(top)
-        self.back.append(pointer)
-
-    def _meeting(self) -> int:
-        """The last boundary that lies on the path of every boundary that a later piece can start from."""
-        n = len(self.chars)
-        alive = set(range(max(0, n - self.vocabulary.longest + 1), n + 1))
+        """The rest; the text ends here."""
+        ids: list[int] = []
+        self._path(self.chars, 0, len(self.chars), ids)
+        self.reset()
+        return ids
+
+    def _meeting(self, n: int) -> int:
+        """The last boundary that lies on the path of every survivor at boundary `n`."""
+        alive = {n, *(start for start, end in enumerate(self.ends) if end > n)}
         while len(alive) > 1:
             last = max(alive)
             alive.remove(last)
-            alive.add(self.back[last][0])
+            alive.add(self.back[last])
         return alive.pop()
 
-    def _commit(self, upto: int) -> list[int]:
-        ids: list[int] = []
-        at = upto
-        while at:
-            before, piece = self.back[at]
-            ids += reversed(self.vocabulary.byte_ids(self.chars[before])) if piece is None else [piece]
-            at = before
-        base = self.best[upto]
-        self.open = [(start - upto, piece) for start, piece in self.open if start >= upto]
-        self.chars, self.best = self.chars[upto:], [b - base for b in self.best[upto:]]
-        self.back = [(0, None), *((max(b - upto, 0), p) for b, p in self.back[upto + 1 :])]
-        return ids[::-1]
+    def _path(self, text: str, done: int, upto: int, out: list[int]) -> None:
+        """Appends the ids of the best path from boundary `done` to `upto`."""
+        back, piece, ids = self.back, self.piece, []
+        while upto > done:
+            before, name = back[upto], piece[upto]
+            if name < 0:
+                ids += reversed(self.vocabulary.byte_ids(text[before]))
+            else:
+                ids.append(name)
+            upto = before
+        ids.reverse()
+        out += ids
 
 
 def encode_whole(vocabulary: Vocabulary, text: str) -> list[int]:
@@ -142,25 +226,66 @@ _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 class Encoder(dict):
-    """Packed ids by word; whole texts through `encode`, back through `decode`."""
+    """Whole texts through `encode`, back through `decode`; remembers packed ids of words, in two generations of which the older goes when the newer is full.
+
+    A word is remembered only where the stream, clean before it, committed exactly the word on seeing the mark of white space after it: then whatever follows, the paths
+    meet there again. Where they do not, the stream runs on over the text until it is clean at the end of a word.
+    """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
         self.stream = StreamingViterbi(vocabulary)
+        self.older: dict[str, bytes] = {}
         self.mark = b"".join(np.array(k, "<u4").tobytes() for k in vocabulary.byte_ids(SPACE))
-
-    def __missing__(self, word: str) -> bytes:
-        """A word that the stream has not met behind a commit; the end of it is a commit again."""
-        ids = b"".join(np.array(x, "<u4").tobytes() for x in (*self.stream.feed(word), self.stream.finish()))
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+        own = set(vocabulary.bytes_of.values())
+        self.bytes = [t if k in own else t.replace(SPACE.encode(), b" ") for k, t in enumerate(vocabulary.text)]
+
+    def _run(self, words: list[str], at: int, out: list[bytes]) -> int:
+        """Streams from word `at`, the stream being clean, to the first end of a word where all paths meet; appends ids, returns the next word."""
+        stream, ids, first = self.stream, [], at
+        while at < len(words):
+            word = words[at]
+            at += 1
+            if at == len(words) or not words[at].startswith(SPACE):
+                ids += chain.from_iterable(stream.feed(word))
+                continue
+            # With the mark after it: if the paths meet before that, the window is the mark alone, and the next word starts afresh from it.
+            ids += stream.push(word + SPACE) if len(word) < PUSH else chain.from_iterable(stream.feed(word + SPACE))
+            if stream.chars == SPACE:
+                stream.reset()
+                packed = array("I", ids).tobytes()
+                if at == first + 1 and len(word) <= 64:
+                    self[word] = packed
+                out.append(packed)
+                return at
+            words[at] = words[at][1:]
+            if not words[at]:
+                at += 1
+        ids += stream.finish()
+        out.append(array("I", ids).tobytes())
+        return at
 
     def _plain(self, text: str) -> bytes:
         if len(self) > MAX_WORDS:
+            self.older = dict(self)
             self.clear()
-        words = _WORD.findall(text) if self.vocabulary.splits else [text]
-        return b"".join(map(self.__getitem__, words))
+        words = _WORD.findall(text)
+        known = list(map(self.get, words))
+        if None not in known:
+            return b"".join(known)
+        out: list[bytes] = []
+        at = 0
+        while at < len(words):
+            word = words[at]
+            ids = self.get(word)
+            if ids is None and (ids := self.older.get(word)) is not None:
+                self[word] = ids
+            if ids is None:
+                at = self._run(words, at, out)
+            else:
+                out.append(ids)
+                at += 1
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Ids as packed uint32. A text starts with a mark of white space, spaces become marks; a mark of the text's own goes by its bytes."""
@@ -169,17 +294,20 @@ class Encoder(dict):
         return self.mark.join(self._plain(part.replace(" ", SPACE)) if part else b"" for part in (" " + text).split(SPACE))
 
     def decode(self, ids: np.ndarray) -> str:
-        pieces, byte_ids = self.vocabulary.text, set(self.vocabulary.bytes_of.values())
-        out = b"".join(pieces[k] if k in byte_ids else pieces[k].replace(SPACE.encode(), b" ") for k in ids.tolist())
-        return out.decode("utf-8", "replace")[1:]
+        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One encoder per worker process, from a SentencePiece model's pieces, scores and byte pieces."""
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = [(model.id_to_piece(k), model.get_score(k)) for k in range(model.get_piece_size())]
-    return Encoder(Vocabulary(pieces, {int(p[3:5], 16): k for k, (p, _) in enumerate(pieces) if re.fullmatch("<0x[0-9A-F]{2}>", p)}))
+    """One encoder per worker process, from a SentencePiece model's pieces, scores and byte pieces.
+
+    Functions reach workers by value, with globals that last for a task; a module of the process keeps the encoder and the words it remembers for the next tasks.
+    """
+    kept = sys.modules.setdefault("_pairlens_encoders", ModuleType("_pairlens_encoders")).__dict__
+    if path not in kept:
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = [(model.id_to_piece(k), model.get_score(k)) for k in range(model.get_piece_size())]
+        kept[path] = Encoder(Vocabulary(pieces, {int(p[3:5], 16): k for k, (p, _) in enumerate(pieces) if re.fullmatch("<0x[0-9A-F]{2}>", p)}))
+    return kept[path]
 
 
 def encode(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:

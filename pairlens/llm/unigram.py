@@ -24,20 +24,17 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Words whose ids a worker remembers in a generation. Characters pushed at once.
-MAX_WORDS, PUSH = 300_000, 4096
+MAX_WORDS, PUSH = 350_000, 4096
 _LEAST = float("-inf")
 
 
 class Vocabulary:
-    """Pieces with scores, bytes of pieces, and the prefixes that tell when no longer piece can match."""
+    """Pieces with scores, and the prefixes that tell when no longer piece can match."""
 
     def __init__(self, pieces: list[tuple[str, float]], bytes_of: dict[int, int]) -> None:
         """pieces: (piece, score) by id; those of control or byte ids are left out of matching. bytes_of: id by byte value."""
         self.bytes_of = bytes_of
         skip = set(bytes_of.values())
-        self.text = [p.encode() for p, _ in pieces]
-        for value, k in bytes_of.items():
-            self.text[k] = bytes([value])
         #: Score and id by piece; None for a mere prefix.
         self.match: dict[str, tuple[float, int] | None] = {}
         for k, (piece, score) in enumerate(pieces):
@@ -226,7 +223,7 @@ _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 class Encoder(dict):
-    """Whole texts through `encode`, back through `decode`; remembers packed ids of words, in two generations of which the older goes when the newer is full.
+    """Whole texts through `encode`; remembers packed ids of words, in two generations of which the older goes when the newer is full.
 
     A word is remembered only where the stream, clean before it, committed exactly the word on seeing the mark of white space after it: then whatever follows, the paths
     meet there again. Where they do not, the stream runs on over the text until it is clean at the end of a word.
@@ -237,8 +234,6 @@ class Encoder(dict):
         self.stream = StreamingViterbi(vocabulary)
         self.older: dict[str, bytes] = {}
         self.mark = b"".join(np.array(k, "<u4").tobytes() for k in vocabulary.byte_ids(SPACE))
-        own = set(vocabulary.bytes_of.values())
-        self.bytes = [t if k in own else t.replace(SPACE.encode(), b" ") for k, t in enumerate(vocabulary.text)]
 
     def _run(self, words: list[str], at: int, out: list[bytes]) -> int:
         """Streams from word `at`, the stream being clean, to the first end of a word where all paths meet; appends ids, returns the next word."""
@@ -276,8 +271,14 @@ class Encoder(dict):
         out: list[bytes] = []
         at = 0
         while at < len(words):
-            word = words[at]
-            ids = self.get(word)
+            try:
+                unseen = known.index(None, at)
+            except ValueError:
+                out += known[at:]
+                break
+            out += known[at:unseen]
+            word, at = words[unseen], unseen
+            ids = self.get(word)  # met since, in this text
             if ids is None and (ids := self.older.get(word)) is not None:
                 self[word] = ids
             if ids is None:
@@ -293,23 +294,40 @@ class Encoder(dict):
             return b""
         return self.mark.join(self._plain(part.replace(" ", SPACE)) if part else b"" for part in (" " + text).split(SPACE))
 
-    def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
+def _kept() -> dict:
+    """What a worker process keeps between tasks. Functions reach workers by value, with globals that last for a task; a module of the process lasts."""
+    return sys.modules.setdefault("_pairlens_encoders", ModuleType("_pairlens_encoders")).__dict__
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process, from a SentencePiece model's pieces, scores and byte pieces.
 
-    Functions reach workers by value, with globals that last for a task; a module of the process keeps the encoder and the words it remembers for the next tasks.
-    """
-    kept = sys.modules.setdefault("_pairlens_encoders", ModuleType("_pairlens_encoders")).__dict__
+def _pieces(path: str) -> tuple[list[tuple[str, float]], dict[int, int]]:
+    """Pieces with scores by id, and ids by byte value, of a SentencePiece model."""
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    pieces = [(model.id_to_piece(k), model.get_score(k)) for k in range(model.get_piece_size())]
+    return pieces, {int(p[3:5], 16): k for k, (p, _) in enumerate(pieces) if re.fullmatch("<0x[0-9A-F]{2}>", p)}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder per worker process, with the words it remembers."""
+    kept = _kept()
     if path not in kept:
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = [(model.id_to_piece(k), model.get_score(k)) for k in range(model.get_piece_size())]
-        kept[path] = Encoder(Vocabulary(pieces, {int(p[3:5], 16): k for k, (p, _) in enumerate(pieces) if re.fullmatch("<0x[0-9A-F]{2}>", p)}))
+        kept[path] = Encoder(Vocabulary(*_pieces(path)))
     return kept[path]
 
 
+def texts_of(pieces: list[tuple[str, float]], bytes_of: dict[int, int]) -> list[bytes]:
+    """The bytes that each id stands for, marks of white space as spaces."""
+    out = [p.replace(SPACE, " ").encode() for p, _ in pieces]
+    for value, k in bytes_of.items():
+        out[k] = bytes([value])
+    return out
+
+
+def decoded(table: list[bytes], ids: np.ndarray) -> str:
+    """The text of some ids, without the mark that it started with."""
+    return b"".join(map(table.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
+
+
 def encode(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
     """All columns of `docs` and `ids` (int array, replaces a column of that name) of the whole text.
 
@@ -334,11 +352,11 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
     encoded = encoded.drop("decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(model)
+        table = texts_of(*_pieces(model))
         for batch in batches:
             for part in range(0, batch.num_rows, 512):
                 chunk = batch.slice(part, 512)
-                texts = [None if not x.is_valid else own.decode(x.values.to_numpy(zero_copy_only=False)) for x in chunk.column(ids_col)]
+                texts = [None if not x.is_valid else decoded(table, x.values.to_numpy(zero_copy_only=False)) for x in chunk.column(ids_col)]
                 yield chunk.append_column("decoded", pa.array(texts, pa.string()))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)

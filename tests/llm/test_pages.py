@@ -58,8 +58,8 @@ def test_both_versions_and_lengths():
 def test_warc_records_are_whole(spark):
     arc, warc = scratch_path(spark, "arc"), scratch_path(spark, "warc")
     archives.write_arc(spark.createDataFrame(pages(), PAGES).coalesce(1), arc)
-    records = archives.arc_records(spark, arc)
-    archives.convert(records, warc)
+    assert archives.arc_records(spark, arc).count() == len(pages())
+    archives.convert(spark, arc, warc)
     out = archives.read_warcs(spark, warc).collect()
     assert len(out) == len({r["record_id"] for r in out}) == len(pages())
     by_id = {r["record_id"]: r for r in out}
@@ -70,6 +70,32 @@ def test_warc_records_are_whole(spark):
     assert {r["warc_date"] for r in out if r["page_id"] == 10} == {"2000-01-01T00:00:10Z"}
 
 
+def test_members_can_be_read_by_offset_and_ids_repeat(spark):
+    """Each record is a gzip member; the archive's name and the record's number make its id, whatever the folder."""
+    import zlib
+
+    ids = []
+    for _ in range(2):
+        arc, warc = scratch_path(spark, "arc"), scratch_path(spark, "warc")
+        archives.write_arc(spark.createDataFrame(pages(), PAGES).coalesce(1), arc)
+        archives.convert(spark, arc, warc)
+        data = bytes(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(warc).where("length > 0").first()["content"])
+        records = []
+        while data:
+            codec = zlib.decompressobj(31)
+            one = codec.decompress(data)
+            assert codec.eof
+            data = codec.unused_data
+            if one:
+                records += [(head, block) for head, block in archives.read_warc(one)]
+        kinds = [head["WARC-Type"] for head, _ in records]
+        assert kinds.count("warcinfo") == 1 == kinds[:1].count("warcinfo") and len(records) == len(pages()) + 1
+        assert b"source-format: ARC version 1" in records[0][1]
+        assert {head["WARC-Warcinfo-ID"] for head, _ in records[1:]} == {records[0][0]["WARC-Record-ID"]}
+        ids.append(sorted(head["WARC-Record-ID"] for head, _ in records))
+    assert ids[0] == ids[1]
+
+
 def slow_ratio(train, url):
     """Witten-Bell by recursion."""
 

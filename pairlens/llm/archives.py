@@ -32,8 +32,8 @@ FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL
 LEAST_REVISIT = 100
 _CAPTURED = datetime(2000, 1, 1, tzinfo=UTC)
 _BATCH = 4 << 20
-#: zlib's fastest level: archives of a conversion are written once and read once.
-LEVEL = 1
+#: zlib's level, between its fastest and its usual one.
+LEVEL = 4
 RECORD = "file string, at bigint, archive string, version int, page_id bigint, url string, ip string, date string, http binary, payload binary, payload_bytes bigint, payload_digest string"
 
 

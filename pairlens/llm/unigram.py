@@ -88,8 +88,12 @@ class StreamingViterbi:
         for at in range(0, len(chars), PUSH):
             yield self.push(chars[at : at + PUSH])
 
-    def push(self, chars: str) -> list[int]:
-        """Ids that become certain with these characters."""
+    def push(self, chars: str, ahead: bool = False) -> list[int]:
+        """Ids that become certain with these characters.
+
+        ahead: the last one is only looked at. If the paths meet before it, `met` is set and the stream is clean without it; else it counts like the others.
+        """
+        self.met = False
         vocabulary = self.vocabulary
         roots, covered, byte_score, longest = vocabulary.roots, vocabulary.covered, vocabulary.byte_score, vocabulary.longest
         window = 4 * longest
@@ -111,6 +115,10 @@ class StreamingViterbi:
                     self.commits += 1
                     self._path(text, done, upto, out)
                     done = upto
+                    if ahead and done == n - 1:
+                        self.reset()
+                        self.met = True
+                        return out
             base, steps, j = best[i], roots, i
             for char in text[i : i + longest]:
                 node = steps.get(char)
@@ -244,12 +252,14 @@ class Encoder(dict):
             if at == len(words) or not words[at].startswith(SPACE):
                 ids += chain.from_iterable(stream.feed(word))
                 continue
-            # With the mark after it: if the paths meet before that, the window is the mark alone, and the next word starts afresh from it.
-            ids += stream.push(word + SPACE) if len(word) < PUSH else chain.from_iterable(stream.feed(word + SPACE))
-            if stream.chars == SPACE:
-                stream.reset()
+            # With a look at the mark after it: if the paths meet before that, the next word starts afresh from it.
+            if len(word) >= PUSH:
+                ids += chain.from_iterable(stream.feed(word))
+                word = ""
+            ids += stream.push(word + SPACE, True)
+            if stream.met:
                 packed = array("I", ids).tobytes()
-                if at == first + 1 and len(word) <= 64:
+                if at == first + 1 and 0 < len(word) <= 64:
                     self[word] = packed
                 out.append(packed)
                 return at

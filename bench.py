@@ -36,6 +36,9 @@ HEADLINE = [
     "topk_features",
     "edge_to_node",
     "coupling_grid_full",
+    "coupling_grid_whole",
+    "dual_grid",
+    "dual_label_null",
     "stratified_coupling",
     "permutation_test_rows",
     "permutation_test_groups",

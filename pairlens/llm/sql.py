@@ -48,9 +48,10 @@ FROM p JOIN urls USING (url) JOIN scored USING (url), cut
 
 
 def merkle() -> str:
-    clause = "regexp_extract_all({0}, '[^.,;:!?|\\n]{{0,32}}[.,;:!?|\\n]|[^.,;:!?|\\n]{{1,32}}')"
-    hashed = f"list_transform({clause}, lambda c: left(md5(c), 8))"
-    lines = "list_transform(string_split({0}, chr(10)), lambda x: sha256(x))"
+    clause = "regexp_extract_all(x, '[^.,;:!?|]{{0,32}}[.,;:!?|]|[^.,;:!?|]{{1,32}}')"
+    leaves = f"list_transform(string_split({{0}}, chr(10)), lambda x: list_transform({clause}, lambda c: md5(c)))"
+    lines = "list_transform({0}, lambda x: sha256(coalesce(array_to_string(x, ''), '')))"
+    hashed = "list_transform(flatten({0}), lambda c: left(c, 8))"
     cut = "string_split(regexp_replace(array_to_string({0}, ' '), '([0-3][0-9a-f]{{63}}) ', '\\1|', 'g'), '|')"
     root = f"sha256(array_to_string(list_transform({cut}, lambda s: sha256(s)), ' '))"
     first = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
@@ -60,10 +61,11 @@ def merkle() -> str:
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 o AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS nxt FROM d),
 e AS (SELECT *, length(text) AS n, left(text, length(text) - length(text) // 4) || left(nxt, length(text) // 4) AS edited FROM o),
-h AS (SELECT *, {lines.format("text")} AS tp, {lines.format("edited")} AS ep, {hashed.format("text")} AS t0, {hashed.format("edited")} AS e0, {hashed.format("nxt")} AS n0 FROM e),
+l AS (SELECT *, {leaves.format("text")} AS tl, {leaves.format("edited")} AS el, {leaves.format("nxt")} AS nl FROM e),
+h AS (SELECT *, {lines.format("tl")} AS tp, {lines.format("el")} AS ep, {hashed.format("tl")} AS t0, {hashed.format("el")} AS e0, {hashed.format("nl")} AS n0 FROM l),
 f AS (SELECT *, {first.format("t0")} AS tc, {first.format("e0")} AS ec, {first.format("n0")} AS nc, {changed} AS changed FROM h)
 SELECT doc_id, n::bigint AS n_chars, sha256(edited) AS edited_sha256,
-  {root.format("tp")} || ':' || array_to_string(tc, '') AS fingerprint, {root.format("ep")} || ':' || array_to_string(ec, '') AS edited_fingerprint,
+  {root.format("tp")} || ':' || coalesce(array_to_string(tc, ''), '') AS fingerprint, {root.format("ep")} || ':' || coalesce(array_to_string(ec, ''), '') AS edited_fingerprint,
   {near.format("tc", "ec")} AS near_edited, {near.format("tc", "nc")} AS near_next,
   coalesce(array_to_string(list_filter(range(len(tp)), lambda i: list_contains(changed, tp[i + 1]) AND NOT list_contains(ep, tp[i + 1])), ','), '') AS edited_paragraphs
 FROM f

@@ -187,6 +187,29 @@ def test_branches_locate_the_edit(spark):
     assert both[0]["root"] == both[2]["root"] != both[1]["root"]
 
 
+def test_edited_paragraphs_of_many_lines(spark):
+    rng = np.random.default_rng(5)
+    own = [f"line {i}, clause {rng.integers(9)}" for i in range(3000)]
+    own[100:200] = ["the same"] * 100
+    own[7] = own[2500] = ""
+    other = [x for i, x in enumerate(own) if i % 5 and i > 300] + ["new"] * 3
+    cases = [(own, other), (own, own), (own, ["x"]), (["a", "b", "a"], ["b"]), ([""], [""]), ([""], ["a"])]
+    df = spark.createDataFrame([(i, "\n".join(a), "\n".join(b)) for i, (a, b) in enumerate(cases)], "i int, a string, b string")
+    out = df.select("i", merkle.edited_paragraphs(merkle.paragraphs(F.col("a")), merkle.paragraphs(F.col("b"))).alias("at")).collect()
+    assert {r["i"]: r["at"] for r in out} == {i: [k for k, line in enumerate(a) if line not in set(b)] for i, (a, b) in enumerate(cases)}
+
+
+def test_edits_keep_the_leaves_of_whole_lines(spark):
+    rows = [(i, "\n".join(words(100 * i + k, 5) for k in range(i % 7))) for i in range(40)]
+    got = {r["doc_id"]: r for r in merkle.fingerprints_of_edits(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    edited = []
+    for i, t in rows:
+        n = len(t) // 4
+        edited.append((i, t[: len(t) - n] + rows[(i + 1) % len(rows)][1][:n]))
+    fresh = {r["doc_id"]: r["fingerprint"] for r in merkle.tree(spark.createDataFrame(edited, "doc_id bigint, text string")).collect()}
+    assert {i: r["edited_fingerprint"] for i, r in got.items()} == fresh
+
+
 def test_search_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(pivots, "BLOCK", 64)
     monkeypatch.setattr(pivots, "STEPS", (16, 256))

@@ -190,8 +190,9 @@ def repeated_windows(around: np.ndarray, doc: np.ndarray, near: np.ndarray, far:
 class SubstringDedup:
     """The stages of the deduplication for windows of `length` bytes."""
 
-    FIELDS = ["target", "kind", "id", "tag", "rest", "data"]
-    BLOB = "target int, kind int, id bigint, tag bigint, rest string, data binary"
+    FIELDS = ["target", "kind", "id", "tag", "data"]
+    BLOB = "target int, kind int, id bigint, tag bigint, data binary"
+    KEPT = "id bigint, kept binary, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>"
 
     def __init__(self, length: int, token: int, tasks: int, whole_characters: bool = False) -> None:
         self.anchors, self.length, self.tasks, self.whole_characters = Anchors(length, token), length, tasks, whole_characters
@@ -242,10 +243,10 @@ class SubstringDedup:
             rows = [(int(target[s]), _planes(np.unique(hashes[s:e]))) for s, e in zip(border, np.concatenate([border[1:], [len(target)]]))]
             if rows:
                 n = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([0] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=self.FIELDS)
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([0] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=self.FIELDS)
 
     def compressed(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts on their way to the task of their document (id mod tasks; null ids with the tag)."""
+        """Texts, and `rest` if there is one, on their way to the task of their document (id mod tasks; null ids with the tag)."""
         codec = pa.Codec("zstd", 3)
         for batch in batches:
             for part in range(0, batch.num_rows, 512):
@@ -253,31 +254,32 @@ class SubstringDedup:
                 ids, tags = chunk.column("id").to_pylist(), chunk.column("tag").to_pylist()
                 data = [None if (t := x.as_py()) is None else len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for x in chunk.column("text")]
                 target = [(t if i is None else i) % self.tasks for i, t in zip(ids, tags)]
-                yield pa.RecordBatch.from_arrays([pa.array(target, pa.int32()), pa.array([1] * len(ids), pa.int32()), chunk.column("id"), chunk.column("tag"), chunk.column("rest"), pa.array(data, pa.binary())], names=self.FIELDS)
+                columns = [pa.array(target, pa.int32()), pa.array([1] * len(ids), pa.int32()), chunk.column("id"), chunk.column("tag"), pa.array(data, pa.binary())]
+                rest = ["rest"] if "rest" in chunk.schema.names else []
+                yield pa.RecordBatch.from_arrays([*columns, *map(chunk.column, rest)], names=self.FIELDS + rest)
 
     @staticmethod
     def _texts(batches: Iterator[pa.RecordBatch], marks: list) -> Iterator[pa.RecordBatch]:
-        """Texts of one task, unpacked; the other rows, which come first, are put into `marks`."""
+        """Texts of one task, unpacked, a few MB at a time; the other rows, which come first, are put into `marks`."""
         codec = pa.Codec("zstd", 3)
         for batch in batches:
-            rows, size = [], 0
-            for target, kind, doc, tag, rest, data in zip(*(batch.column(c) for c in SubstringDedup.FIELDS)):
-                if kind.as_py() == 0:
-                    marks.append((target.as_py(), data.as_py()))
-                    continue
-                blob = data.as_py()
+            kinds = batch.column("kind").to_pylist()
+            others = kinds.count(0)
+            marks.extend(zip(batch.column("target").slice(0, others).to_pylist(), batch.column("data").slice(0, others).to_pylist()))
+            texts, size, start = [], 0, others
+            for row in range(others, len(kinds)):
+                blob = batch.column("data")[row].as_py()
                 text = None if blob is None else codec.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), asbytes=True)
-                rows.append((doc.as_py(), tag.as_py(), text, rest.as_py()))
+                texts.append(text)
                 size += len(text or b"")
-                if size > 4 * STEP:
-                    yield SubstringDedup._batch(rows)
-                    rows, size = [], 0
-            if rows:
-                yield SubstringDedup._batch(rows)
-
-    @staticmethod
-    def _batch(rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.string()))], names=["id", "tag", "text", "rest"])
+                if size > 4 * STEP or row + 1 == len(kinds):
+                    part = batch.slice(start, len(texts))
+                    names = [c for c in ("id", "tag", "rest") if c in part.schema.names]
+                    columns = [part.column(c) for c in names]
+                    columns.insert(2, pa.array(texts, pa.binary()))
+                    names.insert(2, "text")
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                    texts, size, start = [], 0, row + 1
 
     # 2: surroundings of the anchors that several documents have, by range of the leading token.
 
@@ -357,7 +359,7 @@ class SubstringDedup:
                 if kind:
                     parts.setdefault(target, []).append(self._fields(data))
                 else:
-                    yield pa.RecordBatch.from_arrays([pa.array([target], pa.int32()), pa.array([0], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.array([data], pa.binary())], names=self.FIELDS)
+                    yield pa.RecordBatch.from_arrays([pa.array([target], pa.int32()), pa.array([0], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([data], pa.binary())], names=self.FIELDS)
         width = self.before + self.length
         while parts:
             own = parts.popitem()[1]
@@ -371,7 +373,7 @@ class SubstringDedup:
             if len(hit):
                 found = self._marks(doc[hit], tag[hit], position[hit], marks[hit])
                 n = found.num_rows
-                yield pa.RecordBatch.from_arrays([found.column(0), found.column(1), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), found.column(2)], names=self.FIELDS)
+                yield pa.RecordBatch.from_arrays([found.column(0), found.column(1), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), found.column(2)], names=self.FIELDS)
 
     # 4: the documents without their repeated bytes.
 
@@ -387,7 +389,9 @@ class SubstringDedup:
                 marks.clear()
             out = [self._kept(doc, tag, text, table) for doc, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), (x.as_py() for x in batch.column(2)))]
             spans = pa.array([o[1] for o in out], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([o[0] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.int64()), spans, batch.column(3)], names=["id", "kept", "n_bytes", "spans", "rest"])
+            columns = [batch.column(0), pa.array([o[0] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.int64()), spans]
+            rest = batch.schema.names[3:]
+            yield pa.RecordBatch.from_arrays([*columns, *map(batch.column, rest)], names=["id", "kept", "n_bytes", "spans", *rest])
 
     def _kept(self, doc: int | None, tag: int, text: bytes | None, table: list[np.ndarray]) -> tuple[bytes, list[dict], int]:
         if text is None or doc is None:
@@ -411,6 +415,17 @@ class SubstringDedup:
         return data[gone[1:-1] == 0].tobytes(), spans, len(text)
 
 
+def nullable(kind: T.DataType) -> T.DataType:
+    """The type with nulls allowed everywhere, as Arrow batches carry it."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, nullable(f.dataType)) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(nullable(kind.elementType))
+    if isinstance(kind, T.MapType):
+        return T.MapType(nullable(kind.keyType), nullable(kind.valueType))
+    return kind
+
+
 def remove_repeats(docs: DataFrame, length: int = 50, token: int = 24, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False) -> DataFrame:
     """Cut every byte covered by a `length`-byte string that also starts in a document with a smaller id.
 
@@ -425,18 +440,20 @@ def remove_repeats(docs: DataFrame, length: int = 50, token: int = 24, id_col: s
     steps = SubstringDedup(length, token, tasks, whole_characters)
     text = F.col(text_col).cast("binary")
     others = T.StructType([f for f in docs.schema if f.name not in (id_col, text_col, "kept", "n_bytes", "spans")])
-    rest = F.to_json(F.struct(*(F.col(f"`{f.name}`") for f in others))) if len(others) else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag"), text.alias("text"), rest.alias("rest"))
-    bare = rows.withColumn("rest", F.lit(None).cast("string"))
+    kind = nullable(others)
+    rest = [F.struct(*(F.col(f"`{f.name}`") for f in others)).cast(kind).alias("rest")] if len(others) else []
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag"), text.alias("text"), *rest)
+    bare = rows.select("id", "tag", "text")
 
-    counted = rows.select("id", "tag", "text").mapInArrow(steps.tokens, "target int, hashes binary, docs binary").repartitionById(tasks, "target").mapInArrow(steps.shared_tokens, steps.BLOB)
+    counted = bare.mapInArrow(steps.tokens, "target int, hashes binary, docs binary").repartitionById(tasks, "target").mapInArrow(steps.shared_tokens, steps.BLOB)
     gathered = bare.mapInArrow(steps.compressed, steps.BLOB).unionByName(counted).repartitionById(tasks, "target").sortWithinPartitions("kind")
-    found = gathered.mapInArrow(steps.suffixes(_splitters(rows, steps, tasks)), "target int, kind int, data binary")
+    found = gathered.mapInArrow(steps.suffixes(_splitters(bare, steps, tasks)), "target int, kind int, data binary")
     marks = found.repartitionById(tasks, "target").mapInArrow(steps.buckets, steps.BLOB)
-    final = rows.mapInArrow(steps.compressed, steps.BLOB).unionByName(marks).repartitionById(tasks, "target").sortWithinPartitions("kind")
-    out = final.mapInArrow(steps.cut, "id bigint, kept binary, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, rest string")
-    if len(others):
-        out = out.withColumn("rest", F.from_json("rest", others))
+    blob, kept = (T.StructType.fromDDL(x) for x in (steps.BLOB, steps.KEPT))
+    if rest:
+        blob, kept = blob.add("rest", kind), kept.add("rest", kind)
+    final = rows.mapInArrow(steps.compressed, blob).unionByName(marks, allowMissingColumns=True).repartitionById(tasks, "target").sortWithinPartitions("kind")
+    out = final.mapInArrow(steps.cut, kept)
     return out.select(F.col("id").alias(id_col), *(F.col(f"rest.`{f.name}`").alias(f.name) for f in others), "kept", "n_bytes", "spans")
 
 

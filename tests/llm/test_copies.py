@@ -139,3 +139,19 @@ def test_empty_tables(spark):
     assert simhash.near_duplicates(empty).count() == 0
     assert suffixes.remove_repeats(empty).count() == 0
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_removal_keeps_columns_of_every_type(spark):
+    passage = words(31, 30)
+    docs = spark.range(40).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit(passage), F.col("id").cast("string")).alias("text"),
+        F.expr("timestamp_micros(1700000000123456 + id)").alias("seen"), F.expr("map(int(id), 'a', 7 + int(id), null)").alias("by_number"),
+        F.expr("array(named_struct('x', id / 3.0d, 'y', date '2020-02-29'))").alias("items"), F.expr("cast(id as decimal(30, 9)) / 7").alias("exact"),
+        F.expr("unhex('00FF')").alias("raw"), F.expr("if(id % 2 = 0, double('nan'), null)").alias("odd"), F.expr("timestamp_ntz '2024-01-01 00:00:00.000001'").alias("wall"),
+    )
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = suffixes.remove_repeats(docs)
+    assert [(f.name, f.dataType.simpleString()) for f in out.schema if f.name in others] == [(f.name, f.dataType.simpleString()) for f in docs.schema if f.name in others]
+    got, want = ({r["doc_id"]: repr(r[1:]) for r in df.select("doc_id", *others).collect()} for df in (out, docs))
+    assert got == want
+    assert out.where("size(spans) > 0").count() == 39

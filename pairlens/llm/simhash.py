@@ -33,6 +33,9 @@ SAMPLED, KEY_BITS = 128, 16
 SLACK = 3.5
 #: Fingerprints of one posting that a task compares at once; larger postings are split into pairs of such blocks.
 BLOCK = 8192
+#: Links that go out at once.
+LINKS = 1 << 16
+_NO_LINKS = np.zeros((0, 2), np.int64)
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
 
@@ -173,16 +176,13 @@ def _near_postings(bound: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["part", "h0", "h1", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_part, rest_head = np.zeros(0, np.int32), np.zeros((0, 2), np.uint64)
+        going: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            part = np.concatenate([rest_part, batch.column("part").to_numpy()])
-            head = np.concatenate([rest_head, np.stack([batch.column(c).to_numpy().view(np.uint64) for c in ("h0", "h1")], axis=1)])
-            if not len(part):
-                continue
-            cut = np.searchsorted(part, part[-1])
-            yield several(part[:cut], head[:cut])
-            rest_part, rest_head = part[cut:], head[cut:]
-        yield several(rest_part, rest_head)
+            head = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in ("h0", "h1")], axis=1)
+            if ended := _ending((batch.column("part").to_numpy(), head), going):
+                yield several(*ended)
+        if going:
+            yield several(*map(np.concatenate, zip(*going)))
 
     return run
 
@@ -209,9 +209,34 @@ def _wide_groups(distinct: DataFrame, distance: int, lanes: int) -> DataFrame:
     return met.groupBy("part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.sort_array(F.collect_list("entry")).alias("fps"))
 
 
-def _spanning_links(values: np.ndarray, distance: int, shared: int) -> list[tuple[int, int]]:
-    """Links (as row numbers) that connect whatever is connected inside one block: each row is compared once with those not yet reached."""
-    links, rest = [], np.arange(len(values))
+def _ending(columns: tuple[np.ndarray, ...], open_: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...] | None:
+    """Of sorted rows, keyed by the first column, those whose posting ends in this batch, with what `open_` holds of the first one.
+
+    The posting that may go on stays in `open_` in pieces, so that a long one is copied once. None if no posting ends.
+    """
+    part = columns[0]
+    if not len(part):
+        return None
+    if open_ and open_[0][0][0] == part[0] == part[-1]:
+        open_.append(columns)
+        return None
+    cut = np.searchsorted(part, part[-1])
+    ended = [*open_, tuple(c[:cut] for c in columns)]
+    open_[:] = [tuple(c[cut:].copy() for c in columns)]
+    return tuple(map(np.concatenate, zip(*ended)))
+
+
+def _link_batch(values: np.ndarray, links: list[np.ndarray]) -> pa.RecordBatch:
+    """Links, given as pairs of row numbers of `values` (fingerprints), as `a` and `b`."""
+    rows = np.concatenate(links)
+    at = pa.array(np.arange(0, (len(rows) + 1) * values.shape[1], values.shape[1], dtype=np.int32))
+    ends = [pa.ListArray.from_arrays(at, pa.array(np.ascontiguousarray(values[rows[:, k]]).view(np.int64).ravel())) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+
+def _spanning_links(values: np.ndarray, distance: int, shared: int) -> np.ndarray:
+    """Links (pairs of row numbers) that connect whatever is connected inside one block: each row is compared once with those not yet reached."""
+    links, rest = [_NO_LINKS], np.arange(len(values))
     octets, numbers = values.view(np.uint8).reshape(len(values), -1), values.view(np.uint64)
     while len(rest):
         queue, rest = [int(rest[0])], rest[1:]
@@ -220,16 +245,16 @@ def _spanning_links(values: np.ndarray, distance: int, shared: int) -> list[tupl
             near = (octets[rest] == octets[node]).sum(axis=1) >= shared
             near[near] = np.bitwise_count(numbers[rest[near]] ^ numbers[node]).sum(axis=1, dtype=np.int64) <= distance
             if near.any():
-                found = rest[near].tolist()
-                links += [(node, v) for v in found]
-                queue += found
+                found = rest[near]
+                links.append(np.stack([np.full(len(found), node), found], axis=1))
+                queue += found.tolist()
                 rest = rest[~near]
-    return links
+    return np.concatenate(links)
 
 
 def _shared_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of sorted postings, those of several entries, with their number. Holds a batch and the posting that it breaks off in."""
-    rest_id, rest_part = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    going: list[tuple[np.ndarray, ...]] = []
 
     def several(part: np.ndarray, fid: np.ndarray) -> pa.RecordBatch:
         new = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
@@ -238,13 +263,10 @@ def _shared_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         return pa.RecordBatch.from_arrays([pa.array(x[n > 1]) for x in (part, fid, n)], names=["part", "fid", "n"])
 
     for batch in batches:
-        fid, part = np.concatenate([rest_id, batch.column("fid").to_numpy()]), np.concatenate([rest_part, batch.column("part").to_numpy()])
-        if not len(part):
-            continue
-        cut = np.searchsorted(part, part[-1])
-        yield several(part[:cut], fid[:cut])
-        rest_id, rest_part = fid[cut:], part[cut:]
-    yield several(rest_part, rest_id)
+        if ended := _ending((batch.column("part").to_numpy(), batch.column("fid").to_numpy()), going):
+            yield several(*ended)
+    if going:
+        yield several(*map(np.concatenate, zip(*going)))
 
 
 def near_links(distinct: DataFrame, distance: int = 3, lanes: int = 1) -> DataFrame:
@@ -277,11 +299,14 @@ def near_links(distinct: DataFrame, distance: int = 3, lanes: int = 1) -> DataFr
             sizes = np.diff(at)
             two = at[:-1][sizes == 2]
             near = np.bitwise_count((values[two] ^ values[two + 1]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= distance
-            links = list(zip(two[near].tolist(), (two[near] + 1).tolist()))
+            links, n = [np.stack([two[near], two[near] + 1], axis=1)], 0
             for s, e in zip(at[:-1][sizes > 2].tolist(), at[1:][sizes > 2].tolist()):
-                links += [(s + x, s + y) for x, y in _spanning_links(np.ascontiguousarray(values[s:e]), distance, shared)]
-            ends = [values[[x[k] for x in links]].tolist() if links else [] for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int64())) for x in ends], names=["a", "b"])
+                links.append(_spanning_links(np.ascontiguousarray(values[s:e]), distance, shared) + s)
+                n += len(links[-1])
+                if n > LINKS:
+                    yield _link_batch(values, links)
+                    links, n = [_NO_LINKS], 0
+            yield _link_batch(values, links)
 
     return groups.select("fps").mapInArrow(run, "a array<bigint>, b array<bigint>").distinct()
 
@@ -292,15 +317,20 @@ def cross_links(distinct: DataFrame, distance: int, lanes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.column(0):
-                entries = row.as_py()
-                values = np.array([x["fp"] for x in entries], np.int64).view(np.uint64)
-                roots = np.unique([x["root"] for x in entries], axis=0, return_inverse=True)[1].ravel()
+                values, root = (row.values.field(c).flatten().to_numpy().reshape(-1, lanes) for c in ("fp", "root"))
+                numbers = values.view(np.uint64)
+                roots = np.unique(root, axis=0, return_inverse=True)[1].ravel()
+                links, n = [_NO_LINKS], 0
                 for k in range(len(values) - 1):
                     rest = np.flatnonzero(roots[k + 1 :] != roots[k]) + k + 1
-                    rest = rest[np.bitwise_count(values[rest] ^ values[k]).sum(axis=1, dtype=np.int64) <= distance]
-                    if len(rest):
-                        ends = [[entries[k]["fp"]] * len(rest), [entries[v]["fp"] for v in rest.tolist()]]
-                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int64())) for x in ends], names=["a", "b"])
+                    rest = rest[np.bitwise_count(numbers[rest] ^ numbers[k]).sum(axis=1, dtype=np.int64) <= distance]
+                    links.append(np.stack([np.full(len(rest), k), rest], axis=1))
+                    n += len(rest)
+                    if n > LINKS:
+                        yield _link_batch(values, links)
+                        links, n = [_NO_LINKS], 0
+                if n:
+                    yield _link_batch(values, links)
 
     return _wide_groups(distinct.select("fp", "root"), distance, lanes).select("fps").mapInArrow(run, "a array<bigint>, b array<bigint>").distinct()
 

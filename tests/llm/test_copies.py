@@ -4,6 +4,7 @@ import hashlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from fixtures import documents, rows_of, texts, words
@@ -155,3 +156,34 @@ def test_removal_keeps_columns_of_every_type(spark):
     got, want = ({r["doc_id"]: repr(r[1:]) for r in df.select("doc_id", *others).collect()} for df in (out, docs))
     assert got == want
     assert out.where("size(spans) > 0").count() == 39
+
+
+def test_postings_that_span_batches_come_out_as_in_one_batch():
+    rng = np.random.default_rng(4)
+    part = np.sort(np.concatenate([rng.integers(0, 30, 60), np.full(500, 7)])).astype(np.int64)
+    fid = rng.integers(0, 1 << 40, len(part))
+    head = rng.integers(0, 3, (len(part), 2))
+
+    def outcome(step, columns, names, sizes):
+        batches, at = [], 0
+        for n in sizes:
+            batches.append(pa.RecordBatch.from_arrays([pa.array(c[at : at + n]) for c in columns], names=names))
+            at += n
+        return sorted(tuple(r.values()) for b in step(iter(batches)) for r in b.to_pylist())
+
+    for step, columns, names in (
+        (simhash._shared_postings, (part, fid), ["part", "fid"]),
+        (simhash._near_postings(1), (part.astype(np.int32), head[:, 0], head[:, 1]), ["part", "h0", "h1"]),
+    ):
+        whole = outcome(step, columns, names, [len(part)])
+        assert whole
+        for n in (1, 7, 100):
+            assert outcome(step, columns, names, [n, 0] * (len(part) // n + 1)) == whole
+        assert outcome(step, columns, names, [0]) == []
+
+
+def test_links_of_a_batch_hold_both_fingerprints():
+    values = np.arange(12, dtype=np.int64).reshape(4, 3)
+    got = simhash._link_batch(values, [np.array([[0, 1]]), np.array([[2, 3], [0, 3]])]).to_pylist()
+    assert got == [{"a": [0, 1, 2], "b": [3, 4, 5]}, {"a": [6, 7, 8], "b": [9, 10, 11]}, {"a": [0, 1, 2], "b": [9, 10, 11]}]
+    assert simhash._link_batch(values, [simhash._NO_LINKS]).num_rows == 0

@@ -128,8 +128,11 @@ def qc_extremes(flags: DataFrame, n_rois: int = 10, n_subjects: int = 3, subject
 
 
 def atlas_overlap(voxels: DataFrame, atlas: DataFrame, subject: str = "subject_id") -> DataFrame:
-    """Share of non-zero voxels inside the atlas mask per subject."""
-    inside = voxels.join(atlas.select("voxel"), "voxel", "left_semi")
+    """Share of non-zero voxels inside the atlas mask per subject.
+
+    The mask has as many rows as an image has voxels, whatever the number of subjects, and goes to every task: by voxel, all subjects' rows of one would share a task.
+    """
+    inside = voxels.join(F.broadcast(atlas.select("voxel").distinct()), "voxel", "left_semi")
     return inside.groupBy(subject).agg(
         F.count(F.lit(1)).alias("n_voxels"), F.avg((F.col("value") != 0).cast("int")).alias("overlap")
     )

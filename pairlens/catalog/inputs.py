@@ -12,13 +12,14 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pairlens.catalog import fixtures as fx
 from pairlens.catalog.fixtures import r6, round_columns, sql
 from pairlens.catalog.registry import register
-from pairlens.session import scratch_path
+from pairlens.session import scratch_path, written
 from pairlens.functions import config_label
 from pairlens.operators import align, reports
 from pairlens.plans import coupling
@@ -177,16 +178,24 @@ def check_row_count(spark, sf):
 
 
 def series_files(spark, sf, path):
-    """One array file per user, regions by time for even users (to be transposed)."""
-
-    def pack(pdf):
-        sid = pdf["subject_id"].iloc[0]
-        mat = pdf.sort_values(["t", "roi"])["value"].to_numpy().reshape(pdf["t"].nunique(), -1)
-        mat = mat.T if int(sid) % 2 == 0 else mat
-        names = [path.format(sid=sid), path.format(sid=sid).replace(".npy", "_zz.npy")] if "sub" in path else [path.format(sid=sid)]
-        return pd.DataFrame({"path": names, "content": [_npy(mat)] + [_npy(mat * 0)] * (len(names) - 1)})
-
-    return fx.ts(spark, sf).groupBy("subject_id").applyInPandas(pack, "path string, content binary")
+    """One array file per user, regions by time for even users (to be transposed), as a written table: paths are read without contents, as those of files on disk."""
+
+    def pack(batches):
+        for batch in batches:
+            values, sizes = batch.column("v"), batch.column("v").value_lengths().to_pylist()
+            flat, at, paths, contents = values.flatten().to_numpy(zero_copy_only=False), 0, [], []
+            for sid, n, n_t in zip(batch.column("subject_id").to_pylist(), sizes, batch.column("n_t").to_pylist()):
+                mat = flat[at : at + n].reshape(n_t, -1)
+                at += n
+                mat = mat.T if int(sid) % 2 == 0 else mat
+                names = [path.format(sid=sid), path.format(sid=sid).replace(".npy", "_zz.npy")] if "sub" in path else [path.format(sid=sid)]
+                paths += names
+                contents += [_npy(mat)] + [_npy(mat * 0)] * (len(names) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+
+    series = fx.ts(spark, sf).groupBy("subject_id").agg(F.sort_array(F.collect_list(F.struct("t", "roi", "value"))).alias("s"))
+    rows = series.select("subject_id", F.transform("s", lambda r: r["value"]).alias("v"), F.size(F.array_distinct(F.transform("s", lambda r: r["t"]))).alias("n_t"))
+    return written(rows.mapInArrow(pack, "path string, content binary"), "series-files")
 
 
 _SERIES_SQL = sql(

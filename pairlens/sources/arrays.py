@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,41 +26,61 @@ def list_files(spark: SparkSession, root: str, glob: str = "*.npy") -> DataFrame
     )
 
 
+BATCH_CELLS = 1_000_000  # values of decoded files that leave a task at once; a larger file leaves alone
+
+
 def _decode(files: DataFrame, keep: Sequence[str], rows_of, fields: list[T.StructField]) -> DataFrame:
+    """Rows of every file with its `keep` columns. Small files leave in common batches: one of its own costs more than decoding a file."""
     schema = T.StructType([files.schema[c] for c in keep] + fields)
 
     def run(batches):
+        parts: list[dict] = []
+        heads: list[tuple] = []
+        cells = 0
+
+        def together() -> pd.DataFrame:
+            sizes = [len(part[fields[0].name]) for part in parts]
+            out = {c: pd.Series([h[i] for h in heads], dtype=object).repeat(sizes).to_numpy() for i, c in enumerate(keep)}
+            for f in fields:
+                columns = [part[f.name] for part in parts]
+                out[f.name] = list(chain.from_iterable(columns)) if isinstance(f.dataType, T.ArrayType) else np.concatenate(columns)
+            return pd.DataFrame(out)
+
         for pdf in batches:
-            for rec in pdf.itertuples(index=False):
-                arr = np.load(io.BytesIO(rec.content), allow_pickle=False)
-                out = rows_of(arr)
-                for c in reversed(keep):
-                    out.insert(0, c, getattr(rec, c))
-                yield out
+            for *head, content in zip(*[pdf[c] for c in [*keep, "content"]]):
+                arr = np.load(io.BytesIO(content), allow_pickle=False)
+                parts.append(rows_of(arr))
+                heads.append(head)
+                cells += arr.size
+                if cells >= BATCH_CELLS:
+                    yield together()
+                    parts, heads, cells = [], [], 0
+        if parts:
+            yield together()
 
     return files.select(*keep, "content").mapInPandas(run, schema)
 
 
-def _embedding_rows(arr: np.ndarray) -> pd.DataFrame:
+def _embedding_rows(arr: np.ndarray) -> dict:
     if arr.ndim != 2:
         raise ValueError(f"expected a 2-D chunk, got shape {arr.shape}")
-    return pd.DataFrame({"row_in_chunk": np.arange(len(arr)), "embedding": list(arr.astype(np.float32))})
+    return {"row_in_chunk": np.arange(len(arr)), "embedding": list(arr.astype(np.float32))}
 
 
-def _series_rows(arr: np.ndarray) -> pd.DataFrame:
+def _series_rows(arr: np.ndarray) -> dict:
     if arr.ndim != 2:
         raise ValueError(f"expected a 2-D series, got shape {arr.shape}")
     if arr.shape[0] < arr.shape[1]:
         arr = arr.T
-    t, r = np.indices(arr.shape)
-    return pd.DataFrame({"t": t.ravel().astype(np.int32), "roi": r.ravel().astype(np.int32), "value": arr.ravel().astype(np.float64)})
+    t, r = np.indices(arr.shape, dtype=np.int32)
+    return {"t": t.ravel(), "roi": r.ravel(), "value": arr.ravel().astype(np.float64)}
 
 
-def _oriented_rows(arr: np.ndarray) -> pd.DataFrame:
+def _oriented_rows(arr: np.ndarray) -> dict:
     if arr.ndim != 2:
         raise ValueError(f"expected a 2-D series, got shape {arr.shape}")
     arr = arr.T if arr.shape[0] < arr.shape[1] else arr
-    return pd.DataFrame({"t": np.arange(len(arr), dtype=np.int32), "values": list(arr.astype(np.float64))})
+    return {"t": np.arange(len(arr), dtype=np.int32), "values": list(arr.astype(np.float64))}
 
 
 CHUNK_PATTERN = r"embeddings_(\d+)_layer_last\.npy$"

@@ -21,7 +21,8 @@ from pairlens.llm.samples import labelled_sample
 ORDER = 3
 #: Labelled rows and bytes of each language that the trees are grown from, at most.
 PER_LANGUAGE, MAX_BYTES = 600, 2_000_000
-STEP = 1 << 19
+#: Bytes of texts that are coded at once, about: each takes some two hundred bytes of arrays. Rows that are decoded at once.
+STEP, ROWS = 1 << 16, 128
 
 
 def _grams(data: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
@@ -151,8 +152,8 @@ def identify(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for part in range(0, batch.num_rows, 1024):
-                chunk = batch.slice(part, 1024)
+            for part in range(0, batch.num_rows, ROWS):
+                chunk = batch.slice(part, ROWS)
                 texts = [t or "" for t in chunk.column(text_col).to_pylist()]
                 lettered = np.array([any(map(str.isalpha, t)) for t in texts], bool) & bool(own.languages)
                 data = [t.encode() if ok else b"" for t, ok in zip(texts, lettered)]

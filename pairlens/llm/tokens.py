@@ -9,8 +9,9 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Words whose ids a worker remembers; when full, it starts afresh.
-MAX_WORDS = 800_000
+#: Words whose ids a worker remembers, and the characters of the longest; when full, it starts afresh. Long words seldom come again, and what is
+#: remembered stays in the worker through the stages that follow.
+MAX_WORDS, MAX_CHARS = 300_000, 24
 #: Texts of these characters alone are split here; in them white space, letters, digits and lower case mean the same to
 #: Python and to the tokenizer, and nothing composes across words. All other texts go to the tokenizer whole.
 _PLAIN = re.compile(r"[\t-\r -~\xa1-įı-ɏ]*")
@@ -25,18 +26,26 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _remembered(known: dict[str, bytes], word: str, ids: bytes) -> bytes:
+    if len(word) <= MAX_CHARS:
+        if len(known) >= MAX_WORDS:  # also within one long text
+            known.clear()
+        known[word] = ids
+    return ids
+
+
 class _Pieces(dict):
     """Packed ids by piece."""
 
     def __init__(self, model) -> None:
         self.model, self.letters = model, _byte_letters()
 
-    def __missing__(self, piece: str) -> bytes:
+    def coded(self, piece: str) -> bytes:
         tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-        ids = np.array([t.id for t in tokens], dtype="<u4").tobytes()
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
+        return np.array([t.id for t in tokens], dtype="<u4").tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        return _remembered(self, piece, self.coded(piece))
 
 
 class _Words(dict):
@@ -47,10 +56,9 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         low = word.lower()
-        ids = self.pieces[low] if low.isalpha() else b"".join(map(self.pieces.__getitem__, _PIECE.findall(low)))
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+        # A word that is one piece is remembered once, as a word.
+        ids = self.pieces.get(low) or self.pieces.coded(low) if low.isalpha() else b"".join(map(self.pieces.__getitem__, _PIECE.findall(low)))
+        return _remembered(self, word, ids)
 
 
 class WordEncoder:
@@ -64,10 +72,6 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         if not _PLAIN.fullmatch(text) or "<|" in text and any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self.words) > MAX_WORDS:
-            self.words.clear()
-        if len(self.words.pieces) > MAX_WORDS:
-            self.words.pieces.clear()
         return b"".join(map(self.words.__getitem__, text.split()))
 
 

@@ -31,8 +31,8 @@ UPDATES = 280
 MIN_TEXTS = 5
 #: Words whose scores are summed at once in training.
 CHUNK = 1 << 16
-#: Words whose score a worker remembers; when full, it starts afresh.
-MAX_WORDS = 600_000
+#: Words whose score a task remembers, and the characters of the longest; when full, it starts afresh.
+MAX_WORDS, MAX_CHARS = 300_000, 24
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -62,9 +62,9 @@ class Model:
         if value is None:
             grams = subwords(word)
             value = sum(map(self.values.__getitem__, grams)) / len(grams)
-            if len(self.words) >= MAX_WORDS:
-                self.words.clear()
-            if len(word) <= 64:
+            if len(word) <= MAX_CHARS:
+                if len(self.words) >= MAX_WORDS:
+                    self.words.clear()
                 self.words[word] = value
         return value
 

@@ -1,6 +1,7 @@
 """Classifiers: held-out accuracy, exact code lengths, awkward rows."""
 
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -46,6 +47,16 @@ def test_code_lengths_match_the_walk(monkeypatch, step):
     assert np.allclose(trees.code_lengths(cases), want, atol=1e-3)
 
 
+def test_coding_long_texts_takes_little_memory():
+    trees = language.Trees({"a": [b"the cat sat on the mat"], "b": [b"le chat est la"]})
+    text = b"the chat sat on a mat " * 100_000
+    tracemalloc.start()
+    trees.code_lengths([text, text])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30e6
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     trees = language.fit(docs.where(id_remainder("doc_id", 3) != 1))
@@ -93,6 +104,15 @@ def test_toxicity_generalises_to_unseen_spellings():
         assert np.mean(np.array(truth) == guess) > 0.95
 
 
+def test_long_words_are_scored_but_not_remembered(monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_WORDS", 50)
+    model = toxicity.Model(np.linspace(-1, 1, toxicity.BUCKETS, dtype=np.float32), 0.1)
+    own = [f"w{k}" for k in range(200)] + ["longword" * 5]
+    want = [sum(map(model.values.__getitem__, g := toxicity.subwords(w))) / len(g) for w in own]
+    assert [model.word(w) for w in own] == want
+    assert len(model.words) <= 50 and max(map(len, model.words)) <= 24
+
+
 def test_one_class_gives_a_constant():
     model = toxicity.train(["a b", "c"], [0, 0])
     assert model.score("a b") == model.score("") == model.score(None) < 0.5

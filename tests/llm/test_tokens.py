@@ -9,7 +9,7 @@ import pytest
 from fixtures import documents, rows_of, texts, words
 from tokenizers import Tokenizer
 
-from pairlens.llm import packing, unigram
+from pairlens.llm import packing, tokens, unigram
 from pairlens.llm.tokens import WordEncoder
 
 WORD, PIECE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -23,6 +23,15 @@ def test_word_encoder_equals_the_tokenizer():
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_word_encoder_remembers_few_and_short_words(monkeypatch):
+    monkeypatch.setattr(tokens, "MAX_WORDS", 50)
+    encoder, text = WordEncoder(WORD), words(1, 2000) + " " + "longword" * 5 + ", " + "longword" * 6
+    want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want
+    assert 0 < len(encoder.words) <= 50 and len(encoder.words.pieces) <= 50
+    assert max(map(len, [*encoder.words, *encoder.words.pieces])) <= 24
+
+
 @pytest.mark.parametrize("capacity,extra", [(64, False), (4096, True)])
 def test_packing_places_every_token_once(spark, capacity, extra):
     rows = texts() + [(500 + i, words(i, i % 40)) for i in range(300)]

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of one worker step.
-STEP = 1 << 20
+#: Bytes of one worker step; anchors whose surroundings are looked up at once.
+STEP, ROWS = 1 << 20, 1 << 13
 #: Documents whose anchors the splitters are taken from; they only balance the buckets.
 SAMPLE = 2000
 _NONE = np.zeros(0, dtype=np.int64)
@@ -126,9 +126,11 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
 def _surroundings(data: np.ndarray, position: np.ndarray, back: np.ndarray, fore: np.ndarray, before: int, after: int) -> np.ndarray:
     """Bytes from `before` left of each position to `after` right of it; those out of [position - back, position + fore) are 0."""
     at = np.arange(-before, after)
-    index = position[:, None] + at
-    out = data[np.clip(index, 0, len(data) - 1)]
-    out[(at < -back[:, None]) | (at >= fore[:, None])] = 0
+    out = np.empty((len(position), len(at)), np.uint8)
+    for lo in range(0, len(position), ROWS):  # the index takes eight bytes a byte
+        own = slice(lo, lo + ROWS)
+        out[own] = data[np.clip(position[own, None] + at, 0, len(data) - 1)]
+        out[own][(at < -back[own, None]) | (at >= fore[own, None])] = 0
     return out
 
 

@@ -1,6 +1,7 @@
 """SimHash classes, substring removal and components against brute force."""
 
 import hashlib
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -122,6 +123,21 @@ def test_removal_over_step_borders(spark, monkeypatch):
     assert served == set(range(len(data) - 19))
 
 
+def test_surroundings_take_little_more_than_their_bytes():
+    rng = np.random.default_rng(3)
+    data = rng.integers(1, 256, 1 << 20, dtype=np.uint8)
+    position = np.sort(rng.integers(0, len(data), 100_000))
+    back, fore = rng.integers(0, 27, len(position)), rng.integers(24, 51, len(position))
+    tracemalloc.start()
+    out = suffixes._surroundings(data, position, back, fore, 26, 50)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for k in (0, 1, 8191, 8192, 50_000, 99_999):
+        want = [data[min(max(position[k] + j, 0), len(data) - 1)] if -back[k] <= j < fore[k] else 0 for j in range(-26, 50)]
+        assert out[k].tolist() == want
+    assert most < 4 * out.nbytes
+
+
 def test_whole_characters_stay_text(spark):
     rows = [(1, "é" * 60), (2, "a" + "é" * 60 + "b")]
     kept = dict(suffixes.remove_repeats(documents(spark, rows), 51, 24, whole_characters=True).select("doc_id", F.col("kept").cast("string")).collect())

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.llm.samples import labelled_sample
+from pairlens.llm.workers import returned, small_batches
 
 #: Longest context in bytes; contexts and the byte after them fit in 32 bits.
 ORDER = 3
@@ -148,6 +149,7 @@ def identify(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame
     """
     docs = docs.drop("lang_pred", "lang_score", "lang_bits")
     shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the bytes it was grown from
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -168,4 +170,4 @@ def identify(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame
                 yield pa.RecordBatch.from_arrays([*chunk.columns, pa.array(pred), pa.array(share), pa.array(bits, pa.float64())], names=[*chunk.schema.names, "lang_pred", "lang_score", "lang_bits"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, lang_score double, lang_bits double")
+    return docs.mapInArrow(returned(run), f"{fields}, lang_pred string, lang_score double, lang_bits double")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlens.llm.tokens import word_encoder
+from pairlens.llm.workers import small_batches
 from pairlens.session import checkpointed, written
 
 #: Lengths of a band differ by this factor at most, down to the last band, of lengths up to `LAST`.
@@ -40,9 +41,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 1
     longer than the capacity are cut, and only at its multiples. Repeated rows give repeated pieces.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the caches hold no cycles, and walking them costs a quarter of the time
+        try:
+            yield from pieces(batches)
+        finally:  # the worker goes on to other tasks
+            gc.enable()
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = word_encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for part in range(0, batch.num_rows, 512):

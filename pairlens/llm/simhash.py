@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.llm.graph import connected_components
+from pairlens.llm.workers import returned, small_batches
 from pairlens.session import checkpointed, written
 
 KEY_BYTES = 4
@@ -33,6 +34,8 @@ SAMPLED, KEY_BITS = 128, 16
 SLACK = 3.5
 #: Fingerprints of one posting that a task compares at once; larger postings are split into pairs of such blocks.
 BLOCK = 8192
+#: Pairs of 128 bits that are compared at once.
+PAIRS = 1 << 18
 #: Links that go out at once.
 LINKS = 1 << 16
 _NO_LINKS = np.zeros((0, 2), np.int64)
@@ -105,9 +108,10 @@ def fingerprints(
             fps = pa.array([text_fingerprint(t.as_py(), words, seed, lanes, distinct) for t in batch.column(1)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["id", "fp"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, fp array<bigint>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(returned(run), f"id {kind}, fp array<bigint>").withColumnRenamed("id", id_col)
 
 
 def _key(positions: tuple[int, ...], lanes: int) -> Column:
@@ -145,11 +149,11 @@ def _near_postings(bound: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
         """Which rows of equally large postings (postings, entries, 2) have a near one beside them."""
         n = x.shape[1]
         out = np.zeros(x.shape[:2], bool)
-        step = max(1, (1 << 21) // (n * n))
+        step = max(1, PAIRS // (n * n))
         for s in range(0, len(x), step):
             part = x[s : s + step]
-            for lo in range(0, n, max(1, (1 << 21) // n)):
-                rows = part[:, lo : lo + max(1, (1 << 21) // n)]
+            for lo in range(0, n, max(1, PAIRS // n)):
+                rows = part[:, lo : lo + max(1, PAIRS // n)]
                 apart = np.bitwise_count(rows[:, :, None, :] ^ part[:, None, :, :]).sum(axis=3, dtype=np.uint8)
                 near = apart <= bound
                 at = np.arange(rows.shape[1])
@@ -199,9 +203,9 @@ def _wide_groups(distinct: DataFrame, distance: int, lanes: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(values[:, k])) for k in (0, min(1, lanes - 1))] + [lists], names=["h0", "h1", "parts"])
 
     heads = [F.get("fp", F.lit(0)).alias("h0"), F.get("fp", F.lit(min(1, lanes - 1))).alias("h1")]
-    rows = distinct.select("fp").mapInArrow(run, "h0 bigint, h1 bigint, parts array<int>").select("h0", "h1", F.explode("parts").alias("part"))
+    rows = distinct.select("fp").mapInArrow(returned(run), "h0 bigint, h1 bigint, parts array<int>").select("h0", "h1", F.explode("parts").alias("part"))
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = rows.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_near_postings(head_distance(distance, lanes)), "part int, h0 bigint, h1 bigint, n bigint")
+    met = rows.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(returned(_near_postings(head_distance(distance, lanes))), "part int, h0 bigint, h1 bigint, n bigint")
     blocks = F.ceil(F.col("n") / BLOCK)
     own = F.pmod(F.xxhash64("h0", "h1"), blocks)
     met = met.select("part", "h0", "h1", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other"))
@@ -285,7 +289,7 @@ def near_links(distinct: DataFrame, distance: int = 3, lanes: int = 1) -> DataFr
         blocks = F.ceil(F.col("n") / BLOCK)
         own = F.pmod(F.xxhash64("fid"), blocks)
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        met = rows.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_shared_postings, "part bigint, fid bigint, n bigint")
+        met = rows.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(returned(_shared_postings), "part bigint, fid bigint, n bigint")
         met = met.select("part", "fid", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other"))
         met = met.join(distinct.select(own_id.alias("fid"), "fp"), "fid")
         groups = met.groupBy("part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list("fp").alias("fps"))
@@ -308,7 +312,7 @@ def near_links(distinct: DataFrame, distance: int = 3, lanes: int = 1) -> DataFr
                     links, n = [_NO_LINKS], 0
             yield _link_batch(values, links)
 
-    return groups.select("fps").mapInArrow(run, "a array<bigint>, b array<bigint>").distinct()
+    return groups.select("fps").mapInArrow(returned(run), "a array<bigint>, b array<bigint>").distinct()
 
 
 def cross_links(distinct: DataFrame, distance: int, lanes: int) -> DataFrame:
@@ -332,7 +336,7 @@ def cross_links(distinct: DataFrame, distance: int, lanes: int) -> DataFrame:
                 if n:
                     yield _link_batch(values, links)
 
-    return _wide_groups(distinct.select("fp", "root"), distance, lanes).select("fps").mapInArrow(run, "a array<bigint>, b array<bigint>").distinct()
+    return _wide_groups(distinct.select("fp", "root"), distance, lanes).select("fps").mapInArrow(returned(run), "a array<bigint>, b array<bigint>").distinct()
 
 
 def alike(links: DataFrame, texts: DataFrame, words: int, seed: int, similarity: float) -> DataFrame:
@@ -355,9 +359,9 @@ def alike(links: DataFrame, texts: DataFrame, words: int, seed: int, similarity:
                 ok.append(both / max(len(x) + len(y) - both, 1) >= similarity)
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    sets = texts.select("fp", "text").mapInArrow(shingles, "fp array<bigint>, own array<bigint>")
+    sets = texts.select("fp", "text").mapInArrow(returned(shingles), "fp array<bigint>, own array<bigint>")
     pairs = links.join(sets.select(F.col("fp").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("own").alias("y")), "b")
-    return pairs.select("a", "b", "x", "y").mapInArrow(compare, "a array<bigint>, b array<bigint>")
+    return pairs.select("a", "b", "x", "y").mapInArrow(returned(compare), "a array<bigint>, b array<bigint>")
 
 
 def _alike_roots(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, distance: int, seed: int, lanes: int, similarity: float) -> DataFrame:

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairlens.llm.workers import returned, small_batches
+
 #: Bytes of one worker step; anchors whose surroundings are looked up at once.
 STEP, ROWS = 1 << 20, 1 << 13
 #: Documents whose anchors the splitters are taken from; they only balance the buckets.
@@ -134,32 +136,37 @@ def _surroundings(data: np.ndarray, position: np.ndarray, back: np.ndarray, fore
     return out
 
 
-def _words(rows: np.ndarray) -> np.ndarray:
-    """Rows of bytes as rows of big-endian machine words."""
-    n, width = rows.shape
-    padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
-    padded[:, :width] = rows
-    return padded.view(">u8").astype(np.uint64)
+def _word(rows: np.ndarray, k: int) -> np.ndarray:
+    """The k-th machine word of each row of bytes, big-endian; the last one is filled up with zeros."""
+    part = rows[:, 8 * k : 8 * k + 8]
+    padded = np.zeros((len(rows), 8), np.uint8)
+    padded[:, : part.shape[1]] = part
+    return padded.view(">u8").ravel().astype(np.uint64)
 
 
 def _multikey_sort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of byte rows and the length of the common prefix of each with the one before it (the first: 0).
 
-    Sorts by the first machine word, then by the next only where rows still tie.
+    Sorts by the first machine word, then by the next only where rows still tie. Holds a word or two of each row beside the rows.
     """
-    words = _words(rows)
-    order = np.argsort(words[:, 0], kind="stable")
-    for k in range(1, words.shape[1]):
-        same = (words[order[1:], :k] == words[order[:-1], :k]).all(axis=1)
+    word = _word(rows, 0)
+    order = np.argsort(word, kind="stable")
+    same = np.ones(max(len(order) - 1, 0), bool)
+    for k in range(1, -(-rows.shape[1] // 8)):
+        word = word[order]
+        same &= word[1:] == word[:-1]  # rows that tie in all words so far change places only with each other
         tied = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
         if not len(tied):
             break
         group = np.cumsum(~np.concatenate([[False], same]))[tied]
-        order[tied] = order[tied][np.lexsort((words[order[tied], k], group))]
+        word = _word(rows, k)
+        order[tied] = order[tied][np.lexsort((word[order[tied]], group))]
     common = np.zeros(len(order), np.int64)
-    if len(order) > 1:
-        differ = rows[order[1:]] != rows[order[:-1]]
-        common[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+    for lo in range(1, len(order), ROWS):
+        own = order[lo - 1 : lo + ROWS]
+        sorted_rows = rows[own]
+        differ = sorted_rows[1:] != sorted_rows[:-1]
+        common[lo : lo + ROWS] = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
     return order, common
 
 
@@ -367,9 +374,13 @@ class SubstringDedup:
             own = parts.popitem()[1]
             parts_of = [[_unplanes(x[k], "<i8") for x in own] for k in range(3)]
             codec = pa.Codec("zstd", 9)
-            blocks = [codec.decompress(x[3], decompressed_size=len(d) * (width + 2), asbytes=True) for x, d in zip(own, parts_of[0])]
-            whole = np.concatenate([np.frombuffer(b, np.uint8).reshape(-1, width + 2) for b in blocks])
+            whole, at = np.empty((sum(map(len, parts_of[0])), width + 2), np.uint8), 0
+            for x, d in zip(own, parts_of[0]):
+                block = codec.decompress(x[3], decompressed_size=len(d) * (width + 2), asbytes=True)
+                whole[at : at + len(d)] = np.frombuffer(block, np.uint8).reshape(-1, width + 2)
+                at += len(d)
             doc, tag, position = map(np.concatenate, parts_of)
+            del own, parts_of
             marks = repeated_windows(whole[:, :width], doc, whole[:, width].astype(np.int64), whole[:, width + 1].astype(np.int64), self.before, self.length)
             hit = np.flatnonzero(marks)
             if len(hit):
@@ -438,6 +449,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, token: int = 24, id_col: s
     empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     steps = SubstringDedup(length, token, tasks, whole_characters)
     text = F.col(text_col).cast("binary")
@@ -447,15 +459,15 @@ def remove_repeats(docs: DataFrame, length: int = 50, token: int = 24, id_col: s
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag"), text.alias("text"), *rest)
     bare = rows.select("id", "tag", "text")
 
-    counted = bare.mapInArrow(steps.tokens, "target int, hashes binary, docs binary").repartitionById(tasks, "target").mapInArrow(steps.shared_tokens, steps.BLOB)
-    gathered = bare.mapInArrow(steps.compressed, steps.BLOB).unionByName(counted).repartitionById(tasks, "target").sortWithinPartitions("kind")
-    found = gathered.mapInArrow(steps.suffixes(_splitters(bare, steps, tasks)), "target int, kind int, data binary")
-    marks = found.repartitionById(tasks, "target").mapInArrow(steps.buckets, steps.BLOB)
+    counted = bare.mapInArrow(returned(steps.tokens), "target int, hashes binary, docs binary").repartitionById(tasks, "target").mapInArrow(returned(steps.shared_tokens), steps.BLOB)
+    gathered = bare.mapInArrow(returned(steps.compressed), steps.BLOB).unionByName(counted).repartitionById(tasks, "target").sortWithinPartitions("kind")
+    found = gathered.mapInArrow(returned(steps.suffixes(_splitters(bare, steps, tasks))), "target int, kind int, data binary")
+    marks = found.repartitionById(tasks, "target").mapInArrow(returned(steps.buckets), steps.BLOB)
     blob, kept = (T.StructType.fromDDL(x) for x in (steps.BLOB, steps.KEPT))
     if rest:
         blob, kept = blob.add("rest", kind), kept.add("rest", kind)
-    final = rows.mapInArrow(steps.compressed, blob).unionByName(marks, allowMissingColumns=True).repartitionById(tasks, "target").sortWithinPartitions("kind")
-    out = final.mapInArrow(steps.cut, kept)
+    final = rows.mapInArrow(returned(steps.compressed), blob).unionByName(marks, allowMissingColumns=True).repartitionById(tasks, "target").sortWithinPartitions("kind")
+    out = final.mapInArrow(returned(steps.cut), kept)
     return out.select(F.col("id").alias(id_col), *(F.col(f"rest.`{f.name}`").alias(f.name) for f in others), "kept", "n_bytes", "spans")
 
 
@@ -472,6 +484,6 @@ def _splitters(rows: DataFrame, steps: SubstringDedup, tasks: int) -> np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in around[:, before : before + width]], pa.binary())], names=["lead"])
 
     some = rows if n <= SAMPLE else rows.sample(SAMPLE / n, seed=1)
-    leads_of = some.mapInArrow(leads, "lead binary").orderBy(F.xxhash64("lead", F.monotonically_increasing_id())).limit(100 * tasks)
+    leads_of = some.mapInArrow(returned(leads), "lead binary").orderBy(F.xxhash64("lead", F.monotonically_increasing_id())).limit(100 * tasks)
     found = np.sort(np.array([bytes(r[0]) for r in leads_of.collect()], dtype=f"S{width}"))
     return np.unique(found[np.linspace(0, len(found) - 1, tasks + 1).astype(int)[1:-1]]) if len(found) else found

@@ -9,8 +9,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Words whose ids a worker remembers, and the characters of the longest; when full, it starts afresh. Long words seldom come again, and what is
-#: remembered stays in the worker through the stages that follow.
+#: Words whose ids a worker remembers, and the characters of the longest; when full, it starts afresh. Long words seldom come again. What is
+#: remembered stays in the worker until a task lets go of it (workers.let_go).
 MAX_WORDS, MAX_CHARS = 300_000, 24
 #: Texts of these characters alone are split here; in them white space, letters, digits and lower case mean the same to
 #: Python and to the tokenizer, and nothing composes across words. All other texts go to the tokenizer whole.

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.llm.samples import sample_rows
+from pairlens.llm.workers import returned, small_batches
 
 BUCKETS, WIDTH, PASSAGE = 1 << 16, 8, 32
 #: Labelled rows of each label that the classifier is fitted on, at most.
@@ -184,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         model = train(texts, marks)
         yield pa.RecordBatch.from_arrays([pa.array([model.table.tobytes()]), pa.array([model.bias])], names=["table", "bias"])
 
-    got = rows.mapInArrow(learn, "table binary, bias double").first()
+    got = rows.mapInArrow(returned(learn), "table binary, bias double").first()
     if got is None:  # no labelled row
         return train([], [])
     table, bias = got
@@ -198,14 +199,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     docs = docs.drop("toxicity")
     shared = docs.sparkSession.sparkContext.broadcast((model.table, model.bias))  # one value per bucket
-    local: dict[str, Model] = {}
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = local.setdefault("model", Model(*shared.value))
+        own = Model(*shared.value)
         for batch in batches:
             for part in range(0, batch.num_rows, 1024):
                 chunk = batch.slice(part, 1024)
                 yield chunk.append_column("toxicity", pa.array([own.score(t.as_py()) for t in chunk.column(text_col)], pa.float64()))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, toxicity double")
+    return docs.mapInArrow(returned(run), f"{fields}, toxicity double")

@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from pairlens.llm.workers import returned, small_batches
 
-#: Bytes of one worker step; anchors whose surroundings are looked up at once.
-STEP, ROWS = 1 << 20, 1 << 13
+#: A quarter of the bytes of one worker step; window starts whose anchors are sought at once, with some ten numbers each; anchors whose surroundings are looked up at once.
+STEP, WINDOWS, ROWS = 1 << 20, 1 << 17, 1 << 13
 #: Documents whose anchors the splitters are taken from; they only balance the buckets.
 SAMPLE = 2000
 _NONE = np.zeros(0, dtype=np.int64)
@@ -79,8 +79,8 @@ class Anchors:
         distances back to the last and first window start that it serves."""
         found = []
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-        for lo in range(0, max(1, len(data)), STEP):
-            found.append(self._part(data, starts, ends, lo, min(lo + STEP, len(data) - self.length + 1)))
+        for lo in range(0, max(1, len(data)), WINDOWS):
+            found.append(self._part(data, starts, ends, lo, min(lo + WINDOWS, len(data) - self.length + 1)))
         position, hashes, first, last = (np.concatenate(x) for x in zip(*found))
         return position, hashes, position - last, position - first
 
@@ -237,15 +237,19 @@ class SubstringDedup:
         for batch in batches:
             for target, hashes, docs in zip(*(c.to_pylist() for c in batch.columns)):
                 parts.setdefault(target, []).append((hashes, docs))
-        for own in parts.values():
+        while parts:
+            own = parts.popitem()[1]
             hashes = np.concatenate([_unplanes(h, "<u8") for h, _ in own])
             doc = np.concatenate([_unplanes(d, "<i8") for _, d in own])
+            del own
             order = np.argsort(hashes, kind="stable")
             hashes, doc = hashes[order], doc[order]
+            del order
             new = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-            size = np.diff(np.concatenate([new, [len(hashes)]]))
-            several = np.repeat(np.minimum.reduceat(doc, new) != np.maximum.reduceat(doc, new), size)
+            mixed = np.minimum.reduceat(doc, new) != np.maximum.reduceat(doc, new)
+            several = np.repeat(mixed, np.diff(np.append(new, len(hashes))))
             hashes, target = hashes[several], doc[several] % self.tasks
+            del doc, new, mixed, several
             order = np.lexsort((hashes, target))
             hashes, target = hashes[order], target[order]
             border = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]])) if len(target) else _NONE

@@ -62,3 +62,21 @@ def test_sorting_a_bucket_holds_little_beside_its_rows():
     assert order.tolist() == expected
     differ = rows[order[1:]] != rows[order[:-1]]
     assert common[1:].tolist() == np.where(differ.any(axis=1), differ.argmax(axis=1), 50).tolist() and common[0] == 0
+
+
+def test_anchors_are_sought_a_few_windows_at_once(monkeypatch):
+    data = np.random.default_rng(2).integers(97, 101, 1 << 20).astype(np.uint8)
+    ends = np.arange(1 << 11, len(data) + 1, 1 << 11)
+    anchors = suffixes.Anchors(50, 24)
+    tracemalloc.start()
+    found = anchors.of(data, ends)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * len(data)
+    monkeypatch.setattr(suffixes, "WINDOWS", 1000)
+
+    def windows(position, hashes, near, far):
+        """(window start, its anchor, hash) of all windows."""
+        return {(p - o, p, h) for p, h, a, b in zip(*(x.tolist() for x in (position, hashes, near, far))) for o in range(a, b + 1)}
+
+    assert windows(*found) == windows(*anchors.of(data, ends))

@@ -146,6 +146,24 @@ def test_url_filter_matches_recursion(spark):
     assert urls.filter_urls(df.limit(0), RULES).count() == 0
 
 
+def test_url_filter_sends_no_table_through_the_driver(spark):
+    """A row per character of each url: small as a compressed file, far too large for the driver to collect and send to all tasks."""
+    cases = [f"http://w{i % 9}.{['example.org', 'b.com', 'c.net'][i % 3]}/{['en', 'es', 'fr', 'de'][i % 4]}/{i}" for i in range(3000)]
+    cases += [None, "", "http://hot.com/fr/1", "http://hot.com/fr/1"]
+    df = spark.createDataFrame(list(enumerate(cases)), "page_id bigint, url string")
+    got = {}
+    for broadcast, most in (("-1", "8g"), ("10m", "1")):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        spark.conf.set("spark.sql.maxBroadcastTableSize", most)
+        try:
+            got[broadcast] = {r["page_id"]: (r[1:5], r["score"]) for r in urls.filter_urls(df, RULES).collect()}
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+            spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert len(got["10m"]) == len(cases)
+    assert all(own == want and score == pytest.approx(wanted, abs=1e-8) for (own, score), (want, wanted) in ((got["10m"][i], got["-1"][i]) for i in range(len(cases))))
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_fingerprints_of_edits(spark, extra):
     out = merkle.fingerprints_of_edits(documents(spark, extra=extra)).collect()
